@@ -64,8 +64,8 @@ _FLUSH = 3_000_000
 
 
 def _fingerprint(a: np.ndarray) -> int:
-    s = wk.mix(a + wk.U(0x51ED270B)).sum(dtype=wk.U) ^ (np.bitwise_xor.reduce(a) * wk.U(0x9E3779B97F4A7C15))
-    return int(wk.mix(np.array([s + wk.U(len(a))], wk.U)).view(np.int64)[0])
+    s = wk.mix(a + wk.U(0x51ED270B)).sum(dtype=wk.U) ^ wk.U(int(np.bitwise_xor.reduce(a)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    return int(wk.mix(np.array([s], wk.U) + wk.U(len(a))).view(np.int64)[0])
 
 
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -457,8 +457,7 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
 
 
 def deduplicate(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each component: the one of its least id (of equal ids, the least text)."""
+    """``docs`` without the rows whose component has a smaller id; rows that share the least id stay."""
     kept = join(docs, k, threshold).filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
     kept = kept.select(F.col("doc_id").alias("kept_id"))
-    one = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return one.dropDuplicates(["doc_id"]) if False else one
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")

@@ -11,10 +11,10 @@ page indexes, so a reader that wants lengths only, or a range of ids only,
 touches those pages alone.
 
 Tokenising is exact but pays for each distinct word once per worker: a text is
-cut before a space that does not stand between two blanks.  Under a byte-level
+cut before its spaces and before marks behind letters.  Under a byte-level
 pre-tokenizer no piece crosses such a cut, hence the ids of the parts,
-concatenated, are the ids of the text; a text with a space between blanks is
-encoded whole.
+concatenated, are the ids of the text; a text with a space between two blanks
+is encoded whole.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
 _TIGHT = re.compile(r"\s \s")
+#: Marks that, in a run behind letters, are one piece.
+_MARKS = ".,;:!?%$&#*|"
 
 
 class Encoder:
@@ -54,22 +57,46 @@ class Encoder:
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
         self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        """ids of ' ' + word for each; a token that opens with a space opens a word."""
-        for lo in range(0, len(words), 2048):
-            part = words[lo : lo + 2048]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(self.opens[ids])
-            if len(cut) == len(part):
-                raw, ends = ids.tobytes(), np.append(cut[1:], len(ids)) * 4
-                for word, a, b in zip(part, (cut * 4).tolist(), ends.tolist(), strict=True):
-                    self.words[word] = raw[a:b]
+    def _learn(self, words: set[str]) -> None:
+        """ids of ' ' + word for each of the words."""
+        ended: list[tuple[str, str, str]] = []
+        alone: set[str] = set()
+        odd: list[str] = []
+        for word in words:
+            # letters and marks after them are pieces of their own
+            base = word.rstrip(_MARKS)
+            if len(base) < len(word) and base.isalpha():
+                ended.append((word, base, word[len(base) :]))
+                if base not in self.words:
+                    alone.add(base)
+            elif word and not word[0].isspace():
+                alone.add(word)
             else:
-                self.words.update(zip(part, self.whole([" " + x for x in part]), strict=True))
+                odd.append(word)
+        self.words.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
+        listed = list(alone)
+        for lo in range(0, len(listed), 2048):
+            self._learn_joined(listed[lo : lo + 2048])
+        for word, base, tail in ended:
+            if tail not in self.tails:
+                self.tails[tail] = self.whole([tail])[0]
+            self.words[word] = self.words[base] + self.tails[tail]
+
+    def _learn_joined(self, words: list[str]) -> None:
+        """One call for many words; a token that opens with a space opens a word."""
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(self.opens[ids])
+        if len(cut) == len(words):
+            raw, ends = ids.tobytes(), np.append(cut[1:], len(ids)) * 4
+            for word, a, b in zip(words, (cut * 4).tolist(), ends.tolist(), strict=True):
+                self.words[word] = raw[a:b]
+        else:
+            self.words.update(zip(words, self.whole([" " + x for x in words]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -80,11 +107,7 @@ class Encoder:
                 del p[0]
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = set().union(*(p for p in parts if p)).difference(self.words)
-        # a part may be empty or hold blanks only: then the text went through whole() or the part is its own piece
-        self._learn([x for x in new if x and not x[0].isspace()])
-        odd = [x for x in new if not x or x[0].isspace()]
-        self.words.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
+        self._learn(set(filterfalse(self.words.__contains__, chain.from_iterable(p for p in parts if p))))
         get = self.words.__getitem__
         return [head if not p else head + b"".join(map(get, p)) for head, p in zip(heads, parts, strict=True)]
 
