@@ -11,6 +11,9 @@ reaches the threshold.  The join is exact and goes through inverted lists:
    are the long lists that are not merged but probed.  (The order is a hint
    from counts over all documents in a table of bounded size; whatever it
    holds, results are the same.)
+   The prefix is longer than that by a 20th of the set, so that linked sets
+   share many of its elements: a class too few of whose prefix elements are in
+   any other prefix can have no link and goes no further.
 3. The distributed short lists (shingle -> classes) give candidates.  In a
    list of k classes each meets its neighbours in size order; where the list
    is longer than that, a second round takes every pair of it whose two sides
@@ -42,7 +45,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
@@ -60,6 +63,9 @@ NEAR = 12
 PAIRS_PER_ENTRY = 64
 BLOCK = 256
 
+#: One in how many elements a prefix is longer than needed for one common element.
+SPARE = 20
+
 _FLUSH = 3_000_000
 
 
@@ -80,7 +86,14 @@ def least_overlap(n: int, m: int, t: Fraction = THRESHOLD) -> int:
 
 
 def prefix(n: int, t: Fraction = THRESHOLD) -> int:
-    return n - -(-t.numerator * n // t.denominator) + 1
+    """First elements of a set of n that go to the lists."""
+    return n - -(-t.numerator * n // t.denominator) + max(1, n // SPARE)
+
+
+def least_shared(t: Fraction = THRESHOLD) -> Column:
+    """Elements of its prefix that a set of (column) n shares with the prefix of any set that it links with."""
+    smallest = F.expr(f"({t.numerator} * n + {t.denominator - 1}) div {t.denominator}")
+    return F.greatest(F.lit(1), F.floor(smallest / F.lit(SPARE)))
 
 
 def profile(docs: DataFrame, k: int = K) -> DataFrame:
@@ -168,7 +181,7 @@ def _postings(docs: DataFrame, order: Broadcast, k: int, t: Fraction) -> DataFra
 
 
 def _near(postings: DataFrame, t: Fraction) -> DataFrame:
-    """kind 0: candidate pairs (a, b) of neighbours in a list; kind 1: entries (a = token, b = class, n) of the longer lists."""
+    """kind 0: candidate pairs (a, b) of neighbours in a list; kind 1: entries (a = token, b = class, n) of the longer lists; kind 2: (a = class, b = its entries in shared lists, n)."""
     names = ["kind", "a", "b", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,8 +218,13 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             early = (over[:, None] - np.arange(1, NEAR + 2)).ravel()
             late = np.flatnonzero(long_ & (np.arange(len(tok)) >= c))
             rows = np.concatenate([early, late])
-            kind = np.repeat(np.array([0, 1], np.int8), [len(pairs), len(rows)])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([pairs[:, 0], tok[rows]])), pa.array(np.concatenate([pairs[:, 1], key[rows]])), pa.array(np.concatenate([np.zeros(len(pairs), np.int64), n[rows]]))], names)
+            # a list is shared from its second entry on, which counts for its first as well
+            here = np.arange(len(tok)) >= c
+            shared = np.concatenate([np.flatnonzero(here & (rank >= 1)), np.flatnonzero(here & (rank == 1)) - 1])
+            own, at, times = np.unique(key[shared], return_index=True, return_counts=True)
+            kind = np.repeat(np.array([0, 1, 2], np.int8), [len(pairs), len(rows), len(own)])
+            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], times], [np.zeros(len(pairs), np.int64), n[rows], n[shared[at]]])
+            yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x).astype(np.int64)) for x in columns)], names)
             tail = np.arange(max(int(start[-1]), len(tok) - NEAR - 1), len(tok))
             held = [tok[tail], key[tail], n[tail], rank[tail]]
 
@@ -431,9 +449,14 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     order = spark.sparkContext.broadcast(Order(np.array([x["a"] for x in hints], np.int64).view(wk.U), np.array([x["n"] for x in hints], np.int64)))
 
     found = store.keep(_near(_postings(docs, order, k, t), t), "jaccard-lists")
+    shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max("n").alias("n"))
+    alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive")
     pairs = found.filter("kind = 0").select("a", "b").distinct()
-    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "n")
-    keys = found.filter("kind = 0").select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
+    for side in ("a", "b"):
+        pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
+    pairs = store.keep(pairs.select("a", "b"), "jaccard-pairs")
+    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "n").join(alive, "key", "left_semi")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
     sets = store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
