@@ -37,7 +37,7 @@ from . import store
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that a cell holds about.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def n_words(text: Column) -> Column:
