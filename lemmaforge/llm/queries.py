@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard_join, mixing, token_files, toxicity, url_filter
+from . import decontamination, jaccard_join, mixing, quality, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 #: The rules that the query judges by, and the globs of its own.
 URL_RULES = (
     url_filter.Rule("allow", "com", "/"),
@@ -113,6 +118,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixing": op2_source_mixing,
+    "op4_quality": op4_quality,
     "op5_url_filters": op5_url_filters,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op9_toxicity": op9_toxicity,
