@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain, filterfalse
 
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 
 from . import store
 
-#: Distinct words whose ids a Python worker keeps; it starts over beyond them.
-CACHE_WORDS = 250_000
+#: Distinct words in each of the two generations of a Python worker's cache.
+CACHE_WORDS = 200_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
 _TIGHT = re.compile(r"\s \s")
+# a byte's character in the vocabulary: itself if it prints, else the next one from 256 on
+_prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {**{b: chr(b) for b in _prints}, **{b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_prints)))}}
 #: Marks that, in a run behind letters, are one piece.
 _MARKS = ".,;:!?%$&#*|"
 
@@ -57,7 +61,9 @@ class Encoder:
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.piece = self.tokenizer.model.tokenize
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,7 +85,11 @@ class Encoder:
             else:
                 odd.append(word)
         self.words.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
-        listed = list(alone)
+        for word in alone:
+            if word.isalpha():  # one piece: straight to the model, in its characters for bytes
+                piece = "Ġ" + (word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode())))
+                self.words[word] = array("I", [x.id for x in self.piece(piece)]).tobytes()
+        listed = [x for x in alone if x not in self.words]
         for lo in range(0, len(listed), 2048):
             self._learn_joined(listed[lo : lo + 2048])
         for word, base, tail in ended:
@@ -105,9 +115,12 @@ class Encoder:
         for p in parts:
             if p is not None:
                 del p[0]
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        self._learn(set(filterfalse(self.words.__contains__, chain.from_iterable(p for p in parts if p))))
+        if len(self.words) > CACHE_WORDS:  # words of the generation before come back if they are met again
+            self.words, self.before = {}, self.words
+        new = set(filterfalse(self.words.__contains__, chain.from_iterable(p for p in parts if p)))
+        old = new.intersection(self.before)
+        self.words.update(zip(old, map(self.before.__getitem__, old), strict=True))
+        self._learn(new - old)
         get = self.words.__getitem__
         return [head if not p else head + b"".join(map(get, p)) for head, p in zip(heads, parts, strict=True)]
 
