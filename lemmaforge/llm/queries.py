@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, fingerprints, jaccard_join, licenses, mixing, quality, token_files, toxicity, url_filter
+from . import chat, decontamination, fingerprints, jaccard_join, licenses, mixing, quality, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +114,26 @@ FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: The tools that the query knows.
+TOOLS = [
+    ("search", "query", "string", True),
+    ("search", "limit", "integer", False),
+    ("calculator", "expression", "string", True),
+]
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_messages(table(spark, sf_dir, "conversations"), spark.createDataFrame(TOOLS, chat.SCHEMA_COLUMNS))
+
+
+OP8_SQL = """
+SELECT conv_id, turn, role, turn AS after, CAST(0 AS INTEGER) AS step, CAST(NULL AS BIGINT) AS linked_turn, CAST(0 AS INTEGER) AS n_calls, '' AS problems,
+       '{' || CASE WHEN text IS NULL THEN '' ELSE '"content":' || CAST(to_json(text) AS VARCHAR) || ',' END
+           || CASE WHEN role IS NULL THEN '' ELSE '"role":' || CAST(to_json(role) AS VARCHAR) || ',' END || '"turn":' || turn || '}' AS json
+FROM conversations
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -131,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_fingerprints": op6_fingerprints,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
 }
@@ -139,4 +160,5 @@ SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
     "op5_url_filters": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
+    "op8_chat_formatting": OP8_SQL,
 }
