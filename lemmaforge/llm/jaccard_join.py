@@ -61,12 +61,15 @@ FILTER_WORDS = 1 << 17
 NEAR = 12
 #: Second-round pairs per list entry up to which pairs are listed; beyond, blocks.
 PAIRS_PER_ENTRY = 64
+#: Comparisons of places and sizes that one list may take before it goes by blocks.
+MOST_COMPARISONS = 1 << 31
 BLOCK = 256
 
 #: One in how many elements a prefix is longer than needed for one common element.
 SPARE = 20
 
 _FLUSH = 3_000_000
+_LOW = (1 << 32) - 1
 
 
 def _fingerprint(a: np.ndarray) -> int:
@@ -158,7 +161,7 @@ class Order:
 
 
 def _postings(docs: DataFrame, order: Broadcast, k: int, t: Fraction) -> DataFrame:
-    """token, key, n: the short lists' entries, one per class and task at most."""
+    """token, key, at: the short lists' entries, one per class and task at most; ``at`` is the set's size << 32 | the element's place in the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -172,17 +175,23 @@ def _postings(docs: DataFrame, order: Broadcast, k: int, t: Fraction) -> DataFra
                     part = order.value.first(a, prefix(len(a), t))
                     token.append(part)
                     key.append(f)
-                    n.append(len(a))
+                    n.append((len(a) << 32) + np.arange(len(part)))
                     count.append(len(part))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), count)), pa.array(np.repeat(np.array(n, np.int32), count))], ["token", "key", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), count)), pa.array(np.concatenate(n))], ["token", "key", "at"])
+
+    return docs.select("text").mapInArrow(run, "token long, key long, at long")
+
 
-    return docs.select("text").mapInArrow(run, "token long, key long, n int")
+def _may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether an element at places i and j (from 0) can be the first common one of linked sets of n and m elements."""
+    need = -(-t.numerator * (n + m) // (t.numerator + t.denominator))
+    return (t.denominator * np.minimum(n, m) >= t.numerator * np.maximum(n, m)) & (i <= n - need) & (j <= m - need)
 
 
 def _near(postings: DataFrame, t: Fraction) -> DataFrame:
-    """kind 0: candidate pairs (a, b) of neighbours in a list; kind 1: entries (a = token, b = class, n) of the longer lists; kind 2: (a = class, b = its entries in shared lists, n)."""
-    names = ["kind", "a", "b", "n"]
+    """kind 0: candidate pairs (a, b) of neighbours in a list; kind 1: entries (a = token, b = class, at) of the longer lists; kind 2: (a = class, b = its entries in shared lists, at)."""
+    names = ["kind", "a", "b", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
@@ -190,7 +199,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             c = len(held[0])
             tok = np.concatenate([held[0], batch.column(0).to_numpy()])
             key = np.concatenate([held[1], batch.column(1).to_numpy()])
-            n = np.concatenate([held[2], batch.column(2).to_numpy().astype(np.int64)])
+            n = np.concatenate([held[2], batch.column(2).to_numpy()])
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
             new[:c] = True
@@ -207,7 +216,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             for d in range(1, NEAR + 1):
                 i = np.arange(max(c, d), len(tok))
                 i = i[(tok[i] == tok[i - d])]
-                i = i[t.denominator * n[i - d] >= t.numerator * n[i]]
+                i = i[_may_link(n[i] >> 32, n[i] & _LOW, n[i - d] >> 32, n[i - d] & _LOW, t)]
                 found_a.append(key[i])
                 found_b.append(key[i - d])
             a, b = np.concatenate(found_a), np.concatenate(found_b)
@@ -228,32 +237,41 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             tail = np.arange(max(int(start[-1]), len(tok) - NEAR - 1), len(tok))
             held = [tok[tail], key[tail], n[tail], rank[tail]]
 
-    return postings.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "kind byte, a long, b long, n long")
+    return postings.repartition("token").sortWithinPartitions("token", "at", "key").mapInArrow(run, "kind byte, a long, b long, at long")
 
 
 def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
     """Cells of the longer lists' pairs that lie in different components.
 
-    Rows: c1, c2, c3 (the cell), role (0 query, 1 the others), key.  Short of
-    PAIRS_PER_ENTRY pairs per entry a cell is a query and what it is paired
-    with; else a cell is a pair of blocks.
+    Rows: c1, c2, c3 (the cell), role (0 query, 1 the others), key, comp.
+    Short of PAIRS_PER_ENTRY pairs per entry a cell is a query and what it is
+    paired with; else a cell is a pair of blocks.
     """
-    names = ["c1", "c2", "c3", "role", "key"]
+    names = ["c1", "c2", "c3", "role", "key", "comp"]
 
-    def cells(tok: int, key: np.ndarray, n: np.ndarray, comp: np.ndarray) -> Iterator[tuple]:
+    def cells(tok: int, key: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[tuple]:
         _, label, size = np.unique(comp, return_inverse=True, return_counts=True)
         if len(size) < 2:
             return
-        k = len(key)
-        if (k * k - int((size.astype(np.int64) ** 2).sum())) // 2 <= PAIRS_PER_ENTRY * k:
-            for i in np.flatnonzero(label != size.argmax()):
-                fits = (label != label[i]) & (t.denominator * np.minimum(n, n[i]) >= t.numerator * np.maximum(n, n[i]))
-                fits &= (label == size.argmax()) | (key > key[i])
+        k, n, place, main = len(key), at >> 32, at & _LOW, size.argmax()
+        outside = np.flatnonzero(label != main)
+        if len(outside) * k <= MOST_COMPARISONS:
+            found, total = [], 0
+            for i in outside:
+                fits = (label != label[i]) & _may_link(n, place, n[i], place[i], t)
+                fits &= (label == main) | (key > key[i])
                 if fits.any():
-                    yield 0, int(key[i]), 0, 0, int(key[i])
-                    for x in key[fits].tolist():
-                        yield 0, int(key[i]), 0, 1, x
-            return
+                    found.append((int(key[i]), int(comp[i]), np.flatnonzero(fits)))
+                    total += len(found[-1][2])
+                if total > PAIRS_PER_ENTRY * k:
+                    break
+            if total <= PAIRS_PER_ENTRY * k:
+                for own, c, fits in found:
+                    for part in np.unique(key[fits] % 4):
+                        yield 0, own, int(part), 0, own, c
+                    for x, y in zip(key[fits].tolist(), comp[fits].tolist(), strict=True):
+                        yield 0, own, x % 4, 1, x, y
+                return
         cuts = range(0, k, BLOCK)
         for x in cuts:
             for y in cuts:
@@ -261,8 +279,8 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
                     continue
                 if len(np.unique(np.concatenate([label[x : x + BLOCK], label[y : y + BLOCK]]))) > 1:
                     for role, lo in ((0, x), (1, y)):
-                        for z in key[lo : lo + BLOCK].tolist():
-                            yield tok, x, y + 1, role, z
+                        for z, c in zip(key[lo : lo + BLOCK].tolist(), comp[lo : lo + BLOCK].tolist(), strict=True):
+                            yield tok, x, y + 1, role, z, c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -281,7 +299,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             m = np.array(rows, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(m[:, i]) for i in range(5)], names)
+            return pa.RecordBatch.from_arrays([pa.array(m[:, i]) for i in range(6)], names)
 
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(4)]
@@ -295,7 +313,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
                 held.append([x[lo:hi] for x in cols[1:]])
         yield from done()
 
-    return entries.repartition("token").sortWithinPartitions("token", "n", "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long")
+    return entries.repartition("token").sortWithinPartitions("token", "at", "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long")
 
 
 def divide_skip(query: np.ndarray, others: list[np.ndarray], needs: list[int], mu: float = 0.0085) -> list[tuple[int, int]]:
@@ -368,7 +386,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
 
         def work() -> None:
             for own, q in queries:
-                kept = [(key, a) for key, a in pending if key != own and t.denominator * min(len(a), len(q)) >= t.numerator * max(len(a), len(q)) and (len(queries) == 1 or root(key) != root(own))]
+                kept = [(key, a) for key, a in pending if key != own and t.denominator * min(len(a), len(q)) >= t.numerator * max(len(a), len(q)) and root(key) != root(own)]
                 needs = [least_overlap(len(q), len(a), t) for _, a in kept]
                 for i, _ in divide_skip(q, [a for _, a in kept], needs):
                     other = kept[i][0]
@@ -378,8 +396,8 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
             pending.clear()
 
         for batch in batches:
-            c1, c2, c3, role, key = (batch.column(i).to_pylist() for i in range(5))
-            tokens = batch.column(5)
+            c1, c2, c3, role, key, comp = (batch.column(i).to_pylist() for i in range(6))
+            tokens = batch.column(6)
             off = tokens.offsets.to_numpy()
             flat = tokens.values.to_numpy().view(wk.U)
             for i in range(batch.num_rows):
@@ -388,6 +406,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                     cell, queries = here, []
                     parent.clear()
                 a = flat[off[i] : off[i + 1]].copy()
+                parent.setdefault(key[i], comp[i])
                 if role[i] == 0:
                     queries.append((key[i], a))
                 else:
@@ -403,7 +422,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
             m = np.array(links, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1])], ["a", "b"])
 
-    filled = cells.join(sets, "key").select("c1", "c2", "c3", "role", "key", "tokens")
+    filled = cells.join(sets, "key").select("c1", "c2", "c3", "role", "key", "comp", "tokens")
     return filled.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "role", "key").mapInArrow(run, "a long, b long")
 
 
@@ -449,24 +468,24 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     order = spark.sparkContext.broadcast(Order(np.array([x["a"] for x in hints], np.int64).view(wk.U), np.array([x["n"] for x in hints], np.int64)))
 
     found = store.keep(_near(_postings(docs, order, k, t), t), "jaccard-lists")
-    shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max("n").alias("n"))
+    shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max(F.shiftright("at", 32)).alias("n"))
     alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive")
     pairs = found.filter("kind = 0").select("a", "b").distinct()
     for side in ("a", "b"):
         pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
     pairs = store.keep(pairs.select("a", "b"), "jaccard-pairs")
-    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "n").join(alive, "key", "left_semi")
+    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at").join(alive, "key", "left_semi")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
     sets = store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), F.pmod("b", F.lit(4)).alias("c3"), one.alias("role"), F.col("b").alias("key"))
-    asking = others.select("c1", "c2", "c3").distinct().select("c1", "c2", "c3", zero.alias("role"), F.col("c2").alias("key"))
+    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), F.pmod("b", F.lit(4)).alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("b").alias("comp"))
+    asking = others.select("c1", "c2", "c3").distinct().select("c1", "c2", "c3", zero.alias("role"), F.col("c2").alias("key"), F.col("c2").alias("comp"))
     links = store.keep(_search(others.unionByName(asking), sets, t), "jaccard-links")
 
     if not entries.isEmpty():
         known = components(links)
-        entries = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "n", F.coalesce("component", "key").alias("comp"))
+        entries = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"))
         cells = _apart(entries, t).distinct()
         links = store.keep(links.unionByName(_search(cells, sets, t)), "jaccard-links")
     known = components(links)
