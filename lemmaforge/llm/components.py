@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 
 
+#: Links that a task holds before it passes their forest on.
+FOREST_LINKS = 500_000
+
+
+def forests(links: DataFrame) -> DataFrame:
+    """A spanning forest of each run of links that a task reads: as connected as they are, and at most a link per node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+        seen = 0
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = parent[up]
+                x = parent[x]
+            return x
+
+        def flush() -> pa.RecordBatch:
+            rows = np.array([(x, root(x)) for x in list(parent) if root(x) != x], np.int64).reshape(-1, 2)
+            parent.clear()
+            return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            seen += batch.num_rows
+            if seen >= FOREST_LINKS:
+                seen = 0
+                yield flush()
+        yield flush()
+
+    return links.select("a", "b").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, component (its least node) for the nodes of ``links`` (columns a, b of longs).
 
@@ -16,7 +56,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     number of rounds grows with the logarithm of the component's size.  Every
     round is written to the shared folder, so the lineage stays short.
     """
-    edges = store.keep(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    edges = store.keep(forests(links.filter("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     seen = None
     for _ in range(most_rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -406,6 +406,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                     cell, queries = here, []
                     parent.clear()
                 a = flat[off[i] : off[i + 1]].copy()
+                parent.setdefault(comp[i], comp[i])
                 parent.setdefault(key[i], comp[i])
                 if role[i] == 0:
                     queries.append((key[i], a))
