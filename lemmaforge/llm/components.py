@@ -14,6 +14,8 @@ from . import store
 
 #: Links that a task holds before it passes their forest on.
 FOREST_LINKS = 500_000
+#: Forest links up to which one task finishes the work; beyond, rounds over all tasks do.
+ONE_TASK_LINKS = 400_000
 
 
 def forests(links: DataFrame) -> DataFrame:
@@ -48,15 +50,20 @@ def forests(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """node, component (its least node) for the nodes of ``links`` (columns a, b of longs).
 
-    Alternating large-star and small-star steps: each node hands its larger
-    neighbours, then its smaller ones, to the least node that it knows.  The
-    number of rounds grows with the logarithm of the component's size.  Every
-    round is written to the shared folder, so the lineage stays short.
+    Tasks hand on spanning forests of the links that they read.  If these have
+    ``one_task`` links at most, one task merges them.  Else come rounds of
+    alternating large-star and small-star steps: each node hands its larger
+    neighbours, then its smaller ones, to the least node that it knows; their
+    number grows with the logarithm of the component's size.  Every round is
+    written to the shared folder, so the lineage stays short.
     """
     edges = store.keep(forests(links.filter("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    if edges.count() <= one_task:
+        found = forests(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component"))
+        return store.keep(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "cc")
     seen = None
     for _ in range(most_rounds):
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
