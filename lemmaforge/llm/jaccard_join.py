@@ -54,7 +54,7 @@ from .components import components
 
 K, THRESHOLD = 5, Fraction(4, 5)
 #: Entries of the frequency hint (16 bytes each).
-HINTS = 1 << 17
+HINTS = 1 << 18
 #: Words of 64 bits in the filter of needed classes.
 FILTER_WORDS = 1 << 17
 #: Neighbours that a class meets in a list in the first round.
@@ -69,7 +69,7 @@ BLOCK = 256
 SPARE = 20
 
 _FLUSH = 3_000_000
-_LOW = (1 << 32) - 1
+_LOW = (1 << 31) - 1
 
 
 def _fingerprint(a: np.ndarray) -> int:
@@ -143,67 +143,77 @@ class Order:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.tokens >> wk.U(42)).astype(np.int64)] = True
 
-    def first(self, a: np.ndarray, p: int) -> np.ndarray:
-        """The first p elements of the sorted set ``a``."""
+    def first(self, a: np.ndarray, p: int) -> tuple[np.ndarray, int]:
+        """The first p elements of the sorted set ``a``, and from where on they are in the hint."""
         if not len(self.tokens):
-            return a[:p]
+            return a[:p], p
         at = np.flatnonzero(self.maybe[(a >> wk.U(42)).astype(np.int64)])
         i = np.minimum(np.searchsorted(self.tokens, a[at]), len(self.tokens) - 1)
         known = self.tokens[i] == a[at]
         at, i = at[known], i[known]
         if not len(at):
-            return a[:p]
+            return a[:p], p
         rest = np.delete(a, at)
         if len(rest) >= p:
-            return rest[:p]
+            return rest[:p], p
         late = a[at][np.lexsort((a[at], self.counts[i]))]
-        return np.concatenate([rest, late[: p - len(rest)]])
+        return np.concatenate([rest, late[: p - len(rest)]]), len(rest)
 
 
 def _postings(docs: DataFrame, order: Broadcast, k: int, t: Fraction) -> DataFrame:
-    """token, key, at: the short lists' entries, one per class and task at most; ``at`` is the set's size << 32 | the element's place in the order."""
+    """token, key, at: the short lists' entries, one per class and task at most; ``at`` is the set's size << 32 | 1 << 31 if the element is in the hint | its place in the order, ``before`` the element before it, 0 if that is none of the hint's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for _, sets in _sets(batch.column(0), k):
-                token, key, n, count = [], [], [], []
+                token, key, n, count, before = [], [], [], [], []
                 for a in sets:
                     if not len(a) or (f := _fingerprint(a)) in seen:
                         continue
                     seen.add(f)
-                    part = order.value.first(a, prefix(len(a), t))
+                    part, hinted = order.value.first(a, prefix(len(a), t))
                     token.append(part)
+                    prior = np.zeros(len(part), np.int64)
+                    prior[hinted + 1 :] = part[hinted:-1].view(np.int64)
+                    before.append(prior)
                     key.append(f)
-                    n.append((len(a) << 32) + np.arange(len(part)))
+                    place = np.arange(len(part))
+                    n.append((len(a) << 32) + ((place >= hinted).astype(np.int64) << 31) + place)
                     count.append(len(part))
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), count)), pa.array(np.concatenate(n))], ["token", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(np.array(key, np.int64), count)), pa.array(np.concatenate(n)), pa.array(np.concatenate(before))], ["token", "key", "at", "before"])
 
-    return docs.select("text").mapInArrow(run, "token long, key long, at long")
+    return docs.select("text").mapInArrow(run, "token long, key long, at long, before long")
+
+
+def _common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Common elements that the prefixes of linked sets of n and m elements have."""
+    return np.maximum(1, np.minimum(n, m) // SPARE)
 
 
 def _may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
-    """Whether an element at places i and j (from 0) can be the first common one of linked sets of n and m elements."""
-    need = -(-t.numerator * (n + m) // (t.numerator + t.denominator))
+    """Whether an element at places i and j (from 0) can be among the first common ones of linked sets of n and m elements."""
+    need = -(-t.numerator * (n + m) // (t.numerator + t.denominator)) - _common(n, m) + 1
     return (t.denominator * np.minimum(n, m) >= t.numerator * np.maximum(n, m)) & (i <= n - need) & (j <= m - need)
 
 
 def _near(postings: DataFrame, t: Fraction) -> DataFrame:
-    """kind 0: candidate pairs (a, b) of neighbours in a list; kind 1: entries (a = token, b = class, at) of the longer lists; kind 2: (a = class, b = its entries in shared lists, at)."""
-    names = ["kind", "a", "b", "at"]
+    """kind 0: candidate pairs (a, b) of neighbours in a list, ``at`` = the common elements that they need << 32 | 1 << 31 if the list is long or its element in the hint | those seen here; kind 1: entries (a = token, b = class, at) of the longer lists; kind 2: (a = class, b = its entries in shared lists, at)."""
+    names = ["kind", "a", "b", "at", "before"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        held = [np.empty(0, np.int64)] * 5
         for batch in batches:
             c = len(held[0])
             tok = np.concatenate([held[0], batch.column(0).to_numpy()])
             key = np.concatenate([held[1], batch.column(1).to_numpy()])
             n = np.concatenate([held[2], batch.column(2).to_numpy()])
+            before = np.concatenate([held[4], batch.column(3).to_numpy()])
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
             new[:c] = True
-            tok, key, n = tok[new], key[new], n[new]
+            tok, key, n, before = tok[new], key[new], n[new], before[new]
             if not len(tok):
                 continue
             begins = np.ones(len(tok), bool)
@@ -212,15 +222,15 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             rank = np.arange(len(tok)) - start
             if c:  # the held rows go on with their list
                 rank[start == 0] += held[3][0]
-            found_a, found_b = [], []
+            found = []
             for d in range(1, NEAR + 1):
                 i = np.arange(max(c, d), len(tok))
                 i = i[(tok[i] == tok[i - d])]
                 i = i[_may_link(n[i] >> 32, n[i] & _LOW, n[i - d] >> 32, n[i - d] & _LOW, t)]
-                found_a.append(key[i])
-                found_b.append(key[i - d])
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                x, y = key[i], key[i - d]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), (_common(n[i] >> 32, n[i - d] >> 32) << 32) + (((rank[i] > NEAR) | (n[i] >> 31 & 1 > 0)).astype(np.int64) << 31)], 1))
+            pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
+            pairs[:, 2] += times
             # entries of longer lists: all rows from the one that goes beyond, and those before it
             long_ = rank > NEAR
             over = np.flatnonzero((rank == NEAR + 1) & (np.arange(len(tok)) >= c))
@@ -230,14 +240,14 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             # a list is shared from its second entry on, which counts for its first as well
             here = np.arange(len(tok)) >= c
             shared = np.concatenate([np.flatnonzero(here & (rank >= 1)), np.flatnonzero(here & (rank == 1)) - 1])
-            own, at, times = np.unique(key[shared], return_index=True, return_counts=True)
+            own, at, own_times = np.unique(key[shared], return_index=True, return_counts=True)
             kind = np.repeat(np.array([0, 1, 2], np.int8), [len(pairs), len(rows), len(own)])
-            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], times], [np.zeros(len(pairs), np.int64), n[rows], n[shared[at]]])
+            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], own_times], [pairs[:, 2], n[rows], n[shared[at]]], [np.zeros(len(pairs)), before[rows], np.zeros(len(own))])
             yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x).astype(np.int64)) for x in columns)], names)
             tail = np.arange(max(int(start[-1]), len(tok) - NEAR - 1), len(tok))
-            held = [tok[tail], key[tail], n[tail], rank[tail]]
+            held = [tok[tail], key[tail], n[tail], rank[tail], before[tail]]
 
-    return postings.repartition("token").sortWithinPartitions("token", "at", "key").mapInArrow(run, "kind byte, a long, b long, at long")
+    return postings.repartition("token").sortWithinPartitions("token", "at", "key").mapInArrow(run, "kind byte, a long, b long, at long, before long")
 
 
 def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
@@ -249,7 +259,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
     """
     names = ["c1", "c2", "c3", "role", "key", "comp"]
 
-    def cells(tok: int, key: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[tuple]:
+    def cells(tok: int, key: np.ndarray, at: np.ndarray, comp: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
         _, label, size = np.unique(comp, return_inverse=True, return_counts=True)
         if len(size) < 2:
             return
@@ -260,6 +270,8 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
             for i in outside:
                 fits = (label != label[i]) & _may_link(n, place, n[i], place[i], t)
                 fits &= (label == main) | (key > key[i])
+                if before[i]:  # a common hinted element before this one: its list, long or short, brings the pair
+                    fits &= before != before[i]
                 if fits.any():
                     found.append((int(key[i]), int(comp[i]), np.flatnonzero(fits)))
                     total += len(found[-1][2])
@@ -302,7 +314,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(m[:, i]) for i in range(6)], names)
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
+            cols = [batch.column(i).to_numpy() for i in range(5)]
             cut = np.flatnonzero(np.diff(cols[0])) + 1
             for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 if lo == hi:
@@ -465,28 +477,30 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     t = Fraction(threshold)
     seen = store.keep(profile(docs, k), "jaccard-profile")
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
-    hints = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HINTS).collect()
-    order = spark.sparkContext.broadcast(Order(np.array([x["a"] for x in hints], np.int64).view(wk.U), np.array([x["n"] for x in hints], np.int64)))
+    hints = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HINTS).toArrow()
+    order = spark.sparkContext.broadcast(Order(hints["a"].to_numpy().astype(np.int64).view(wk.U), hints["n"].to_numpy().astype(np.int64)))
 
     found = store.keep(_near(_postings(docs, order, k, t), t), "jaccard-lists")
     shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max(F.shiftright("at", 32)).alias("n"))
     alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive")
-    pairs = found.filter("kind = 0").select("a", "b").distinct()
+    # a pair that meets in short lists of unhinted elements only has all its common elements counted; long lists come again below
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.expr("sum(at & 2147483647)").alias("seen"), F.expr("max(at & 2147483648)").alias("long"), F.max(F.shiftright("at", 32)).alias("need"))
+    pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
     pairs = store.keep(pairs.select("a", "b"), "jaccard-pairs")
-    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at").join(alive, "key", "left_semi")
+    entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at", "before").join(alive, "key", "left_semi")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
     sets = store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
 
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), F.pmod("b", F.lit(4)).alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("b").alias("comp"))
+    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("b").alias("comp"))
     asking = others.select("c1", "c2", "c3").distinct().select("c1", "c2", "c3", zero.alias("role"), F.col("c2").alias("key"), F.col("c2").alias("comp"))
     links = store.keep(_search(others.unionByName(asking), sets, t), "jaccard-links")
 
     if not entries.isEmpty():
         known = components(links)
-        entries = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"))
+        entries = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
         cells = _apart(entries, t).distinct()
         links = store.keep(links.unionByName(_search(cells, sets, t)), "jaccard-links")
     known = components(links)
