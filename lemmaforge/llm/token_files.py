@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import store
 
 #: Distinct words in each of the two generations of a Python worker's cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
