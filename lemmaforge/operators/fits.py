@@ -143,7 +143,7 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
                     open_.add(key)
                 else:
                     current.pop(key, None)
-        return [Fit(cands[i], up, tuple(v[:-1]), float(v[-1]), n_rows[i]) for (i, up), v in sorted(current.items())]
+        return [Fit(cands[i], up, tuple(float(x) for x in v[:-1]), float(v[-1]), n_rows[i]) for (i, up), v in sorted(current.items())]
     finally:
         m.unpersist()
 
@@ -240,7 +240,7 @@ def subset_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str,
 def free_lp(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
     """The classic fit: free coefficients, kept as close fractions."""
     fits = fit(df, target, list(features), [hyp], [Candidate(0, tuple(range(len(features))))])
-    return _statements(fits, target, list(features), [hyp], 10**6, math.inf, math.inf, "linear_programming")
+    return repaired(df, _statements(fits, target, list(features), [hyp], 10**6, math.inf, math.inf, "linear_programming"), 10**6)
 
 
 def ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
@@ -362,3 +362,26 @@ def verified(df: DataFrame, statements: Sequence[Statement], tol: float = 1e-9)
     """Statements that hold, up to rounding, on every row of their hypothesis where they can be evaluated."""
     found = evaluate(df, list(statements))
     return [s for i, s in enumerate(statements) if found[i]["min_slack"] is not None and found[i]["min_slack"] >= -tol]
+
+
+def repaired(df: DataFrame, statements: Sequence[Statement], den: int = 20, most_intercept: float = math.inf, chunk: int = 100) -> list[Statement]:
+    """Linear bounds with the intercept moved to the nearest fraction, outwards, that makes them true for their rounded slopes."""
+    out = list(statements)
+    linear = [i for i, s in enumerate(statements) if isinstance(s.conclusion, Compare) and isinstance(s.conclusion.b, Linear) and s.conclusion.op in ("<=", ">=")]
+    for lo in range(0, len(linear), chunk):
+        part = linear[lo : lo + chunk]
+        cols = []
+        for i in part:
+            s = statements[i]
+            rest = nf.only_finite(s.conclusion.a.column() - Linear(0, s.conclusion.b.terms).column())
+            cols.append((F.max if s.conclusion.op == "<=" else F.min)(F.when(s.hypothesis.column(), rest)).alias(f"r{i}"))
+        row = df.agg(*cols).first()
+        for i in part:
+            s, r = statements[i], row[f"r{i}"]
+            if r is None:
+                continue
+            near = Fraction(r).limit_denominator(den)
+            b = near if abs(float(near) - r) <= 1e-9 else Fraction(math.ceil(r * den) if s.conclusion.op == "<=" else math.floor(r * den), den)
+            if abs(b) <= most_intercept:
+                out[i] = Statement(s.hypothesis, Compare(s.conclusion.op, s.conclusion.a, Linear(b, s.conclusion.b.terms, s.conclusion.b.lenient)), s.name, s.stage)
+    return out

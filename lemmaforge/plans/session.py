@@ -183,7 +183,7 @@ class Session:
             pool = self.pool(name, quick=default_quick if quick is None else quick, **use)
             for stage in wanted:
                 made = filters.unique(safely(f"{name}/{stage.value}", lambda s=stage, t=target, p=pool: self.run_stage(s, t, p), breakdown))
-                kept = fits.verified(self.df, made) if verify else made
+                kept = fits.verified(self.df, filters.unique(fits.repaired(self.df, made) if stage is not Stage.RATIO else made)) if verify else made
                 if stage not in (Stage.POLY, Stage.MIXED):
                     kept = [s for s, _ in filters.ranked(self.df, kept, "touch", self.min_touches)]
                 if self.use_morgan:
