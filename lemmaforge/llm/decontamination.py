@@ -99,8 +99,8 @@ class TestSuffixes:
             acc = np.zeros(len(rows), np.uint64)
             for j in range(lo, min(lo + self.per, self.window)):
                 acc = (acc << np.uint64(self.bits)) | rows[:, j].astype(np.uint64)
-            parts.append(acc.astype(">u8"))
-        return np.ascontiguousarray(np.stack(parts, 1)).view(f"S{8 * len(parts)}").ravel() if len(rows) else np.empty(0, f"S{8 * -(-self.window // self.per)}")
+            parts.append(acc)
+        return np.stack(parts, 1).astype(">u8").view(f"S{8 * len(parts)}").ravel() if len(rows) else np.empty(0, f"S{8 * -(-self.window // self.per)}")
 
     def search(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in ``h`` (rows begin at ``first``) where windows stand, and the windows."""
