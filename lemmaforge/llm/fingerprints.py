@@ -112,7 +112,9 @@ def edits(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     of its fingerprint, not its whole text.
     """
     order = following(docs)
-    every = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # a cast that changes nothing leaves an alias on one side only, and the exchange would not be shared
+    same = docs.schema["doc_id"].dataType.simpleString() == "bigint"
+    every = docs.select("doc_id" if same else F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     text = every.filter("doc_id IS NOT NULL")  # both joins below read one exchange of it
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("asker"), F.expr("cast(n_chars div 2 AS INT)").alias("need"))
     lent = text.join(asked, "doc_id").select(F.col("asker").alias("doc_id"), F.substring("text", F.lit(1), F.col("need")).alias("head"), hashes(winnow(packed(F.col("text"), k), w)).alias("next_hashes"), F.xxhash64("text").alias("tie"))
