@@ -76,29 +76,27 @@ def hits(docs: DataFrame, k: int = K) -> DataFrame:
     return met.select("row", "doc_id", "n_words", F.coalesce("p", F.lit(0)).cast("long").alias("p"), *[F.when(true, F.col(c)).alias(c) for c in ("template", "label", "base", "size", "q")])
 
 
-def spans(found: DataFrame, k: int = K) -> DataFrame:
-    """Merged spans of votes: row, template, label, base, size, first and last text word, votes, cover (0 to 1)."""
-    votes = found.filter("template IS NOT NULL").withColumn("diagonal", F.col("p") - F.col("q"))
-    lines = votes.groupBy("row", "template", "label", "base", "size", "diagonal").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("*").alias("votes"))
-    # neighbouring diagonals, in order of number: one document's lines of one template
+def _merged(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Votes by diagonal, and neighbouring diagonals of one template in one span: first and last text position, votes."""
+    one = [*keys, "template", "label", "base", "size"]
+    lines = found.withColumn("diagonal", F.col("p") - F.col("q")).groupBy(*one, "diagonal").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count("template").alias("votes"))
+    # in order of number: one document's lines of one template; base phrases have to stand as they are
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR_DIAGONALS)
     lines = lines.withColumn("span", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order))
-    merged = lines.groupBy("row", "template", "label", "base", "size", "span").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.sum("votes").alias("votes"))
+    return lines.groupBy(*one, "span").agg(F.min("low").alias("first"), F.max("high").alias("last"), F.sum("votes").alias("votes"))
+
+
+def spans(found: DataFrame, k: int = K) -> DataFrame:
+    """Merged spans of votes: row, template, label, base, size, first and last text word, votes, cover (0 to 1)."""
+    merged = _merged(found.filter("template IS NOT NULL"), ["row"])
     return merged.withColumn("last", F.col("last") + k - 1).withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("size")))
 
 
 def scan(docs: DataFrame, k: int = K, least_cover: float = LEAST_COVER) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    found = hits(docs, k)
     # votes and document rows meet per document, then per merged diagonal; one pass over the texts
-    votes = F.when(F.col("template").isNotNull(), F.struct("template", "label", "base", "size", "q", "p"))
-    lines = found.withColumn("diagonal", F.col("p") - F.col("q")).groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "diagonal")
-    lines = lines.agg(F.min("p").alias("low"), F.max("p").alias("high"), F.count(votes).alias("votes"))
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR_DIAGONALS)
-    lines = lines.withColumn("span", F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order))
-    merged = lines.groupBy("row", "doc_id", "n_words", "template", "label", "base", "size", "span").agg(F.min("low").alias("first"), F.sum("votes").alias("votes"))
+    merged = _merged(hits(docs, k), ["row", "doc_id", "n_words"])
     cover = F.least(F.lit(1.0), F.col("votes") / F.col("size"))
     full = F.col("base") & (F.col("votes") == F.col("size"))
     own = ~F.col("base") & (cover >= least_cover)
