@@ -247,7 +247,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             tail = np.arange(max(int(start[-1]), len(tok) - NEAR - 1), len(tok))
             held = [tok[tail], key[tail], n[tail], rank[tail], before[tail]]
 
-    return postings.repartition("token").sortWithinPartitions("token", "at", "key").mapInArrow(run, "kind byte, a long, b long, at long, before long")
+    return postings.repartition("token").sortWithinPartitions("token", F.shiftright("at", 32), "key").mapInArrow(run, "kind byte, a long, b long, at long, before long")
 
 
 def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
@@ -325,7 +325,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
                 held.append([x[lo:hi] for x in cols[1:]])
         yield from done()
 
-    return entries.repartition("token").sortWithinPartitions("token", "at", "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long")
+    return entries.repartition("token").sortWithinPartitions("token", F.shiftright("at", 32), "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long")
 
 
 def divide_skip(query: np.ndarray, others: list[np.ndarray], needs: list[int], mu: float = 0.0085) -> list[tuple[int, int]]:
