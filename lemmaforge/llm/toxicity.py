@@ -4,7 +4,10 @@ A disguised word is read as the output of a noisy channel: letters replaced by
 look-alike signs, split by spaces or marks, or repeated.  Its characters form a
 lattice of readings; Viterbi decoding under a character bigram model, counted
 over all documents, finds the likeliest words.  A token of letters alone,
-without a threefold letter, has a single reading and needs no search.
+without a threefold letter, has a single reading and needs no search.  The
+blanks and marks of a run of single characters are each dropped or read as a
+word edge, signs at a token's ends of it read both as letters and punctuation:
+every word of a reading near the likeliest one counts.
 
 The restored text is scored by the terms, whole words and word beginnings, that
 mark toxicity in labelled rows: a term's weight is its share of toxic rows,
@@ -46,13 +49,18 @@ BEGINNINGS = (4, 5, 6)
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
 EDGE = ".,;:!?%&*#|\"'()[]{}<>~`=_-/\\$^+"
-_SPACED = re.compile(r"(?<!\S)\w(?:[ ._*-]\w){2,}(?!\S)")
+#: A token of single letters or digits with marks between them.
+_SINGLE = re.compile(r"[^\W_](?:[\W_]+[^\W_])*")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats of reading a sign as a letter, dropping a mark, a sign, or a repeated letter.
 COST_LOOKALIKE, COST_MARK, COST_SIGN, COST_REPEAT = 1.0, 0.5, 5.0, 0.7
+#: Of reading a blank or mark within a spaced run or token as a word edge.
+COST_EDGE = 2.0
 #: Readings that list decoding keeps, and nats that they may lie below the best.
 LISTED, MARGIN = 6, 6.0
+#: Of a character that follows itself more often, further copies are dropped from every reading.
+COPIES = 6
 
 
 class CharModel:
@@ -61,56 +69,143 @@ class CharModel:
     def __init__(self, counts: np.ndarray):
         c = counts.reshape(27, 27).astype(float) + 0.5
         self.log = np.log(c / c.sum(axis=1, keepdims=True))
-        self.memo: dict[str, list[str]] = {}
+        self.rows = self.log.tolist()
+        #: Of ending a word; after its start or a letter outside a-z it costs nothing.
+        self.ends = [0.0, *self.log[1:, 0].tolist()]
+        self.memo: dict[str, set[str]] = {}
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind ``token``."""
-        return self.readings(token)[0]
+    def decode(self, run: str) -> str:
+        """The likeliest reading of ``run``, its words parted by blanks."""
+        return self._lattice(run)[1]
 
-    def readings(self, token: str) -> list[str]:
-        """The likeliest words behind ``token`` by list Viterbi, those within MARGIN nats of the best.
+    def readings(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> set[str]:
+        """Every word of a reading of ``run`` that lies within MARGIN nats of the likeliest one.
 
-        Letters outside a-z stay as they are and are model edges.
+        Without ``edges``, all is one word; ``at_edge`` is the cost of dropping a sign at an end of a token.
         """
-        if token in self.memo:
-            return self.memo[token]
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        # states: last letter (0 at the start or after a foreign letter) -> the best readings that end there
-        best: dict[int, dict[str, float]] = {0: {"": 0.0}}
-        before = ""
-        for c in token:
-            step: dict[int, dict[str, float]] = {}
-
-            def offer(state: int, score: float, reading: str, step: dict = step) -> None:
-                own = step.setdefault(state, {})
-                own[reading] = max(own.get(reading, score), score)
-
-            for s, lines in best.items():
-                for reading, score in lines.items():
-                    if c in _LETTERS:
-                        k = ord(c) - 96
-                        offer(k, score + self.log[s, k], reading + c)
-                        if c == before:
-                            offer(s, score - COST_REPEAT, reading)
-                    elif c in LOOKALIKES:
-                        for x in LOOKALIKES[c]:
-                            k = ord(x) - 96
-                            offer(k, score + self.log[s, k] - COST_LOOKALIKE, reading + x)
-                        offer(s, score - (COST_REPEAT if c == before else COST_SIGN), reading)
-                    elif c.isalpha():
-                        offer(0, score + self.log[s, 0], reading + c)
+        key = f"{run}\n{edges}{at_edge}"
+        if key not in self.memo:
+            if len(self.memo) > 100_000:
+                self.memo.clear()
+            self.memo[key] = self._lattice(run, edges, at_edge)[0]
+        return self.memo[key]
+
+    def _lattice(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> tuple[set[str], str]:
+        """Words within MARGIN nats, by list Viterbi ahead of exact scores from behind, and the likeliest reading.
+
+        States are last letters (0 at a word's start or after a letter outside a-z, which stays as it is).
+        """
+        log, ends = self.rows, self.ends
+        steps = _arcs(run, edges, at_edge)
+        ahead: list[dict[int, tuple[float, int, str]]] = [{0: (0.0, 0, "")}]
+        for arcs in steps:
+            step: dict[int, tuple[float, int, str]] = {}
+            for s, (score, _, _) in ahead[-1].items():
+                for emit, k, cost in arcs:
+                    if emit == "":
+                        if k and not s:
+                            continue
+                        to, x = s, score - cost
+                    elif k:
+                        to, x = k, score + log[s][k] - cost
+                    else:
+                        to, x = 0, score + ends[s] - cost
+                    if to not in step or x > step[to][0]:
+                        step[to] = (x, s, emit)
+            ahead.append(step)
+        behind: list[dict[int, float]] = [{s: ends[s] for s in ahead[-1]}]
+        for i in range(len(steps) - 1, -1, -1):
+            after, back = behind[-1], {}
+            for s in ahead[i]:
+                most = -1e300
+                for emit, k, cost in steps[i]:
+                    if emit == "":
+                        if k and not s:
+                            continue
+                        x = after[s] - cost
+                    elif k:
+                        x = after[k] + log[s][k] - cost
                     else:
-                        offer(s, score - COST_MARK, reading)
-            best = {s: dict(sorted(lines.items(), key=lambda x: (-x[1], x[0]))[:LISTED]) for s, lines in step.items()}
-            before = c
-        ends: dict[str, float] = {}
-        for s, lines in best.items():
-            for reading, score in lines.items():
-                ends[reading] = max(ends.get(reading, -1e300), score + self.log[s, 0])
-        ranked = sorted(ends.items(), key=lambda x: (-x[1], x[0]))
-        self.memo[token] = [r for r, score in ranked[:LISTED] if score >= ranked[0][1] - MARGIN]
-        return self.memo[token]
+                        x = after[0] + ends[s] - cost
+                    most = max(most, x)
+                back[s] = most
+            behind.append(back)
+        behind.reverse()
+        least = behind[0][0] - MARGIN - 1e-9
+        words: set[str] = set()
+        lines: dict[tuple[int, str], float] = {(0, ""): 0.0}
+        for arcs, after in zip(steps, behind[1:], strict=True):
+            step_: dict[tuple[int, str], float] = {}
+            for (s, part), score in lines.items():
+                for emit, k, cost in arcs:
+                    if emit == "":
+                        if k and not s:
+                            continue
+                        key, x = (s, part), score - cost
+                    elif k:
+                        key, x = (k, part + emit), score + log[s][k] - cost
+                    else:
+                        key, x = (0, "" if emit == " " else part + emit), score + ends[s] - cost
+                    if x + after[key[0]] < least:
+                        continue
+                    if emit == " " and part:
+                        words.add(part)
+                    if x > step_.get(key, -1e300):
+                        step_[key] = x
+            if len(step_) > LISTED:
+                kept: Counter[int] = Counter()
+                lines = {}
+                for key, x in sorted(step_.items(), key=lambda y: (-y[1], y[0])):
+                    kept[key[0]] += 1
+                    if kept[key[0]] <= LISTED:
+                        lines[key] = x
+            else:
+                lines = step_
+        words.update(part for s, part in lines if part)
+        s = max(ahead[-1], key=lambda y: (ahead[-1][y][0] + ends[y], -y))
+        out = []
+        for step in reversed(ahead[1:]):
+            _, s, emit = step[s]
+            out.append(emit)
+        return words, " ".join("".join(reversed(out)).split())
+
+
+def _arcs(run: str, edges: bool, at_edge: float) -> list[list[tuple[str, int, float]]]:
+    """Per character (emitted text, next state, cost): no text drops the character, a blank ends the word.
+
+    A drop with state 1 needs a letter before it.  Neighbouring blanks and marks are one.
+    """
+    blank = [("", 0, COST_MARK), (" ", 0, COST_EDGE)] if edges else [("", 0, COST_MARK)]
+    out: list[list[tuple[str, int, float]]] = []
+    before, copies, parted = "", 0, False
+    for at, token in enumerate(run.split()):
+        lead, trail = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
+        if at and not parted:
+            out.append(blank)
+            parted = True
+        for i, c in enumerate(token):
+            if c not in LOOKALIKES and not c.isalpha():
+                if not parted:
+                    out.append(blank)
+                    parted = True
+                continue
+            copies = copies + 1 if c == before else 1
+            before, parted = c, False
+            if copies > COPIES:
+                continue
+            if c in _LETTERS:
+                arcs = [(c, ord(c) - 96, 0.0)]
+            elif c in LOOKALIKES:
+                arcs = [(x, ord(x) - 96, COST_LOOKALIKE) for x in LOOKALIKES[c]]
+                arcs.append(("", 0, at_edge if c in EDGE and (i < lead or i >= trail) else COST_SIGN))
+                if edges and c in EDGE:
+                    arcs.append((" ", 0, COST_EDGE))
+            else:
+                arcs = [(c, 0, 0.0)]
+            if copies > 1:
+                arcs.append(("", 1, COST_REPEAT))
+            out.append(arcs)
+    return out
 
 
 def char_model(docs: DataFrame) -> CharModel:
@@ -134,21 +229,41 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel(counts)
 
 
+def spaced(tokens: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of the runs of two tokens or more that are single characters, three at least, a letter among them."""
+    start, last = -1, -2
+    for i in [*(i for i, x in enumerate(tokens) if (len(x) == 1 or not x.isalnum()) and _single(x)), len(tokens) + 1]:
+        if i != last + 1:
+            if last > start >= 0:
+                run = "".join(tokens[start : last + 1])
+                if sum(c.isalnum() or c in LOOKALIKES for c in run) >= 3 and any(c.isalpha() for c in run):
+                    yield start, last + 1
+            start = i
+        last = i
+
+
+def _single(token: str) -> bool:
+    """Whether no two letters or digits of ``token`` stand side by side."""
+    core = token.strip(EDGE)
+    return len(core) < 2 or (not core.isalnum() and _SINGLE.fullmatch(core) is not None)
+
+
 def restored(text: str, model: CharModel) -> set[str]:
     """The distinct words of the restored text."""
-    text = text.lower()
-    out = set()
-    triple = _TRIPLE.search(text) is not None
-    for token in set(text.split()):
+    tokens = text.lower().split()
+    out: set[str] = set()
+    for token in set(tokens):
         word = token.strip(EDGE)
-        if word.isalpha() and not (triple and _TRIPLE.search(word)):
+        if word.isalpha() and not _TRIPLE.search(word):
             out.add(word)
             if token[0] in "@$" and token[1].isalpha():  # a sign for the first letter
                 _read(token, token[0] + word, model, out)
         else:
             _read(token, word, model, out)
-    for found in _SPACED.finditer(text):
-        out.update(model.readings(found[0]))
+    for i, j in spaced(tokens):
+        run = " ".join(tokens[i:j])
+        for edges in (True, False):
+            out |= model.readings(run, edges) | model.readings(run, edges, COST_SIGN)
     return out
 
 
@@ -156,7 +271,7 @@ def _read(token: str, word: str, model: CharModel, out: set[str]) -> None:
     """Readings of one token that is not plain letters: as a disguised word, and its plain parts."""
     for x in {word, token.strip(".,;:?%&*#\"'")}:
         if len(x) <= 40 and any(c.isalpha() for c in x):
-            out.update(model.readings(x))
+            out.update(model.readings(x, edges=False, at_edge=COST_SIGN))
     for part in re.split(r"[^\w@$]+", word):
         if part.isalpha():
             out.add(part)
@@ -164,15 +279,25 @@ def _read(token: str, word: str, model: CharModel, out: set[str]) -> None:
 
 def restore(text: str, model: CharModel) -> str:
     """The text with its disguised words written out."""
-    text = _SPACED.sub(lambda m: model.decode(m[0].lower()), text)
-
-    def one(m: re.Match) -> str:
-        word = m[0].strip(EDGE)
-        if not word or (word.isalpha() and not _TRIPLE.search(word)) or not any(c.isalpha() for c in word) or len(word) > 40:
-            return m[0]
-        return m[0].replace(word, model.decode(word.lower()))
-
-    return re.sub(r"\S+", one, text)
+    found = list(re.finditer(r"\S+", text))
+    tokens = [m[0].lower() for m in found]
+    runs = dict(spaced(tokens))
+    out, at, i = [], 0, 0
+    while i < len(found):
+        j = runs.get(i, i + 1)
+        token = tokens[i]
+        word = token.strip(EDGE)
+        out.append(text[at : found[i].start()])
+        if j > i + 1:
+            out.append(model.decode(" ".join(tokens[i:j])))
+        elif not any(c.isalpha() for c in word) or (word.isalpha() and not _TRIPLE.search(word)):
+            out.append(found[i][0])
+        else:
+            read = model.decode(word)
+            out.append(found[i][0] if read == word else found[i][0].lower().replace(word, read, 1))
+        at = found[j - 1].end()
+        i = j
+    return "".join(out) + text[at:]
 
 
 def terms_of(words: Iterable[str]) -> set[str]:

@@ -196,6 +196,15 @@ def test_toxicity(spark, empty):
     assert toxicity.scores(empty, toxicity.fit(empty, labels)).count() == 0
 
 
+def test_toxicity_spaced(spark):
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs.selectExpr("doc_id", "concat('a ', text) AS text"), labels)
+    for text in ("such a m o r o n here", "(m o r o n)", "an (i d i o t)", "i d i o t.", "i  d  i  o  t", "$ t u p i d", "a s t u p i d m o r o n"):
+        assert model.score(text) >= 0.5, text
+    assert {"idiot", "moron"} <= toxicity.restored("i d i o t m o r o n", model.chars)
+    assert model.score("x y z a b c") < 0.5 and model.score("a") == pytest.approx(model.base)
+
+
 def test_quality(spark, empty):
     docs, labels = labelled(spark)
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
