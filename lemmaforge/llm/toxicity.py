@@ -3,11 +3,13 @@
 A disguised word is read as the output of a noisy channel: letters replaced by
 look-alike signs, split by spaces or marks, or repeated.  Its characters form a
 lattice of readings; Viterbi decoding under a character bigram model, counted
-over all documents, finds the likeliest words.  A token of letters alone,
-without a threefold letter, has a single reading and needs no search.  The
-blanks and marks of a run of single characters are each dropped or read as a
-word edge, signs at a token's ends of it read both as letters and punctuation:
-every word of a reading near the likeliest one counts.
+over all documents, finds the likeliest words.  Every token with a doubled
+letter, a digit or a sign is decoded; one of other letters alone has a single
+reading and needs no search.  Signs at a token's ends are read both as letters
+and as punctuation.  Marks within a token, and the blanks of a run of single
+characters, are each dropped or read as a word edge: every word of a reading
+near the likeliest one counts.  Parts between the marks of a token are decoded
+by themselves as well, whatever the token's length.
 
 The restored text is scored by the terms, whole words and word beginnings, that
 mark toxicity in labelled rows: a term's weight is its share of toxic rows,
@@ -49,9 +51,14 @@ BEGINNINGS = (4, 5, 6)
 #: Letters that a sign may stand for.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c"}
 EDGE = ".,;:!?%&*#|\"'()[]{}<>~`=_-/\\$^+"
+#: Those of them that stand for no letter.
+MARKS = "".join(x for x in EDGE if x not in LOOKALIKES)
 #: A token of single letters or digits with marks between them.
 _SINGLE = re.compile(r"[^\W_](?:[\W_]+[^\W_])*")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_PARTED = re.compile("[^\\w" + re.escape("".join(LOOKALIKES)) + "]+|_+")
+_SIGNS = re.compile(r"[^\w@$]+")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_RUNS = re.compile(r"(.)\1*")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats of reading a sign as a letter, dropping a mark, a sign, or a repeated letter.
 COST_LOOKALIKE, COST_MARK, COST_SIGN, COST_REPEAT = 1.0, 0.5, 5.0, 0.7
@@ -72,23 +79,52 @@ class CharModel:
         self.rows = self.log.tolist()
         #: Of ending a word; after its start or a letter outside a-z it costs nothing.
         self.ends = [0.0, *self.log[1:, 0].tolist()]
-        self.memo: dict[str, set[str]] = {}
+        self.memo: dict[str, tuple[str, ...]] = {}
 
     def decode(self, run: str) -> str:
         """The likeliest reading of ``run``, its words parted by blanks."""
         return self._lattice(run)[1]
 
+    def words(self, token: str) -> tuple[str, ...]:
+        """The words that may stand behind one blank-free token: as it is, as disguised, and those of its parts."""
+        if token in self.memo:
+            return self.memo[token]
+        if len(self.memo) > 100_000:
+            self.memo.clear()
+        if token.isalpha():
+            out = {token} | self._thinned(token)
+        else:
+            parts = [x for x in _PARTED.split(token) if x]
+            out = self.readings(token, at_edge=COST_SIGN) if len(parts) > 1 else set()
+            for x in _kept(token):
+                out |= {x} | self._thinned(x) if x.isalpha() else self.readings(x, edges=False, at_edge=COST_SIGN)
+            for part in {*parts, *(y for x in parts for y in _SIGNS.split(x) if y)}:
+                for x in _kept(part) if len(parts) > 1 else (part,):
+                    out |= {x} | self._thinned(x) if x.isalpha() else self.readings(x, edges=False, at_edge=COST_SIGN)
+        self.memo[token] = tuple(out)
+        return self.memo[token]
+
+    def _thinned(self, word: str) -> set[str]:
+        """``readings`` of plain letters: each run of one letter gets shorter, whatever the others do."""
+        lines = {"": 0.0}
+        for run in _RUNS.finditer(word):
+            c, n = run[0][0], min(len(run[0]), COPIES)
+            again = self.rows[ord(c) - 96][ord(c) - 96] if c in _LETTERS else 0.0
+            ways = [(c * m, (m - 1) * again - (n - m) * COST_REPEAT) for m in range(1, n + 1)]
+            if n == 1:
+                lines = {x + c: score for x, score in lines.items()}
+                continue
+            most = max(score for _, score in ways)
+            step = {x + way: score + own - most for x, score in lines.items() for way, own in ways if score + own - most >= -MARGIN}
+            lines = dict(sorted(step.items(), key=lambda x: (-x[1], x[0]))[:LISTED])
+        return set(lines)
+
     def readings(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> set[str]:
         """Every word of a reading of ``run`` that lies within MARGIN nats of the likeliest one.
 
         Without ``edges``, all is one word; ``at_edge`` is the cost of dropping a sign at an end of a token.
         """
-        key = f"{run}\n{edges}{at_edge}"
-        if key not in self.memo:
-            if len(self.memo) > 100_000:
-                self.memo.clear()
-            self.memo[key] = self._lattice(run, edges, at_edge)[0]
-        return self.memo[key]
+        return self._lattice(run, edges, at_edge)[0]
 
     def _lattice(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> tuple[set[str], str]:
         """Words within MARGIN nats, by list Viterbi ahead of exact scores from behind, and the likeliest reading.
@@ -170,6 +206,15 @@ class CharModel:
         return words, " ".join("".join(reversed(out)).split())
 
 
+def _kept(token: str) -> set[str]:
+    """``token`` without its edge signs, with the innermost ones and with all."""
+    core = token.strip(EDGE)
+    if not core:
+        return {token}
+    lead, trail = token.split(core, 1)
+    return {x + core + y for x in ("", lead[-1:], lead) for y in ("", trail[:1], trail)}
+
+
 def _arcs(run: str, edges: bool, at_edge: float) -> list[list[tuple[str, int, float]]]:
     """Per character (emitted text, next state, cost): no text drops the character, a blank ends the word.
 
@@ -252,14 +297,11 @@ def restored(text: str, model: CharModel) -> set[str]:
     """The distinct words of the restored text."""
     tokens = text.lower().split()
     out: set[str] = set()
-    for token in set(tokens):
-        word = token.strip(EDGE)
-        if word.isalpha() and not _TRIPLE.search(word):
-            out.add(word)
-            if token[0] in "@$" and token[1].isalpha():  # a sign for the first letter
-                _read(token, token[0] + word, model, out)
-        else:
-            _read(token, word, model, out)
+    for token in {x.strip(MARKS) for x in set(tokens)}:
+        if token.isalpha() and not _DOUBLE.search(token):
+            out.add(token)
+        elif token:
+            out.update(model.words(token))
     for i, j in spaced(tokens):
         run = " ".join(tokens[i:j])
         for edges in (True, False):
@@ -267,16 +309,6 @@ def restored(text: str, model: CharModel) -> set[str]:
     return out
 
 
-def _read(token: str, word: str, model: CharModel, out: set[str]) -> None:
-    """Readings of one token that is not plain letters: as a disguised word, and its plain parts."""
-    for x in {word, token.strip(".,;:?%&*#\"'")}:
-        if len(x) <= 40 and any(c.isalpha() for c in x):
-            out.update(model.readings(x, edges=False, at_edge=COST_SIGN))
-    for part in re.split(r"[^\w@$]+", word):
-        if part.isalpha():
-            out.add(part)
-
-
 def restore(text: str, model: CharModel) -> str:
     """The text with its disguised words written out."""
     found = list(re.finditer(r"\S+", text))
@@ -290,7 +322,7 @@ def restore(text: str, model: CharModel) -> str:
         out.append(text[at : found[i].start()])
         if j > i + 1:
             out.append(model.decode(" ".join(tokens[i:j])))
-        elif not any(c.isalpha() for c in word) or (word.isalpha() and not _TRIPLE.search(word)):
+        elif not any(c.isalpha() for c in word) or (word.isalpha() and not _DOUBLE.search(word)):
             out.append(found[i][0])
         else:
             read = model.decode(word)

@@ -205,6 +205,16 @@ def test_toxicity_spaced(spark):
     assert model.score("x y z a b c") < 0.5 and model.score("a") == pytest.approx(model.base)
 
 
+def test_toxicity_decodes_every_token(spark):
+    model = toxicity.fit(*labelled(spark))
+    long = "..." + "_" * 30 + "/theofandwithfrom/1d10t/" + "." * 10
+    for text in ("stuupid", "iiddiioott", "!diot", "(!diot)", "m0r0n!", long, "i" * 30 + "d" * 30 + "iot", "theof|1d10t|andwith", "theofandwith,/stuupid/" * 3):
+        assert model.score(text) >= 0.5, text
+    for text, word in (("as$", "ass"), ("(lown", "clown"), ("|oser", "loser")):
+        assert word in toxicity.restored(text, toxicity.CharModel(np.ones(729))), text
+    assert model.score("theof andwith!! (heronanly) 2024") < 0.5
+
+
 def test_quality(spark, empty):
     docs, labels = labelled(spark)
     truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
