@@ -8,10 +8,14 @@ id, so one conversation may hold any share of the rows.
 
 Order: a result belongs behind its call whatever its turn says.  Each message
 gets a place (``after``, ``step``, ``turn``): a message that links to nothing
-has its own turn and step 0, a result the turn of its call, or its own if later,
-and step 1.  Sorting a conversation by place is a topological order of calls
-and results that keeps the turns' order otherwise; no task needs to hold a
-conversation for it.
+has its own turn and step 0, a result its own turn and step 1 if that is later
+than ``after`` of its call, or else its call's ``after`` and the next step.  A
+result that makes calls hands its place on to their results; places go along
+such chains in rounds, one for each link, over the chained calls alone.  Sorting
+a conversation by place is a topological order of calls and results that keeps
+the turns' order otherwise; no task needs to hold a conversation for it.
+Messages that are results of each other's calls have no such order: they are
+marked (``cycle``), and each stands behind the turn of its call.
 
 Arguments are checked against the tools' schemas: required ones present, none
 unknown, types as declared.  ``problems`` lists what is wrong.
@@ -31,13 +35,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import store
+
 SCHEMA_COLUMNS = "tool string, param string, type string, required boolean"
 _KINDS = {"string": "^STRING", "number": "^(BIGINT|DOUBLE|DECIMAL|FLOAT)", "integer": "^BIGINT", "boolean": "^BOOLEAN", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID"}
 
 
 def _parsed(text: Column) -> Column:
     """Calls and result id of a text, null where it is none."""
-    object_ = F.when(F.ltrim(text).startswith("{"), F.try_parse_json(text))
+    object_ = F.when(text.rlike(r"^[ \t\n\r]*\{"), F.try_parse_json(text))
     return object_
 
 
@@ -75,6 +81,46 @@ def checked_calls(rows: DataFrame, schemas: DataFrame | None = None) -> DataFram
     return calls.withColumn("problem", problem).drop("params")
 
 
+def chained_places(rows: DataFrame, by_id: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """Places (conv_id, result_of, call_after, call_step) of the calls that results make, and messages in a cycle.
+
+    None where no linked result makes calls; other calls have their own turn and step 0.
+    Of several such messages that make one call at its first turn, the last place counts.
+    """
+    made = rows.filter("calls IS NOT NULL AND result_of IS NOT NULL").select("conv_id", "turn", F.col("result_of").alias("parent"), F.explode("calls.id").alias("id")).filter("id IS NOT NULL").distinct()
+    at = by_id.select("conv_id", F.col("result_of").alias("id"), F.col("linked_turn").alias("turn"))
+    links = made.join(at, ["conv_id", "id", "turn"]).join(at.select("conv_id", F.col("id").alias("parent"), F.col("turn").alias("parent_turn")), ["conv_id", "parent"])
+    links = store.keep(links, "chat-links")
+    if links.isEmpty():
+        return None
+    inner = links.select("conv_id", F.col("id").alias("parent"), F.lit(True).alias("inner")).distinct()
+    first = F.when(F.col("inner").isNull(), F.struct(F.col("parent_turn").alias("after"), F.lit(0).alias("step")))
+    links = store.keep(links.join(inner, ["conv_id", "parent"], "left").withColumn("place", first).drop("inner"), "chat-open")
+    settled, cycles = [], []
+    while not links.isEmpty():
+        after, step = F.col("place.after"), F.col("place.step")
+        own = F.struct(F.greatest("turn", after).alias("after"), F.when(F.col("turn") > after, 1).otherwise(step + 1).alias("step"))
+        ready = store.keep(links.withColumn("own", own).groupBy("conv_id", "id").agg(F.max("own").alias("own"), F.count_if(F.col("place").isNull()).alias("waiting")).filter("waiting = 0").select("conv_id", "id", "own"), "chat-places")
+        if ready.isEmpty():
+            ring, n, before = store.keep(links.filter("place IS NULL"), "chat-cycle"), -1, -2
+            while n != before:
+                ring = store.keep(ring.join(ring.select("conv_id", F.col("parent").alias("id")).distinct(), ["conv_id", "id"], "left_semi"), "chat-cycle")
+                before, n = n, ring.count()
+            cycles.append(ring.select("conv_id", "turn", F.col("parent").alias("result_of")))
+            behind = F.struct(F.greatest("turn", "parent_turn").alias("after"), F.lit(1).alias("step"))
+            ready = store.keep(ring.withColumn("own", behind).groupBy("conv_id", "id").agg(F.max("own").alias("own")), "chat-places")
+        settled.append(ready)
+        links = links.join(ready.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
+        links = links.join(ready.select("conv_id", F.col("id").alias("parent"), "own"), ["conv_id", "parent"], "left")
+        links = store.keep(links.withColumn("place", F.coalesce("place", "own")).drop("own"), "chat-open")
+    places, cycle = settled[0], links.select("conv_id", "turn", F.col("parent").alias("result_of"))
+    for x in settled[1:]:
+        places = places.unionByName(x)
+    for x in cycles:
+        cycle = cycle.unionByName(x)
+    return places.select("conv_id", F.col("id").alias("result_of"), F.col("own.after").alias("call_after"), F.col("own.step").alias("call_step")), cycle.distinct().withColumn("cycle", F.lit(True))
+
+
 def format_messages(conversations: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
     """Per message: conv_id, turn, role, after, step, linked_turn, n_calls, problems, json."""
     rows = messages(conversations)
@@ -85,11 +131,17 @@ def format_messages(conversations: DataFrame, schemas: DataFrame | None = None)
     said = F.concat_ws("; ", F.when(F.col("id").isNull(), F.lit("no id")), F.when(F.col("times") > 1, F.concat(F.lit("repeated id "), F.col("id"))), "problem")
     own = own.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_set(F.when(said != "", said))), "; ").alias("call_problems"))
 
-    plain = rows.filter("result_of IS NULL AND calls IS NULL").withColumns({"linked_turn": F.lit(None).cast("long"), "call_problems": F.lit("")})
+    none = {"call_after": F.lit(None).cast("long"), "call_step": F.lit(None).cast("int"), "cycle": F.lit(None).cast("boolean")}
+    plain = rows.filter("result_of IS NULL AND calls IS NULL").withColumns({"linked_turn": F.lit(None).cast("long"), "call_problems": F.lit("")} | none)
     tool = rows.filter("result_of IS NOT NULL OR calls IS NOT NULL").join(by_id.drop("times"), ["conv_id", "result_of"], "left").join(own, ["conv_id", "turn"], "left")
+    chained = chained_places(rows, by_id)
+    tool = tool.withColumns(none) if chained is None else tool.join(chained[0], ["conv_id", "result_of"], "left").join(chained[1], ["conv_id", "turn", "result_of"], "left")
     every = plain.unionByName(tool)
     orphan = F.when(F.col("result_of").isNotNull() & F.col("linked_turn").isNull(), F.lit("no call"))
     linked = F.col("linked_turn").isNotNull()
+    in_cycle = F.col("cycle").isNotNull()
+    call_after = F.when(in_cycle, F.col("linked_turn")).otherwise(F.coalesce("call_after", "linked_turn"))
+    call_step = F.when(in_cycle | (F.col("turn") > call_after), 0).otherwise(F.coalesce("call_step", F.lit(0)))
     ready = F.struct(
         "content",
         "role",
@@ -101,10 +153,10 @@ def format_messages(conversations: DataFrame, schemas: DataFrame | None = None)
         "conv_id",
         "turn",
         "role",
-        F.greatest("turn", "linked_turn").alias("after"),
-        F.when(linked, 1).otherwise(0).alias("step"),
+        F.greatest("turn", call_after).alias("after"),
+        F.when(linked, call_step + 1).otherwise(0).alias("step"),
         "linked_turn",
         F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"),
-        F.concat_ws("; ", F.when(F.col("call_problems") != "", F.col("call_problems")), orphan).alias("problems"),
+        F.concat_ws("; ", F.when(F.col("call_problems") != "", F.col("call_problems")), orphan, F.when(in_cycle, F.lit("cycle"))).alias("problems"),
         F.to_json(ready).alias("json"),
     )

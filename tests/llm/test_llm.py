@@ -315,6 +315,23 @@ def test_chat(spark):
     assert chat.format_messages(df.limit(0)).count() == 0
 
 
+def test_chat_chains(spark):
+    def message(of, *ids):
+        return json.dumps({"tool_call_id": of, "tool_calls": [{"id": i, "name": "search", "arguments": {"query": "x"}} for i in ids]} if of else {"tool_calls": [{"id": i, "name": "search", "arguments": {"query": "x"}} for i in ids]})
+
+    rows = [(1, 7, message(None, "x")), (1, 5, message("x", "y")), (1, 6, message("y", "z")), (1, 2, message("z")), (1, 9, message("y", "w")), (1, 3, message("w")), (1, 8, "plain")]
+    rows += [(2, 4, message("b", "a")), (2, 3, message("a", "b", "c")), (2, 1, message("c", "d")), (2, 0, message("d")), (2, 6, message("s", "s"))]
+    rows += [(3, 1, message(None, "x")), (3, 2, '\n\t\r {"tool_call_id":"x","content":"late"}')]
+    df = spark.createDataFrame([(c, t, "tool", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    out = chat.format_messages(df).collect()
+    place = {(r["conv_id"], r["turn"]): (r["after"], r["step"]) for r in out}
+    assert [place[1, t] for t in (7, 5, 6, 2, 9, 3, 8)] == [(7, 0), (7, 1), (7, 2), (7, 3), (9, 1), (9, 2), (8, 0)]
+    assert {(r["conv_id"], r["turn"]) for r in out if "cycle" in r["problems"]} == {(2, 4), (2, 3), (2, 6)} and len(out) == len(rows)
+    assert place[2, 3] < place[2, 1] < place[2, 0]
+    late = next(r for r in out if (r["conv_id"], r["turn"]) == (3, 2))
+    assert (late["linked_turn"], late["problems"], json.loads(late["json"])["content"]) == (1, "", "late")
+
+
 def test_token_output(spark, docs, empty, tmp_path):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
