@@ -380,15 +380,15 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], needs: list[int], m
     return out
 
 
-def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """Links (a, b) found in the cells, a spanning forest of them where a cell has several queries."""
+def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False) -> DataFrame:
+    """Links (a, b, overlap) found in the cells: ``every`` one, or a spanning forest of them where a cell has several queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: tuple | None = None
         queries: list[tuple[int, np.ndarray]] = []
         pending: list[tuple[int, np.ndarray]] = []
         parent: dict[int, int] = {}
-        links: list[tuple[int, int]] = []
+        links: list[tuple[int, int, int]] = []
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -396,15 +396,20 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                 x = parent[x]
             return x
 
+        def batch_of() -> pa.RecordBatch:
+            m = np.array(links, np.int64)
+            links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(m[:, i]) for i in range(3)], ["a", "b", "overlap"])
+
         def work() -> None:
             for own, q in queries:
-                kept = [(key, a) for key, a in pending if key != own and t.denominator * min(len(a), len(q)) >= t.numerator * max(len(a), len(q)) and root(key) != root(own)]
+                kept = [(key, a) for key, a in pending if key != own and t.denominator * min(len(a), len(q)) >= t.numerator * max(len(a), len(q)) and (every or root(key) != root(own))]
                 needs = [least_overlap(len(q), len(a), t) for _, a in kept]
-                for i, _ in divide_skip(q, [a for _, a in kept], needs):
+                for i, overlap in divide_skip(q, [a for _, a in kept], needs):
                     other = kept[i][0]
-                    if root(own) != root(other):
+                    if every or root(own) != root(other):
                         parent[root(own)] = root(other)
-                        links.append((min(own, other), max(own, other)))
+                        links.append((min(own, other), max(own, other), overlap))
             pending.clear()
 
         for batch in batches:
@@ -427,16 +432,13 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
                     if len(pending) == BLOCK:
                         work()
             if links:
-                m = np.array(links, np.int64)
-                links.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1])], ["a", "b"])
+                yield batch_of()
         work()
         if links:
-            m = np.array(links, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(m[:, 0]), pa.array(m[:, 1])], ["a", "b"])
+            yield batch_of()
 
     filled = cells.join(sets, "key").select("c1", "c2", "c3", "role", "key", "comp", "tokens")
-    return filled.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "role", "key").mapInArrow(run, "a long, b long")
+    return filled.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "role", "key").mapInArrow(run, "a long, b long, overlap long")
 
 
 def _needed_sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
@@ -471,10 +473,9 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, tokens array<long>").groupBy("key").agg(F.any_value("tokens").alias("tokens"))
 
 
-def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (the least id that links lead to)."""
+def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b), the longer lists' entries, and the sets of both."""
     spark = docs.sparkSession
-    t = Fraction(threshold)
     seen = store.keep(profile(docs, k), "jaccard-profile")
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
     hints = seen.filter("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(HINTS).toArrow()
@@ -491,18 +492,57 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     pairs = store.keep(pairs.select("a", "b"), "jaccard-pairs")
     entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at", "before").join(alive, "key", "left_semi")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
-    sets = store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
+    return members, pairs, entries, store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
 
+
+def _of_pairs(pairs: DataFrame) -> DataFrame:
+    """Cells of pairs: a class asks all that it is paired with."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("b").alias("comp"))
     asking = others.select("c1", "c2", "c3").distinct().select("c1", "c2", "c3", zero.alias("role"), F.col("c2").alias("key"), F.col("c2").alias("comp"))
-    links = store.keep(_search(others.unionByName(asking), sets, t), "jaccard-links")
+    return others.unionByName(asking)
+
+
+def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Every linked pair of classes (a < b, overlap = common shingles), and membership (doc_id, key, n_shingles) of every row.
+
+    Rows of one class link with each other as well; the pairs stand for all
+    links between different sets, so their number may grow with the square of
+    a group's classes.  Rows without shingles have no key.
+    """
+    t = Fraction(threshold)
+    members, pairs, entries, sets = _candidates(docs, k, t)
+    found = _search(_of_pairs(pairs), sets, t, every=True)
+    # each class its own component: no pair of a longer list is left out
+    cells = _apart(entries.select("token", "key", "at", F.col("key").alias("comp"), "before"), t).distinct()
+    found = found.unionByName(_search(cells, sets, t, every=True))
+    return store.keep(found.distinct(), "jaccard-every-link"), members
+
+
+def link_counts(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, n_links (the other rows that it links with)."""
+    pairs, members = links(docs, k, threshold)
+    size = members.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("rows"))
+    both = pairs.select(F.col("a").alias("of"), F.col("b").alias("key")).unionByName(pairs.select(F.col("b").alias("of"), F.col("a").alias("key")))
+    beyond = both.join(size, "key").groupBy(F.col("of").alias("key")).agg(F.sum("rows").alias("beyond"))
+    size = size.join(beyond, "key", "left").select("key", (F.col("rows") - 1 + F.coalesce("beyond", F.lit(0))).alias("n_links"))
+    return members.join(size, "key", "left").select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (the least id that links lead to).
+
+    Components need a spanning forest of the links only; ``links`` has all of them.
+    """
+    t = Fraction(threshold)
+    members, pairs, entries, sets = _candidates(docs, k, t)
+    links = store.keep(_search(_of_pairs(pairs), sets, t).select("a", "b"), "jaccard-links")
 
     if not entries.isEmpty():
         known = components(links)
         entries = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
         cells = _apart(entries, t).distinct()
-        links = store.keep(links.unionByName(_search(cells, sets, t)), "jaccard-links")
+        links = store.keep(links.unionByName(_search(cells, sets, t).select("a", "b")), "jaccard-links")
     known = components(links)
 
     classes = members.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))

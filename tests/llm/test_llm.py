@@ -110,6 +110,30 @@ def test_long_lists(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()} == {i: expected.get(i, i) for i in range(90)}
 
 
+def test_every_link(spark, docs, empty):
+    """Pairs, overlaps and link counts of groups, copies and outsiders against brute force."""
+    rng = random.Random(5)
+    texts = {}
+    for i in range(130):
+        w = [f"g{i % 2}_{j}" for j in range(100)]
+        for _ in range(rng.choice([0, 1, 2, 3, 5])):
+            w[rng.randrange(100)] = f"u{i}_{rng.random()}"
+        texts[i] = " ".join(w)
+    for rows, df in ((texts, spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)), ({r[0]: r[1] for r in corpus()}, docs)):
+        sets = {i: shingles(t) for i, t in rows.items()}
+        expected = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+        pairs, members = jaccard_join.links(df)
+        of = {}
+        for r in members.collect():
+            of.setdefault(r["key"], []).append(r["doc_id"])
+        of.pop(None, None)
+        found = {(min(x, y), max(x, y)): r["overlap"] for r in pairs.collect() for x in of[r["a"]] for y in of[r["b"]]}
+        assert found == {p: n for p, n in expected.items() if sets[p[0]] != sets[p[1]]} and found
+        counts = {r["doc_id"]: (r["n_shingles"], r["n_links"]) for r in jaccard_join.link_counts(df).collect()}
+        assert counts == {i: (len(sets[i]), sum(i in p for p in expected)) for i in sets}
+    assert jaccard_join.link_counts(empty).count() == 0
+
+
 def test_divide_skip():
     rng = np.random.default_rng(0)
     for _ in range(50):
