@@ -1,13 +1,13 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-A text is cut into tokens: runs of up to 12 code points that are not blank,
-with the blanks behind them left out, so that texts without blanks have tokens
-as well.  Every run of k tokens has a hash; of every window of w consecutive
+A text is cut into tokens: runs of up to 12 code points that are not blank, and
+the single code points of longer runs, so that texts without blanks have tokens
+that do not depend on where a run begins.  Every run of k tokens has a hash; of every window of w consecutive
 hashes the least is chosen, of equal ones the rightmost.  The chosen hashes
 with their positions are the fingerprint.
 
 Guarantees: any run of w + k - 1 tokens that two texts share gives them a
-common hash; a shared run of fewer than k tokens never does.
+common hash, so any passage of as many code points inside two longer runs does; a shared run of fewer than k tokens never does.
 
 A hash and its position are packed into one long (the hash above, the
 position's complement below), so the least of a window is the rightmost least.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import store
 
 K, W = 3, 4
-TOKEN = r"[^\x20\x09-\x0D]{1,12}"
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,12}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
 #: Bits of a packed value that hold the position.
 _POS = 26
 _MASK = (1 << _POS) - 1

@@ -295,6 +295,22 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.report(empty).count() == 0
 
 
+def test_fingerprints_without_blanks(spark):
+    """A passage without blanks has the same hashes wherever it begins."""
+    rng = random.Random(6)
+    passage = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
+    texts = [passage, "一" + passage, "https://a.example/" + passage, "".join(chr(0x6E00 + rng.randrange(2000)) for _ in range(400)), "twelveletter", "twelveletter thirteenletter"]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+
+    def like(a, b):
+        x, y = set(got[a]["hashes"]), set(got[b]["hashes"])
+        return len(x & y) / len(x | y)
+
+    assert like(0, 1) > 0.97 and like(0, 2) > 0.85 and like(0, 3) == 0
+    tokens = [re.findall(fingerprints.TOKEN, t) for t in texts[4:]]
+    assert tokens == [["twelveletter"], ["twelveletter", *"thirteenletter"]]
+
+
 def test_decontamination(spark, docs, empty):
     rng = random.Random(3)
     item = [f"q{i}" for i in range(25)]
