@@ -382,9 +382,18 @@ def _small(spark: SparkSession, sf: str) -> DataFrame:
     return order_objects(spark, sf).select("n_lines", "qty", "max_line", "is_final", "has_return").persist()
 
 
+def _wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with six invariants besides ``qty`` of like size (price in thousands, rates in hundredths), for the forms of three and four features."""
+    lines = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.max(F.col("l_quantity").cast("double")).alias("max_qty"), F.min(F.col("l_quantity").cast("double")).alias("min_qty"), F.sum(100 * F.col("l_discount").cast("double")).alias("discount"), F.sum(100 * F.col("l_tax").cast("double")).alias("tax")
+    )
+    df = order_objects(spark, sf).join(lines, "o_orderkey")
+    return df.select("n_lines", F.col("qty").cast("double").alias("qty"), (F.col("gross").cast("double") / 1000).alias("price"), "max_qty", "min_qty", "discount", "tax", "is_final", "has_return").persist()
+
+
 def _stage(name: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = _small(spark, sf)
+        df = _wide(spark, sf) if name in ("lp3", "lp4") else _small(spark, sf)
         session = Session(df, max_arity=1, min_touches=1)
         found = session.conjecture("qty", stages=[Stage(name)], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
         return _mined(spark, df, [s for s, _ in found.statements])

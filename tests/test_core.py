@@ -172,6 +172,23 @@ def test_session_and_pipelines(spark):
     assert session.lattice.n == 60 and text.table_report(session)["rows"] == 60 and "target" in text.report(found)
 
 
+def test_lp_stages_fit_three_and_four_features(spark, monkeypatch):
+    from lemmaforge import catalog
+
+    sizes = {}
+    fit = fits.fit
+
+    def seen(df, target, features, hyps, cands, *args, **kw):
+        found = fit(df, target, features, hyps, cands, *args, **kw)
+        sizes.setdefault(name, set()).update(sum(w != 0 for w in f.weights) for f in found)
+        return found
+
+    monkeypatch.setattr(fits, "fit", seen)
+    for name in ("lp3", "lp4"):
+        assert catalog.QUERIES[f"stage_{name}"](spark, "/root/testdata/sf0.001").count() > 0, name
+    assert 3 in sizes["lp3"] and {3, 4} <= sizes["lp4"]
+
+
 def test_partition_count_does_not_matter(spark):
     df = tables.integer_table(spark, 80).select("n", "divisor_count", "totient", "is_prime")
     labels = [[s.label() for s in fits.family_statements(df.repartition(k), "lp1", Col("totient"), {"n": Col("n"), "divisor_count": Col("divisor_count")}, [TRUE])] for k in (1, 7)]
