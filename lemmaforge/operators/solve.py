@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Of scaled points: distance from a plane that counts as on it, and extent that counts as none.
+_FLAT, _THIN = 1e-10, 1e-8
+
 
 def lp(rows: np.ndarray, least: np.ndarray, cost: np.ndarray, box: np.ndarray, tol: float = 1e-9, most: int = 5000) -> tuple[np.ndarray, np.ndarray] | None:
     """Minimise cost·x over rows·x >= least and |x_j| <= box_j.
@@ -57,12 +60,69 @@ def hull(points: np.ndarray, upper: bool) -> np.ndarray:
     return np.array(out)
 
 
+def _turned(p: np.ndarray, normal: np.ndarray, at: np.ndarray, axis: np.ndarray) -> np.ndarray | None:
+    """The supporting plane's normal turned from ``normal`` towards ``axis`` around the points ``at`` up to the first other point."""
+    s, u = (p[at[0]] - p) @ normal, (p - p[at[0]]) @ axis
+    off = s > _FLAT
+    if not off.any():
+        return None
+    angle = np.arctan2(s[off], u[off]).min()
+    out = np.cos(angle) * normal + np.sin(angle) * axis
+    return out / np.linalg.norm(out)
+
+
+def _on(p: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    v = p @ normal
+    return np.flatnonzero(v >= v.max() - _FLAT)
+
+
+def _span(p: np.ndarray) -> np.ndarray:
+    """Orthonormal rows that span the differences of the points."""
+    _, size, v = np.linalg.svd(p - p[0], full_matrices=False)
+    return v[size > _THIN]
+
+
+def _wrapped(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Facets (outward normal, positions of all points on it) of full-dimensional points: gift wrapping over ridges."""
+    n, d = p.shape
+    if d == 1:
+        return [(np.array([1.0]), _on(p, np.array([1.0]))), (np.array([-1.0]), _on(p, np.array([-1.0])))]
+    normal = np.eye(d)[0]
+    on = _on(p, normal)
+    while len(span := _span(p[on])) < d - 1:
+        free = np.linalg.svd(np.vstack([normal, span]))[2][len(span) + 1]
+        wide = (p - p[on[0]]) @ free
+        turned = _turned(p, normal, on, free if wide.max() > -wide.min() else -free)
+        more = _on(p, turned)
+        if len(_span(p[more])) <= len(span):
+            break
+        normal, on = turned, more
+    found = {frozenset(on.tolist()): (normal, on)}
+    todo = [(normal, on)]
+    while todo:
+        normal, on = todo.pop()
+        span = _span(p[on])
+        if len(span) != d - 1:
+            continue
+        for outward, part in _wrapped((p[on] - p[on[0]]) @ span.T):
+            turned = _turned(p, normal, on[part], outward @ span)
+            if turned is None:
+                continue
+            more = _on(p, turned)
+            if (key := frozenset(more.tolist())) not in found:
+                found[key] = (turned, more)
+                todo.append(found[key])
+    return list(found.values())
+
+
 def facets(points: np.ndarray, tol: float = 1e-8) -> list[tuple[np.ndarray, float, bool]]:
     """Facets of the hull of points (x.., y) as (w, b, upper): y <= w·x + b or y >= w·x + b.  Side facets are left out.
 
     The points should be reduced first.  Planar by monotone chain; in space by
-    gift wrapping over the simplices of the projected points, checked exactly
-    against all points.
+    gift wrapping: from a first facet over every ridge to its other facet,
+    until no new facet turns up.  A facet is known by all the points on it, so
+    facets that are no simplices are found once, with their ridges by the same
+    method one dimension below.
     """
     d = points.shape[1] - 1
     out: list[tuple[np.ndarray, float, bool]] = []
@@ -73,22 +133,22 @@ def facets(points: np.ndarray, tol: float = 1e-8) -> list[tuple[np.ndarray, floa
                 w = (q[1] - p[1]) / (q[0] - p[0])
                 out.append((np.array([w]), float(p[1] - w * p[0]), upper))
         return out
-    # the bound that is tightest over a point of the projection is a facet: probe over simplices' centres
     x, y = points[:, :-1], points[:, -1]
-    seen: set[tuple] = set()
-    rng = np.random.default_rng(0)
-    probes = np.vstack([x, x.mean(axis=0), *(x[rng.integers(len(x), size=d + 1)].mean(axis=0)[None] for _ in range(40 * (d + 1)))])
     rows = np.hstack([x, np.ones((len(x), 1))])
-    for upper in (True, False):
-        sign = 1.0 if upper else -1.0
-        for c in probes:
-            got = lp(rows, sign * y, np.append(c, 1.0), np.full(d + 1, 1e7))
-            if got is None or np.abs(got[0]).max() > 1e6:
-                continue
-            v = sign * got[0]
-            on = np.abs(rows @ v - y) <= tol * (1 + np.abs(y))
-            key = (upper, *np.round(v, 7))
-            if key not in seen and np.linalg.matrix_rank(rows[on], tol=1e-9) == d + 1:
-                seen.add(key)
-                out.append((v[:-1], float(v[-1]), upper))
+    if not len(x) or np.linalg.matrix_rank(rows / np.maximum(np.abs(rows).max(axis=0), 1e-300), tol=1e-9) < d + 1:
+        return out
+    low, wide = points.min(axis=0), np.ptp(points, axis=0)
+    p, first = np.unique((points - low) / np.where(wide > 0, wide, 1.0), axis=0, return_index=True)
+    if len(_span(p)) == d + 1:
+        sides = [(on, normal[-1]) for normal, on in _wrapped(p) if abs(normal[-1]) > _FLAT]
+    else:  # all points on one plane
+        sides = [(np.arange(len(p)), 1.0), (np.arange(len(p)), -1.0)]
+    for on, side in sides:
+        own = first[on]
+        spread = x[own] - x[own[0]]
+        if np.linalg.matrix_rank(spread / np.where(wide[:-1] > 0, wide[:-1], 1.0), tol=1e-9) < d:
+            continue
+        w = np.linalg.lstsq(spread / wide[:-1], y[own] - y[own[0]], rcond=None)[0] / wide[:-1]
+        out.append((w, float(y[own[0]] - w @ x[own[0]]), bool(side > 0)))
+    out.sort(key=lambda f: (not f[2], *f[0].tolist(), f[1]))
     return out

@@ -122,6 +122,35 @@ def test_lp_and_hull_are_optimal():
             assert cost @ v <= cost @ w + 1e-7
 
 
+def test_every_facet_in_space():
+    from itertools import combinations
+
+    rng = np.random.default_rng(8)
+    sphere = rng.normal(size=(70, 3))
+    sphere /= np.linalg.norm(sphere, axis=1)[:, None]
+    steep = rng.random((15, 3)) * np.array([1e-4, 1e-4, 1e4])
+    cube = np.array([[i, j, k] for i in range(3) for j in range(3) for k in range(3)], float)
+    for points in (sphere, steep, rng.integers(0, 5, (40, 3)).astype(float), np.vstack([cube, [[1, 1, 4]]])):
+        p = np.unique(points, axis=0)
+        scale = np.ptp(p, axis=0)
+        q = (p - p.min(axis=0)) / scale
+        planes = set()
+        for three in combinations(range(len(q)), 3):
+            a, b, c = q[list(three)]
+            n = np.cross(b - a, c - a)
+            if np.linalg.norm(n) < 1e-9 or abs(n[2] / np.linalg.norm(n)) < 1e-9:
+                continue
+            gap = (q - a) @ (n / n[2])
+            if gap.max() < 1e-9 or gap.min() > -1e-9:
+                planes.add((bool(gap.max() < 1e-9), frozenset(np.flatnonzero(np.abs(gap) < 1e-9).tolist())))
+        found = set()
+        for w, b, upper in solve.facets(points):
+            gap = (p[:, 2] - p[:, :2] @ w - b) / scale[2]
+            assert (gap.max() if upper else -gap.min()) < 1e-7
+            found.add((upper, frozenset(np.flatnonzero(np.abs(gap) < 1e-8 * (1 + np.abs(w * scale[:2] / scale[2]).max())).tolist())))
+        assert found == planes and len(solve.facets(points)) == len(planes)
+
+
 def test_lattice(spark):
     df = spark.createDataFrame([(True, True, False, 1), (True, False, True, 0), (True, False, False, 1), (True, None, True, 0)], "base boolean, p boolean, q boolean, z int")
     assert {r["column"]: r["boolean_like"] for r in lattice.boolean_like(df).collect()} == {"base": True, "p": True, "q": True, "z": True}
