@@ -68,10 +68,10 @@ def meaningful(report: DataFrame, least_rate: float = 0.10, least_side: int = 5,
     return report.filter((F.col("balance") >= least_rate) & (F.least("below", "above") >= least_side) & (F.col("support") >= least_support * F.col("n")) & ((F.col("median_gap") >= least_gap) | (F.col("mean_gap") >= least_gap)))
 
 
-def pair_features(report: DataFrame, features: Mapping[str, Expr], most: int = 20) -> dict[str, Expr]:
-    """|a - b|, min and max of the pairs."""
+def pair_features(report: DataFrame, features: Mapping[str, Expr], most: int | None = 20) -> dict[str, Expr]:
+    """|a - b|, min and max of the pairs, of the first ``most`` where it is given."""
     out: dict[str, Expr] = {}
-    for r in report.limit(most).collect():
+    for r in (report if most is None else report.limit(most)).collect():
         a, b = features[r["a"]], features[r["b"]]
         for e in (abs(a - b), extreme("min", a, b), extreme("max", a, b)):
             out[e.label()] = e

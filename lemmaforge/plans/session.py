@@ -134,7 +134,7 @@ class Session:
                 out[e.label()] = e
         if absolute or extremes:
             report = statistics.noncomparable(self.df, base, self.lattice.base.pred)
-            for e in statistics.pair_features(report, base).values():
+            for e in statistics.pair_features(report, base, most=None).values():
                 if (e.label().startswith("abs") and absolute) or (not e.label().startswith("abs") and extremes):
                     out[e.label()] = e
         if logs and base:

@@ -218,6 +218,14 @@ def test_lp_stages_fit_three_and_four_features(spark, monkeypatch):
     assert 3 in sizes["lp3"] and {3, 4} <= sizes["lp4"]
 
 
+def test_pool_has_every_crossing_pair(spark):
+    rng = np.random.default_rng(7)
+    rows = [tuple(int(v) for v in rng.permutation(8)) for _ in range(60)]
+    df = spark.createDataFrame(rows, ", ".join(f"x{i} int" for i in range(8)))
+    pool = Session(df).pool("x0", absolute=True, extremes=True)
+    assert len(pool) == 7 + 3 * 21
+
+
 def test_partition_count_does_not_matter(spark):
     df = tables.integer_table(spark, 80).select("n", "divisor_count", "totient", "is_prime")
     labels = [[s.label() for s in fits.family_statements(df.repartition(k), "lp1", Col("totient"), {"n": Col("n"), "divisor_count": Col("divisor_count")}, [TRUE])] for k in (1, 7)]
