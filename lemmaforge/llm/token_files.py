@@ -2,52 +2,77 @@
 
 Layout: the corpus is range-partitioned by document id, so files, row groups
 and rows are in ascending id order.  Each row has ``doc_id``, the file's part
-number, the row's first token inside the part, ``n_tokens``, the token list
-and the original columns asked for.  The token list is dictionary-encoded
+number, the row's first token inside the part, ``n_tokens`` and the token list.
+The token list is dictionary-encoded
 (ids below the vocabulary size bit-pack into about 16 bits) and falls back to
 delta-packed pages under the version-2 page writer; ids and offsets are
 delta-packed.  Row groups and pages have fixed byte sizes and the writer adds
 page indexes, so a reader that wants lengths only, or a range of ids only,
 touches those pages alone.
 
-Tokenising is exact but pays for each distinct word once per worker: a text is
-cut before its spaces and before marks behind letters.  Under a byte-level
-pre-tokenizer no piece crosses such a cut, hence the ids of the parts,
-concatenated, are the ids of the text; a text with a space between two blanks
-is encoded whole.
+Tokenising is exact but pays for each distinct word about once per run of text:
+a text is cut before its spaces.  Under a byte-level pre-tokenizer no piece
+crosses such a cut, hence the ids of the parts, concatenated, are the ids of the
+text; a text with a space between two blanks is encoded whole.  Cutting, finding
+the distinct parts and putting their ids together are Arrow and NumPy passes
+over a run of about ``RUN_BYTES`` of text; the tokenizer sees only parts that are
+not among the last ``KNOWN`` ones.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import store
+from . import words as wk
 
-#: Distinct words in each of the two generations of a Python worker's cache.
-CACHE_WORDS = 500_000
+#: Bytes of text that are cut at a time (a longer text comes alone), and parts whose ids a Python worker remembers.
+RUN_BYTES = 8 << 20
+KNOWN, KNOWN_BYTES = 600_000, 64
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
-_TIGHT = re.compile(r"\s \s")
-# a byte's character in the vocabulary: itself if it prints, else the next one from 256 on
-_prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_BYTE_CHARS = {**{b: chr(b) for b in _prints}, **{b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_prints)))}}
-#: Marks that, in a run behind letters, are one piece.
-_MARKS = ".,;:!?%$&#*|"
+#: A space between two blanks; the class holds every white space of Unicode.
+_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TIGHT = f"{_BLANKS} {_BLANKS}"
+#: Letters with marks behind them: the marks are a piece of their own under the byte-level pre-tokenizer.
+_LETTERS, _MARKS = r"^[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+", ".,;:!?%$&#*|"
+_ENDED = f"{_LETTERS}[{_MARKS}]+$"
+
+
+class Ragged:
+    """Lists of ids one after another: list i is flat[off[i] : off[i + 1]]."""
+
+    def __init__(self, flat: np.ndarray, off: np.ndarray):
+        self.flat, self.off = flat, off
+
+    def __len__(self) -> int:
+        return len(self.off) - 1
+
+    def take(self, index: np.ndarray) -> Ragged:
+        size = self.off[index + 1] - self.off[index]
+        off = np.append(0, np.cumsum(size))
+        return Ragged(self.flat[np.repeat(self.off[index] - off[:-1], size) + np.arange(off[-1])], off)
+
+    def __add__(self, other: Ragged) -> Ragged:
+        return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.off, other.off[1:] + self.off[-1]]))
+
+    @classmethod
+    def of(cls, lists: list[list[int]]) -> Ragged:
+        off = np.append(0, np.cumsum(np.fromiter(map(len, lists), np.int64, len(lists))))
+        return cls(np.fromiter((x for y in lists for x in y), np.uint32, off[-1]), off)
 
 
 class Encoder:
-    """ids of texts by a byte-level tokenizer file, word by word with a cache."""
+    """ids of texts by a byte-level tokenizer file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,69 +85,82 @@ class Encoder:
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
-        self.words: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.piece = self.tokenizer.model.tokenize
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """ids of ' ' + word for each of the words."""
-        ended: list[tuple[str, str, str]] = []
-        alone: set[str] = set()
-        odd: list[str] = []
-        for word in words:
-            # letters and marks after them are pieces of their own
-            base = word.rstrip(_MARKS)
-            if len(base) < len(word) and base.isalpha():
-                ended.append((word, base, word[len(base) :]))
-                if base not in self.words:
-                    alone.add(base)
-            elif word and not word[0].isspace():
-                alone.add(word)
-            else:
-                odd.append(word)
-        self.words.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
-        for word in alone:
-            if word.isalpha():  # one piece: straight to the model, in its characters for bytes
-                piece = "Ġ" + (word if word.isascii() else "".join(map(_BYTE_CHARS.__getitem__, word.encode())))
-                self.words[word] = array("I", [x.id for x in self.piece(piece)]).tobytes()
-        listed = [x for x in alone if x not in self.words]
-        for lo in range(0, len(listed), 2048):
-            self._learn_joined(listed[lo : lo + 2048])
-        for word, base, tail in ended:
-            if tail not in self.tails:
-                self.tails[tail] = self.whole([tail])[0]
-            self.words[word] = self.words[base] + self.tails[tail]
-
-    def _learn_joined(self, words: list[str]) -> None:
-        """One call for many words; a token that opens with a space opens a word."""
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(self.opens[ids])
-        if len(cut) == len(words):
-            raw, ends = ids.tobytes(), np.append(cut[1:], len(ids)) * 4
-            for word, a, b in zip(words, (cut * 4).tolist(), ends.tolist(), strict=True):
-                self.words[word] = raw[a:b]
-        else:
-            self.words.update(zip(words, self.whole([" " + x for x in words]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts = [None if _TIGHT.search(x) else x.split(" ") for x in texts]
-        heads = self.whole([x if p is None else p[0] for x, p in zip(texts, parts, strict=True)])
-        for p in parts:
-            if p is not None:
-                del p[0]
-        if len(self.words) > CACHE_WORDS:  # words of the generation before come back if they are met again
-            self.words, self.before = {}, self.words
-        new = set(filterfalse(self.words.__contains__, chain.from_iterable(p for p in parts if p)))
-        old = new.intersection(self.before)
-        self.words.update(zip(old, map(self.before.__getitem__, old), strict=True))
-        self._learn(new - old)
-        get = self.words.__getitem__
-        return [head if not p else head + b"".join(map(get, p)) for head, p in zip(heads, parts, strict=True)]
+        self.known, self.known_ids = pa.array([], pa.large_string()), Ragged.of([])
+
+    def whole(self, texts: list[str]) -> Ragged:
+        return Ragged.of([x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _learn(self, parts: list[str], at_once: int = 512) -> Ragged:
+        """ids of ' ' + part for each of the parts."""
+        odd = [i for i, x in enumerate(parts) if not x or x[0].isspace()]
+        if odd:
+            plain = sorted(set(range(len(parts))) - set(odd))
+            both = self._learn([parts[i] for i in plain], at_once) + self.whole([" " + parts[i] for i in odd])
+            return both.take(np.argsort(np.array(plain + odd), kind="stable"))
+        out, off = [], [np.zeros(1, np.int64)]
+        for lo in range(0, len(parts), at_once):
+            some = parts[lo : lo + at_once]
+            # one call for many parts; a token that opens with a space opens a part
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.opens[ids])
+            if len(cut) != len(some):
+                each = self.whole([" " + x for x in some])
+                ids, cut = each.flat, each.off[:-1]
+            off.append(np.append(cut[1:], len(ids)) + off[-1][-1])
+            out.append(ids)
+        return Ragged(np.concatenate([*out, np.empty(0, np.uint32)]), np.concatenate(off))
+
+    def run(self, texts: pa.Array, end_id: int | None = None) -> Ragged:
+        """ids of each text of a large_string array without nulls, ``end_id`` behind each."""
+        tight = pc.match_substring_regex(texts, _TIGHT)
+        parts = pc.split_pattern(pc.if_else(tight, "", texts), " ")
+        off = parts.offsets.to_numpy().astype(np.int64)
+        words = parts.values.slice(off[0], off[-1] - off[0])
+        off = off - off[0]
+        first = off[:-1]  # what stands before the first space, and whole texts
+        heads = pc.dictionary_encode(pc.if_else(tight, texts, words.take(pa.array(first))))
+        words = pc.dictionary_encode(words)
+        ended = pc.match_substring_regex(words.dictionary, _ENDED)
+        stems = pc.dictionary_encode(pc.if_else(ended, pc.ascii_rtrim(words.dictionary, characters=_MARKS), words.dictionary))
+        tails = pc.dictionary_encode(pc.if_else(ended, pc.replace_substring_regex(words.dictionary, _LETTERS, ""), ""))
+        where = pc.fill_null(pc.index_in(stems.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(where < 0)
+        where[new] = len(self.known_ids) + np.arange(len(new))
+        ids = self.known_ids + self._learn(stems.dictionary.take(pa.array(new)).to_pylist())
+        self._remember(stems.dictionary, where, ids)
+        both = np.stack([where[stems.indices.to_numpy()], len(ids) + tails.indices.to_numpy()], 1).ravel()
+        both = (ids + self.whole(tails.dictionary.to_pylist())).take(both)
+        ids = Ragged(both.flat, both.off[::2])
+        at = words.indices.to_numpy().astype(np.int64)
+        at[first] = len(ids) + heads.indices.to_numpy()
+        ids = ids + self.whole(heads.dictionary.to_pylist())
+        if end_id is not None:
+            at = np.insert(at, off[1:], len(ids))
+            ids = ids + Ragged.of([[end_id]])
+            off = off + np.arange(len(off))
+        found = ids.take(at)
+        return Ragged(found.flat, found.off[off])
+
+    def _remember(self, words: pa.Array, where: np.ndarray, ids: Ragged) -> None:
+        """The parts met last come first; where there are too many, those not met for longest go."""
+        here = np.flatnonzero(pc.binary_length(words).to_numpy() <= KNOWN_BYTES)
+        rest = np.ones(len(self.known), bool)
+        rest[where[here][where[here] < len(rest)]] = False
+        rest = np.flatnonzero(rest)
+        self.known = pa.concat_arrays([words.take(pa.array(here)), self.known.take(pa.array(rest))]).slice(0, KNOWN)
+        self.known_ids = ids.take(np.concatenate([where[here], rest])[:KNOWN])
+
+    def column(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, Ragged]]:
+        """First row and ids of runs of rows of about ``RUN_BYTES``; null reads as empty."""
+        column = column.cast(pa.large_string()).fill_null("")
+        for lo, hi, _, _ in wk.slices(column, RUN_BYTES):
+            yield lo, self.run(column.slice(lo, hi - lo), end_id)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for _, ids in self.column(pa.array(texts, pa.large_string())):
+            out += [ids.flat[a:b].tolist() for a, b in zip(ids.off[:-1], ids.off[1:], strict=True)]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -134,7 +172,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, rows: int = 256) -> None:
+def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) -> None:
     """Tokenise ``docs`` (doc_id, text) and write token files under ``path`` in ascending doc_id order.
 
     Null and empty texts have the end id only.  Rows of one id (ties) are
@@ -147,16 +185,12 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0, ro
         from pyspark import TaskContext
 
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        tail = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
-        for whole in batches:
-            for lo in range(0, whole.num_rows, rows):
-                batch = whole.slice(lo, rows)
-                ids = [x + tail for x in enc.encode([x or "" for x in batch.column(1).to_pylist()])]
-                n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-                off = np.append(0, np.cumsum(n))
-                tokens = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + off[:-1]), pa.array(n), tokens], ["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
-                start += int(off[-1])
+        for batch in batches:
+            for lo, ids in enc.column(batch.column(1), end_id):
+                n = np.diff(ids.off)
+                tokens = pa.ListArray.from_arrays(pa.array(ids.off.astype(np.int32)), pa.array(ids.flat.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(start + ids.off[:-1]), pa.array(n), tokens], ["doc_id", "part", "start_in_part", "n_tokens", "tokens"])
+                start += int(ids.off[-1])
 
     (
         docs.select(F.col("doc_id").cast("long"), "text")

@@ -380,7 +380,13 @@ def test_token_output(spark, docs, empty, tmp_path):
     plain.encode_special_tokens = True
     odd = ["a  b", "x \n y", "  ", "a\n\n b 's it's  don't 12 3.5 <|endoftext|>", "日本語 テスト\t\tz  ", "\n a", "trail ", "😀 😀x", "Émile, ça! va?"]
     enc = token_files.Encoder(path)
-    assert enc.encode(odd) == enc.whole(odd)
+    assert enc.encode(odd) == [x.ids for x in plain.encode_batch(odd, add_special_tokens=False)]
+    rng = random.Random(8)
+    atoms = ["a", "bc", " ", "  ", "\n", "\t", "'s", ".", ",;", "12", "é", "日", "<|endoftext|>", "\x0b", "\x1f", "\x85", "\u3000", "Ġ", "word, "]
+    mixed = ["".join(rng.choice(atoms) for _ in range(rng.randrange(14))) for _ in range(3000)]
+    old, token_files.RUN_BYTES = token_files.RUN_BYTES, 500  # many runs: remembered parts come back
+    assert enc.encode(mixed) == [x.ids for x in plain.encode_batch(mixed, add_special_tokens=False)]
+    token_files.RUN_BYTES = old
     files = str(tmp_path / "tokens")
     rows = sorted(token_files.token_output(docs, path, path=files).collect(), key=lambda r: r["doc_id"])
     start = 0
@@ -392,6 +398,32 @@ def test_token_output(spark, docs, empty, tmp_path):
     assert token_files.token_output(empty, path).count() == 0
 
 
+def test_token_files(spark, tmp_path):
+    """Ties in id order by text, clashing columns, and the layout that the files are promised to have."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = queries.tokenizer_path()
+    rows = [(7, "b c"), (7, "a"), (None, "z"), (7, "a"), (3, None), (9, "word " * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS part", "2 AS start", "3 AS tokens", "4 AS n_tokens").repartition(3)
+    files = str(tmp_path / "files")
+    got = sorted(token_files.token_output(df, path, path=files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None, 3, 7, 7, 7, 9] and [r["n_tokens"] for r in got[1:5]] == [1, 2, 2, 3]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got[:-1])]).tolist()
+    seen = 0
+    for name in sorted(glob.glob(f"{files}/*.parquet")):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            for c in columns.values():
+                assert c.has_offset_index and c.has_column_index, c.path_in_schema
+            tokens = next(c for n, c in columns.items() if n.startswith("tokens"))
+            assert "RLE_DICTIONARY" in tokens.encodings or "DELTA_BINARY_PACKED" in tokens.encodings
+            seen += meta.row_group(g).num_rows
+    assert seen == len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
