@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
+from .memory import tidied
 
 
 #: Links that a task holds before it passes their forest on.
@@ -21,6 +22,7 @@ ONE_TASK_LINKS = 400_000
 def forests(links: DataFrame) -> DataFrame:
     """A spanning forest of each run of links that a task reads: as connected as they are, and at most a link per node."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict[int, int] = {}
         seen = 0

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as wk
+from .memory import tidied
 
 WINDOW = 10
 #: Bytes of test text in one broadcast shard.
@@ -162,6 +163,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     """Per document: doc_id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated."""
     tests = shards(benchmark, window)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros(batch.num_rows, np.int64)
@@ -192,6 +194,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     tests = shards(benchmark, window)
     kind = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", benchmark.schema["item_id"].dataType)] + [T.StructField(c, T.LongType()) for c in ("item_word", "doc_word", "n_words")])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -226,6 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     tests = shards(benchmark, window)
     text = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)

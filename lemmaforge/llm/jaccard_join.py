@@ -51,6 +51,7 @@ from pyspark.sql import functions as F
 from . import store
 from . import words as wk
 from .components import components
+from .memory import tidied
 
 K, THRESHOLD = 5, Fraction(4, 5)
 #: Entries of the frequency hint (16 bytes each).
@@ -102,6 +103,7 @@ def least_shared(t: Fraction = THRESHOLD) -> Column:
 def profile(docs: DataFrame, k: int = K) -> DataFrame:
     """Rows of two kinds: 0 = (document id, class, set size); 1 = (shingle, copies seen together, -)."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size, seen = 0, set()
@@ -163,6 +165,7 @@ class Order:
 def _postings(docs: DataFrame, order: Broadcast, k: int, t: Fraction) -> DataFrame:
     """token, key, at: the short lists' entries, one per class and task at most; ``at`` is the set's size << 32 | 1 << 31 if the element is in the hint | its place in the order, ``before`` the element before it, 0 if that is none of the hint's."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -202,6 +205,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
     """kind 0: candidate pairs (a, b) of neighbours in a list, ``at`` = the common elements that they need << 32 | 1 << 31 if the list is long or its element in the hint | those seen here; kind 1: entries (a = token, b = class, at) of the longer lists; kind 2: (a = class, b = its entries in shared lists, at)."""
     names = ["kind", "a", "b", "at", "before"]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 5
         for batch in batches:
@@ -294,6 +298,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
                         for z, c in zip(key[lo : lo + BLOCK].tolist(), comp[lo : lo + BLOCK].tolist(), strict=True):
                             yield tok, x, y + 1, role, z, c
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         last = None
@@ -383,6 +388,7 @@ def divide_skip(query: np.ndarray, others: list[np.ndarray], needs: list[int], m
 def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False) -> DataFrame:
     """Links (a, b, overlap) found in the cells: ``every`` one, or a spanning forest of them where a cell has several queries."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: tuple | None = None
         queries: list[tuple[int, np.ndarray]] = []
@@ -454,6 +460,7 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
         table[word] = bits
     needed = spark.sparkContext.broadcast(table)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:

@@ -33,10 +33,11 @@ from pyspark.sql import functions as F
 
 from . import store
 from . import words as wk
+from .memory import tidied, tidy
 
 #: Bytes of text that are cut at a time (a longer text comes alone), and parts whose ids a Python worker remembers.
-RUN_BYTES = 8 << 20
-KNOWN, KNOWN_BYTES = 600_000, 64
+RUN_BYTES = 2 << 20
+KNOWN, KNOWN_BYTES = 300_000, 64
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 
@@ -60,7 +61,9 @@ class Ragged:
     def take(self, index: np.ndarray) -> Ragged:
         size = self.off[index + 1] - self.off[index]
         off = np.append(0, np.cumsum(size))
-        return Ragged(self.flat[np.repeat(self.off[index] - off[:-1], size) + np.arange(off[-1])], off)
+        at = np.repeat((self.off[index] - off[:-1]), size)
+        at += np.arange(off[-1])
+        return Ragged(self.flat[at], off)
 
     def __add__(self, other: Ragged) -> Ragged:
         return Ragged(np.concatenate([self.flat, other.flat]), np.concatenate([self.off, other.off[1:] + self.off[-1]]))
@@ -85,6 +88,8 @@ class Encoder:
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
             self.opens[i] = token.startswith("Ġ")
+        del vocabulary
+        tidy()  # parsing the file takes twice what the tokenizer keeps
         self.known, self.known_ids = pa.array([], pa.large_string()), Ragged.of([])
 
     def whole(self, texts: list[str]) -> Ragged:
@@ -181,6 +186,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
     table gives an empty file set with the same schema.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -223,6 +229,7 @@ def read(spark: SparkSession, path: str, tokens: bool = True) -> DataFrame:
 def checksums(rows: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and the CRC-32 of the tokens as little-endian 32-bit integers."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)

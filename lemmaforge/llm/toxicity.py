@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from . import labels as lb
 from . import words as wk
+from .memory import tidied
 
 #: Labelled rows to fit on, at most.
 FIT_ROWS = 40_000
@@ -259,6 +260,7 @@ def char_model(docs: DataFrame) -> CharModel:
     kind[np.arange(97, 123)] = np.arange(1, 27)
     kind = kind[wk.LOWER]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(729, np.int64)
         for batch in batches:
@@ -374,6 +376,7 @@ def apart(rows: DataFrame, k: int = 5, pairs: int = 4) -> list[int]:
     """The least id of each group of near copies among the fitting rows (bounded in number)."""
     salts = wk.mix(np.arange(1, 2 * pairs + 1, dtype=wk.U))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = np.zeros((batch.num_rows, pairs), np.int64)
@@ -415,6 +418,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, modulus: int =
     base = (size.get(1, 0) + 0.5) / (sum(size.values()) + 1.0)
     shared = spark.sparkContext.broadcast(chars)
 
+    @tidied
     def of_toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         for batch in batches:
@@ -428,6 +432,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, modulus: int =
     pos = {r["term"]: r["pos"] for r in often.collect()}
     wanted = spark.sparkContext.broadcast(frozenset(pos))
 
+    @tidied
     def of_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         for batch in batches:
@@ -441,6 +446,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, modulus: int =
     sure = ToxicityModel(chars, base, weights)
     doubtful = spark.sparkContext.broadcast((sure, frozenset(t for t, n in pos.items() if t not in weights and lower_share(n, neg.get(t, 0)) > base)))
 
+    @tidied
     def of_unexplained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[str] = Counter()
         model, wanted_ = doubtful.value
@@ -460,6 +466,7 @@ def scores(docs: DataFrame, model: ToxicityModel, modulus: int = 5) -> DataFrame
     """doc_id, held_out, score, predicted for every row of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.array([shared.value.score(x or "") for x in batch.column(2).to_pylist()], float)
@@ -473,6 +480,7 @@ def reject(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([shared.value.score(x or "") < 0.5 for x in batch.column(text).to_pylist()], pa.bool_()))

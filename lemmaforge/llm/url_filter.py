@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import tidied
+
 U = np.uint64
 
 
@@ -134,6 +136,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], own: Sequence[Rule] = (), def
             owner.append(i)
     owner_ = np.asarray(owner)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Automaton(globs)
         for whole in batches:
