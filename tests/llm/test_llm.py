@@ -153,23 +153,69 @@ def test_mixing(spark, docs, empty):
         assert mixing.sainte_lague(votes, 11) == seats
     assert mixing.capped_shares([10, 10], [5, 1], 30, 2) == [20.0, 10.0]
     rows = corpus()
-    plan = mixing.plan(docs).collect()
-    again = mixing.plan(docs).collect()
-    key = lambda r: (r["doc_id"], r["size"], r["taken"])
-    assert sorted(map(key, plan)) == sorted(map(key, again)) and len(plan) == len(rows)
-    for r in plan:
-        assert r["size"] == len(BLANK.findall(rows[r["doc_id"]][1] or "")) and 0 <= r["taken"] <= 2 * r["size"]
-    for source in {r["source"] for r in plan}:
+    for block in (None, 7):
+        plan = mixing.plan(docs, block=block).collect()
+        again = mixing.plan(docs.repartition(5), block=block).collect()
+        key = lambda r: (r["doc_id"], r["size"], r["taken"])
+        assert sorted(map(key, plan)) == sorted(map(key, again)) and len(plan) == len(rows)
+        own = {}
+        for r in plan:
+            assert r["size"] == len(BLANK.findall(rows[r["doc_id"]][1] or "")) and 0 <= r["taken"] <= 2 * r["size"]
+            own[r["source"]] = own.get(r["source"], 0) + r["size"]
+        expected = shares(own)
+        for source in own:
+            mine = [r for r in plan if r["source"] == source]
+            assert {r["source_size"] for r in mine} == {own[source]} and all(r["target"] == pytest.approx(expected[source]) for r in mine)
+            assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(2 * (block or 1), 0.02 * mine[0]["target"])
+        mixed = mixing.mixture(docs, block=block)
+        assert mixed.columns == docs.columns
+        taken = {}
+        for r in mixed.collect():
+            words = BLANK.findall(r["text"])
+            taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(words)
+            assert r["n_chars"] == len(r["text"]) and " ".join(words) in " ".join(BLANK.findall(rows[r["doc_id"]][1]))
+        assert taken == {r["doc_id"]: r["taken"] for r in plan if r["taken"]}
+    assert mixing.plan(empty).count() == 0 and mixing.mixture(empty).count() == 0
+
+
+def shares(sizes):
+    """Targets, one source after another: scale all that are open, fix the largest excess first."""
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(order)}
+    fixed = {}
+    while True:
+        left, open_ = Fraction(3, 2) * sum(sizes.values()) - sum(fixed.values()), [x for x in order if x not in fixed]
+        want = {x: left * weight[x] / sum(weight[y] for y in open_) for x in open_}
+        above = [x for x in open_ if want[x] > 2 * sizes[x]]
+        if not above:
+            return {x: float(y) for x, y in (want | fixed).items()}
+        fixed |= {x: 2 * sizes[x] for x in above}
+
+
+def test_mixing_many_shards(spark):
+    """Cells and groups of cells, rows equal in id and text, clashing column names."""
+    rng = random.Random(9)
+    rows = [(i // 2, " ".join(["w"] * rng.randrange(1, 9)), rng.choice(["a", "a", "a", "b", None]), i % 3) for i in range(600)]
+    rows += [(5, "x y z", "b", 7)] * 4 + [(5, "x y z", "b", 8)] * 4
+    names = ["piece", "part", "cell", "mix_tie", "tie", "whole", "size", "from", "to", "key", "target", "taken", "doc", "words", "q"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").selectExpr("*", *[f"extra AS `{x}`" for x in names])
+    old = mixing.CELL_ROWS, mixing.GROUP_CELLS, mixing.MOST_BROADCAST
+    mixing.CELL_ROWS, mixing.GROUP_CELLS, mixing.MOST_BROADCAST = 10, 4, 1
+    try:
+        plan = mixing.plan(df, block=5).collect()
+        mixed = mixing.mixture(df, block=5).collect()
+    finally:
+        mixing.CELL_ROWS, mixing.GROUP_CELLS, mixing.MOST_BROADCAST = old
+    assert len(plan) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in plan)
+    for source in ("a", "b", None):
         mine = [r for r in plan if r["source"] == source]
-        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(5, 0.02 * mine[0]["target"])
-    mixed = mixing.mixture(docs)
-    assert mixed.columns == docs.columns
-    taken = {}
-    for r in mixed.collect():
-        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + len(BLANK.findall(r["text"]))
-        assert r["n_chars"] == len(r["text"])
-    assert taken == {r["doc_id"]: r["taken"] for r in plan if r["taken"]}
-    assert mixing.plan(empty).count() == 0
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 0.1 * mine[0]["target"]
+        words = sum(len(r["text"].split()) for r in mixed if r["source"] == source)
+        assert words == sum(r["taken"] for r in mine)
+    assert all(r[x] == r["extra"] for r in mixed for x in names)
+    for extra in (7, 8):  # rows that differ in a column only are taken each, and none more than twice
+        assert sum(len(r["text"].split()) for r in mixed if r["extra"] == extra) <= 24
+    assert {r["extra"] for r in mixed if r["doc_id"] == 5} >= {7, 8}
 
 
 def test_licenses(docs, spark, empty):
