@@ -52,7 +52,7 @@ def forests(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     """node, component (its least node) for the nodes of ``links`` (columns a, b of longs).
 
     Tasks hand on spanning forests of the links that they read.  If these have
@@ -67,7 +67,7 @@ def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK
         found = forests(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component"))
         return store.keep(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "cc")
     seen = None
-    for _ in range(most_rounds):
+    while True:  # until nothing changes
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen is not None and tuple(mark) == seen or mark[0] == 0:
             break
@@ -77,7 +77,8 @@ def components(links: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = store.keep(small.distinct(), "cc")
+        spent, edges = edges, store.keep(small.distinct(), "cc")
+        store.drop(spent)
     # stars now: each node points to its component's least node
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
