@@ -15,11 +15,13 @@ reaches the threshold.  The join is exact and goes through inverted lists:
    share many of its elements: a class too few of whose prefix elements are in
    any other prefix can have no link and goes no further.
 3. The distributed short lists (shingle -> classes) give candidates.  In a
-   list of k classes each meets its neighbours in size order; where the list
-   is longer than that, a second round takes every pair of it whose two sides
-   are still in different components: links inside a component are of no use
-   to it.  Pairs of very long lists that stay apart are searched in blocks.
+   list of k classes each meets its neighbours in size order: those next to it
+   first, and of the others only those that these links have left in another
+   component.  Where the list is longer, a last round takes every pair of it
+   whose two sides are still in different components: links inside a component
+   are of no use to it.  The pairs of very long lists are compared in blocks.
 4. Candidates are grouped into cells: a few query sets and a stream of others.
+   A set goes to a cell once, whatever the number of its pairs there.
    In a cell DivideSkip answers the T-occurrence problem: the query's lists
    over the others are split into short ones, merged by a heap, and the L
    longest ones, probed by bisection; sets found T - L times in the short ones
@@ -60,11 +62,10 @@ HINTS = 1 << 18
 FILTER_WORDS = 1 << 17
 #: Neighbours that a class meets in a list in the first round.
 NEAR = 12
-#: Second-round pairs per list entry up to which pairs are listed; beyond, blocks.
-PAIRS_PER_ENTRY = 64
-#: Comparisons of places and sizes that one list may take before it goes by blocks.
+#: Comparisons of places and sizes that the task of one list takes; the pairs of a longer one are compared in their cells.
 MOST_COMPARISONS = 1 << 31
-BLOCK = 256
+#: Classes on one side of a cell, and their elements (a larger set comes alone).
+BLOCK, BLOCK_ELEMENTS = 256, 1 << 20
 
 #: One in how many elements a prefix is longer than needed for one common element.
 SPARE = 20
@@ -232,7 +233,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
                 i = i[(tok[i] == tok[i - d])]
                 i = i[_may_link(n[i] >> 32, n[i] & _LOW, n[i - d] >> 32, n[i - d] & _LOW, t)]
                 x, y = key[i], key[i - d]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), (_common(n[i] >> 32, n[i - d] >> 32) << 32) + (((rank[i] > NEAR) | (n[i] >> 31 & 1 > 0)).astype(np.int64) << 31)], 1))
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), (_common(n[i] >> 32, n[i - d] >> 32) << 32) + (((rank[i] > NEAR) | (n[i] >> 31 & 1 > 0)).astype(np.int64) << 31), np.full(len(i), d == 1, np.int64)], 1))
             pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
             pairs[:, 2] += times
             # entries of longer lists: all rows from the one that goes beyond, and those before it
@@ -246,7 +247,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             shared = np.concatenate([np.flatnonzero(here & (rank >= 1)), np.flatnonzero(here & (rank == 1)) - 1])
             own, at, own_times = np.unique(key[shared], return_index=True, return_counts=True)
             kind = np.repeat(np.array([0, 1, 2], np.int8), [len(pairs), len(rows), len(own)])
-            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], own_times], [pairs[:, 2], n[rows], n[shared[at]]], [np.zeros(len(pairs)), before[rows], np.zeros(len(own))])
+            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], own_times], [pairs[:, 2], n[rows], n[shared[at]]], [pairs[:, 3], before[rows], np.zeros(len(own))])
             yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x).astype(np.int64)) for x in columns)], names)
             tail = np.arange(max(int(start[-1]), len(tok) - NEAR - 1), len(tok))
             held = [tok[tail], key[tail], n[tail], rank[tail], before[tail]]
@@ -257,48 +258,59 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
 def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
     """Cells of the longer lists' pairs that lie in different components.
 
-    Rows: c1, c2, c3 (the cell), role (0 query, 1 the others), key, comp.
-    Short of PAIRS_PER_ENTRY pairs per entry a cell is a query and what it is
-    paired with; else a cell is a pair of blocks.
+    Rows: c1, c2, c3 (the cell: a list, a block of its queries and one of the
+    others), role (0 query, 1 the others), key, comp, and of a query the keys
+    ``asks`` (null: all).  A class comes once for each cell, not for each pair.
     """
     names = ["c1", "c2", "c3", "role", "key", "comp"]
 
+    def blocks(n: np.ndarray) -> np.ndarray:
+        """Where blocks begin, and the end."""
+        cuts, total = [0], 0
+        for i, x in enumerate(n.tolist()):
+            if i > cuts[-1] and (i - cuts[-1] == BLOCK or total + x > BLOCK_ELEMENTS):
+                cuts.append(i)
+                total = 0
+            total += x
+        return np.array([*cuts, len(n)])
+
     def cells(tok: int, key: np.ndarray, at: np.ndarray, comp: np.ndarray, before: np.ndarray) -> Iterator[tuple]:
         _, label, size = np.unique(comp, return_inverse=True, return_counts=True)
         if len(size) < 2:
             return
         k, n, place, main = len(key), at >> 32, at & _LOW, size.argmax()
+        cuts = blocks(n)
         outside = np.flatnonzero(label != main)
         if len(outside) * k <= MOST_COMPARISONS:
-            found, total = [], 0
-            for i in outside:
-                fits = (label != label[i]) & _may_link(n, place, n[i], place[i], t)
-                fits &= (label == main) | (key > key[i])
-                if before[i]:  # a common hinted element before this one: its list, long or short, brings the pair
-                    fits &= before != before[i]
-                if fits.any():
-                    found.append((int(key[i]), int(comp[i]), np.flatnonzero(fits)))
-                    total += len(found[-1][2])
-                if total > PAIRS_PER_ENTRY * k:
+            own = blocks(n[outside])
+            for x, (lo, hi) in enumerate(zip(own[:-1], own[1:], strict=True)):
+                found = []
+                for i in outside[lo:hi]:
+                    fits = (label != label[i]) & _may_link(n, place, n[i], place[i], t)
+                    fits &= (label == main) | (key > key[i])
+                    if before[i]:  # a common hinted element before this one: its list, long or short, brings the pair
+                        fits &= before != before[i]
+                    if fits.any():
+                        found.append((i, np.flatnonzero(fits)))
+                met = np.unique(np.concatenate([np.empty(0, np.int64), *(f for _, f in found)]))
+                for y in np.unique(np.searchsorted(cuts, met, side="right") - 1).tolist():
+                    for i, f in found:
+                        asks = f[np.searchsorted(f, cuts[y]) : np.searchsorted(f, cuts[y + 1])]
+                        if len(asks):
+                            yield tok, x, y, 0, int(key[i]), int(comp[i]), key[asks]
+                    for j in met[np.searchsorted(met, cuts[y]) : np.searchsorted(met, cuts[y + 1])].tolist():
+                        yield tok, x, y, 1, int(key[j]), int(comp[j]), None
+            return
+        # by blocks alone: the first elements of two blocks tell whether their sizes can fit, as the list is in order of size
+        for x in range(len(cuts) - 1):
+            for y in range(x, len(cuts) - 1):
+                if t.denominator * n[cuts[x + 1] - 1] < t.numerator * n[cuts[y]]:
                     break
-            if total <= PAIRS_PER_ENTRY * k:
-                for own, c, fits in found:
-                    for part in np.unique(key[fits] % 4):
-                        yield 0, own, int(part), 0, own, c
-                    for x, y in zip(key[fits].tolist(), comp[fits].tolist(), strict=True):
-                        yield 0, own, x % 4, 1, x, y
-                return
-        cuts = range(0, k, BLOCK)
-        for x in cuts:
-            for y in cuts:
-                if y < x or t.denominator * n[min(x + BLOCK, k) - 1] < t.numerator * n[y]:
-                    continue
-                if len(np.unique(np.concatenate([label[x : x + BLOCK], label[y : y + BLOCK]]))) > 1:
-                    for role, lo in ((0, x), (1, y)):
-                        for z, c in zip(key[lo : lo + BLOCK].tolist(), comp[lo : lo + BLOCK].tolist(), strict=True):
-                            yield tok, x, y + 1, role, z, c
+                if len(np.unique(np.concatenate([label[cuts[x] : cuts[x + 1]], label[cuts[y] : cuts[y + 1]]]))) > 1:
+                    for role, z in ((0, x), (1, y)):
+                        for i in range(cuts[z], cuts[z + 1]):
+                            yield tok, x, y, role, int(key[i]), int(comp[i]), None
 
-    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         last = None
@@ -308,15 +320,15 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
                 rows = []
                 for row in cells(last, *(np.concatenate(x) for x in zip(*held, strict=True))):
                     rows.append(row)
-                    if len(rows) == 20_000:
+                    if len(rows) == 5_000:
                         yield batch_of(rows)
                         rows = []
                 if rows:
                     yield batch_of(rows)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-            m = np.array(rows, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(m[:, i]) for i in range(6)], names)
+            m = np.array([x[:6] for x in rows], np.int64)
+            return pa.RecordBatch.from_arrays([*(pa.array(m[:, i]) for i in range(6)), pa.array([x[6] for x in rows], pa.list_(pa.int64()))], [*names, "asks"])
 
         for batch in batches:
             cols = [batch.column(i).to_numpy() for i in range(5)]
@@ -330,7 +342,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
                 held.append([x[lo:hi] for x in cols[1:]])
         yield from done()
 
-    return entries.repartition("token").sortWithinPartitions("token", F.shiftright("at", 32), "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long")
+    return entries.repartition("token").sortWithinPartitions("token", F.shiftright("at", 32), "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long, asks array<long>")
 
 
 def divide_skip(query: np.ndarray, others: list[np.ndarray], needs: list[int], mu: float = 0.0085) -> list[tuple[int, int]]:
@@ -391,7 +403,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False)
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell: tuple | None = None
-        queries: list[tuple[int, np.ndarray]] = []
+        queries: list[tuple[int, np.ndarray, frozenset[int] | None]] = []
         pending: list[tuple[int, np.ndarray]] = []
         parent: dict[int, int] = {}
         links: list[tuple[int, int, int]] = []
@@ -408,8 +420,8 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False)
             return pa.RecordBatch.from_arrays([pa.array(m[:, i]) for i in range(3)], ["a", "b", "overlap"])
 
         def work() -> None:
-            for own, q in queries:
-                kept = [(key, a) for key, a in pending if key != own and t.denominator * min(len(a), len(q)) >= t.numerator * max(len(a), len(q)) and (every or root(key) != root(own))]
+            for own, q, asked in queries:
+                kept = [(key, a) for key, a in pending if key != own and (asked is None or key in asked) and t.denominator * min(len(a), len(q)) >= t.numerator * max(len(a), len(q)) and (every or root(key) != root(own))]
                 needs = [least_overlap(len(q), len(a), t) for _, a in kept]
                 for i, overlap in divide_skip(q, [a for _, a in kept], needs):
                     other = kept[i][0]
@@ -420,7 +432,8 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False)
 
         for batch in batches:
             c1, c2, c3, role, key, comp = (batch.column(i).to_pylist() for i in range(6))
-            tokens = batch.column(6)
+            asks = batch.column(6)
+            tokens = batch.column(7)
             off = tokens.offsets.to_numpy()
             flat = tokens.values.to_numpy().view(wk.U)
             for i in range(batch.num_rows):
@@ -432,7 +445,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False)
                 parent.setdefault(comp[i], comp[i])
                 parent.setdefault(key[i], comp[i])
                 if role[i] == 0:
-                    queries.append((key[i], a))
+                    queries.append((key[i], a, frozenset(asks[i].as_py()) if asks[i].is_valid else None))
                 else:
                     pending.append((key[i], a))
                     if len(pending) == BLOCK:
@@ -443,7 +456,7 @@ def _search(cells: DataFrame, sets: DataFrame, t: Fraction, every: bool = False)
         if links:
             yield batch_of()
 
-    filled = cells.join(sets, "key").select("c1", "c2", "c3", "role", "key", "comp", "tokens")
+    filled = cells.join(sets, "key").select("c1", "c2", "c3", "role", "key", "comp", "asks", "tokens")
     return filled.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "role", "key").mapInArrow(run, "a long, b long, overlap long")
 
 
@@ -481,7 +494,7 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b), the longer lists' entries, and the sets of both."""
+    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b, next = 1 if next to one another in some list), the longer lists' entries, and the sets of both."""
     spark = docs.sparkSession
     seen = store.keep(profile(docs, k), "jaccard-profile")
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
@@ -492,22 +505,36 @@ def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFr
     shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max(F.shiftright("at", 32)).alias("n"))
     alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive")
     # a pair that meets in short lists of unhinted elements only has all its common elements counted; long lists come again below
-    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.expr("sum(at & 2147483647)").alias("seen"), F.expr("max(at & 2147483648)").alias("long"), F.max(F.shiftright("at", 32)).alias("need"))
-    pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b")
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.expr("sum(at & 2147483647)").alias("seen"), F.expr("max(at & 2147483648)").alias("long"), F.max(F.shiftright("at", 32)).alias("need"), F.max("before").alias("next"))
+    pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b", "next")
     for side in ("a", "b"):
         pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
-    pairs = store.keep(pairs.select("a", "b"), "jaccard-pairs")
+    pairs = store.keep(pairs.select("a", "b", "next"), "jaccard-pairs")
     entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at", "before").join(alive, "key", "left_semi")
+    entries = store.keep(entries, "jaccard-entries")
+    store.drop(found, alive)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
     return members, pairs, entries, store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
 
 
 def _of_pairs(pairs: DataFrame) -> DataFrame:
-    """Cells of pairs: a class asks all that it is paired with."""
+    """Cells of pairs (a, b and their components ca, cb): a class asks all that it is paired with."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("b").alias("comp"))
-    asking = others.select("c1", "c2", "c3").distinct().select("c1", "c2", "c3", zero.alias("role"), F.col("c2").alias("key"), F.col("c2").alias("comp"))
-    return others.unionByName(asking)
+    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("cb").alias("comp"))
+    asking = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), zero.alias("role"), F.col("a").alias("key"), F.col("ca").alias("comp")).distinct()
+    return others.unionByName(asking).withColumn("asks", F.lit(None).cast("array<long>"))
+
+
+def _own(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with each class its own component."""
+    return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+
+
+def _still_apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` whose classes are in different ones of the ``known`` components, with these."""
+    for side in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return pairs.filter("ca <> cb")
 
 
 def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -519,11 +546,12 @@ def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple
     """
     t = Fraction(threshold)
     members, pairs, entries, sets = _candidates(docs, k, t)
-    found = _search(_of_pairs(pairs), sets, t, every=True)
+    found = _search(_of_pairs(_own(pairs)), sets, t, every=True)
     # each class its own component: no pair of a longer list is left out
-    cells = _apart(entries.select("token", "key", "at", F.col("key").alias("comp"), "before"), t).distinct()
-    found = found.unionByName(_search(cells, sets, t, every=True))
-    return store.keep(found.distinct(), "jaccard-every-link"), members
+    cells = _apart(entries.select("token", "key", "at", F.col("key").alias("comp"), "before"), t)
+    found = store.keep(found.unionByName(_search(cells, sets, t, every=True)).distinct(), "jaccard-every-link")
+    store.drop(pairs, entries, sets)
+    return found, members
 
 
 def link_counts(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -543,13 +571,20 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     """
     t = Fraction(threshold)
     members, pairs, entries, sets = _candidates(docs, k, t)
-    links = store.keep(_search(_of_pairs(pairs), sets, t).select("a", "b"), "jaccard-links")
+    # the pairs next to one another join most of what belongs together; of the others only those between components are left
+    links = store.keep(_search(_of_pairs(_own(pairs.filter("next = 1"))), sets, t).select("a", "b"), "jaccard-links")
+    known = components(links)
+    rest = store.keep(_still_apart(pairs.filter("next = 0"), known).select("a", "b", "ca", "cb"), "jaccard-rest")
+    if not rest.isEmpty():
+        links = store.keep(links.unionByName(_search(_of_pairs(rest), sets, t).select("a", "b")), "jaccard-links")
+    store.drop(pairs, rest)
 
     if not entries.isEmpty():
         known = components(links)
-        entries = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
-        cells = _apart(entries, t).distinct()
+        placed = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
+        cells = _apart(placed, t)
         links = store.keep(links.unionByName(_search(cells, sets, t).select("a", "b")), "jaccard-links")
+    store.drop(entries, sets)
     known = components(links)
 
     classes = members.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
@@ -561,7 +596,9 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
 
 
 def deduplicate(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id; rows that share the least id stay."""
-    kept = join(docs, k, threshold).filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    kept = kept.select(F.col("doc_id").alias("kept_id"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` without the ids whose component has a smaller one; of an id with several rows all stay or none, and they stay if one of them does."""
+    name = "kept_id"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    kept = join(docs, k, threshold).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")

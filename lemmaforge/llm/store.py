@@ -9,14 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one is set."""
-    place = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset a temporary one is set, but only if driver and executors
+    are one process; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    place = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="lemmaforge-")
-        spark.conf.set("spark.checkpoint.dir", place) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
-        place = spark.sparkContext.getCheckpointDir()
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(place)
+        place = context.getCheckpointDir()
     return place
 
 
@@ -28,4 +34,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, and any executor can be lost."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete tables of ``keep`` from which nothing that is still to be computed reads."""
+    for df in kept:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

@@ -10,6 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lemmaforge.llm import chat, decontamination, fingerprints, jaccard_join, licenses, mixing, quality, queries, token_files, toxicity, url_filter
 from lemmaforge.llm import words as wk
@@ -93,8 +94,40 @@ def test_jaccard_join(spark, docs, empty):
     assert jaccard_join.join(empty).count() == 0 and jaccard_join.deduplicate(docs).columns == docs.columns
 
 
-def test_long_lists(spark):
-    """A group of near copies beyond the neighbours of the first round, with outsiders."""
+def reach(nodes, links):
+    """The least node that each one reaches."""
+    near = {x: set() for x in nodes}
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+    out = {}
+    for x in sorted(nodes):
+        todo = [x] if x not in out else []
+        while todo:
+            y = todo.pop()
+            if y not in out:
+                out[y] = x
+                todo += near[y]
+    return out
+
+
+def test_components(spark):
+    """Forests in one task and star rounds, on paths, stars and random links."""
+    rng = random.Random(7)
+    graphs = [[(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 50)], [(rng.randrange(300), rng.randrange(300)) for _ in range(250)], []]
+    for links in graphs:
+        df = spark.createDataFrame(links, "a long, b long").repartition(3)
+        nodes = {x for p in links if p[0] != p[1] for x in p}
+        for one_task in (10**6, 0):
+            found = components(df, one_task=one_task).collect()
+            assert {r["node"]: r["component"] for r in found} == reach(nodes, [p for p in links if p[0] != p[1]]) and len(found) == len(nodes)
+
+
+@pytest.mark.parametrize("comparisons", [1 << 31, 0])
+def test_long_lists(spark, monkeypatch, comparisons):
+    """A group of near copies beyond the neighbours of the first round, with outsiders; lists compared whole and in blocks."""
+    monkeypatch.setattr(jaccard_join, "MOST_COMPARISONS", comparisons)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     rng = random.Random(4)
     base = [f"b{i}" for i in range(100)]
     texts = []
@@ -106,8 +139,18 @@ def test_long_lists(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets = [shingles(t) for t in texts]
     links = [(a, b) for a in range(90) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    expected = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long"), one_task=0).collect()}
-    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()} == {i: expected.get(i, i) for i in range(90)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.join(df).collect()} == reach(range(90), links)
+
+
+def test_jaccard_repeated_rows(spark):
+    """Repeated ids, null ids and a clashing column."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 5), (1, text, 6), (2, text + " z", 7), (None, text, 8), (3, "other words", 9), (3, text, 10), (4, None, 11)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int").withColumn("Kept_id_", F.lit(1))
+    found = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.join(df).collect()), key=str)
+    assert found == sorted([(1, 26, 1), (1, 26, 1), (2, 27, 1), (None, 26, 1), (3, 1, 3), (3, 26, 1), (4, 0, 4)], key=str)
+    kept = jaccard_join.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r["kept_id"] for r in kept.collect()) == [5, 6, 8, 9, 10, 11]
 
 
 def test_every_link(spark, docs, empty):
