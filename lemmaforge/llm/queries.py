@@ -61,21 +61,29 @@ URL_RULES = (
     url_filter.Rule("block", "net", "/es/"),
     url_filter.Rule("block", "net", "/fr/"),
 )
-URL_OWN = (
-    url_filter.Rule("block", glob="*spam*"),
-    url_filter.Rule("block", glob="*spam*/**"),
-    url_filter.Rule("block", glob="*cheap-pills*"),
-    url_filter.Rule("block", glob="*cheap-pills*/**"),
-    url_filter.Rule("block", glob="*free-bets*"),
-    url_filter.Rule("block", glob="*free-bets*/**"),
-)
+#: Words that mark a host wherever they stand in it, and those that do as a part between dots and hyphens.
+URL_CONTAINS = "casino roulette blackjack jackpot sportsbook porn hentai xvideo escort camgirl viagra cialis tramadol phentermine cheap-pills payday-loan replica-watch free-bets clickbait malware phishing keygen warez popunder doubleclick adserver".split()
+URL_PARTS = "ad ads adult xxx sex nude milf bet bets betting poker slots lottery pills pharma track tracker tracking spam banner crack torrent phish scam".split()
+#: Ends of paths that hold no text, and folders of scripts, logins and counters.
+URL_ENDS = ".exe .msi .dmg .apk .iso .zip .rar .7z .gz .tar .jpg .jpeg .png .gif .webp .ico .mp3 .mp4 .avi .mov .css .js .woff .woff2".split()
+URL_FOLDERS = "cgi-bin wp-login.php wp-admin adserver trackback counter popup".split()
+
+
+def url_globs() -> list[str]:
+    hosts = [f"*{x}*" for x in URL_CONTAINS]
+    hosts += [f"{before}{x}{behind}" for x in URL_PARTS for before in ("", "*.", "*-") for behind in ("", ".*", "-*")]
+    paths = [f"**/**{x}" for x in URL_ENDS] + [g for x in URL_FOLDERS for g in (f"**/{x}", f"**/{x}/**")]
+    return [g for x in hosts for g in (x, f"{x}/**")] + paths
+
+
+URL_OWN = tuple(url_filter.Rule("block", glob=x) for x in url_globs())
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES, URL_OWN)
 
 
-OP5_SQL = """
+OP5_SQL = f"""
 WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id,
         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -89,7 +97,8 @@ r AS (SELECT *, CASE
 SELECT CAST(page_id AS BIGINT) AS page_id, host, path, rule, CASE
         WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
         WHEN rule IS NOT NULL THEN 'block'
-        WHEN contains(host, 'spam') OR contains(host, 'cheap-pills') OR contains(host, 'free-bets') THEN 'block'
+        WHEN regexp_matches(host, '{"|".join(URL_CONTAINS)}') OR regexp_matches(host, '(^|[.-])({"|".join(URL_PARTS)})([.-]|$)') THEN 'block'
+        WHEN regexp_matches(path, '(?s)/.*({"|".join(x.replace(".", "[.]") for x in URL_ENDS)})$') OR regexp_matches(path, '/({"|".join(x.replace(".", "[.]") for x in URL_FOLDERS)})(/|$)') THEN 'block'
         ELSE 'allow' END AS verdict
 FROM r
 """

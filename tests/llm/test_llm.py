@@ -340,6 +340,13 @@ def test_quality(spark, empty):
 
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "http://x.net/es/a", "http://net/fr/", "ftp://b.com", "b.com/en/", None, "", "http://evilexample.com/en/", "http://a.org/example.com/en/", "http://spam-farm.example.org/q", "http://é.com/ü", "http:///en/", "http://" + "a" * 3000 + ".com/"]
+    urls += ["http://x.casino-win.org/a", "http://my-ads.org", "http://a.org/b/c.zip?d", "http://a.org/cgi-bin/x", "http://roads.org/essex/zip", "http://spam.net/es/1", "http://a.org/" + "b/" * 20000 + "counter"]
+
+    def own(host, path):
+        parts = set(re.split(r"[.-]", host))
+        named = any(x in host for x in queries.URL_CONTAINS) or parts & set(queries.URL_PARTS)
+        return named or any(path.endswith(x) for x in queries.URL_ENDS) or set(path.split("/")[1:]) & set(queries.URL_FOLDERS)
+
     rows = queries.url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES, queries.URL_OWN).collect()
     for r in rows:
         url = urls[r["page_id"]] or ""
@@ -349,7 +356,11 @@ def test_url_filter(spark):
         fits = [x for x in queries.URL_RULES if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
         best = max(fits, key=lambda x: len(x.name), default=None)
         assert (r["host"], r["path"], r["rule"]) == (host, path, best.name if best else None)
-        assert r["verdict"] == (best.verdict if best else "block" if "spam" in host else "allow")
+        assert r["verdict"] == (best.verdict if best else "block" if own(host, path) else "allow"), url
+    assert {r["page_id"] for r in rows if r["rule"] is None and r["verdict"] == "block"} >= {10, 14, 15, 16, 17}
+    assert queries.url_filter.judge(spark.createDataFrame([], "page_id long, url string"), queries.URL_RULES, queries.URL_OWN).count() == 0
+    repeated = spark.createDataFrame([(1, "http://a.net/es/", "x")] * 2 + [(None, "http://ads.org", "y")], "page_id long, url string, host string")
+    assert sorted((r["page_id"] or 0, r["verdict"]) for r in queries.url_filter.judge(repeated, queries.URL_RULES, queries.URL_OWN).collect()) == [(0, "block"), (1, "block"), (1, "block")]
 
 
 def test_automaton_against_regex():
