@@ -261,22 +261,50 @@ def test_mixing_many_shards(spark):
     assert {r["extra"] for r in mixed if r["doc_id"] == 5} >= {7, 8}
 
 
+def license_spans(words, k=3):
+    """Label, base, votes, cover and first word of every span, by the rules of the docstring."""
+    for label, base, t in licenses.templates(k):
+        size = len(t) - k + 1
+        lines = {}
+        for p in range(len(words) - k + 1):
+            for q in range(size):
+                if words[p : p + k] == t[q : q + k]:
+                    lines.setdefault(p - q, []).append((p, q))
+        found, before = [], None
+        for d in sorted(lines):
+            votes = {q for _, q in lines[d]}
+            if base or before is None or d - before[0] > licenses.NEAR_DIAGONALS or votes & before[1]:
+                found.append([])
+            found[-1] += lines[d]
+            before = d, votes
+        for span in found:
+            n = len({q for _, q in span})
+            first, last = min(span)[0], max(span)[0]
+            yield label, base, n, n / max(size, last - first + 1), first, size
+
+
 def test_licenses(docs, spark, empty):
-    phrases = ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC", "under the mit, license", "licensed under the GNU General Public License version 3", "cc byK nc"]
-    rows = [(i, t) for i, t in enumerate([*phrases, " ".join(phrases * 3), None, "", "cc by"])]
-    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    phrases = ["Released under the MIT License.", "Apache License, Version 2.0", "CC BY-NC", "under the mit, license", "licensed under the GNU General Public License version 3", "cc byK nc", "this work is " * 8, "this work is x " * 8]
+    notice = licenses.TEMPLATES["mit"][2].split()
+    phrases += [" ".join(notice), " ".join(notice[:20] + ["really"] + notice[20:]), " ".join(notice[:30] + notice[32:]), " ".join(notice[:12]), " ".join(reversed(notice)), " ".join(x for w in notice for x in (w, "and"))]
+    rng = random.Random(11)
+    words = sorted({w for _, _, t in licenses.templates() for w in t[:8]})
+    mixed = [" ".join(rng.choice(phrases[:5] + [rng.choice(words) for _ in range(6)]) for _ in range(40)) for _ in range(20)]
+    rows = [(i, t) for i, t in enumerate([*phrases, " ".join(phrases * 3), None, "", "cc by", *mixed, "cc by nc " * 20000])] + [(0, phrases[0])]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS w", "2 AS row", "3 AS p", "4 AS template")).collect()
+    found = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows)
     for i, t in rows:
         w = ALNUM.findall((t or "").translate(AZ))
-        places, labels = [], set()
-        for label, phrase in licenses.PHRASES.items():
-            p = phrase.split()
-            at = [j for j in range(len(w)) if w[j : j + len(p)] == p]
-            places += at
-            labels |= {label} if at else set()
+        own = list(license_spans(w))
+        places = [first for _, base, n, _, first, size in own if base and n == size]
+        labels = {label for label, base, n, _, _, size in own if base and n == size}
+        every = labels | {label for label, base, _, cover, _, _ in own if not base and cover >= licenses.LEAST_COVER}
         r = found[i]
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
-        assert labels <= set(r["labels"].split(",")) | {""} and 0 <= r["score"] <= 1
-    assert "gpl-3" in found[4]["labels"] and licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
+        assert (r["labels"], r["score"]) == (",".join(sorted(every)), pytest.approx(max((x[3] for x in own), default=0)))
+    assert "gpl-3" in found[4]["labels"] and found[6]["labels"] == found[7]["labels"] == "" and [found[i]["labels"] for i in (8, 9, 10, 11)] == ["mit", "mit", "mit", ""]
+    assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
 def labelled(spark):
