@@ -26,6 +26,7 @@ rows there are no terms and every text scores the base rate.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -67,10 +68,18 @@ COST_LOOKALIKE, COST_MARK, COST_SIGN, COST_REPEAT = 1.0, 0.5, 5.0, 0.7
 COST_EDGE = 2.0
 #: Readings that list decoding keeps, and nats that they may lie below the best.
 LISTED, MARGIN = 6, 6.0
+#: Letters of a reading that count: a longer word is known by so many of its first ones.
+MOST_LETTERS = 64
+#: Characters of a run that are decoded at a time, and how many two such windows share.
+WINDOW, SHARED = 2048, 256
 #: Of a character that follows itself more often, further copies are dropped from every reading.
 COPIES = 6
 
 
+#: Of one character: (emitted text, next state, cost).
+Arcs = tuple[tuple[str, int, float], ...]
+
+
 class CharModel:
     """Character bigrams over a-z and a word edge (0)."""
 
@@ -83,8 +92,9 @@ class CharModel:
         self.memo: dict[str, tuple[str, ...]] = {}
 
     def decode(self, run: str) -> str:
-        """The likeliest reading of ``run``, its words parted by blanks."""
-        return self._lattice(run)[1]
+        """The likeliest reading of ``run``, its words parted by blanks; a long run is decoded in windows."""
+        steps = _arcs(run, True, COST_MARK)
+        return " ".join("".join(self._lattice(steps[lo : lo + WINDOW])[1] for lo in range(0, len(steps), WINDOW)).split())
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words that may stand behind one blank-free token: as it is, as disguised, and those of its parts."""
@@ -102,6 +112,8 @@ class CharModel:
             for part in {*parts, *(y for x in parts for y in _SIGNS.split(x) if y)}:
                 for x in _kept(part) if len(parts) > 1 else (part,):
                     out |= {x} | self._thinned(x) if x.isalpha() else self.readings(x, edges=False, at_edge=COST_SIGN)
+        if len(token) > MOST_LETTERS:
+            return tuple(out)
         self.memo[token] = tuple(out)
         return self.memo[token]
 
@@ -118,22 +130,28 @@ class CharModel:
             most = max(score for _, score in ways)
             step = {x + way: score + own - most for x, score in lines.items() for way, own in ways if score + own - most >= -MARGIN}
             lines = dict(sorted(step.items(), key=lambda x: (-x[1], x[0]))[:LISTED])
-        return set(lines)
+            if min(map(len, lines)) >= MOST_LETTERS:  # what follows is the same for all
+                break
+        return {x[:MOST_LETTERS] for x in lines}
 
     def readings(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> set[str]:
-        """Every word of a reading of ``run`` that lies within MARGIN nats of the likeliest one.
+        """Every word of a reading of ``run`` that lies within MARGIN nats of the likeliest one, its first MOST_LETTERS letters.
 
         Without ``edges``, all is one word; ``at_edge`` is the cost of dropping a sign at an end of a token.
+        A long run is decoded in windows that share SHARED characters, so that a word of as many stands whole in one.
         """
-        return self._lattice(run, edges, at_edge)[0]
+        steps = _arcs(run, edges, at_edge)
+        words = self._lattice(steps[:WINDOW])[0]
+        for lo in range(WINDOW - SHARED, len(steps) - SHARED, WINDOW - SHARED) if edges else ():
+            words |= self._lattice(steps[lo : lo + WINDOW])[0]
+        return words
 
-    def _lattice(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> tuple[set[str], str]:
+    def _lattice(self, steps: list[Arcs]) -> tuple[set[str], str]:
         """Words within MARGIN nats, by list Viterbi ahead of exact scores from behind, and the likeliest reading.
 
         States are last letters (0 at a word's start or after a letter outside a-z, which stays as it is).
         """
         log, ends = self.rows, self.ends
-        steps = _arcs(run, edges, at_edge)
         ahead: list[dict[int, tuple[float, int, str]]] = [{0: (0.0, 0, "")}]
         for arcs in steps:
             step: dict[int, tuple[float, int, str]] = {}
@@ -180,9 +198,9 @@ class CharModel:
                             continue
                         key, x = (s, part), score - cost
                     elif k:
-                        key, x = (k, part + emit), score + log[s][k] - cost
+                        key, x = (k, part + emit if len(part) < MOST_LETTERS else part), score + log[s][k] - cost
                     else:
-                        key, x = (0, "" if emit == " " else part + emit), score + ends[s] - cost
+                        key, x = (0, "" if emit == " " else part + emit if len(part) < MOST_LETTERS else part), score + ends[s] - cost
                     if x + after[key[0]] < least:
                         continue
                     if emit == " " and part:
@@ -204,7 +222,7 @@ class CharModel:
         for step in reversed(ahead[1:]):
             _, s, emit = step[s]
             out.append(emit)
-        return words, " ".join("".join(reversed(out)).split())
+        return words, "".join(reversed(out))
 
 
 def _kept(token: str) -> set[str]:
@@ -216,13 +234,30 @@ def _kept(token: str) -> set[str]:
     return {x + core + y for x in ("", lead[-1:], lead) for y in ("", trail[:1], trail)}
 
 
-def _arcs(run: str, edges: bool, at_edge: float) -> list[list[tuple[str, int, float]]]:
+@functools.lru_cache(4096)
+def _readings_of(c: str, again: bool, outer: bool, edges: bool, at_edge: float) -> Arcs:
+    """Of one character: ``again`` behind itself, ``outer`` at an end of its token."""
+    if c in _LETTERS:
+        arcs = [(c, ord(c) - 96, 0.0)]
+    elif c in LOOKALIKES:
+        arcs = [(x, ord(x) - 96, COST_LOOKALIKE) for x in LOOKALIKES[c]]
+        arcs.append(("", 0, at_edge if c in EDGE and outer else COST_SIGN))
+        if edges and c in EDGE:
+            arcs.append((" ", 0, COST_EDGE))
+    else:
+        arcs = [(c, 0, 0.0)]
+    if again:
+        arcs.append(("", 1, COST_REPEAT))
+    return tuple(arcs)
+
+
+def _arcs(run: str, edges: bool, at_edge: float) -> list[Arcs]:
     """Per character (emitted text, next state, cost): no text drops the character, a blank ends the word.
 
     A drop with state 1 needs a letter before it.  Neighbouring blanks and marks are one.
     """
-    blank = [("", 0, COST_MARK), (" ", 0, COST_EDGE)] if edges else [("", 0, COST_MARK)]
-    out: list[list[tuple[str, int, float]]] = []
+    blank = (("", 0, COST_MARK), (" ", 0, COST_EDGE)) if edges else (("", 0, COST_MARK),)
+    out: list[Arcs] = []
     before, copies, parted = "", 0, False
     for at, token in enumerate(run.split()):
         lead, trail = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
@@ -237,20 +272,8 @@ def _arcs(run: str, edges: bool, at_edge: float) -> list[list[tuple[str, int, fl
                 continue
             copies = copies + 1 if c == before else 1
             before, parted = c, False
-            if copies > COPIES:
-                continue
-            if c in _LETTERS:
-                arcs = [(c, ord(c) - 96, 0.0)]
-            elif c in LOOKALIKES:
-                arcs = [(x, ord(x) - 96, COST_LOOKALIKE) for x in LOOKALIKES[c]]
-                arcs.append(("", 0, at_edge if c in EDGE and (i < lead or i >= trail) else COST_SIGN))
-                if edges and c in EDGE:
-                    arcs.append((" ", 0, COST_EDGE))
-            else:
-                arcs = [(c, 0, 0.0)]
-            if copies > 1:
-                arcs.append(("", 1, COST_REPEAT))
-            out.append(arcs)
+            if copies <= COPIES:
+                out.append(_readings_of(c, copies > 1, i < lead or i >= trail, edges, at_edge))
     return out
 
 
