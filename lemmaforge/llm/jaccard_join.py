@@ -20,6 +20,10 @@ reaches the threshold.  The join is exact and goes through inverted lists:
    component.  Where the list is longer, a last round takes every pair of it
    whose two sides are still in different components: links inside a component
    are of no use to it.  The pairs of very long lists are compared in blocks.
+   Before any set moves, candidates are held against each other by parity
+   bitmaps: of n elements, bit h mod b counts those with that hash, modulo 2.
+   Sets whose bitmaps differ in x bits have (n + m - x) / 2 common elements at
+   most; pairs below their need are gone, the others go on.
 4. Candidates are grouped into cells: a few query sets and a stream of others.
    A set goes to a cell once, whatever the number of its pairs there.
    In a cell DivideSkip answers the T-occurrence problem: the query's lists
@@ -79,6 +83,27 @@ def _fingerprint(a: np.ndarray) -> int:
     return int(wk.mix(np.array([s], wk.U) + wk.U(len(a))).view(np.int64)[0])
 
 
+def parities(a: np.ndarray) -> bytes:
+    """Bitmap of a set, of the power of two from twice its size on: a bit is 1 if an odd number of elements fall on it."""
+    b = max(64, 1 << (2 * len(a) - 1).bit_length())
+    return np.packbits(np.bincount((a & wk.U(b - 1)).astype(np.int64), minlength=b).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) as they are with fewer bits."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def may_reach(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, t: Fraction) -> np.ndarray:
+    """Whether sets of n and m elements with bitmaps x and y (rows of 64-bit words) can have the overlap that they need."""
+    words = min(x.shape[-1], y.shape[-1])
+    apart = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum(axis=-1, dtype=np.int64)
+    return (n + m - apart) // 2 >= -(-t.numerator * (n + m) // (t.numerator + t.denominator))
+
+
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     for lo, _, off, data in wk.slices(column):
         starts, ends, first = wk.spans(off, data, wk.BLANK)
@@ -102,7 +127,7 @@ def least_shared(t: Fraction = THRESHOLD) -> Column:
 
 
 def profile(docs: DataFrame, k: int = K) -> DataFrame:
-    """Rows of two kinds: 0 = (document id, class, set size); 1 = (shingle, copies seen together, -)."""
+    """Rows of two kinds: 0 = (document id, class, set size, its bitmap where the task meets the class first); 1 = (shingle, copies seen together, -, -)."""
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,27 +139,30 @@ def profile(docs: DataFrame, k: int = K) -> DataFrame:
             u, c = u[c >= 3].view(np.int64), c[c >= 3]
             held.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(u), np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int8)), pa.array(u), pa.array(c.astype(np.int64)), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.binary())], names)
 
-        names = ["kind", "a", "b", "c"]
+        names = ["kind", "a", "b", "c", "bits"]
         for batch in batches:
             key: list[int | None] = []
             n: list[int] = []
+            bits: list[bytes | None] = []
             for _, sets in _sets(batch.column(1), k):
                 for a in sets:
                     n.append(len(a))
                     key.append(_fingerprint(a) if len(a) else None)
+                    bits.append(None)
                     if len(a) and key[-1] not in seen:
                         seen.add(key[-1])
+                        bits[-1] = parities(a)
                         held.append(a)
                         size += len(a)
                 if size >= _FLUSH:
                     size = 0
                     yield flush()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int8)), batch.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary())], names)
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind byte, a long, b long, c long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind byte, a long, b long, c long, bits binary")
 
 
 class Order:
@@ -345,6 +373,96 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
     return entries.repartition("token").sortWithinPartitions("token", F.shiftright("at", 32), "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long, asks array<long>")
 
 
+def _bitmaps(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, wk.U) for x in column.to_pylist()]
+
+
+def _possible(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """``pairs`` (a, b, next) that their bitmaps allow to link."""
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"x{side}")), side)
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = _bitmaps(batch.column("xa")), _bitmaps(batch.column("xb"))
+            n, m = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            wide = np.array([(len(v), len(w)) for v, w in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+            keep = np.zeros(batch.num_rows, bool)
+            for pair in np.unique(wide, axis=0):
+                at = np.flatnonzero((wide == pair).all(axis=1))
+                keep[at] = may_reach(n[at], np.stack([x[i] for i in at]), m[at], np.stack([y[i] for i in at]), t)
+            yield batch.select(["a", "b", "next"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "next", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, next long")
+
+
+def _possible_cells(cells: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
+    """``cells`` with the classes that their bitmaps allow to link."""
+    names = ["c1", "c2", "c3", "role", "key", "comp", "asks"]
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell: tuple | None = None
+        queries: list[tuple[int, int, frozenset[int] | None, int, np.ndarray, list[int]]] = []
+        others: dict[int, list[tuple[int, int, int, np.ndarray]]] = {}
+        members: dict[int, int] = {}
+        rows: list[tuple] = []
+
+        def work() -> None:
+            for group in others.values():
+                keys, n, comp = (np.array(x, np.int64) for x in list(zip(*group, strict=True))[:3])
+                x = np.stack([g[3] for g in group])
+                for own, c, asked, m, y, found in queries:
+                    fits = (keys != own) & (comp != c)
+                    if asked is not None:
+                        fits &= np.fromiter((z in asked for z in keys.tolist()), bool, len(keys))
+                    at = np.flatnonzero(fits)
+                    at = at[may_reach(n[at], x[at], np.int64(m), y, t)]
+                    found += keys[at].tolist()
+                    members.update(zip(keys[at].tolist(), comp[at].tolist(), strict=True))
+            others.clear()
+
+        def done() -> None:
+            work()
+            for own, c, _, _, _, found in queries:
+                if found:
+                    rows.append((*cell, 0, own, c, found))
+            rows.extend((*cell, 1, z, c, None) for z, c in members.items())
+            queries.clear()
+            members.clear()
+
+        def batch_of() -> pa.RecordBatch:
+            m = np.array([x[:6] for x in rows], np.int64).reshape(-1, 6)
+            out = pa.RecordBatch.from_arrays([*(pa.array(m[:, i]) for i in range(6)), pa.array([x[6] for x in rows], pa.list_(pa.int64()))], names)
+            rows.clear()
+            return out
+
+        for batch in batches:
+            c1, c2, c3, role, key, comp, asks, n = (batch.column(i).to_pylist() for i in range(8))
+            bitmaps, waiting = _bitmaps(batch.column(8)), 0
+            for i in range(batch.num_rows):
+                if (here := (c1[i], c2[i], c3[i])) != cell:
+                    done()
+                    cell, waiting = here, 0
+                if role[i] == 0:
+                    queries.append((key[i], comp[i], frozenset(asks[i]) if asks[i] is not None else None, n[i], bitmaps[i], []))
+                else:
+                    others.setdefault(len(bitmaps[i]), []).append((key[i], n[i], comp[i], bitmaps[i]))
+                    waiting += 1
+                    if waiting == BLOCK:
+                        work()
+                        waiting = 0
+            if len(rows) >= 1000:
+                yield batch_of()
+        done()
+        if rows:
+            yield batch_of()
+
+    filled = cells.join(bits, "key").select(*names, "n", "bits")
+    return filled.repartition("c1", "c2", "c3").sortWithinPartitions("c1", "c2", "c3", "role", "key").mapInArrow(run, "c1 long, c2 long, c3 long, role long, key long, comp long, asks array<long>")
+
+
 def divide_skip(query: np.ndarray, others: list[np.ndarray], needs: list[int], mu: float = 0.0085) -> list[tuple[int, int]]:
     """(index, overlap) of the ``others`` that share at least their need with ``query``.
 
@@ -493,8 +611,8 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, tokens array<long>").groupBy("key").agg(F.any_value("tokens").alias("tokens"))
 
 
-def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b, next = 1 if next to one another in some list), the longer lists' entries, and the sets of both."""
+def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b, next = 1 if next to one another in some list), the longer lists' entries, and the bitmaps and sets of both."""
     spark = docs.sparkSession
     seen = store.keep(profile(docs, k), "jaccard-profile")
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
@@ -509,12 +627,16 @@ def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFr
     pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b", "next")
     for side in ("a", "b"):
         pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
-    pairs = store.keep(pairs.select("a", "b", "next"), "jaccard-pairs")
+    near = store.keep(pairs.select("a", "b", "next"), "jaccard-near")
     entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at", "before").join(alive, "key", "left_semi")
     entries = store.keep(entries, "jaccard-entries")
-    store.drop(found, alive)
+    keys = near.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key")).distinct()
+    bits = seen.filter("kind = 0 AND bits IS NOT NULL").select(F.col("b").alias("key"), F.col("c").alias("n"), "bits")
+    bits = store.keep(bits.join(keys, "key", "left_semi").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-bits")
+    pairs = store.keep(_possible(near, bits, t), "jaccard-pairs")
+    store.drop(found, alive, near)
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
-    return members, pairs, entries, store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
+    return members, pairs, entries, bits, store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
 
 
 def _of_pairs(pairs: DataFrame) -> DataFrame:
@@ -545,12 +667,12 @@ def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple
     a group's classes.  Rows without shingles have no key.
     """
     t = Fraction(threshold)
-    members, pairs, entries, sets = _candidates(docs, k, t)
+    members, pairs, entries, bits, sets = _candidates(docs, k, t)
     found = _search(_of_pairs(_own(pairs)), sets, t, every=True)
     # each class its own component: no pair of a longer list is left out
     cells = _apart(entries.select("token", "key", "at", F.col("key").alias("comp"), "before"), t)
-    found = store.keep(found.unionByName(_search(cells, sets, t, every=True)).distinct(), "jaccard-every-link")
-    store.drop(pairs, entries, sets)
+    found = store.keep(found.unionByName(_search(_possible_cells(cells, bits, t), sets, t, every=True)).distinct(), "jaccard-every-link")
+    store.drop(pairs, entries, bits, sets)
     return found, members
 
 
@@ -570,7 +692,7 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     Components need a spanning forest of the links only; ``links`` has all of them.
     """
     t = Fraction(threshold)
-    members, pairs, entries, sets = _candidates(docs, k, t)
+    members, pairs, entries, bits, sets = _candidates(docs, k, t)
     # the pairs next to one another join most of what belongs together; of the others only those between components are left
     links = store.keep(_search(_of_pairs(_own(pairs.filter("next = 1"))), sets, t).select("a", "b"), "jaccard-links")
     known = components(links)
@@ -582,9 +704,9 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     if not entries.isEmpty():
         known = components(links)
         placed = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
-        cells = _apart(placed, t)
+        cells = _possible_cells(_apart(placed, t), bits, t)
         links = store.keep(links.unionByName(_search(cells, sets, t).select("a", "b")), "jaccard-links")
-    store.drop(entries, sets)
+    store.drop(entries, bits, sets)
     known = components(links)
 
     classes = members.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))

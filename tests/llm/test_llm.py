@@ -187,6 +187,23 @@ def test_divide_skip():
         assert sorted(jaccard_join.divide_skip(q, others, need)) == [(i, c) for i, c in exact if c >= need[i]]
 
 
+def test_parities():
+    """The bound never falls below the true overlap, and is that of equal and of very different sets."""
+    rng = np.random.default_rng(1)
+    t, told = Fraction(4, 5), 0
+    for _ in range(300):
+        pool = wk.mix(rng.integers(0, 1 << 62, 1200).astype(wk.U))
+        n = int(rng.integers(1, 500))
+        a = np.unique(pool[:n])
+        b = np.unique(np.concatenate([a[: int(n * rng.random())], pool[600 : 600 + int(rng.integers(1, 100))]]))
+        x, y = (np.frombuffer(jaccard_join.parities(s), wk.U) for s in (a, b))
+        possible = jaccard_join.may_reach(np.int64(len(a)), x, np.int64(len(b)), y, t)
+        links = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+        assert possible or not links
+        told += not possible
+    assert told > 150
+
+
 def test_mixing(spark, docs, empty):
     assert mixing.sainte_lague([53, 24, 23], 7) == [3, 2, 2] and mixing.sainte_lague([1, 1], 3, [1, 9]) == [1, 2] and mixing.sainte_lague([], 3) == []
     for votes in ([5, 3, 1], [10, 10, 10], [1000, 1, 1]):
