@@ -27,6 +27,8 @@ from ..relation import Statement, evaluate
 from . import solve
 
 FREE = 1e7
+#: Groups in which the tasks' bases of one candidate are merged before the last merge.
+FAN_IN = 64
 
 
 @dataclass(frozen=True)
@@ -59,11 +61,13 @@ def _points(y, f, h, c: Candidate) -> tuple[np.ndarray, np.ndarray]:
     return x[on], y[on]
 
 
-def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pred], candidates: Sequence[Candidate], box: float = FREE, least_rows: int = 1, nonneg: bool = False, most_passes: int = 30) -> list[Fit]:
+def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pred], candidates: Sequence[Candidate], box: float = FREE, least_rows: int = 1, nonneg: bool = False, solver: Callable = solve.lp) -> list[Fit]:
     """The optimal upper and lower form of each candidate with enough rows.
 
     ``nonneg`` restricts a single feature's slope, and its form's value at the
-    feature's mean, to 0 and above.
+    feature's mean, to 0 and above.  ``solver`` takes what ``solve.lp`` takes and
+    may stand in for it.  A pass adds rows that the optimum before violates, so
+    the optimum's value grows until no row does: passes end by themselves.
     """
     m = _matrix(df, target, features, hyps).persist()
     nf_, nh, cands = len(features), len(hyps), list(candidates)
@@ -95,12 +99,10 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
             if nonneg:
                 extra = np.vstack([np.eye(len(c))[:-1], c])
                 rows, least = np.vstack([rows, extra if up else -extra]), np.append(least, np.zeros(len(extra)))
-            got = solve.lp(rows, least, c, limit)
+            got = solver(rows, least, c, limit)
             return None if got is None else ((1.0 if up else -1.0) * got[0], got[1][got[1] < len(pts)])
 
-        for _ in range(most_passes):
-            if not open_:
-                break
+        while open_:
             todo, now, base = sorted(open_), dict(current), dict(held)
 
             def local(frames: Iterable[pd.DataFrame], todo=todo, now=now, base=base) -> Iterable[pd.DataFrame]:
@@ -123,6 +125,13 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
                         found[key] = pts[got[1]] if got is not None and len(got[1]) else pts[:1]
                 yield pd.DataFrame([(i, up, p.tolist()) for (i, up), ps in found.items() for p in ps], columns=["i", "up", "p"])
 
+            def narrow(group: pd.DataFrame) -> pd.DataFrame:
+                key = (int(group["i"].iloc[0]), bool(group["up"].iloc[0]))
+                pts = np.unique(np.array(group["p"].tolist()), axis=0)
+                got = optimum(key, pts)
+                pts = pts[got[1]] if got is not None and len(got[1]) else pts[:1]
+                return pd.DataFrame([(*key, p.tolist()) for p in pts], columns=["i", "up", "p"])
+
             def merge(group: pd.DataFrame) -> pd.DataFrame:  # noqa: B023  runs within this pass
                 key = (int(group["i"].iloc[0]), bool(group["up"].iloc[0]))
                 pts = np.unique(np.vstack([np.array(group["p"].tolist()), *([base[key]] if key in base else [])]), axis=0)
@@ -131,7 +140,10 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
                     return pd.DataFrame([(*key, [], [])], columns=["i", "up", "x", "p"])
                 return pd.DataFrame([(*key, got[0].tolist(), pts[got[1]].ravel().tolist())], columns=["i", "up", "x", "p"])
 
-            rows = m.mapInPandas(local, "i int, up boolean, p array<double>").groupBy("i", "up").applyInPandas(merge, "i int, up boolean, x array<double>, p array<double>").collect()
+            # a candidate's bases come from every task: they are merged in FAN_IN groups first, each of which hands on one basis
+            bases = m.mapInPandas(local, "i int, up boolean, p array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+            bases = bases.groupBy("i", "up", "part").applyInPandas(narrow, "i int, up boolean, p array<double>")
+            rows = bases.groupBy("i", "up").applyInPandas(merge, "i int, up boolean, x array<double>, p array<double>").collect()
             open_ = set()
             for r in rows:
                 key = (r["i"], r["up"])
@@ -205,13 +217,25 @@ def _statements(fits: Sequence[Fit], target: Expr, features: Sequence[Expr], hyp
     return out
 
 
-def family_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred], nonneg: bool = False) -> list[Statement]:
-    """All forms of one family over the pool, rounded; not yet verified."""
+@dataclass(frozen=True)
+class Forms:
+    """Fits with the features that their candidates refer to and the limits of their rounded forms."""
+
+    fits: list[Fit]
+    features: list[Expr]
+    den: int
+    most_coef: float
+    most_intercept: float
+    wrap: bool = False
+
+
+def family_fits(df: DataFrame, name: str, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred], nonneg: bool = False, solver: Callable = solve.lp, symmetric: bool = True) -> Forms:
+    """The optima of one family over the pool; unordered pairs of invariants once, unless ``symmetric`` is off."""
     family = FAMILIES[name]
     items = list(pool.values())
     if family.arity == 1:
         groups = [(x,) for x in items]
-    elif family.ordered:
+    elif family.ordered or not symmetric:
         groups = [(x, y) for x in items for y in items if family.repeat or x != y]
     else:
         groups = list(combinations(items, 2))
@@ -225,16 +249,27 @@ def family_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str,
         subsets.append(tuple(features.index(e) for e in made))
     cands = [Candidate(h, s) for h in range(len(hyps)) for s in dict.fromkeys(subsets)]
     goal = Log(target) if family.log_target else target
-    fits = fit(df, goal, features, hyps, cands, family.box, family.least_rows, nonneg)
-    return _statements(fits, target, features, hyps, family.den, family.most_coef, family.most_intercept, name, family.log_target)
+    return Forms(fit(df, goal, features, hyps, cands, family.box, family.least_rows, nonneg, solver), features, family.den, family.most_coef, family.most_intercept, family.log_target)
 
 
-def subset_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred]) -> list[Statement]:
+def subset_fits(df: DataFrame, name: str, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred], solver: Callable = solve.lp) -> Forms:
     """Linear forms over all subsets of up to k features; each subset is solved once."""
     k, den, box, most = SUBSETS[name]
     features = list(pool.values())
     cands = [Candidate(h, s) for h in range(len(hyps)) for j in range(1, k + 1) for s in combinations(range(len(features)), j)]
-    return _statements(fit(df, target, features, hyps, cands, box), target, features, hyps, den, most, most, name)
+    return Forms(fit(df, target, features, hyps, cands, box, solver=solver), features, den, most, most)
+
+
+def family_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred], nonneg: bool = False, solver: Callable = solve.lp, symmetric: bool = True) -> list[Statement]:
+    """All forms of one family over the pool, rounded; not yet verified."""
+    f = family_fits(df, name, target, pool, hyps, nonneg, solver, symmetric)
+    return _statements(f.fits, target, f.features, hyps, f.den, f.most_coef, f.most_intercept, name, f.wrap)
+
+
+def subset_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred], solver: Callable = solve.lp) -> list[Statement]:
+    """Linear forms over all subsets of up to k features, rounded; not yet verified."""
+    f = subset_fits(df, name, target, pool, hyps, solver)
+    return _statements(f.fits, target, f.features, hyps, f.den, f.most_coef, f.most_intercept, name)
 
 
 def free_lp(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
@@ -260,6 +295,17 @@ def ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) ->
     return out
 
 
+def rounded_ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
+    """For an integer target: t >= ⌈c·x⌉ and t <= ⌊c·x⌋ of the ratio bounds, where these hold on every row."""
+    from ..expr import ceil, floor
+
+    made = []
+    for s in ratios(df, target, features, hyp):
+        c = s.conclusion
+        made.append(Statement(hyp, Compare(c.op, target, ceil(c.b) if c.op == ">=" else floor(c.b)), stage="rounded_ratios"))
+    return verified(df, made)
+
+
 def convex_hull(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred, tol: float = 1e-8) -> list[Statement]:
     """Bounds from the hull's facets.  Tasks hand on their own hull's points; needs k + 2 rows, drops side facets.
 
@@ -269,26 +315,32 @@ def convex_hull(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred
     k = len(features)
     m = _matrix(df, target, features, [hyp])
 
+    def corners(pts: np.ndarray) -> np.ndarray:
+        """Points that may be a vertex: all hull facets' points where the set spans space, else all."""
+        pts = np.unique(pts, axis=0)
+        if k == 1 and len(pts):
+            return np.unique(np.vstack([solve.hull(pts, True), solve.hull(pts, False)]), axis=0)
+        return solve.vertices(pts)
+
     def local(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         kept, n = np.empty((0, k + 1)), 0
         for frame in frames:
             y, f, h = _of(frame, k, 1)
             x, t = _points(y, f, h, Candidate(0, tuple(range(k))))
             n += len(x)
-            pts = np.unique(np.vstack([kept, np.hstack([x, t[:, None]])]), axis=0)
-            if k == 1 and len(pts):
-                pts = np.unique(np.vstack([solve.hull(pts, True), solve.hull(pts, False)]), axis=0)
-            elif len(pts):
-                low = pd.DataFrame(pts).groupby(list(range(k)))[k].agg(["min", "max"]).reset_index().to_numpy()
-                pts = np.unique(np.vstack([low[:, [*range(k), k]], low[:, [*range(k), k + 1]]]), axis=0)
-            kept = pts
+            kept = corners(np.vstack([kept, np.hstack([x, t[:, None]])]))
         yield pd.DataFrame({"n": [n], "p": [kept.ravel().tolist()]})
 
-    # planar: hull vertices of each task; in space the extremes per feature vector
-    parts = m.mapInPandas(local, "n long, p array<double>").collect()
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        kept = corners(np.vstack([np.array(p).reshape(-1, k + 1) for p in group["p"]]))
+        return pd.DataFrame({"n": [int(group["n"].sum())], "p": [kept.ravel().tolist()]})
+
+    # vertices only leave a task, and are reduced again in FAN_IN groups before the last step
+    parts = m.mapInPandas(local, "n long, p array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+    parts = parts.groupBy("part").applyInPandas(merge, "n long, p array<double>").collect()
     if sum(p["n"] for p in parts) < k + 2:
         return []
-    pts = np.unique(np.vstack([np.array(p["p"]).reshape(-1, k + 1) for p in parts]), axis=0)
+    pts = corners(np.vstack([np.array(p["p"]).reshape(-1, k + 1) for p in parts]))
     out = []
     for w, b, upper in solve.facets(pts, tol):
         form = affine(list(zip(w.tolist(), features, strict=True)), b, 10**6, math.inf, math.inf, exact=True)

@@ -152,3 +152,14 @@ def facets(points: np.ndarray, tol: float = 1e-8) -> list[tuple[np.ndarray, floa
         out.append((w, float(y[own[0]] - w @ x[own[0]]), bool(side > 0)))
     out.sort(key=lambda f: (not f[2], *f[0].tolist(), f[1]))
     return out
+
+
+def vertices(points: np.ndarray) -> np.ndarray:
+    """The points on facets of the hull of different points; all of them where they span less than the space."""
+    wide = np.ptp(points, axis=0) if len(points) else np.zeros(0)
+    if len(points) <= points.shape[1] + 1 or not (wide > 0).all():
+        return points
+    p = (points - points.min(axis=0)) / wide
+    if len(_span(p)) < p.shape[1]:
+        return points
+    return points[np.unique(np.concatenate([on for _, on in _wrapped(p)]))]

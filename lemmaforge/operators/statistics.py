@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations, permutations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..expr import Expr, extreme
@@ -46,6 +46,44 @@ def noncomparable(df: DataFrame, features: Mapping[str, Expr], base: Pred = TRUE
     return _unpivot(df.filter(base.column()).agg(*cols), pairs, ["below", "above"], ["a", "b"]).filter("below AND above").select("a", "b")
 
 
+def medians(df: DataFrame, columns: Mapping[int, Column], cells: int = 256) -> dict[int, float | None]:
+    """The exact median of each column: counts in ``cells`` equal ranges close in on the middle rows, all columns in one pass a round.
+
+    A round sends one row of counts to the driver; a range that still holds the
+    middle is cut again, until it holds a single value.
+    """
+    cols = {i: nf.only_finite(c) for i, c in columns.items()}
+    if not cols:
+        return {}
+    first = df.agg(*[x for i, c in cols.items() for x in (F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"))]).first()
+    out: dict[int, float | None] = {i: None for i in cols if not first[f"n{i}"]}
+    # the ranks (from 0) of the one or two middle values, each searched for by itself
+    open_ = {(i, r): (first[f"lo{i}"], first[f"hi{i}"], 0) for i in cols if first[f"n{i}"] for r in {(first[f"n{i}"] - 1) // 2, first[f"n{i}"] // 2}}
+    found: dict[tuple[int, int], float] = {}
+    while open_:
+        for key, (lo, hi, _) in list(open_.items()):
+            if lo == hi:
+                found[key] = lo
+                del open_[key]
+        if not open_:
+            break
+        keys = list(open_)
+        rows = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.when((cols[i].cast("double") >= open_[i, r][0]) & (cols[i].cast("double") <= open_[i, r][1]), cols[i].cast("double")).alias("x"), F.lit(open_[i, r][0]).alias("lo"), F.lit(open_[i, r][1]).alias("hi")) for j, (i, r) in enumerate(keys)])).alias("v")).select("v.*").filter("x IS NOT NULL")
+        counted = rows.groupBy("j", F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
+        for j, key in enumerate(keys):
+            before = open_[key][2]
+            for c in sorted((c for c in counted if c["j"] == j), key=lambda c: c["cell"]):
+                if before + c["n"] > key[1]:
+                    open_[key] = (c["lo"], c["hi"], before)
+                    break
+                before += c["n"]
+    for i in cols:
+        if i not in out:
+            n = first[f"n{i}"]
+            out[i] = (found[i, (n - 1) // 2] + found[i, n // 2]) / 2
+    return out
+
+
 def incomparability(df: DataFrame, features: Mapping[str, Expr], base: Pred = TRUE, exact_median: bool = True) -> DataFrame:
     """Per pair: support, below, above, equal, their rates, balance, median and mean gap; most balanced first."""
     pairs = list(combinations(features, 2))
@@ -53,13 +91,17 @@ def incomparability(df: DataFrame, features: Mapping[str, Expr], base: Pred = TR
     for i, (a, b) in enumerate(pairs):
         x, y = nf.only_finite(features[a].column()), nf.only_finite(features[b].column())
         gap = F.abs(x - y)
-        mid = F.median(gap) if exact_median else F.percentile_approx(gap, 0.5, 10_000)
+        mid = F.lit(None).cast("double") if exact_median else F.percentile_approx(gap, 0.5, 10_000)
         cols += [F.count(gap).alias(f"support_{i}"), F.count_if(x < y).alias(f"below_{i}"), F.count_if(x > y).alias(f"above_{i}"), F.count("*").alias(f"n_{i}"), mid.alias(f"median_gap_{i}"), F.avg(gap).alias(f"mean_gap_{i}")]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, support long, below long, above long, n long, median_gap double, mean_gap double, rate_below double, rate_above double, balance double")
     out = _unpivot(df.filter(base.column()).agg(*cols), pairs, ["support", "below", "above", "n", "median_gap", "mean_gap"], ["a", "b"])
     out = out.withColumns({"rate_below": F.coalesce(F.try_divide(F.col("below"), F.col("support")), F.lit(0.0)), "rate_above": F.coalesce(F.try_divide(F.col("above"), F.col("support")), F.lit(0.0))})
     out = out.withColumn("balance", F.least("rate_below", "rate_above"))
+    if exact_median:
+        exact = medians(df.filter(base.column()), {i: F.abs(nf.only_finite(features[a].column()) - nf.only_finite(features[b].column())) for i, (a, b) in enumerate(pairs)})
+        known = df.sparkSession.createDataFrame([(a, b, exact[i]) for i, (a, b) in enumerate(pairs)], "a string, b string, exact double")
+        out = out.join(F.broadcast(known), ["a", "b"]).withColumn("median_gap", F.col("exact")).drop("exact")  # a row per pair of the caller's features
     return out.orderBy(F.desc("balance"), F.desc(F.least("below", "above")), F.desc("support"), "a", "b")
 
 
