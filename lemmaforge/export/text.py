@@ -140,6 +140,40 @@ def report(result, most: int = 20) -> str:
     return "\n".join(lines)
 
 
+def condition_report(conditions: Sequence, most: int = 20) -> str:
+    """Sufficient conditions under a heading for each property."""
+    by: dict[str, list] = {}
+    for c in conditions:
+        by.setdefault(c.property.label(), []).append(c)
+    lines = []
+    for name, own in by.items():
+        lines.append(f"{name}: {len(own)} conditions")
+        lines += [f"  {i}. {c.label()}   [covers {c.total_coverage} of {c.target_size}, holds on {c.support_h}, new {c.coverage}]" for i, c in enumerate(own[:most], 1)]
+    return "\n".join(lines)
+
+
+def class_report(found: Sequence) -> str:
+    """How the constant columns of each hypothesis stand to it."""
+    heads = {"≡": "equivalent", "⊂": "equalities inside the class", "⊃": "class inside the equalities", "≠": "neither"}
+    lines = []
+    for kind, head in heads.items():
+        own = [c for c in found if c.kind == kind]
+        lines.append(f"{head}: {len(own)}")
+        lines += [f"  {c.label()}   [equalities alone {c.only_equalities}, class alone {c.only_class}]" for c in own]
+    return "\n".join(lines)
+
+
 def table_report(session) -> dict:
     """What a session found at its start."""
     return {"rows": session.lattice.n, "flags": [f.name for f in session.flags], "invariants": list(session.invariants), "base": session.lattice.base.label(), "hypotheses": [(h.label(), session.lattice.support(h)) for h in session.hypotheses], "redundant": [(a.label(), b.label()) for a, b in session.lattice.redundant(session.lattice.conjunctions(session.max_arity))]}
+
+
+def initial_report(session) -> tuple[str, dict]:
+    """``table_report`` and the class report as text, and as a dict."""
+    found = table_report(session)
+    classes = session.characterise()
+    found["classes"] = [(c.label(), c.only_equalities, c.only_class) for c in classes]
+    lines = [f"{found['rows']} rows, {len(found['flags'])} flags, {len(found['invariants'])} invariants", f"base: {found['base']}"]
+    lines += [f"hypothesis {label}: {n} rows" for label, n in found["hypotheses"]]
+    lines += [f"redundant {a}: as {b}" for a, b in found["redundant"]]
+    return "\n".join([*lines, class_report(classes)]), found

@@ -8,12 +8,13 @@ from dataclasses import dataclass, field
 from enum import Enum
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..expr import Col, Expr, Log, expr, resolve
 from ..functions import numeric as nf
-from ..operators import bounds, filters, fits, lattice, statistics, sufficient
+from ..operators import bounds, characterise, filters, fits, lattice, solve, statistics, sufficient
 from ..pred import TRUE, Compare, Flag, Not, Pred, conj
 from ..relation import Statement, evaluate, metrics_frame
 
@@ -67,22 +68,32 @@ class Result:
         return metrics_frame(df, [s for s, _ in self.statements])
 
 
-def safely(name: str, fn: Callable[[], list], into: dict | None = None) -> list:
-    """Run one generator or stage; an error is logged and recorded, and what came before stays."""
+#: What a generator or stage may stop with: its own input does not suit it.  Errors of Spark or of the program pass.
+OWN_ERRORS = (ValueError, ArithmeticError, KeyError, np.linalg.LinAlgError)
+
+
+def safely(name: str, fn: Callable[[], list], into: dict) -> list:
+    """Run one generator or stage; where its input does not suit it, that is logged and recorded in ``into``, and what came before stays."""
     try:
         return fn()
-    except Exception as e:  # noqa: BLE001
+    except OWN_ERRORS as e:
         log.warning("%s stopped: %s", name, e)
-        if into is not None:
-            into[name] = {"error": str(e)}
+        into.setdefault(name, {})["error"] = f"{type(e).__name__}: {e}"
         return []
 
 
 class Session:
     """A table of objects with its flags, invariants, hypotheses and feature pools."""
 
-    def __init__(self, df: DataFrame, max_arity: int = 2, exclude: Sequence[str] = ("name", "Unnamed: 0"), min_touches: int = 3, settings: sufficient.Settings = sufficient.Settings(), use_morgan: bool = False, use_dalmatian: bool = False):
+    def __init__(self, df: DataFrame, max_arity: int = 2, exclude: Sequence[str] = ("name", "Unnamed: 0"), min_touches: int = 3, settings: sufficient.Settings = sufficient.Settings(), use_morgan: bool = False, use_dalmatian: bool = False, classic_dalmatian: bool = False, lp1_nonneg: bool = False, symmetric: bool = True, solver: Callable = solve.lp):
+        """``classic_dalmatian`` compares a bound with all others of its group instead of those before it; ``lp1_nonneg``
+        and ``symmetric`` are options of the fits, ``solver`` stands in for their linear programs.
+
+        The table is read by dozens of passes: persist it if it is the result of work.
+        """
         self._original = self.df = df
+        self.classic_dalmatian, self.lp1_nonneg, self.symmetric, self.solver = classic_dalmatian, lp1_nonneg, symmetric, solver
+        self.errors: dict[str, dict] = {}
         self.max_arity, self.exclude, self.min_touches, self.settings = max_arity, exclude, min_touches, settings
         self.use_morgan, self.use_dalmatian = use_morgan, use_dalmatian
         self.refresh()
@@ -94,6 +105,52 @@ class Session:
         self.lattice = lattice.Lattice(self.df, self.flags)
         self.hypotheses = self.lattice.driver(self.max_arity)
 
+    # what the session knows
+    @property
+    def expr_columns(self) -> list[str]:
+        """The numeric columns that are invariants."""
+        return list(self.invariants)
+
+    @property
+    def exprs(self) -> dict[str, Expr]:
+        """Invariants by name, derived ones that were registered among them."""
+        return dict(self.invariants)
+
+    @property
+    def base_predicates(self) -> dict[str, Pred]:
+        """The flags by name."""
+        return {f.label(): f for f in self.flags}
+
+    def register(self, preds: Sequence[Pred] = ()) -> list[lattice.Hypothesis]:
+        """Further predicates as flags; the hypotheses are then one of each group of equal selections that lies in no other but the base."""
+        known = {f.label() for f in self.flags}
+        self.lattice = lattice.Lattice(self.df, [*self.flags, *(p for p in preds if p.label() not in known)])
+        found = self.lattice.conjunctions(self.max_arity)
+        self.hypotheses = [found[0], *self.lattice.register([h for h in found[1:] if self.lattice.cover(h) and self.lattice.cover(h) != self.lattice.cover(found[0])])]
+        return self.hypotheses
+
+    def equality_classes(self, top: int = 20, least_rate: float = 0.10, least_support: float = 0.05) -> list[tuple[str, Pred]]:
+        """Predicates invariant = c · invariant that many rows of the base meet, most often met first."""
+        table = statistics.ratio_table(self.df, self.invariants, self.lattice.base.pred, least_support)
+        return statistics.equality_classes(table, self.invariants, top, least_rate)
+
+    def meaningful_features(self, top: int = 20) -> dict[str, Expr]:
+        """|a - b|, min and max of the pairs whose incomparability means something; they become invariants."""
+        report = statistics.meaningful(statistics.incomparability(self.df, self.invariants, self.lattice.base.pred))
+        made = statistics.pair_features(report, self.invariants, top)
+        self.invariants |= made
+        return made
+
+    def characterise(self, tol: float = 0.0) -> list[characterise.Characterisation]:
+        """Constant columns of each hypothesis that is no redundant conjunction, and whether they characterise it."""
+        hyps = self.lattice.conjunctions(self.max_arity)
+        gone = {h.seq for h, _ in self.lattice.redundant(hyps)}
+        return characterise.characterise(self.df, self.lattice, [h for h in hyps if h.seq not in gone and self.lattice.cover(h)], {n: e for n, e in self.invariants.items()}, tol)
+
+    def prune(self, statements: Sequence[Statement]) -> list[tuple[Pred, list[Statement]]]:
+        """Statements by what their hypotheses select, without weaker ones of one form."""
+        return filters.merged_by_hypothesis(self.df, statements)
+
     # columns by name
     def expr(self, name: str) -> Expr:
         return resolve(name, self.df.columns)
@@ -158,10 +215,10 @@ class Session:
             plain = {n: e for n, e in self.invariants.items() if e != target}
             return [*fits.mixed(self.df, target, plain, hyps), *fits.mixed(self.df, target, plain, hyps, squares=True)]
         if stage.value in fits.SUBSETS:
-            return fits.subset_statements(self.df, stage.value, target, pool, hyps)
-        out = fits.family_statements(self.df, stage.value, target, pool, hyps)
+            return fits.subset_statements(self.df, stage.value, target, pool, hyps, self.solver)
+        out = fits.family_statements(self.df, stage.value, target, pool, hyps, self.lp1_nonneg and stage is Stage.LP1, self.solver, self.symmetric)
         if stage in (Stage.SQRT, Stage.LOG):
-            out += fits.family_statements(self.df, f"quad_{stage.value}", target, pool, hyps)
+            out += fits.family_statements(self.df, f"quad_{stage.value}", target, pool, hyps, solver=self.solver)
         return out
 
     def conjecture(self, targets: str | Sequence[str], mode: str | None = None, complexity: int | None = None, stages: Sequence[Stage] | None = None, quick: bool | None = None, with_conditions: bool = True, verify: bool = True, **pools) -> Result:
@@ -189,7 +246,7 @@ class Session:
                 if self.use_morgan:
                     kept = filters.morgan(self.df, kept)
                 if self.use_dalmatian:
-                    kept = filters.dalmatian(self.df, kept)
+                    kept = (filters.dalmatian_batch if self.classic_dalmatian else filters.dalmatian)(self.df, kept)
                 breakdown.setdefault(f"{name}/{stage.value}", {}).update(made=len(made), kept=len(kept))
                 if with_conditions and kept:
                     conditions += sufficient.discover(self.df, self.flags, kept, self.lattice.base.pred, self.settings)
@@ -210,7 +267,7 @@ class Session:
         kept: list[Statement] = []
         for m in methods:
             for h in hyps:
-                for s in safely(m, lambda m=m, h=h: filters.GENERATORS[m](self.df, goal, feats, h)):
+                for s in safely(f"{m}/{h.label()}", lambda m=m, h=h: filters.GENERATORS[m](self.df, goal, feats, h), self.errors):
                     if all(accept(self.df, s, kept) for accept in heuristics):
                         kept.append(s)
         for p in post:
@@ -228,30 +285,33 @@ class Session:
         made = []
         for m in methods or ["ratios"]:
             for a, b in pairs:
-                made += safely(m, lambda m=m, a=a, b=b: filters.GENERATORS[m](self.df, a, [b], TRUE))
+                made += safely(f"{m}/{a.label()}/{b.label()}", lambda m=m, a=a, b=b: filters.GENERATORS[m](self.df, a, [b], TRUE), self.errors)
         found = evaluate(self.df, made)
         n = max(1, self.lattice.n)
         rows = sorted(((found[i]["touch_all"] or 0, i) for i in range(len(made)) if (found[i]["touch_all"] or 0) / n >= min_fraction), key=lambda r: (-r[0], r[1]))
         return [Compare("==", made[i].conclusion.a, made[i].conclusion.b) for _, i in rows]
 
 
-for _name, _fn in (("ratios", fits.ratios), ("convex_hull", fits.convex_hull), ("linear_programming", fits.free_lp)):
+for _name, _fn in (("ratios", fits.ratios), ("rounded_ratios", fits.rounded_ratios), ("convex_hull", fits.convex_hull), ("linear_programming", fits.free_lp)):
     filters.register(filters.GENERATORS, _name)(_fn)
 
 
 @filters.register(filters.PIPELINES)
-def necessary_bounds(df: DataFrame, target: str, methods: Sequence[str] = ("ratios", "linear_programming"), feature_size: int = 1, include_true: bool = False) -> list[Statement]:
-    """All feature combinations under each boolean column: duplicates, significance, generality and order, equalities last."""
+def necessary_bounds(df: DataFrame, target: str, methods: Sequence[str] = ("ratios", "linear_programming"), feature_size: int = 1, include_true: bool = False, errors: dict | None = None) -> list[Statement]:
+    """All feature combinations under each boolean column: duplicates, significance, generality and order, equalities last.
+
+    Generators whose input does not suit them are logged, and recorded in ``errors``.
+    """
     numeric, boolean = lattice.classify(df)
     hyps: list[Pred] = [*(TRUE,) * include_true, *(Flag(b) for b in boolean)]
-    return _packaged(df, target, methods, feature_size, numeric, hyps, finish=True)
+    return _packaged(df, target, methods, feature_size, numeric, hyps, True, errors)
 
 
 @filters.register(filters.PIPELINES)
-def sufficient_conditions(df: DataFrame, target: str, methods: Sequence[str] = ("ratios",), feature_size: int = 1) -> list[Statement]:
+def sufficient_conditions(df: DataFrame, target: str, methods: Sequence[str] = ("ratios",), feature_size: int = 1, errors: dict | None = None) -> list[Statement]:
     """Bounds under negated columns, turned round: whenever the bound fails the column holds; each has to cover something new."""
     numeric, boolean = lattice.classify(df)
-    found = _packaged(df, target, methods, feature_size, numeric, [Not(Flag(b)) for b in boolean], finish=False)
+    found = _packaged(df, target, methods, feature_size, numeric, [Not(Flag(b)) for b in boolean], False, errors)
     kept: list[Statement] = []
     for s in filters.contrapositives(found):
         if filters.sophie_accept(df, s, kept):
@@ -259,12 +319,13 @@ def sufficient_conditions(df: DataFrame, target: str, methods: Sequence[str] = (
     return kept
 
 
-def _packaged(df, target, methods, feature_size, numeric, hyps, finish):
+def _packaged(df, target, methods, feature_size, numeric, hyps, finish, errors):
     made: list[Statement] = []
+    errors = {} if errors is None else errors
     for combo in combinations([c for c in numeric if c != target], feature_size):
         for m in methods:
             for h in hyps:
-                made += safely(m, lambda m=m, h=h, combo=combo: filters.GENERATORS[m](df, Col(target), [Col(c) for c in combo], h))
+                made += safely(f"{m}/{h.label()}/{','.join(combo)}", lambda m=m, h=h, combo=combo: filters.GENERATORS[m](df, Col(target), [Col(c) for c in combo], h), errors)
     kept = filters.morgan(df, filters.dalmatian_batch(df, filters.unique(made)))
     kept = [s for s, _ in filters.ranked(df, kept, "touch_all")]
     if not finish:

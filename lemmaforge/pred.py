@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column
@@ -337,6 +337,47 @@ def is_finite(x):
     return Check("is_finite", expr(x))
 
 
+@dataclass(frozen=True)
+class AllFinite(Check):
+    """Row by row as ``is_finite``; the label says it of all rows."""
+
+    kind: str = field(default="is_finite", init=False)
+    a: Expr = Const(0)
+
+    def label(self):
+        return f"∀ rows: {self.a.label()} is finite"
+
+    def __invert__(self):
+        return SomeDivergent(a=self.a)
+
+
+@dataclass(frozen=True)
+class SomeDivergent(Pred):
+    """Row by row the negation of ``is_finite``; the label says it of some row."""
+
+    a: Expr
+
+    def column(self):
+        return ~nf.finite(self.a.column())
+
+    def label(self):
+        return f"∃ row: {self.a.label()} is not finite"
+
+    def sql(self):
+        return f"NOT {Check('is_finite', self.a).sql()}"
+
+    def __invert__(self):
+        return AllFinite(a=self.a)
+
+
+def all_finite(x):
+    return AllFinite(a=expr(x))
+
+
+def some_divergent(x):
+    return SomeDivergent(expr(x))
+
+
 def between(x, low, high, closed=(True, True)):
     return Between(expr(x), expr(low), expr(high), closed)
 
