@@ -15,11 +15,10 @@ reaches the threshold.  The join is exact and goes through inverted lists:
    share many of its elements: a class too few of whose prefix elements are in
    any other prefix can have no link and goes no further.
 3. The distributed short lists (shingle -> classes) give candidates.  In a
-   list of k classes each meets its neighbours in size order: those next to it
-   first, and of the others only those that these links have left in another
-   component.  Where the list is longer, a last round takes every pair of it
-   whose two sides are still in different components: links inside a component
-   are of no use to it.  The pairs of very long lists are compared in blocks.
+   list of k classes each meets its neighbours in size order; where the list
+   is longer than that, a second round takes every pair of it whose two sides
+   are still in different components: links inside a component are of no use
+   to it.  The pairs of very long lists are compared in blocks.
    Before any set moves, candidates are held against each other by parity
    bitmaps: of n elements, bit h mod b counts those with that hash, modulo 2.
    Sets whose bitmaps differ in x bits have (n + m - x) / 2 common elements at
@@ -74,7 +73,7 @@ BLOCK, BLOCK_ELEMENTS = 256, 1 << 20
 #: One in how many elements a prefix is longer than needed for one common element.
 SPARE = 20
 
-_FLUSH = 3_000_000
+_FLUSH = 1_000_000
 _LOW = (1 << 31) - 1
 
 
@@ -261,7 +260,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
                 i = i[(tok[i] == tok[i - d])]
                 i = i[_may_link(n[i] >> 32, n[i] & _LOW, n[i - d] >> 32, n[i - d] & _LOW, t)]
                 x, y = key[i], key[i - d]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), (_common(n[i] >> 32, n[i - d] >> 32) << 32) + (((rank[i] > NEAR) | (n[i] >> 31 & 1 > 0)).astype(np.int64) << 31), np.full(len(i), d == 1, np.int64)], 1))
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), (_common(n[i] >> 32, n[i - d] >> 32) << 32) + (((rank[i] > NEAR) | (n[i] >> 31 & 1 > 0)).astype(np.int64) << 31)], 1))
             pairs, times = np.unique(np.concatenate(found), axis=0, return_counts=True)
             pairs[:, 2] += times
             # entries of longer lists: all rows from the one that goes beyond, and those before it
@@ -275,7 +274,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
             shared = np.concatenate([np.flatnonzero(here & (rank >= 1)), np.flatnonzero(here & (rank == 1)) - 1])
             own, at, own_times = np.unique(key[shared], return_index=True, return_counts=True)
             kind = np.repeat(np.array([0, 1, 2], np.int8), [len(pairs), len(rows), len(own)])
-            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], own_times], [pairs[:, 2], n[rows], n[shared[at]]], [pairs[:, 3], before[rows], np.zeros(len(own))])
+            columns = ([pairs[:, 0], tok[rows], own], [pairs[:, 1], key[rows], own_times], [pairs[:, 2], n[rows], n[shared[at]]], [np.zeros(len(pairs)), before[rows], np.zeros(len(own))])
             yield pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(np.concatenate(x).astype(np.int64)) for x in columns)], names)
             tail = np.arange(max(int(start[-1]), len(tok) - NEAR - 1), len(tok))
             held = [tok[tail], key[tail], n[tail], rank[tail], before[tail]]
@@ -378,7 +377,7 @@ def _bitmaps(column: pa.Array) -> list[np.ndarray]:
 
 
 def _possible(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
-    """``pairs`` (a, b, next) that their bitmaps allow to link."""
+    """``pairs`` (a, b) that their bitmaps allow to link."""
     for side in ("a", "b"):
         pairs = pairs.join(bits.select(F.col("key").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"x{side}")), side)
 
@@ -392,9 +391,9 @@ def _possible(pairs: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
             for pair in np.unique(wide, axis=0):
                 at = np.flatnonzero((wide == pair).all(axis=1))
                 keep[at] = may_reach(n[at], np.stack([x[i] for i in at]), m[at], np.stack([y[i] for i in at]), t)
-            yield batch.select(["a", "b", "next"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "next", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long, next long")
+    return pairs.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
 def _possible_cells(cells: DataFrame, bits: DataFrame, t: Fraction) -> DataFrame:
@@ -611,8 +610,8 @@ def _needed_sets(docs: DataFrame, keys: DataFrame, k: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, tokens array<long>").groupBy("key").agg(F.any_value("tokens").alias("tokens"))
 
 
-def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b, next = 1 if next to one another in some list), the longer lists' entries, and the bitmaps and sets of both."""
+def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Members (doc_id, key, n_shingles), neighbours' pairs (a, b) that may link, the longer lists' entries, and the bitmaps of both."""
     spark = docs.sparkSession
     seen = store.keep(profile(docs, k), "jaccard-profile")
     members = seen.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("key"), F.col("c").alias("n_shingles"))
@@ -623,11 +622,11 @@ def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFr
     shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max(F.shiftright("at", 32)).alias("n"))
     alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive")
     # a pair that meets in short lists of unhinted elements only has all its common elements counted; long lists come again below
-    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.expr("sum(at & 2147483647)").alias("seen"), F.expr("max(at & 2147483648)").alias("long"), F.max(F.shiftright("at", 32)).alias("need"), F.max("before").alias("next"))
-    pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b", "next")
+    pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.expr("sum(at & 2147483647)").alias("seen"), F.expr("max(at & 2147483648)").alias("long"), F.max(F.shiftright("at", 32)).alias("need"))
+    pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
-    near = store.keep(pairs.select("a", "b", "next"), "jaccard-near")
+    near = store.keep(pairs.select("a", "b"), "jaccard-near")
     entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at", "before").join(alive, "key", "left_semi")
     entries = store.keep(entries, "jaccard-entries")
     keys = near.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key")).distinct()
@@ -635,30 +634,17 @@ def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFr
     bits = store.keep(bits.join(keys, "key", "left_semi").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-bits")
     pairs = store.keep(_possible(near, bits, t), "jaccard-pairs")
     store.drop(found, alive, near)
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key"))
-    return members, pairs, entries, bits, store.keep(_needed_sets(docs, keys, k), "jaccard-sets")
+    return members, pairs, entries, bits
 
 
 def _of_pairs(pairs: DataFrame) -> DataFrame:
-    """Cells of pairs (a, b and their components ca, cb): a class asks all that it is paired with."""
+    """Cells of pairs: a class asks all that it is paired with."""
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
-    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("cb").alias("comp"))
-    asking = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), zero.alias("role"), F.col("a").alias("key"), F.col("ca").alias("comp")).distinct()
+    others = pairs.select(zero.alias("c1"), F.col("a").alias("c2"), zero.alias("c3"), one.alias("role"), F.col("b").alias("key"), F.col("b").alias("comp"))
+    asking = others.select("c1", "c2", "c3").distinct().select("c1", "c2", "c3", zero.alias("role"), F.col("c2").alias("key"), F.col("c2").alias("comp"))
     return others.unionByName(asking).withColumn("asks", F.lit(None).cast("array<long>"))
 
 
-def _own(pairs: DataFrame) -> DataFrame:
-    """``pairs`` with each class its own component."""
-    return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
-
-
-def _still_apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """``pairs`` whose classes are in different ones of the ``known`` components, with these."""
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return pairs.filter("ca <> cb")
-
-
 def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Every linked pair of classes (a < b, overlap = common shingles), and membership (doc_id, key, n_shingles) of every row.
 
@@ -667,12 +653,12 @@ def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple
     a group's classes.  Rows without shingles have no key.
     """
     t = Fraction(threshold)
-    members, pairs, entries, bits, sets = _candidates(docs, k, t)
-    found = _search(_of_pairs(_own(pairs)), sets, t, every=True)
+    members, pairs, entries, bits = _candidates(docs, k, t)
     # each class its own component: no pair of a longer list is left out
     cells = _apart(entries.select("token", "key", "at", F.col("key").alias("comp"), "before"), t)
-    found = store.keep(found.unionByName(_search(_possible_cells(cells, bits, t), sets, t, every=True)).distinct(), "jaccard-every-link")
-    store.drop(pairs, entries, bits, sets)
+    cells = store.keep(_possible_cells(cells, bits, t).unionByName(_of_pairs(pairs)), "jaccard-cells")
+    found = store.keep(_search(cells, _needed_sets(docs, cells, k), t, every=True).distinct(), "jaccard-every-link")
+    store.drop(pairs, entries, bits, cells)
     return found, members
 
 
@@ -692,22 +678,17 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     Components need a spanning forest of the links only; ``links`` has all of them.
     """
     t = Fraction(threshold)
-    members, pairs, entries, bits, sets = _candidates(docs, k, t)
-    # the pairs next to one another join most of what belongs together; of the others only those between components are left
-    links = store.keep(_search(_of_pairs(_own(pairs.filter("next = 1"))), sets, t).select("a", "b"), "jaccard-links")
+    members, pairs, entries, bits = _candidates(docs, k, t)
+    cells = store.keep(_of_pairs(pairs), "jaccard-cells")
+    links = store.keep(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b"), "jaccard-links")
     known = components(links)
-    rest = store.keep(_still_apart(pairs.filter("next = 0"), known).select("a", "b", "ca", "cb"), "jaccard-rest")
-    if not rest.isEmpty():
-        links = store.keep(links.unionByName(_search(_of_pairs(rest), sets, t).select("a", "b")), "jaccard-links")
-    store.drop(pairs, rest)
-
-    if not entries.isEmpty():
+    # of the longer lists' pairs only those between components are left
+    placed = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
+    cells_ = store.keep(_possible_cells(_apart(placed, t), bits, t), "jaccard-cells")
+    if not cells_.isEmpty():
+        links = store.keep(links.unionByName(_search(cells_, _needed_sets(docs, cells_, k), t).select("a", "b")), "jaccard-links")
         known = components(links)
-        placed = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
-        cells = _possible_cells(_apart(placed, t), bits, t)
-        links = store.keep(links.unionByName(_search(cells, sets, t).select("a", "b")), "jaccard-links")
-    store.drop(entries, bits, sets)
-    known = components(links)
+    store.drop(pairs, entries, bits, cells, cells_)
 
     classes = members.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     classes = classes.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))

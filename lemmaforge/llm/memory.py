@@ -8,6 +8,11 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows of text in an Arrow batch, and the setting that says so with its default.
+BATCH_ROWS = 1_000
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def tidy() -> None:
@@ -28,3 +33,9 @@ def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         tidy()
 
     return whole
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches of BATCH_ROWS rows, as rows are texts; a session that has set a number of its own keeps it."""
+    if spark.conf.get(_SETTING) == _DEFAULT:
+        spark.conf.set(_SETTING, str(BATCH_ROWS))

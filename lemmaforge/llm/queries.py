@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, fingerprints, jaccard_join, licenses, mixing, quality, token_files, toxicity, url_filter
+from . import chat, decontamination, fingerprints, jaccard_join, licenses, memory, mixing, quality, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    memory.bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

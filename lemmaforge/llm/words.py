@@ -25,7 +25,7 @@ U = np.uint64
 #: Words beyond this many bytes are hashed by blake2b instead of the rolling sum.
 LONG_WORD = 1 << 16
 #: Bytes of text that one NumPy pass takes at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _b = np.arange(256)
 BLANK = ~((_b == 0x20) | ((_b >= 0x09) & (_b <= 0x0D)))
