@@ -679,16 +679,16 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     """
     t = Fraction(threshold)
     members, pairs, entries, bits = _candidates(docs, k, t)
-    cells = store.keep(_of_pairs(pairs), "jaccard-cells")
+    cells = _of_pairs(pairs)
     links = store.keep(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b"), "jaccard-links")
     known = components(links)
     # of the longer lists' pairs only those between components are left
     placed = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
-    cells_ = store.keep(_possible_cells(_apart(placed, t), bits, t), "jaccard-cells")
-    if not cells_.isEmpty():
-        links = store.keep(links.unionByName(_search(cells_, _needed_sets(docs, cells_, k), t).select("a", "b")), "jaccard-links")
+    cells = store.keep(_possible_cells(_apart(placed, t), bits, t), "jaccard-cells")
+    if not cells.isEmpty():
+        links = store.keep(links.unionByName(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b")), "jaccard-links")
         known = components(links)
-    store.drop(pairs, entries, bits, cells, cells_)
+    store.drop(pairs, entries, bits, cells)
 
     classes = members.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     classes = classes.join(known.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
