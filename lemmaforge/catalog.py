@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from fractions import Fraction
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import relation
+from . import catalog_fits, relation
 from .export import text as export
 from .expr import Bin, Col, Const, Linear, Log, Un, max_, min_
 from .operators import bounds, filters, fits, lattice, statistics, sufficient
@@ -175,10 +176,14 @@ def hypothesis_support(spark: SparkSession, sf: str) -> DataFrame:
     return found.frame(df, found.by_generality(found.conjunctions(2))).drop("hyp_id")
 
 
-@query(f"WITH {OBJ} " + " UNION ALL ".join(f"SELECT '{_label(('always', a, b))}' AS redundant FROM obj HAVING count(*) FILTER ({a} AND NOT {b}) = 0 OR count(*) FILTER ({b} AND NOT {a}) = 0" for a, b in [c[1:] for c in _conjunctions() if len(c) == 3]))
+_FEW = ["few", "has_return", "single_line"]
+
+
+@query(f"WITH {OBJ}, w AS (SELECT *, n_lines <= 2 AS few FROM obj) " + " UNION ALL ".join(f"SELECT '{_label((a, b))}' AS redundant FROM w HAVING count(*) FILTER ({a} AND NOT {b}) = 0 OR count(*) FILTER ({b} AND NOT {a}) = 0" for a, b in combinations(_FEW, 2)))
 def hypothesis_redundancy(spark: SparkSession, sf: str) -> DataFrame:
-    found = lattice.Lattice(order_objects(spark, sf), [Flag(f) for f in _ALL_FLAGS])
-    rows = [(a.label(),) for a, _ in found.redundant(found.conjunctions(2)) if a.arity == 3]
+    df = order_objects(spark, sf).withColumn("few", F.col("n_lines") <= 2)
+    found = lattice.Lattice(df, [Flag(f) for f in _FEW])
+    rows = [(a.label(),) for a, _ in found.redundant(found.conjunctions(2)) if a.arity == 2]
     return spark.createDataFrame(rows, "redundant string")
 
 
@@ -254,10 +259,18 @@ def equalities(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s.hypothesis.label(), s.conclusion.a.label()) for s in equal], "hypothesis string, lhs string")
 
 
-@query("SELECT '(has_return ∧ is_final)' AS hypothesis, 'qty == n_lines' AS conclusion")
+_TIGHT = {"TRUE": "TRUE", "few": "few", "has_return": "has_return", "single_line": "single_line"}
+
+
+@query(f"""WITH {OBJ}, w AS (SELECT *, n_lines <= 2 AS few FROM obj),
+b AS ({" UNION ALL ".join(f"SELECT '{h}' AS h, floor(min(n_lines)) AS low, ceil(max(n_lines)) AS high FROM w WHERE {c}" for h, c in _TIGHT.items())})
+SELECT DISTINCT CASE WHEN x.h = 'TRUE' THEN y.h WHEN y.h IN ('TRUE', x.h) THEN x.h ELSE '(' || least(x.h, y.h) || ' ∧ ' || greatest(x.h, y.h) || ')' END AS hypothesis, CAST(x.high AS BIGINT) AS value
+FROM b x JOIN b y ON x.high = y.low""")
 def strengthened_equalities(spark: SparkSession, sf: str) -> DataFrame:
-    found = filters.strengthened([Statement(Flag("is_final"), Compare("<=", Col("qty"), Col("n_lines"))), Statement(Flag("has_return"), Compare(">=", Col("qty"), Col("n_lines"))), Statement(Flag("has_return"), Compare(">=", Col("qty"), Col("max_line")))])
-    return spark.createDataFrame([(s.hypothesis.label(), s.conclusion.label()) for s in found], "hypothesis string, conclusion string")
+    df = order_objects(spark, sf).withColumn("few", F.col("n_lines") <= 2)
+    found = lattice.Lattice(df, [Flag(f) for f in _FEW])
+    made = bounds.constant_statements(df, found, found.conjunctions(1), Col("n_lines"))
+    return spark.createDataFrame([(s.hypothesis.label(), int(s.conclusion.b.value)) for s in filters.strengthened(made)], "hypothesis string, value long")
 
 
 _EVENTS = {"==": "abs(n_lines - max_line) <= 1e-4 + 1e-9 * abs(max_line)", "<": "n_lines < max_line - 1e-4", ">": "n_lines > max_line + 1e-4", "<=": "n_lines <= max_line", ">=": "n_lines >= max_line"}
@@ -391,19 +404,21 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
     return df.select("n_lines", F.col("qty").cast("double").alias("qty"), (F.col("gross").cast("double") / 1000).alias("price"), "max_qty", "min_qty", "discount", "tax", "is_final", "has_return").persist()
 
 
-def _stage(name: str) -> None:
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = _wide(spark, sf) if name in ("lp3", "lp4") else _small(spark, sf)
-        session = Session(df, max_arity=1, min_touches=1)
-        found = session.conjecture("qty", stages=[Stage(name)], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
-        return _mined(spark, df, [s for s, _ in found.statements])
-
-    run.__name__ = f"stage_{name}"
-    QUERIES[run.__name__] = run
+@query()
+def stage_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    df = _wide(spark, sf).select("n_lines", "qty", "max_qty", "min_qty", "is_final")
+    session = Session(df, max_arity=1, min_touches=1)
+    found = session.conjecture("qty", stages=[Stage.MIXED], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
+    return _mined(spark, df, [s for s, _ in found.statements])
 
 
-for _s in Stage:
-    _stage(_s.value)
+@query()
+def mine_subsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Forms of up to four features: fitted, rounded, verified, by touch."""
+    df = _wide(spark, sf)
+    session = Session(df, max_arity=0, min_touches=1)
+    found = session.conjecture("qty", stages=[Stage.LP2, Stage.LP3, Stage.LP4], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
+    return _mined(spark, df, [s for s, _ in found.statements])
 
 
 @query()
@@ -420,20 +435,22 @@ def packaged_necessary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def packaged_sufficient(spark: SparkSession, sf: str) -> DataFrame:
-    df = _small(spark, sf)
+    """Bounds of orders that are not urgent, or not short, turned round."""
+    df = order_objects(spark, sf).select("n_lines", "qty", "max_line", (F.col("n_lines") <= 2).alias("few"), (F.col("qty") > 150).alias("many"))
     found = sufficient_conditions(df, "qty")
-    return spark.createDataFrame([(s.hypothesis.label(), s.conclusion.label()) for s in found], "hypothesis string, conclusion string")
+    metrics = relation.evaluate(df, found)
+    return spark.createDataFrame([(s.hypothesis.label(), s.conclusion.label(), metrics[i]["support"], metrics[i]["violations"]) for i, s in enumerate(found)], "hypothesis string, conclusion string, support long, violations long")
 
 
-@query()
-def discovered_equalities(spark: SparkSession, sf: str) -> DataFrame:
-    found = Session(_small(spark, sf), max_arity=1).discover_equalities()
-    return spark.createDataFrame([(p.label(),) for p in found], "equality string")
+@query(f"""WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS a, least(CAST(l_quantity AS DOUBLE), 25.0) AS b FROM lineitem), e AS ({" UNION ALL ".join(f"SELECT {i} AS id, b AS t, a AS x, a <= 25 AS special, {e} AS e FROM l" for i, e in enumerate(
+    [f"CASE WHEN {g}{sb} <> 0 THEN ({f}{sa}) / ({g}{sb}) END" for f, g in (("a", "b"), ("b", "a")) for sa in ("", " - 2", " - 1", " + 1", " + 2") for sb in ("", " - 2", " - 1", " + 1", " + 2")]))})
+SELECT count(*) AS lifted FROM (SELECT id FROM e GROUP BY id HAVING max(e) FILTER (special) - min(e) FILTER (special) <= 1e-3 AND abs((max(e) FILTER (special) + min(e) FILTER (special)) / 2 - 1) <= 1e-3 AND min(e * x - t) >= -1e-8)""")
+def ratio_lift(spark: SparkSession, sf: str) -> DataFrame:
+    """Ratios of two invariants that are 1 on small lines and bound the smaller invariant on all."""
+    df = read(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), F.least(F.col("l_quantity").cast("double"), F.lit(25.0)).alias("b"))
+    found = fits.ratio_lift(df, Col("b"), Col("a"), 1.0, Compare("<=", Col("a"), Const(25)), TRUE, {"a": Col("a"), "b": Col("b")})
+    return spark.createDataFrame([(len(found),)], "lifted long")
 
 
-@query()
-def ratio_lift(spark: SparkSession, sf: str) -> DataFrame:
-    df = _small(spark, sf)
-    single = Compare("==", Col("n_lines"), Const(1))
-    found = fits.ratio_lift(df, Col("n_lines"), Col("n_lines"), 1.0, single, TRUE, {"n_lines": Col("n_lines"), "max_line": Col("max_line")})
-    return spark.createDataFrame([(s.label(),) for s in found], "statement string")
+QUERIES |= catalog_fits.QUERIES
+SQL |= catalog_fits.SQL

@@ -18,7 +18,7 @@ from .lattice import Hypothesis, Lattice, signature
 
 def long_form(df: DataFrame, lattice: Lattice, features: Mapping[str, Expr], target: Expr | None = None) -> DataFrame:
     """sig, feature, x, t for finite values."""
-    listed = F.array(*[F.struct(F.lit(n).alias("feature"), nf.only_finite(e.column()).alias("x")) for n, e in features.items()])
+    listed = F.array(*[F.struct(F.lit(n).alias("feature"), nf.only_finite(e.column()).alias("x")) for n, e in features.items()]).cast("array<struct<feature:string,x:double>>")
     t = nf.only_finite(target.column()) if target is not None else F.lit(0.0)
     rows = df.select(signature(lattice.flags).alias("sig"), t.alias("t"), F.explode(listed).alias("f"))
     return rows.select("sig", "t", "f.feature", "f.x").filter("x IS NOT NULL AND t IS NOT NULL")

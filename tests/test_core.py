@@ -1,9 +1,11 @@
 """Trees, relations, lattice, filters, fits, sessions and exports on small tables."""
 
+import random
 from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lemmaforge import expr as ex
 from lemmaforge import relation
@@ -257,3 +259,107 @@ def test_edge_lists_and_stream(spark, tmp_path):
     q = monitor.watch(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), [Statement(TRUE, A.le(B))], str(tmp_path / "bad"), str(tmp_path / "ck"))
     q.awaitTermination(60)
     assert [r["alpha"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == [3]
+
+
+def test_medians(spark):
+    from lemmaforge.operators import statistics
+
+    rng = random.Random(3)
+    rows = [(rng.choice([1.0, 2.5, -7.0, rng.random()]), float(rng.randrange(4)), None if i % 3 else float(i), None, 5.0) for i in range(501)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
+    found = statistics.medians(df, {i: F.col(c) for i, c in enumerate("abcde")}, cells=4)
+    for i in range(5):
+        own = sorted(r[i] for r in rows if r[i] is not None)
+        assert found[i] == (statistics_median(own) if own else None)
+
+
+def statistics_median(values):
+    import statistics
+
+    return statistics.median(values)
+
+
+def test_fits_in_many_parts(spark):
+    """Optima do not depend on how rows are dealt to tasks, or on a solver of the caller's that agrees."""
+    from lemmaforge.operators import fits, solve
+
+    rng = random.Random(5)
+    df = spark.createDataFrame([(rng.random(), rng.random(), rng.random()) for _ in range(400)], "x double, y double, t double")
+    calls = []
+
+    def solver(*args):
+        calls.append(1)
+        return solve.lp(*args)
+
+    cands = [fits.Candidate(0, (0, 1))]
+    one = fits.fit(df.coalesce(1), Col("t"), [Col("x"), Col("y")], [TRUE], cands)
+    many = fits.fit(df.repartition(40), Col("t"), [Col("x"), Col("y")], [TRUE], cands)
+    for a, b in zip(one, many, strict=True):
+        assert np.allclose(a.weights, b.weights, atol=1e-7) and abs(a.intercept - b.intercept) < 1e-7
+    assert len(fits.fit(df.limit(0), Col("t"), [Col("x")], [TRUE], [fits.Candidate(0, (0,))])) == 0
+
+
+def test_hull_in_parts(spark):
+    from lemmaforge.operators import fits
+
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(300)], "x double, y double, t double")
+    sets = [{s.label() for s in fits.convex_hull(d, Col("t"), [Col("x"), Col("y")], TRUE)} for d in (df.coalesce(1), df.repartition(7))]
+    assert sets[0] == sets[1] and len(sets[0]) > 20
+
+
+def test_session_getters_and_reports(spark):
+    from lemmaforge.export import text
+    from lemmaforge.plans.session import Session, safely
+
+    df = spark.createDataFrame([(i, 1 if i % 3 == 0 else i % 5 + 2, i % 3 == 0, i % 2 == 0) for i in range(60)], "a long, b long, p boolean, q boolean")
+    s = Session(df, max_arity=2)
+    assert s.expr_columns == ["a", "b"] and set(s.exprs) == {"a", "b"} and set(s.base_predicates) == {"p", "q"}
+    found = {c.statement.hypothesis.label(): c for c in s.characterise()}
+    assert found["p"].kind == "≡" and found["p"].only_class == found["p"].only_equalities == 0 and found["p"].relations()[0].label().endswith("≡ p")
+    assert found["(p ∧ q)"].kind == "⊃" and found["(p ∧ q)"].only_equalities == 10
+    report, facts = text.initial_report(s)
+    assert "equivalent: 1" in report and facts["rows"] == 60 and len(facts["classes"]) == 2
+    assert [h.label() for h in s.register()] == ["TRUE", "q", "p"]
+    result = s.conjecture("a", mode="fast")
+    assert all(name in text.condition_report(result.conditions) for name in {c.property.label() for c in result.conditions})
+    errors = {}
+    assert safely("x", lambda: 1 / 0, errors) == [] and "ZeroDivisionError" in errors["x"]["error"]
+    with pytest.raises(RuntimeError):
+        safely("x", lambda: (_ for _ in ()).throw(RuntimeError("spark")), errors)
+
+
+def test_finite_quantifiers(spark):
+    from lemmaforge.pred import all_finite, some_divergent
+
+    df = spark.createDataFrame([(1.0,), (None,), (float("inf"),)], "x double")
+    a = all_finite("x")
+    assert a.label() == "∀ rows: x is finite" and (~a).label() == "∃ row: x is not finite" and ~~a == a
+    assert df.filter(a.column()).count() == 1 and df.filter((~a).column()).count() == 2 == df.filter(some_divergent("x").sql()).count()
+
+
+def test_sufficient_conditions_are_true(spark):
+    from lemmaforge.operators import sufficient
+    from lemmaforge.plans.session import sufficient_conditions
+    from lemmaforge.relation import evaluate
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(x := rng.randrange(1, 9), y := rng.randrange(1, 30), x <= 3, y > 15) for _ in range(200)], "x int, y int, small boolean, large boolean")
+    found = sufficient_conditions(df, "y")
+    assert found and all(m["violations"] == 0 for m in evaluate(df, found).values())
+    rows = [r.asDict() for r in df.collect()]
+    statements = [Statement(TRUE, Compare("<=", Col("x"), Const(3))), Statement(TRUE, Compare(">=", Col("y"), Const(20)))]
+    conditions = sufficient.discover(df, [Flag("small"), Flag("large")], statements)
+    # the greedy cover by hand: most newly covered rows first, then support, then order
+    events = [(e.label(), {i for i, r in enumerate(df.select(e.column().alias("e")).collect()) if r["e"]}) for s in statements for e in sufficient.events(s, 1e-4)]
+    for name, target in (("small", {i for i, r in enumerate(rows) if r["small"]}), ("large", {i for i, r in enumerate(rows) if r["large"]})):
+        left, chosen = set(target), []
+        usable = [(label, e) for label, e in events if len(e) >= 3 and not e - target and e & target]
+        while left and usable:
+            best = max(range(len(usable)), key=lambda k: (len(usable[k][1] & left), len(usable[k][1]), -k))
+            label, e = usable.pop(best)
+            if not e & left:
+                break
+            chosen.append((label, len(e & left)))
+            left -= e
+        assert sorted((c.event.label(), c.coverage) for c in conditions if c.property.label() == name) == sorted(chosen)
