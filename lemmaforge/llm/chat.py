@@ -27,7 +27,9 @@ Defined results: null and empty texts are messages without content; texts that
 are not such objects are content as they are; broken JSON is content.  Where an
 id is called several times in a conversation, results link to its first call
 and the calls are marked; a result without call is marked.  Repeated rows are
-formatted each.  Without schemas arguments are not checked.
+formatted each, equal ones alike.  A null conversation holds no calls to link
+with; a null turn stands at its call's place, or nowhere.  Without schemas
+arguments are not checked.
 """
 
 from __future__ import annotations
@@ -48,8 +50,9 @@ def _parsed(text: Column) -> Column:
 
 
 def messages(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, content, calls (array of id, name, arguments), result_of."""
-    rows = conversations.select("conv_id", F.col("turn").cast("long"), "role", "text", _parsed(F.col("text")).alias("v"))
+    """message (a hash of the whole one), conv_id, turn, role, content, calls (array of id, name, arguments), result_of."""
+    own = F.xxhash64("conv_id", "turn", "role", "text")
+    rows = conversations.select(own.alias("message"), "conv_id", F.col("turn").cast("long"), "role", "text", _parsed(F.col("text")).alias("v"))
     rows = rows.withColumns(
         {
             "calls": F.try_variant_get("v", "$.tool_calls", "array<struct<id string, name string, arguments variant>>"),
@@ -58,12 +61,12 @@ def messages(conversations: DataFrame) -> DataFrame:
         }
     )
     special = F.col("calls").isNotNull() | F.col("result_of").isNotNull()
-    return rows.select("conv_id", "turn", "role", F.when(special, F.col("inner")).otherwise(F.col("text")).alias("content"), "calls", "result_of")
+    return rows.select("message", "conv_id", "turn", "role", F.when(special, F.col("inner")).otherwise(F.col("text")).alias("content"), "calls", "result_of")
 
 
 def checked_calls(rows: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
-    """One row per call: conv_id, turn, id, name, arguments, problem (null if none)."""
-    calls = rows.filter("calls IS NOT NULL").select("conv_id", "turn", F.posexplode("calls").alias("at", "call")).select("conv_id", "turn", "at", "call.id", "call.name", "call.arguments")
+    """One row per call: message, conv_id, turn, id, name, arguments, problem (null if none)."""
+    calls = rows.filter("calls IS NOT NULL").select("message", "conv_id", "turn", F.posexplode("calls").alias("at", "call")).select("message", "conv_id", "turn", "at", "call.id", "call.name", "call.arguments")
     if schemas is None:
         return calls.withColumn("problem", F.lit(None).cast("string"))
     tools = schemas.groupBy(F.col("tool").alias("name")).agg(F.collect_list(F.struct("param", "type", "required")).alias("params"))
@@ -129,11 +132,11 @@ def format_messages(conversations: DataFrame, schemas: DataFrame | None = None)
     # per message: what its own calls' checks and ids say
     own = calls.join(by_id.select("conv_id", F.col("result_of").alias("id"), "times"), ["conv_id", "id"], "left")
     said = F.concat_ws("; ", F.when(F.col("id").isNull(), F.lit("no id")), F.when(F.col("times") > 1, F.concat(F.lit("repeated id "), F.col("id"))), "problem")
-    own = own.groupBy("conv_id", "turn").agg(F.array_join(F.array_sort(F.collect_set(F.when(said != "", said))), "; ").alias("call_problems"))
+    own = own.groupBy("message").agg(F.array_join(F.array_sort(F.collect_set(F.when(said != "", said))), "; ").alias("call_problems"))
 
     none = {"call_after": F.lit(None).cast("long"), "call_step": F.lit(None).cast("int"), "cycle": F.lit(None).cast("boolean")}
     plain = rows.filter("result_of IS NULL AND calls IS NULL").withColumns({"linked_turn": F.lit(None).cast("long"), "call_problems": F.lit("")} | none)
-    tool = rows.filter("result_of IS NOT NULL OR calls IS NOT NULL").join(by_id.drop("times"), ["conv_id", "result_of"], "left").join(own, ["conv_id", "turn"], "left")
+    tool = rows.filter("result_of IS NOT NULL OR calls IS NOT NULL").join(by_id.drop("times"), ["conv_id", "result_of"], "left").join(own, "message", "left")
     chained = chained_places(rows, by_id)
     tool = tool.withColumns(none) if chained is None else tool.join(chained[0], ["conv_id", "result_of"], "left").join(chained[1], ["conv_id", "turn", "result_of"], "left")
     every = plain.unionByName(tool)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, decontamination, fingerprints, jaccard_join, licenses, memory, mixing, quality, token_files, toxicity, url_filter
 
@@ -144,6 +145,34 @@ FROM conversations
 """
 
 
+def chat_tool_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations' turns made calls and results: in order, results before their calls, and chains from the last turn to the first."""
+    kind, turn = F.col("conv_id") % 3, F.col("turn").cast("string")
+    call = lambda name, arguments: F.concat(F.lit('"tool_calls":[{"id":"c'), turn, F.lit(f'","name":"{name}","arguments":{arguments}}}]'))
+    result = lambda step: F.concat(F.lit('"tool_call_id":"c'), (F.col("turn") + step).cast("string"), F.lit('"'))
+    told = F.when(kind == 0, F.when(F.col("role") == "assistant", call("search", '{"query":"q","limit":"3"}')).when(F.col("role") == "user", F.concat(result(-1), F.lit(',"content":"r"'))))
+    told = told.when(kind == 1, F.when(F.col("role") == "assistant", call("zap", "{}")).when(F.col("role") == "user", result(1)))
+    told = told.otherwise(F.concat(call("search", "{}"), F.lit(","), result(1)))
+    rows = table(spark, sf_dir, "conversations").withColumn("text", F.when(told.isNotNull(), F.concat(F.lit("{"), told, F.lit("}"))).otherwise("plain"))
+    out = chat.format_messages(rows, spark.createDataFrame(TOOLS, chat.SCHEMA_COLUMNS))
+    return out.select("conv_id", "turn", "role", "after", "step", "linked_turn", "n_calls", "problems")
+
+
+CHAT_TOOL_LINKS_SQL = """
+WITH c AS (SELECT conv_id, turn, role, conv_id % 3 AS kind, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+m AS (SELECT *, CASE WHEN kind = 2 THEN TRUE ELSE role = 'assistant' END AS calls,
+        CASE WHEN kind = 2 THEN turn + 1 WHEN role = 'user' THEN CASE WHEN kind = 0 THEN turn - 1 ELSE turn + 1 END END AS of FROM c),
+l AS (SELECT m.*, k.turn AS linked FROM m LEFT JOIN m k ON k.conv_id = m.conv_id AND k.turn = m.of AND k.calls)
+SELECT conv_id, turn, role,
+       CASE WHEN linked IS NULL THEN turn WHEN kind = 2 THEN last ELSE greatest(turn, linked) END AS after,
+       CAST(CASE WHEN linked IS NULL THEN 0 WHEN kind = 2 THEN last - turn ELSE 1 END AS INTEGER) AS step,
+       linked AS linked_turn, CAST(calls AS INTEGER) AS n_calls,
+       concat_ws('; ', CASE WHEN calls THEN CASE kind WHEN 0 THEN 'type of limit' WHEN 1 THEN 'unknown tool zap' ELSE 'missing query' END END,
+                       CASE WHEN of IS NOT NULL AND linked IS NULL THEN 'no call' END) AS problems
+FROM l
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scores(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -162,6 +191,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_fingerprints": op6_fingerprints,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
+    "chat_tool_links": chat_tool_links,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
 }
@@ -171,4 +201,5 @@ SQL: dict[str, str] = {
     "op5_url_filters": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "chat_tool_links": CHAT_TOOL_LINKS_SQL,
 }

@@ -517,6 +517,62 @@ def test_chat_chains(spark):
     assert (late["linked_turn"], late["problems"], json.loads(late["json"])["content"]) == (1, "", "late")
 
 
+def chat_places(rows):
+    """after, step, linked turn and problems of every message, one conversation after another, by following links."""
+    calls = {}
+    for n, (conv, turn, _, text) in enumerate(rows):
+        try:
+            v = json.loads(text or "")
+        except ValueError:
+            continue
+        for c in v.get("tool_calls", []) if isinstance(v, dict) else []:
+            calls.setdefault((conv, c.get("id")), []).append((turn, n))
+
+    def place(n, seen=()):
+        conv, turn, _, text = rows[n]
+        try:
+            of = json.loads(text or "").get("tool_call_id")
+        except (ValueError, AttributeError):
+            of = None
+        if of is None or conv is None or (conv, of) not in calls:
+            return (turn, 0)
+        caller = min(calls[conv, of])[1]
+        after, step = place(caller)
+        return (max(turn, after), 1 if turn > after else step + 1)
+
+    return [place(n) for n in range(len(rows))], calls
+
+
+def test_chat_against_links_followed_by_hand(spark):
+    """Random conversations: chains, orphans, repeated ids (of results without calls), repeated rows, ties in turns, nulls."""
+    rng = random.Random(12)
+    rows = []
+    for conv in range(40):
+        ids = 0
+        for turn in rng.sample(range(30), 8):
+            kind = rng.randrange(5)
+            message = {}
+            if kind in (1, 3):
+                message["tool_calls"] = [{"id": f"i{ids + j}", "name": "search", "arguments": {"query": "x"}} for j in range(rng.randrange(1, 3))]
+                ids += len(message["tool_calls"])
+            if kind in (2, 3) and ids > 2:  # of an earlier message's call, so that no cycle comes about
+                message["tool_call_id"] = f"i{rng.randrange(ids - 2)}" if rng.random() < 0.9 else "none"
+            rows.append((conv, turn, "tool", json.dumps(message) if message else rng.choice(["plain", None, "", "{x"])))
+    rows += [rows[0], rows[0]] if "tool_calls" not in (rows[0][3] or "") else []
+    rows += [(50, 3, "a", json.dumps({"tool_calls": [{"id": "b", "name": "zap", "arguments": {}}]})), (50, 3, "b", '{"tool_call_id":"q"}'), (None, 1, "c", '{"tool_call_id":"b"}'), (None, 1, "c", json.dumps({"tool_calls": [{"name": "zap", "arguments": {}}]}))]
+    want, calls = chat_places(rows)
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS id", "2 AS message", "3 AS place").repartition(3)
+    got = chat.format_messages(df, spark.createDataFrame(queries.TOOLS, chat.SCHEMA_COLUMNS)).collect()
+    assert len(got) == len(rows)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2])
+    assert sorted(((r["conv_id"], r["turn"], r["role"], r["after"], r["step"]) for r in got), key=key) == sorted(((c, t, role, *p) for (c, t, role, _), p in zip(rows, want, strict=True)), key=key)
+    by = {(r["conv_id"], r["role"], r["n_calls"]): r["problems"] for r in got if r["conv_id"] in (50, None)}
+    assert by == {(50, "a", 1): "unknown tool zap", (50, "b", 0): "no call", (None, "c", 0): "no call", (None, "c", 1): "no id; unknown tool zap"}
+    ordered = sorted((r for r in got if r["conv_id"] is not None), key=lambda r: (r["conv_id"], r["after"], r["step"], r["turn"]))
+    at = {(r["conv_id"], r["turn"]): i for i, r in enumerate(ordered)}
+    assert all(at[r["conv_id"], r["linked_turn"]] < at[r["conv_id"], r["turn"]] for r in ordered if r["linked_turn"] is not None and r["linked_turn"] != r["turn"])
+
+
 def test_token_output(spark, docs, empty, tmp_path):
     path = queries.tokenizer_path()
     from tokenizers import Tokenizer
