@@ -8,10 +8,12 @@ Every test suffix is then searched by bisection; its range in the array is
 the set of places where its first ``window`` words stand.  From there a match
 is extended as far as it goes verbatim, for locations and lengths.
 
-The test set is cut into shards of bounded size by item id.  A shard is
-collected, indexed and broadcast on its own, and a task goes through them one
-after another, so neither the driver nor a task holds more than one shard's
-tables beside its rows.  The training texts are never shuffled.
+The test set is written once, cut into shards of bounded size by a hash of the
+items' words.  A shard is collected, indexed and broadcast on its own, and a task
+goes through them one after another; where there are more than LIVE_SHARDS, it
+lets go of each before the next, so neither the driver nor a task holds more
+tables beside its rows, whatever the size of the test set.  Items of equal words
+are one sequence with several ids.  The training texts are never shuffled.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z, compared
 by 64-bit hashes.  Null, empty and wordless texts have no words and are never
@@ -33,12 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store
 from . import words as wk
 from .memory import tidied
 
 WINDOW = 10
 #: Bytes of test text in one broadcast shard.
 SHARD_BYTES = 4 << 20
+#: Shards that a worker keeps in memory from one run of rows to the next.
+LIVE_SHARDS = 4
 
 _PAIR_BITS = 20
 
@@ -57,8 +62,16 @@ class TestSuffixes:
             h = wk.hashes(starts, ends, data)
             sequences += [h[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.vocabulary = np.unique(np.concatenate([*sequences, np.empty(0, wk.U)]))
-        self.sequences = [np.searchsorted(self.vocabulary, s) + 1 for s in sequences]
-        self.ids = [i for i, _ in items]
+        #: the different sequences of words, and the ids of the items of each
+        self.sequences: list[np.ndarray] = []
+        self.ids: list[list[Any]] = []
+        met: dict[bytes, int] = {}
+        for (i, _), s in zip(items, sequences, strict=True):
+            n = met.setdefault(s.tobytes(), len(met))
+            if n == len(self.sequences):
+                self.sequences.append(np.searchsorted(self.vocabulary, s) + 1)
+                self.ids.append([])
+            self.ids[n].append(i)
         found: dict[bytes, int] = {}
         self.lengths: list[int] = []
         places: list[list[tuple[int, int]]] = []
@@ -134,59 +147,89 @@ class TestSuffixes:
         return at[order[lo[which] + inner]], which
 
 
+def runs(t: TestSuffixes, first: np.ndarray, at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Maximal matches as rows of (row, sequence, its first word, first word in the row, words): windows that follow one another in both."""
+    size = np.diff(t.place_off)[which]
+    places = t.place[np.repeat(t.place_off[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+    at, length = np.repeat(at, size), np.repeat(t.lengths[which], size)
+    row = np.searchsorted(first, at, side="right") - 1
+    order = np.lexsort((at, at - places[:, 1], places[:, 0], row))
+    row, k, j, at, length = row[order], places[order, 0], places[order, 1], at[order], length[order]
+    begins = np.ones(len(at), bool)
+    begins[1:] = (row[1:] != row[:-1]) | (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    start = np.flatnonzero(begins)
+    last = np.append(start[1:], len(at)) - 1
+    return np.stack([row[start], k[start], j[start], at[start] - first[row[start]], at[last] + length[last] - at[start]], 1) if len(at) else np.empty((0, 5), np.int64)
+
+
 def shards(benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> list[Broadcast]:
     """The test set in broadcast shards of about ``shard_bytes`` of text."""
     spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // shard_bytes) + 1
-    return [spark.sparkContext.broadcast(TestSuffixes([(r["item_id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == s).collect()], window)) for s in range(n)]
+    if n == 1:
+        return [spark.sparkContext.broadcast(TestSuffixes([(r["item_id"], r["text"]) for r in items.collect()], window))]
+    shard = F.pmod(F.xxhash64(F.lower(F.coalesce("text", F.lit("")))), F.lit(n))
+    kept = store.keep(items.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard"), "test-shards")
+    out = [spark.sparkContext.broadcast(TestSuffixes([(r["item_id"], r["text"]) for r in kept.filter(F.col("shard") == s).collect()], window)) for s in range(n)]
+    store.drop(kept)
+    return out
 
 
-def _hits(column: pa.Array, tests: list[Broadcast]) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[tuple[TestSuffixes, np.ndarray, np.ndarray]]]]:
-    """For each run of rows: its first row, word hashes, rows' first words, and the hits of each shard."""
+def _hits(column: pa.Array, tests: list[Broadcast]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Iterator[tuple[TestSuffixes, np.ndarray, np.ndarray]]]]:
+    """For each run of rows: its first row, word hashes, rows' first words, and one shard after another with its hits."""
     for lo, _, off, data in wk.slices(column):
         starts, ends, first = wk.spans(off, data, wk.ALNUM)
         h = wk.hashes(starts, ends, data)
-        yield lo, h, first, [(t.value, *t.value.search(h, first)) for t in tests]
 
+        def found(h: np.ndarray = h, first: np.ndarray = first) -> Iterator[tuple[TestSuffixes, np.ndarray, np.ndarray]]:
+            for t in tests:
+                at, which = t.value.search(h, first)
+                if len(at):
+                    yield t.value, at, which
+                if len(tests) > LIVE_SHARDS and hasattr(t, "_value"):
+                    del t._value  # read again from the worker's copy of the broadcast
 
-def _covered(n: int, found: list[tuple[TestSuffixes, np.ndarray, np.ndarray]]) -> np.ndarray:
-    edge = np.zeros(n + 1, np.int64)
-    for t, at, which in found:
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + t.lengths[which], -1)
-    return np.cumsum(edge[:-1]) > 0
+        yield lo, h, first, found()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated, and of its
+    longest verbatim match the words (longest_match), where it begins (longest_at) and the least id, as text, of its items (longest_item)."""
     tests = shards(benchmark, window)
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total = np.zeros(batch.num_rows, np.int64)
-            hit, count = total.copy(), total.copy()
+            hit, count, longest = total.copy(), total.copy(), total.copy()
             sha = np.full(batch.num_rows, hashlib.sha256(b"").hexdigest(), object)
+            where: list[int | None] = [None] * batch.num_rows
+            item: list[str | None] = [None] * batch.num_rows
             for lo, h, first, found in _hits(batch.column(1), tests):
                 rows = slice(lo, lo + len(first) - 1)
                 total[rows] = np.diff(first)
-                if not any(len(at) for _, at, _ in found):
-                    continue
-                sums = np.append(0, np.cumsum(_covered(len(h), found)))
-                hit[rows] = sums[first[1:]] - sums[first[:-1]]
+                edge = np.zeros(len(h) + 1, np.int64)
                 items: dict[int, set[str]] = {}
                 for t, at, which in found:
-                    pair = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, which], 1), axis=0) if len(at) else ()
-                    for row, w in pair:
-                        items.setdefault(int(row), set()).update(str(t.ids[k]) for k in t.place[t.place_off[w] : t.place_off[w + 1], 0])
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + t.lengths[which], -1)
+                    for row, k, _, p, n in runs(t, first, at, which).tolist():
+                        ids = sorted(map(str, t.ids[k]))
+                        items.setdefault(row, set()).update(ids)
+                        if (-n, p, ids[0]) < (-longest[lo + row], where[lo + row] or 0, item[lo + row] or ""):
+                            longest[lo + row], where[lo + row], item[lo + row] = n, p, ids[0]
+                sums = np.append(0, np.cumsum(np.cumsum(edge[:-1]) > 0))
+                hit[rows] = sums[first[1:]] - sums[first[:-1]]
                 for row, own in items.items():
                     count[lo + row] = len(own)
                     sha[lo + row] = hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(hit), pa.array(count), pa.array(sha, pa.string()), pa.array(hit > 0)], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+            columns = {"doc_id": batch.column(0), "n_words": pa.array(total), "n_hit": pa.array(hit), "n_items": pa.array(count), "items_sha256": pa.array(sha, pa.string()), "contaminated": pa.array(hit > 0)}
+            columns |= {"longest_match": pa.array(longest), "longest_at": pa.array(where, pa.int64()), "longest_item": pa.array(item, pa.string())}
+            yield pa.RecordBatch.from_pydict(columns)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_at long, longest_item string")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -199,19 +242,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
-            for lo, h, first, found in _hits(batch.column(1), tests):
+            for lo, _, first, found in _hits(batch.column(1), tests):
                 for t, at, which in found:
-                    for p, w in zip(at.tolist(), which.tolist(), strict=True):
-                        row = int(np.searchsorted(first, p, side="right")) - 1
-                        a, b = int(first[row]), int(first[row + 1])
-                        for k, j in t.place[t.place_off[w] : t.place_off[w + 1]].tolist():
-                            s = t.vocabulary[t.sequences[k] - 1]
-                            if p > a and j > 0 and h[p - 1] == s[j - 1]:
-                                continue  # the match began earlier
-                            m = min(b - p, len(s) - j)
-                            same = h[p : p + m] == s[j : j + m]
-                            n = m if same.all() else int(same.argmin())
-                            out.append((ids[lo + row], t.ids[k], j, p - a, n))
+                    out += [(ids[lo + row], i, j, p, n) for row, k, j, p, n in runs(t, first, at, which).tolist() for i in t.ids[k]]
             out.sort(key=str)
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, x, strict=True)) for x in out], schema=_arrow(kind))
 

@@ -113,15 +113,20 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 OP7_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-win AS (SELECT DISTINCT item_id, array_to_string(w[j + 1 : j + 10], ' ') AS g, least(10, len(w)) AS n FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 9))) AS j FROM b WHERE len(w) > 0)),
+placed AS (SELECT item_id, j, array_to_string(w[j + 1 : j + 10], ' ') AS g, least(10, len(w)) AS n FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 9))) AS j FROM b WHERE len(w) > 0)),
+win AS (SELECT DISTINCT item_id, g, n FROM placed),
 sizes AS (SELECT DISTINCT n FROM win),
 pos AS (SELECT r, w, n, unnest(range(len(w) - n + 1)) AS p FROM d, sizes WHERE len(w) >= n),
 hit AS (SELECT r, p, pos.n, item_id FROM pos JOIN win ON win.n = pos.n AND win.g = array_to_string(w[p + 1 : p + pos.n], ' ')),
 cover AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hit) GROUP BY r),
+longest AS (SELECT r, p0, count(*) + any_value(n) - 1 AS words, min(CAST(item_id AS VARCHAR)) AS item FROM (SELECT *, min(p) OVER (PARTITION BY r, item_id, d, g) AS p0 FROM (
+  SELECT *, p - j AS d, p - row_number() OVER (PARTITION BY r, item_id, p - j ORDER BY p) AS g FROM (SELECT pos.r, pos.p, pos.n, w.item_id, w.j FROM pos JOIN placed w ON w.n = pos.n AND w.g = array_to_string(pos.w[p + 1 : p + pos.n], ' ')))) GROUP BY r, item_id, d, g, p0),
+best AS (SELECT r, words, p0, item FROM longest QUALIFY row_number() OVER (PARTITION BY r ORDER BY words DESC, p0, item) = 1),
 items AS (SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM (SELECT DISTINCT r, item_id FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r)
+       sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       CAST(coalesce(words, 0) AS BIGINT) AS longest_match, CAST(p0 AS BIGINT) AS longest_at, item AS longest_item
+FROM d LEFT JOIN cover USING (r) LEFT JOIN items USING (r) LEFT JOIN best USING (r)
 """
 
 

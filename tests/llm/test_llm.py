@@ -456,11 +456,11 @@ def test_fingerprints_without_blanks(spark):
     assert tokens == [["twelveletter"], ["twelveletter", *"thirteenletter"]]
 
 
-def test_decontamination(spark, docs, empty):
+def test_decontamination(spark, docs, empty, monkeypatch):
     rng = random.Random(3)
     item = [f"q{i}" for i in range(25)]
-    items = [(1, " ".join(item)), (2, "Tiny item"), (10, " ".join(item[:12])), (4, None), (5, "--"), (6, "solo")]
-    texts = [" ".join(rng.choice(item) for _ in range(30)), "x " + " ".join(item[3:20]) + " y", "TINY, item! tiny item", "the solo act", None, "", " ".join(item) * 2, " ".join(item[:9])]
+    items = [(1, " ".join(item)), (2, "Tiny item"), (10, " ".join(item[:12])), (4, None), (5, "--"), (6, "solo"), (1, "Tiny, item"), (11, " ".join(item)), (11, " ".join(item))]
+    texts = [" ".join(rng.choice(item) for _ in range(30)), "x " + " ".join(item[3:20]) + " y", "TINY, item! tiny item", "the solo act", None, "", " ".join(item) * 2, " ".join(item[:9]), " ".join([*item[2:13], "gap", *item[5:21]]), " ".join([*item, "x"]) * 400]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
     b = spark.createDataFrame(items, "item_id long, text string")
     windows = set()
@@ -470,10 +470,20 @@ def test_decontamination(spark, docs, empty):
             windows.add((i, tuple(w[j : j + 10])))
     for tests in (None, 40):
         if tests:
-            old, decontamination.SHARD_BYTES = decontamination.SHARD_BYTES, tests
+            monkeypatch.setattr(decontamination.shards, "__defaults__", (10, tests))
+            monkeypatch.setattr(decontamination, "LIVE_SHARDS", 1)
         for r in decontamination.report(d, b).collect():
             w = ALNUM.findall((texts[r["doc_id"]] or "").translate(AZ))
-            hit, own = set(), set()
+            hit, own, longest = set(), set(), (0, 0, "")
+            for i, t in items:
+                x = ALNUM.findall((t or "").translate(AZ))
+                for p in range(len(w)):
+                    for j in range(len(x)):
+                        if w[p] == x[j] and not (p and j and w[p - 1] == x[j - 1]):
+                            n = next((n for n in range(min(len(w) - p, len(x) - j)) if w[p + n] != x[j + n]), min(len(w) - p, len(x) - j))
+                            if n >= min(10, len(x)):
+                                longest = min(longest, (-n, p, str(i)))
+            assert (-r["longest_match"], r["longest_at"] or 0, r["longest_item"] or "") == longest
             for i, x in windows:
                 for j in range(len(w) - len(x) + 1):
                     if tuple(w[j : j + len(x)]) == x:
@@ -481,9 +491,10 @@ def test_decontamination(spark, docs, empty):
                         own.add(str(i))
             assert (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) == (len(w), len(hit), len(own), bool(hit))
             assert r["items_sha256"] == hashlib.sha256(",".join(sorted(own)).encode()).hexdigest()
-    decontamination.SHARD_BYTES = old
-    assert {(r["item_id"], r["item_word"], r["doc_word"], r["n_words"]) for r in decontamination.matches(d, b).filter("doc_id = 1").collect()} == {(1, 3, 1, 17)}
+    assert {(r["item_id"], r["item_word"], r["doc_word"], r["n_words"]) for r in decontamination.matches(d, b).filter("doc_id = 1").collect()} == {(1, 3, 1, 17), (11, 3, 1, 17)}
     assert {r["doc_id"] for r in decontamination.decontaminate(d, b).collect()} == {0, 4, 5, 7}
+    clash = d.selectExpr("*", "1 AS n_words", "2 AS item_id", "3 AS contaminated")
+    assert decontamination.report(clash.unionByName(clash), b).filter("contaminated").count() == 2 * (len(texts) - 4) and decontamination.decontaminate(clash, b).columns == clash.columns
     assert decontamination.report(empty, b).count() == 0 and decontamination.report(d, b.limit(0)).filter("contaminated").count() == 0
 
 
