@@ -9,8 +9,8 @@ with their positions are the fingerprint.
 Guarantees: any run of w + k - 1 tokens that two texts share gives them a
 common hash, so any passage of as many code points inside two longer runs does; a shared run of fewer than k tokens never does.
 
-A hash and its position are packed into one long (the hash above, the
-position's complement below), so the least of a window is the rightmost least.
+A hash (32 bits) and its position (31) are packed into one long, the hash above,
+the position's complement below, so the least of a window is the rightmost least.
 
 A text of fewer than k tokens has one hash, that of all its tokens; one of
 fewer than w hashes one window.  Null reads as empty; empty and blank texts
@@ -28,8 +28,8 @@ from . import store
 
 K, W = 3, 4
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,12}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
-#: Bits of a packed value that hold the position.
-_POS = 26
+#: Bits of a packed value that hold the position (any that a text can have), and those of the hash above them.
+_POS, _HASH = 31, 32
 _MASK = (1 << _POS) - 1
 
 
@@ -38,7 +38,7 @@ def packed(text: Column, k: int = K) -> Column:
 
     def of(tokens: Column) -> Column:
         n = F.size(tokens)
-        pack = lambda h, p: F.shiftleft(h.bitwiseAND(F.lit((1 << 36) - 1)), _POS).bitwiseOR(F.lit(_MASK).cast("long") - F.pmod(p, F.lit(_MASK + 1)).cast("long"))
+        pack = lambda h, p: F.shiftleft(h.bitwiseAND(F.lit((1 << _HASH) - 1)), _POS).bitwiseOR(F.lit(_MASK).cast("long") - p.cast("long"))
         runs = F.transform(F.sequence(F.lit(0), n - k), lambda i: pack(F.xxhash64(*[F.get(tokens, i + j) for j in range(k)]), i))
         return F.when(n >= k, runs).when(n > 0, F.array(pack(F.xxhash64(tokens), F.lit(0)))).otherwise(F.array().cast("array<long>"))
 
@@ -62,8 +62,8 @@ def winnow(values: Column, w: int = W) -> Column:
 
 
 def hashes(chosen: Column) -> Column:
-    """The distinct hashes of a fingerprint, without positions, 32 bits of each."""
-    return F.array_distinct(F.transform(chosen, lambda x: (F.shiftrightunsigned(x, _POS).bitwiseAND(F.lit((1 << 32) - 1)) - F.lit(1 << 31)).cast("int")))
+    """The distinct hashes of a fingerprint, without positions."""
+    return F.array_distinct(F.transform(chosen, lambda x: (F.shiftrightunsigned(x, _POS) - F.lit(1 << 31)).cast("int")))
 
 
 def positions(chosen: Column) -> Column:
