@@ -26,6 +26,8 @@ U = np.uint64
 LONG_WORD = 1 << 16
 #: Bytes of text that one NumPy pass takes at a time.
 CHUNK = 1 << 19
+#: And rows.
+CHUNK_ROWS = 4096
 
 _b = np.arange(256)
 BLANK = ~((_b == 0x20) | ((_b >= 0x09) & (_b <= 0x0D)))
@@ -62,7 +64,7 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yield (first row, end row, offsets, bytes) of runs of rows of about ``limit`` bytes.
+    """Yield (first row, end row, offsets, bytes) of runs of rows of about ``limit`` bytes, CHUNK_ROWS rows at most.
 
     Nulls read as empty texts.  A row longer than ``limit`` comes alone.
     """
@@ -76,7 +78,7 @@ def slices(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
     lo = 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
-        hi = min(hi, len(column))
+        hi = min(hi, lo + CHUNK_ROWS, len(column))
         yield lo, hi, off[lo : hi + 1] - off[lo], data[off[lo] : off[hi]]
         lo = hi
 
