@@ -383,6 +383,45 @@ def test_quality(spark, empty):
     assert quality.scores(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_quality_by_hand(spark):
+    """Votes of a small model, ties, and edge cases through Spark."""
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        c = rng.integers(0, 6, (5, 40)).astype(np.float32)
+        k = int(rng.integers(1, 40))
+        want = [sorted(sorted(range(40), key=lambda j, row=row: (-row[j], j))[:k]) for row in c]
+        assert quality.nearest(c, k).tolist() == want
+    axes = np.eye(quality.FEATURES, dtype=np.float32)[:, :3]
+    vectors = np.array([[1, 0, 0], [1, 0, 0], [0, 1, 0], [0.6, 0.8, 0]], np.float32)
+    model = quality.QualityModel(0.25, np.ones(quality.FEATURES, np.float32), axes, vectors, np.array([1.0, 0.0, 0.0, 1.0]))
+    x = np.zeros((3, quality.FEATURES), np.float32)
+    x[0, 0], x[1, 1], x[1, 2] = 2.0, 3.0, 4.0
+    got = model.score(x, neighbours=2, prior=0.5)
+    w = [0.6**8, 0.48**8]  # of the second text: 0.6 with the third vector, 0.48 with the fourth
+    assert got == pytest.approx([(1 + 0.5 * 0.25) / 2.5, (w[1] + 0.5 * 0.25) / (sum(w) + 0.5), 0.25], rel=1e-4)
+    docs, labels = labelled(spark)
+    fitted = quality.fit(docs, labels.unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema)))
+    odd = [(1, None), (1, None), (2, ""), (3, " \n"), (None, "some text"), (4, "x" * 2_000_000), (5, "word " * 300_000), (1, "same text."), (1, "same text.")]
+    rows = quality.scores(spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS held_out"), fitted).collect()
+    assert len(rows) == len(odd) and all(0 <= r["score"] <= 1 for r in rows)
+    assert [r["score"] for r in rows if r["doc_id"] == 2] == [pytest.approx(fitted.base)] and len({r["score"] for r in rows if r["doc_id"] == 1}) == 2
+
+
+def test_toxicity_by_hand(spark):
+    """The score is the noisy-or of the heaviest term of each word; edge cases through Spark."""
+    chars = toxicity.CharModel(np.ones(729))
+    model = toxicity.ToxicityModel(chars, 0.1, {"bad": 0.5, "wors*": 0.6, "worst": 0.9, "worse": 0.2})
+    assert model.score("bad") == pytest.approx(1 - 0.9 * 0.5) and model.score("worse bad") == pytest.approx(1 - 0.9 * 0.4 * 0.5)
+    assert model.score("Worst worst") == pytest.approx(1 - 0.9 * 0.1) and model.score("fine") == pytest.approx(0.1)
+    docs, labels = labelled(spark)
+    fitted = toxicity.fit(docs, labels)
+    odd = [(1, None), (1, None), (2, ""), (3, " \n"), (None, "you idiot"), (4, "x" * 1_000_000), (5, "i d i o t " * 20_000), (6, "you idiot"), (6, "you idiot"), (7, "1d10t-" + "x" * 70)]
+    df = spark.createDataFrame(odd, "doc_id long, text string").selectExpr("*", "1 AS score", "2 AS term", "3 AS y")
+    rows = toxicity.scores(df, fitted).collect()
+    assert len(rows) == len(odd) and [r["predicted"] for r in sorted(rows, key=lambda r: (r["doc_id"] or 0))] == [1, 0, 0, 0, 0, 0, 1, 1, 1, 1]
+    assert toxicity.reject(df, fitted).columns == df.columns and toxicity.reject(df, fitted).count() == 5
+
+
 def test_url_filter(spark):
     urls = ["http://WWW.Example.com/en/1?x", "https://a.example.com/en/", "http://x.net/es/a", "http://net/fr/", "ftp://b.com", "b.com/en/", None, "", "http://evilexample.com/en/", "http://a.org/example.com/en/", "http://spam-farm.example.org/q", "http://é.com/ü", "http:///en/", "http://" + "a" * 3000 + ".com/"]
     urls += ["http://x.casino-win.org/a", "http://my-ads.org", "http://a.org/b/c.zip?d", "http://a.org/cgi-bin/x", "http://roads.org/essex/zip", "http://spam.net/es/1", "http://a.org/" + "b/" * 20000 + "counter"]
@@ -440,6 +479,54 @@ def test_fingerprints(spark, docs, empty):
     assert fingerprints.report(empty).count() == 0
 
 
+def spark_hash(parts):
+    """Spark's xxhash64 of strings, one seeding the next."""
+    import xxhash
+
+    h = 42
+    for x in parts:
+        h = xxhash.xxh64(x.encode(), seed=h).intdigest()
+    return h
+
+
+def winnowed(text, k=3, w=4):
+    """(hash, position) chosen by windows, rightmost of equal ones, by brute force."""
+    tokens = re.findall(fingerprints.TOKEN, text)
+    runs = [spark_hash(tokens[i : i + k]) & 0xFFFFFFFF for i in range(len(tokens) - k + 1)]
+    if not runs:
+        return None  # a short text's one hash is of the array
+    chosen = []
+    for i in range(max(1, len(runs) - w + 1)):
+        window = runs[i : i + w]
+        low = min(window)
+        at = i + max(j for j, x in enumerate(window) if x == low)
+        if (low, at) not in chosen:
+            chosen.append((low, at))
+    return chosen
+
+
+def test_fingerprints_by_hand(spark):
+    """Fingerprints with ties, edited ones and likenesses against brute force; repeated ids, clashing columns."""
+    rng = random.Random(13)
+    texts = {i: " ".join(rng.choice(["a", "b", "cc", "the", "日本語のとても長い文字列"]) for _ in range(rng.choice([3, 5, 20, 60]))) for i in range(40)}
+    rows = [(i, t) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS head", "2 AS lent", "3 AS tie", "4 AS part", "5 AS need").repartition(3)
+    got = {r["doc_id"]: r for r in fingerprints.report(df).collect()}
+    ids = sorted(texts, reverse=True)
+    like = lambda a, b: len({h for h, _ in a} & {h for h, _ in b}) / max(1, len({h for h, _ in a} | {h for h, _ in b}))
+    for i, after in zip(ids, [*ids[1:], ids[0]], strict=True):
+        t = texts[i]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + texts[after][:half]
+        a, b, c = winnowed(t), winnowed(edited), winnowed(texts[after])
+        assert got[i]["fingerprint"] == ",".join(f"{h:x}@{p}" for h, p in a)
+        if b:
+            assert got[i]["edited_fingerprint"] == ",".join(f"{h:x}@{p}" for h, p in b) and got[i]["near_edited"] == pytest.approx(like(a, b))
+        assert got[i]["near_next"] == pytest.approx(like(a, c))
+    twice = fingerprints.report(df.unionByName(df.filter("doc_id < 3")).unionByName(spark.createDataFrame([(None, "a b c"), (None, None)], "doc_id long, text string"), allowMissingColumns=True)).collect()
+    assert len(twice) == 45 and len({r["fingerprint"] for r in twice if r["doc_id"] == 2}) == 1
+
+
 def test_fingerprints_without_blanks(spark):
     """A passage without blanks has the same hashes wherever it begins."""
     rng = random.Random(6)
