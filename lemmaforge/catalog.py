@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_fits, relation
+from . import catalog_fits, catalog_more, relation
 from .export import text as export
 from .expr import Bin, Col, Const, Linear, Log, Un, max_, min_
 from .operators import bounds, filters, fits, lattice, statistics, sufficient
@@ -452,5 +452,6 @@ def ratio_lift(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(len(found),)], "lifted long")
 
 
-QUERIES |= catalog_fits.QUERIES
-SQL |= catalog_fits.SQL
+for _part in (catalog_fits, catalog_more):
+    QUERIES |= _part.QUERIES
+    SQL |= _part.SQL

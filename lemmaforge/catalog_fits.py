@@ -226,7 +226,7 @@ def registered_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(session.lattice.support(h), h.arity) for h in session.register()], "support long, arity int")
 
 
-_PART = {"small": "p_size <= 10", "tiny": "p_size <= 5", "dear": "p_retailprice > 1000", "odd": "p_size % 2 = 1"}
+_PART = {"small": "p_size <= 10", "tiny": "p_size <= 5", "dear": "p_retailprice > 950", "odd": "p_size % 2 = 1"}
 _SETS = {n: (n,) for n in _PART} | {f"{a} {b}": (a, b) for a, b in combinations(sorted(_PART), 2)}
 
 

@@ -319,9 +319,10 @@ def batch_where(name: str, fn: Callable[[Any], Any], columns: list[str]) -> Wher
     """By pandas batches: ``fn`` takes a frame of the columns and gives a boolean series."""
     import pandas as pd
 
-    def run(frame: pd.DataFrame) -> pd.Series:
+    def run(frame):
         return pd.Series(fn(frame)).astype(bool)
 
+    run.__annotations__ = {"frame": pd.DataFrame, "return": pd.Series}  # as types: Spark reads the kind of function from them
     return Where(name, lambda: F.pandas_udf(run, "boolean")(F.struct(*[F.col(quoted(c)) for c in columns])))
 
 
