@@ -46,6 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
+    spent = None
     for name, stage in STAGES[:-1]:
         docs = store.keep(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        if spent is not None:
+            store.drop(spent)  # the stage before has been read for the last time
+        spent = docs
     return STAGES[-1][1](spark, docs, sf_dir)
