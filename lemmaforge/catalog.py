@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from fractions import Fraction
 from itertools import combinations
 
@@ -76,7 +77,7 @@ SELECT b.hypothesis, b.feature, b.support, round(b.cmin, 6) AS cmin, round(b.cma
        CAST(sum(CASE WHEN l.t / l.x = b.cmin THEN 1 ELSE 0 END) AS BIGINT) AS touch_lower, CAST(sum(CASE WHEN l.t / l.x = b.cmax THEN 1 ELSE 0 END) AS BIGINT) AS touch_upper
 FROM bnd b JOIN lng l USING (hypothesis, feature) WHERE l.x <> 0 GROUP BY b.hypothesis, b.feature, b.support, b.cmin, b.cmax""")
 def ratio_bounds_slice(spark: SparkSession, sf: str) -> DataFrame:
-    df = order_objects(spark, sf).persist()
+    df = order_objects(spark, sf)
     found, hyps = _lattice(df)
     return _round(bounds.ratio_touches(df, found, hyps, Col("t"), _FEATURES), "cmin", "cmax")
 
@@ -387,12 +388,22 @@ def monitored_counterexamples(spark: SparkSession, sf: str) -> DataFrame:
     return monitor.counterexamples(order_objects(spark, sf), _STATEMENTS).select("o_orderkey", "statement")
 
 
+@contextmanager
+def held(df: DataFrame) -> Iterator[DataFrame]:
+    """``df`` kept for the passes over it, and let go."""
+    df.persist()
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
 def _mined(spark: SparkSession, df: DataFrame, statements: list[Statement]) -> DataFrame:
     return relation.metrics_frame(df, statements).select("hypothesis", "conclusion", "support", "touch", "violations")
 
 
 def _small(spark: SparkSession, sf: str) -> DataFrame:
-    return order_objects(spark, sf).select("n_lines", "qty", "max_line", "is_final", "has_return").persist()
+    return order_objects(spark, sf).select("n_lines", "qty", "max_line", "is_final", "has_return")
 
 
 def _wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -401,36 +412,36 @@ def _wide(spark: SparkSession, sf: str) -> DataFrame:
         F.max(F.col("l_quantity").cast("double")).alias("max_qty"), F.min(F.col("l_quantity").cast("double")).alias("min_qty"), F.sum(100 * F.col("l_discount").cast("double")).alias("discount"), F.sum(100 * F.col("l_tax").cast("double")).alias("tax")
     )
     df = order_objects(spark, sf).join(lines, "o_orderkey")
-    return df.select("n_lines", F.col("qty").cast("double").alias("qty"), (F.col("gross").cast("double") / 1000).alias("price"), "max_qty", "min_qty", "discount", "tax", "is_final", "has_return").persist()
+    return df.select("n_lines", F.col("qty").cast("double").alias("qty"), (F.col("gross").cast("double") / 1000).alias("price"), "max_qty", "min_qty", "discount", "tax", "is_final", "has_return")
 
 
 @query()
 def stage_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    df = _wide(spark, sf).select("n_lines", "qty", "max_qty", "min_qty", "is_final")
-    session = Session(df, max_arity=1, min_touches=1)
-    found = session.conjecture("qty", stages=[Stage.MIXED], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
-    return _mined(spark, df, [s for s, _ in found.statements])
+    with held(_wide(spark, sf).select("n_lines", "qty", "max_qty", "min_qty", "is_final")) as df:
+        session = Session(df, max_arity=1, min_touches=1)
+        found = session.conjecture("qty", stages=[Stage.MIXED], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
+        return _mined(spark, df, [s for s, _ in found.statements])
 
 
 @query()
 def mine_subsets(spark: SparkSession, sf: str) -> DataFrame:
     """Forms of up to four features: fitted, rounded, verified, by touch."""
-    df = _wide(spark, sf)
-    session = Session(df, max_arity=0, min_touches=1)
-    found = session.conjecture("qty", stages=[Stage.LP2, Stage.LP3, Stage.LP4], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
-    return _mined(spark, df, [s for s, _ in found.statements])
+    with held(_wide(spark, sf)) as df:
+        session = Session(df, max_arity=0, min_touches=1)
+        found = session.conjecture("qty", stages=[Stage.LP2, Stage.LP3, Stage.LP4], with_conditions=False, quick=False, products=False, absolute=False, extremes=False, logs=False)
+        return _mined(spark, df, [s for s, _ in found.statements])
 
 
 @query()
 def mine_fast(spark: SparkSession, sf: str) -> DataFrame:
-    df = _small(spark, sf)
-    return _mined(spark, df, [s for s, _ in Session(df, max_arity=1, min_touches=1, use_morgan=True, use_dalmatian=True).conjecture("qty", mode="fast", quick=False).statements])
+    with held(_small(spark, sf)) as df:
+        return _mined(spark, df, [s for s, _ in Session(df, max_arity=1, min_touches=1, use_morgan=True, use_dalmatian=True).conjecture("qty", mode="fast", quick=False).statements])
 
 
 @query()
 def packaged_necessary(spark: SparkSession, sf: str) -> DataFrame:
-    df = _small(spark, sf)
-    return _mined(spark, df, necessary_bounds(df, "qty"))
+    with held(_small(spark, sf)) as df:
+        return _mined(spark, df, necessary_bounds(df, "qty"))
 
 
 @query()

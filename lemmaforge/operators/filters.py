@@ -1,7 +1,7 @@
 """Filters over statements: generality, significance, duplicates, order, equalities.
 
-Generality (Morgan) compares the sets of rows that hypotheses select; these
-are sets of joint signatures of the hypotheses, counted in one pass.
+Generality (Morgan) compares the sets of rows that hypotheses select: for every
+pair that matters, one pass counts the rows of one outside the other.
 Significance (Dalmatian) asks whether a bound is somewhere sharper than all
 bounds before it; each row carries its running envelope along the candidates,
 so no row meets another and only one flag per candidate leaves a partition.
@@ -9,14 +9,14 @@ so no row meets another and only one flag per candidate leaves a partition.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as nf
-from ..pred import COMPLEMENT, Compare, Pred, conj
+from ..pred import COMPLEMENT, Compare, Pred, conj, disj
 from ..relation import Statement, evaluate
 
 
@@ -27,33 +27,35 @@ def conclusion_key(p: Pred) -> str:
     return p.label()
 
 
-def covers(df: DataFrame, preds: Sequence[Pred]) -> list[frozenset[str]]:
-    """For each predicate the joint signatures that it selects."""
-    if not preds:
-        return []
-    sig = F.concat(F.lit(""), *[F.when(p.column(), "1").otherwise("0") for p in preds])
-    seen = [r["sig"] for r in df.select(sig.alias("sig")).distinct().collect()]
-    return [frozenset(s for s in seen if s[i] == "1") for i in range(len(preds))]
+def outside(df: DataFrame, pairs: Iterable[tuple[Pred, Pred]], chunk: int = 300) -> dict[tuple[Pred, Pred], int]:
+    """For each pair the rows where the first predicate holds and the second does not; a pass for every ``chunk`` pairs."""
+    todo = list(dict.fromkeys(pairs))
+    out: dict[tuple[Pred, Pred], int] = {}
+    for lo in range(0, len(todo), chunk):
+        part = todo[lo : lo + chunk]
+        row = df.agg(*[F.count_if(a.column() & ~b.column()).alias(f"c{i}") for i, (a, b) in enumerate(part)]).first()
+        out |= {p: row[f"c{i}"] for i, p in enumerate(part)}
+    return out
 
 
-def _by_hypothesis(df: DataFrame, statements: Sequence[Statement]) -> list[frozenset[str]]:
-    unique = list(dict.fromkeys(s.hypothesis for s in statements))
-    found = dict(zip(unique, covers(df, unique), strict=True))
-    return [found[s.hypothesis] for s in statements]
+def _strictly_inside(found: dict[tuple[Pred, Pred], int], a: Pred, b: Pred) -> bool:
+    return a != b and found[a, b] == 0 < found[b, a]
 
 
 def morgan(df: DataFrame, statements: Sequence[Statement]) -> list[Statement]:
     """Per conclusion the statements whose hypothesis is not strictly inside another's; equal ones all stay."""
-    cover = _by_hypothesis(df, statements)
-    key = [conclusion_key(s.conclusion) for s in statements]
-    return [s for i, s in enumerate(statements) if not any(key[i] == key[j] and cover[i] < cover[j] for j in range(len(statements)))]
+    same: dict[str, list[Pred]] = {}
+    for s in statements:
+        same.setdefault(conclusion_key(s.conclusion), []).append(s.hypothesis)
+    found = outside(df, ((a, b) for hyps in same.values() for a in hyps for b in hyps if a != b))
+    return [s for s in statements if not any(_strictly_inside(found, s.hypothesis, h) for h in same[conclusion_key(s.conclusion)])]
 
 
 def morgan_accept(df: DataFrame, new: Statement, existing: Sequence[Statement]) -> bool:
     """Whether no existing statement of the same conclusion has a strictly larger hypothesis."""
-    same = [s for s in existing if conclusion_key(s.conclusion) == conclusion_key(new.conclusion)]
-    cover = covers(df, [new.hypothesis, *(s.hypothesis for s in same)])
-    return not any(cover[0] < c for c in cover[1:])
+    others = [s.hypothesis for s in existing if conclusion_key(s.conclusion) == conclusion_key(new.conclusion) and s.hypothesis != new.hypothesis]
+    found = outside(df, [p for h in others for p in ((new.hypothesis, h), (h, new.hypothesis))])
+    return not any(_strictly_inside(found, new.hypothesis, h) for h in others)
 
 
 def _envelope(df: DataFrame, groups: Sequence[Sequence[Statement]], tol: float, against_all: bool) -> list[list[bool]]:
@@ -138,9 +140,8 @@ def dalmatian_accept(df: DataFrame, new: Statement, existing: Sequence[Statement
 
 def sophie_accept(df: DataFrame, new: Statement, existing: Sequence[Statement]) -> bool:
     """Whether the new hypothesis covers a row that no accepted one of the same conclusion covers."""
-    same = [s for s in existing if s.conclusion == new.conclusion]
-    cover = covers(df, [new.hypothesis, *(s.hypothesis for s in same)])
-    return bool(cover[0] - frozenset().union(*cover[1:]))
+    same = [s.hypothesis for s in existing if s.conclusion == new.conclusion]
+    return outside(df, [(new.hypothesis, disj(same))])[new.hypothesis, disj(same)] > 0
 
 
 def unique(statements: Sequence[Statement]) -> list[Statement]:
@@ -149,10 +150,12 @@ def unique(statements: Sequence[Statement]) -> list[Statement]:
     return [s for s in statements if (s.hypothesis, s.conclusion) not in seen and not seen.add((s.hypothesis, s.conclusion))]
 
 
-def ranked(df: DataFrame, statements: Sequence[Statement], by: str = "touch", least_touch: int = 0) -> list[tuple[Statement, dict]]:
-    """With metrics, by ``by`` (then support) descending, in order otherwise; statements of fewer touches go."""
-    found = evaluate(df, list(statements))
-    rows = [(s, found[i]) for i, s in enumerate(statements) if (found[i]["touch"] or 0) >= least_touch]
+def ranked(df: DataFrame, statements: Sequence[Statement], by: str = "touch", least_touch: int = 0, known: Mapping[Statement, dict] | None = None) -> list[tuple[Statement, dict]]:
+    """With metrics, by ``by`` (then support) descending, in order otherwise; statements of fewer touches go.  ``known`` metrics are not evaluated again."""
+    found = dict(known or {})
+    new = [s for s in dict.fromkeys(statements) if s not in found]
+    found |= {s: m for s, m in zip(new, evaluate(df, new).values(), strict=True)}
+    rows = [(s, found[s]) for s in statements if (found[s]["touch"] or 0) >= least_touch]
     return sorted(rows, key=lambda r: (-(r[1][by] or 0), -(r[1]["support"] or 0)))
 
 
@@ -185,10 +188,12 @@ def contrapositives(statements: Sequence[Statement]) -> list[Statement]:
 
 def merged_by_hypothesis(df: DataFrame, statements: Sequence[Statement]) -> list[tuple[Pred, list[Statement]]]:
     """Statements of hypotheses that select the same rows together, of equal conclusions the first; of two bounds with equal form the sharper."""
-    cover = _by_hypothesis(df, statements)
-    groups: dict[frozenset[str], list[Statement]] = {}
-    for s, c in zip(statements, cover, strict=True):
-        groups.setdefault(c, []).append(s)
+    hyps = list(dict.fromkeys(s.hypothesis for s in statements))
+    found = outside(df, ((a, b) for a in hyps for b in hyps if a != b))
+    first = {h: next(g for g in hyps if g == h or found[g, h] == found[h, g] == 0) for h in hyps}
+    groups: dict[Pred, list[Statement]] = {}
+    for s in statements:
+        groups.setdefault(first[s.hypothesis], []).append(s)
     out = []
     for group in groups.values():
         kept: dict[tuple, Statement] = {}

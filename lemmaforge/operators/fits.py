@@ -272,29 +272,60 @@ def subset_statements(df: DataFrame, name: str, target: Expr, pool: Mapping[str,
     return _statements(f.fits, target, f.features, hyps, f.den, f.most_coef, f.most_intercept, name)
 
 
+#: What a generator is asked for: target, features, hypothesis.
+Job = tuple[Expr, Sequence[Expr], Pred]
+
+
+def free_lp_many(df: DataFrame, jobs: Sequence[Job]) -> list[list[Statement]]:
+    """``free_lp`` of many jobs: one fit for each target."""
+    out: list[list[Statement]] = [[] for _ in jobs]
+    for target in dict.fromkeys(t for t, _, _ in jobs):
+        own = [i for i, j in enumerate(jobs) if j[0] == target]
+        features = list(dict.fromkeys(x for i in own for x in jobs[i][1]))
+        hyps = list(dict.fromkeys(jobs[i][2] for i in own))
+        cand = {i: Candidate(hyps.index(jobs[i][2]), tuple(features.index(x) for x in jobs[i][1])) for i in own}
+        fits = fit(df, target, features, hyps, list(dict.fromkeys(cand.values())))
+        made = [(f.candidate, s) for f in fits for s in _statements([f], target, features, hyps, 10**6, math.inf, math.inf, "linear_programming")]
+        true = repaired(df, [s for _, s in made], 10**6)
+        for i in own:
+            out[i] = [s for (c, _), s in zip(made, true, strict=True) if c == cand[i]]
+    return out
+
+
 def free_lp(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
     """The classic fit: free coefficients, kept as close fractions."""
-    fits = fit(df, target, list(features), [hyp], [Candidate(0, tuple(range(len(features))))])
-    return repaired(df, _statements(fits, target, list(features), [hyp], 10**6, math.inf, math.inf, "linear_programming"), 10**6)
+    return free_lp_many(df, [(target, features, hyp)])[0]
 
 
-def ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
-    """The classic ratio bounds, rows where the feature is not 0."""
-    t = nf.only_finite(target.column())
-    cols = []
-    for i, e in enumerate(features):
-        x = nf.only_finite(e.column())
-        r = nf.divide(t, F.when(x != 0, x))
-        cols += [F.min(r).alias(f"lo{i}"), F.max(r).alias(f"hi{i}")]
-    row = df.filter(hyp.column()).agg(*cols).first()
+def ratios_many(df: DataFrame, jobs: Sequence[Job], chunk: int = 150) -> list[list[Statement]]:
+    """``ratios`` of many jobs: a pass for every ``chunk`` ratios."""
+    asked = list(dict.fromkeys((t, x, h) for t, xs, h in jobs for x in xs))
+    ends: dict[Job, tuple] = {}
+    for lo in range(0, len(asked), chunk):
+        part = asked[lo : lo + chunk]
+        cols = []
+        for i, (t, e, h) in enumerate(part):
+            x = nf.only_finite(e.column())
+            r = F.when(h.column(), nf.divide(nf.only_finite(t.column()), F.when(x != 0, x)))
+            cols += [F.min(r).alias(f"lo{i}"), F.max(r).alias(f"hi{i}")]
+        row = df.agg(*cols).first()
+        ends |= {k: (row[f"lo{i}"], row[f"hi{i}"]) for i, k in enumerate(part)}
     out = []
-    for i, e in enumerate(features):
-        for op, c in ((">=", row[f"lo{i}"]), ("<=", row[f"hi{i}"])):
-            if c is not None:
-                out.append(Statement(hyp, Compare(op, target, Linear(Fraction(0), ((Fraction(c).limit_denominator(10**6), e),))), stage="ratios"))
+    for t, xs, h in jobs:
+        sides = [(op, c, e) for e in xs for op, c in zip((">=", "<="), ends[t, e, h], strict=True) if c is not None]
+        out.append([Statement(h, Compare(op, t, Linear(Fraction(0), ((Fraction(c).limit_denominator(10**6), e),))), stage="ratios") for op, c, e in sides])
     return out
 
 
+def ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
+    """The classic ratio bounds, rows where the feature is not 0."""
+    return ratios_many(df, [(target, features, hyp)])[0]
+
+
+ratios.many = ratios_many
+free_lp.many = free_lp_many
+
+
 def rounded_ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> list[Statement]:
     """For an integer target: t >= ⌈c·x⌉ and t <= ⌊c·x⌋ of the ratio bounds, where these hold on every row."""
     from ..expr import ceil, floor
@@ -410,10 +441,15 @@ def ratio_lift(df: DataFrame, target: Expr, x: Expr, slope: float, special: Pred
     return [s for i, s in enumerate(lifted) if found[i]["min_slack"] is not None and found[i]["min_slack"] >= -1e-8]
 
 
+def holds(metrics: Mapping, tol: float = 1e-9) -> bool:
+    """Whether a statement of these metrics holds, up to rounding, on every row of its hypothesis where it can be evaluated."""
+    return metrics["min_slack"] is not None and metrics["min_slack"] >= -tol
+
+
 def verified(df: DataFrame, statements: Sequence[Statement], tol: float = 1e-9) -> list[Statement]:
-    """Statements that hold, up to rounding, on every row of their hypothesis where they can be evaluated."""
+    """The statements that hold."""
     found = evaluate(df, list(statements))
-    return [s for i, s in enumerate(statements) if found[i]["min_slack"] is not None and found[i]["min_slack"] >= -tol]
+    return [s for i, s in enumerate(statements) if holds(found[i], tol)]
 
 
 def repaired(df: DataFrame, statements: Sequence[Statement], den: int = 20, most_intercept: float = math.inf, chunk: int = 100) -> list[Statement]:

@@ -4,7 +4,7 @@ Every conjecture gives events on the base rows: its two sides equal, below,
 above, at most, at least.  Properties are flags, their negations and pairs.  A
 row's part in all of this is its signature over events and properties, so the
 candidates' supports, violations and coverages come from one aggregation, and
-the greedy cover runs on signatures, not rows.
+the greedy cover runs on signatures, not rows; many signatures stay in Spark.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,44 +65,84 @@ def properties(flags: Sequence[Flag]) -> list[Pred]:
     return [*flags, *(Not(f) for f in flags), *pairs]
 
 
-def signature_counts(df: DataFrame, preds: Sequence[Pred], base: Pred = TRUE) -> dict[str, int]:
+def signatures(df: DataFrame, preds: Sequence[Pred], base: Pred = TRUE) -> DataFrame:
+    """sig (a character for each predicate), n: the different rows of truth values and how often they occur."""
     sig = F.concat(F.lit(""), *[F.when(p.column(), "1").otherwise("0") for p in preds])
-    return {r["sig"]: r["n"] for r in df.filter(base.column()).groupBy(sig.alias("sig")).agg(F.count("*").alias("n")).collect()}
+    return df.filter(base.column()).groupBy(sig.alias("sig")).agg(F.count("*").alias("n"))
+
+
+def signature_counts(df: DataFrame, preds: Sequence[Pred], base: Pred = TRUE) -> dict[str, int]:
+    return {r["sig"]: r["n"] for r in signatures(df, preds, base).collect()}
+
+
+#: Signatures that come to the driver; more stay where they are and are summed there.
+MOST_SIGNATURES = 50_000
+
+
+class _Counts:
+    """Sums over the signatures of some predicates: here if they are few, else in Spark, an aggregate for each question."""
+
+    def __init__(self, df: DataFrame, preds: Sequence[Pred], base: Pred):
+        self.table = signatures(df, preds, base).persist()
+        rows = self.table.limit(MOST_SIGNATURES + 1).collect()
+        self.few = len(rows) <= MOST_SIGNATURES
+        if self.few:
+            self.n = np.array([r["n"] for r in rows], np.int64)
+            self.bits = np.array([[c == "1" for c in r["sig"]] for r in rows], bool).reshape(len(rows), len(preds))
+
+    def sums(self, asked: Sequence[tuple[Sequence[int], Sequence[int]]], chunk: int = 300) -> list[int]:
+        """Rows in which all predicates of the first list hold and none of the second, for each question."""
+        if self.few:
+            out = []
+            for on, off in asked:
+                rows = self.bits[:, list(on)].all(axis=1) & ~self.bits[:, list(off)].any(axis=1)
+                out.append(int(self.n[rows].sum()))
+            return out
+        out = []
+        for lo in range(0, len(asked), chunk):
+            cols = []
+            for i, (on, off) in enumerate(asked[lo : lo + chunk]):
+                test = F.lit(True)
+                for j, bit in [*((j, "1") for j in on), *((j, "0") for j in off)]:
+                    test = test & (F.substring("sig", j + 1, 1) == bit)
+                cols.append(F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).alias(f"s{i}"))
+            out += list(self.table.agg(*cols).first())
+        return out
 
 
 def discover(df: DataFrame, flags: Sequence[Flag], statements: Sequence[Statement], base: Pred = TRUE, settings: Settings = Settings()) -> list[Condition]:
     """Per property a greedy cover of its rows by events: most newly covered rows first, then support, then order."""
     event_of = [(e, s) for s in statements for e in events(s, settings.eq_tol)]
     targets = properties(flags)
-    preds = [*targets, *(e for e, _ in event_of)]
     if not event_of or not targets:
         return []
-    counts = signature_counts(df, preds, base)
-    size = lambda sigs: sum(counts[s] for s in sigs)
-    cover = [frozenset(s for s in counts if s[i] == "1") for i in range(len(preds))]
-    seen: set[frozenset[str]] = set()
-    out: list[Condition] = []
-    for t, target in enumerate(targets):
-        rows = cover[t]
-        if rows in seen or size(rows) < settings.min_target_support:
-            continue
-        seen.add(rows)
-        open_ = rows
-        candidates = []
-        for i, (e, s) in enumerate(event_of):
-            own = cover[len(targets) + i]
-            support, bad = size(own), size(own - rows)
-            if support >= settings.min_h_support and bad <= settings.max_violations and own & rows:
-                candidates.append((e, s, own, support, bad))
-        while open_ and candidates:
-            best = max(range(len(candidates)), key=lambda k: (size(candidates[k][2] & open_), candidates[k][3], -k))
-            e, s, own, support, bad = candidates.pop(best)
-            new = size(own & open_)
-            if new < settings.min_new_coverage:
-                break
-            out.append(Condition(target, e, s.conclusion, support, new, size(own & rows), size(rows), bad))
-            open_ = open_ - own
-    return rank(out)
+    preds = list(dict.fromkeys([*targets, *(e for e, _ in event_of)]))
+    at = {p: i for i, p in enumerate(preds)}
+    counts = _Counts(df, preds, base)
+    try:
+        size = dict(zip(preds, counts.sums([([i], []) for i in range(len(preds))]), strict=True))
+        # of several properties of the same rows the first
+        pairs = [(t, u) for i, t in enumerate(targets) for u in targets[:i] if size[t] == size[u]]
+        twin = {t for (t, _), n in zip(pairs, counts.sums([([at[t]], [at[u]]) for t, u in pairs]), strict=True) if n == 0}
+        kept = [t for t in targets if size[t] >= settings.min_target_support and t not in twin]
+        usable = [(e, s) for e, s in event_of if size[e] >= settings.min_h_support]
+        both = counts.sums([([at[t], at[e]], []) for t in kept for e, _ in usable])
+        out: list[Condition] = []
+        for i, target in enumerate(kept):
+            covered = both[i * len(usable) : (i + 1) * len(usable)]
+            left = [(e, s, n) for (e, s), n in zip(usable, covered, strict=True) if n and size[e] - n <= settings.max_violations]
+            chosen: list[int] = []
+            while left:
+                new = counts.sums([([at[target], at[e]], chosen) for e, _, _ in left])
+                best = max(range(len(left)), key=lambda k: (new[k], size[left[k][0]], -k))
+                if new[best] < max(1, settings.min_new_coverage):
+                    break
+                e, s, n = left.pop(best)
+                out.append(Condition(target, e, s.conclusion, size[e], new[best], n, size[target], size[e] - n))
+                chosen.append(at[e])
+        return rank(out)
+    finally:
+        counts.table.unpersist()
 
 
 def rank(conditions: Sequence[Condition]) -> list[Condition]:

@@ -82,6 +82,17 @@ def safely(name: str, fn: Callable[[], list], into: dict) -> list:
         return []
 
 
+def generated(name: str, df: DataFrame, jobs: Sequence[fits.Job], errors: dict) -> list[Statement]:
+    """Statements of a registered generator for each job; at once where it can do many (``many``), else one after another."""
+    fn = filters.GENERATORS[name]
+    if hasattr(fn, "many"):
+        return safely(name, lambda: [s for part in fn.many(df, jobs) for s in part], errors)
+    out: list[Statement] = []
+    for target, features, h in jobs:
+        out += safely(f"{name}/{h.label()}/{', '.join(x.label() for x in features)}", lambda t=target, f=features, h=h: fn(df, t, f, h), errors)
+    return out
+
+
 class Session:
     """A table of objects with its flags, invariants, hypotheses and feature pools."""
 
@@ -234,15 +245,20 @@ class Session:
         every: list[Statement] = []
         conditions: list[sufficient.Condition] = []
         breakdown: dict[str, dict] = {}
+        known: dict[Statement, dict] = {}
         for name in names:
             target = self.expr(name)
             use = dict(zip(("products", "absolute", "extremes", "logs"), default_pools, strict=True)) | pools
             pool = self.pool(name, quick=default_quick if quick is None else quick, **use)
             for stage in wanted:
                 made = filters.unique(safely(f"{name}/{stage.value}", lambda s=stage, t=target, p=pool: self.run_stage(s, t, p), breakdown))
-                kept = fits.verified(self.df, filters.unique(fits.repaired(self.df, made) if stage is not Stage.RATIO else made)) if verify else made
+                kept = filters.unique(fits.repaired(self.df, made)) if verify and stage is not Stage.RATIO else made
+                # one pass measures a stage's statements; what follows reads its figures
+                known |= {s: m for s, m in zip(kept, evaluate(self.df, kept).values(), strict=True)}
+                if verify:
+                    kept = [s for s in kept if fits.holds(known[s])]
                 if stage not in (Stage.POLY, Stage.MIXED):
-                    kept = [s for s, _ in filters.ranked(self.df, kept, "touch", self.min_touches)]
+                    kept = [s for s, _ in filters.ranked(self.df, kept, "touch", self.min_touches, known)]
                 if self.use_morgan:
                     kept = filters.morgan(self.df, kept)
                 if self.use_dalmatian:
@@ -252,7 +268,7 @@ class Session:
                     conditions += sufficient.discover(self.df, self.flags, kept, self.lattice.base.pred, self.settings)
                 every += kept
         every = filters.unique(every)
-        return Result(",".join(names), filters.ranked(self.df, every), sufficient.rank(conditions), breakdown)
+        return Result(",".join(names), filters.ranked(self.df, every, known=known), sufficient.rank(conditions), breakdown)
 
     # interactive discovery
     def generate(self, methods: Sequence[str] | None = None, features: Sequence = (), target=None, hypotheses: Sequence[Pred | str] = (), heuristics: Sequence[Callable] = (), post: Sequence[str | Callable] = (), base: Pred = TRUE) -> list[Statement]:
@@ -266,10 +282,9 @@ class Session:
         hyps = [conj([base, self.pred(h) if isinstance(h, str) else h]) for h in (hypotheses or [TRUE])]
         kept: list[Statement] = []
         for m in methods:
-            for h in hyps:
-                for s in safely(f"{m}/{h.label()}", lambda m=m, h=h: filters.GENERATORS[m](self.df, goal, feats, h), self.errors):
-                    if all(accept(self.df, s, kept) for accept in heuristics):
-                        kept.append(s)
+            for s in generated(m, self.df, [(goal, feats, h) for h in hyps], self.errors):
+                if all(accept(self.df, s, kept) for accept in heuristics):
+                    kept.append(s)
         for p in post:
             kept = (filters.POST[p] if isinstance(p, str) else p)(kept, self.df)
         return kept
@@ -284,8 +299,7 @@ class Session:
         pairs = [(a, b) for a in self.invariants.values() for b in self.invariants.values() if a != b]
         made = []
         for m in methods or ["ratios"]:
-            for a, b in pairs:
-                made += safely(f"{m}/{a.label()}/{b.label()}", lambda m=m, a=a, b=b: filters.GENERATORS[m](self.df, a, [b], TRUE), self.errors)
+            made += generated(m, self.df, [(a, [b], TRUE) for a, b in pairs], self.errors)
         found = evaluate(self.df, made)
         n = max(1, self.lattice.n)
         rows = sorted(((found[i]["touch_all"] or 0, i) for i in range(len(made)) if (found[i]["touch_all"] or 0) / n >= min_fraction), key=lambda r: (-r[0], r[1]))
@@ -322,10 +336,9 @@ def sufficient_conditions(df: DataFrame, target: str, methods: Sequence[str] = (
 def _packaged(df, target, methods, feature_size, numeric, hyps, finish, errors):
     made: list[Statement] = []
     errors = {} if errors is None else errors
-    for combo in combinations([c for c in numeric if c != target], feature_size):
-        for m in methods:
-            for h in hyps:
-                made += safely(f"{m}/{h.label()}/{','.join(combo)}", lambda m=m, h=h, combo=combo: filters.GENERATORS[m](df, Col(target), [Col(c) for c in combo], h), errors)
+    jobs = [(Col(target), [Col(c) for c in combo], h) for combo in combinations([c for c in numeric if c != target], feature_size) for h in hyps]
+    for m in methods:
+        made += generated(m, df, jobs, errors)
     kept = filters.morgan(df, filters.dalmatian_batch(df, filters.unique(made)))
     kept = [s for s, _ in filters.ranked(df, kept, "touch_all")]
     if not finish:
