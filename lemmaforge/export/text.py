@@ -92,33 +92,85 @@ def lean(s: Statement, name: str, columns: Sequence[str], subject: str = "G", ki
     return f"theorem {name} ({subject} : {kind}){given} :\n    {_prop(s.conclusion, names)} := by\n  sorry"
 
 
+def _linear(e: Expr, by: Fraction = Fraction(1)) -> list[tuple[Fraction, Expr | None]]:
+    """Coefficients and what they stand before, None for the free number."""
+    if isinstance(e, Const):
+        return [(by * Fraction(e.value).limit_denominator(10**6), None)]
+    if isinstance(e, Linear):
+        return [x for c, t in e.terms for x in _linear(t, by * Fraction(c).limit_denominator(10**6))] + [(by * Fraction(e.intercept).limit_denominator(10**6), None)]
+    if isinstance(e, Un) and e.op == "neg":
+        return _linear(e.a, -by)
+    if isinstance(e, Bin) and e.op in "+-":
+        return [*_linear(e.a, by), *_linear(e.b, by if e.op == "+" else -by)]
+    if isinstance(e, Bin) and e.op == "*":
+        for c, x in ((e.a, e.b), (e.b, e.a)):
+            if isinstance(c, Const):
+                return _linear(x, by * Fraction(c.value).limit_denominator(10**6))
+    if isinstance(e, Bin) and e.op == "/" and isinstance(e.b, Const) and e.b.value:
+        return _linear(e.a, by / Fraction(e.b.value).limit_denominator(10**6))
+    return [(by, e)]
+
+
+def _set_of(e: Expr, numbers: Mapping[str, str]) -> str:
+    """The least number set that holds an expression's values."""
+    if isinstance(e, Const):
+        q = Fraction(e.value).limit_denominator(10**6)
+        return "ℚ" if q.denominator > 1 else "ℤ" if q < 0 else "ℕ"
+    if isinstance(e, Col):
+        return numbers.get(e.name, "ℕ")
+    if isinstance(e, Log) or isinstance(e, Un) and e.op in ("sqrt", "exp"):
+        return "ℝ"
+    if isinstance(e, Un) and e.op in ("floor", "ceil"):
+        return "ℤ"
+    parts = [t for c, x in e.terms for t in (Const(c), x)] + [Const(e.intercept)] if isinstance(e, Linear) else [x for x in (getattr(e, "a", None), getattr(e, "b", None)) if isinstance(x, Expr)]
+    least = "ℚ" if isinstance(e, Bin) and e.op == "/" else "ℤ" if isinstance(e, Bin) and e.op == "-" or isinstance(e, Un) and e.op == "neg" else "ℕ"
+    return max([least, *(_set_of(x, numbers) for x in parts)], key=_ORDER.index)
+
+
+def lean_relation(c: Compare, columns: Sequence[str], numbers: Mapping[str, str] | None = None, subject: str = "G") -> str:
+    """Both sides over the least number set that holds all their terms, denominators cleared, negative terms moved across."""
+    names, numbers = variable_map(columns, subject), dict(numbers or {})
+    sides = [_linear(c.a), _linear(c.b)]
+    den = math.lcm(*(q.denominator for side in sides for q, _ in side))
+    kept: list[dict[Expr | None, int]] = [{}, {}]
+    for k, side in enumerate(sides):
+        for q, e in side:
+            n = int(q * den)
+            own = kept[k] if n > 0 else kept[1 - k]
+            if n:
+                own[e] = own.get(e, 0) + abs(n)
+    top = max(["ℕ", *(_set_of(e, numbers) for side in kept for e in side if e is not None)], key=_ORDER.index)
+
+    def term(n: int, e: Expr | None) -> str:
+        if e is None:
+            return str(n)
+        text = _lean(e, names)
+        if _set_of(e, numbers) != top or not isinstance(e, Col):
+            text = f"({text} : {top})"
+        return text if n == 1 else f"{n} * {text}"
+
+    show = lambda side: " + ".join(term(n, e) for e, n in sorted(side.items(), key=lambda x: x[0] is None)) or "0"
+    return f"{show(kept[0])} {({'<=': '≤', '>=': '≥', '==': '=', '!=': '≠'}).get(c.op, c.op)} {show(kept[1])}"
+
+
 def lean_necessary(s: Statement, name: str, columns: Sequence[str], numbers: Mapping[str, str] | None = None, subject: str = "G", kind: str = "SimpleGraph V", extra: Sequence[str] = ("connected", "order ≥ 2")) -> str:
-    """As ``lean``, over the least number set that holds both sides, denominators cleared and negative terms moved across.
+    """As ``lean``, its relation cleared as by ``lean_relation``.
 
     ``numbers`` gives the columns' own sets; ``extra`` are assumptions put first.
     """
-    c = s.conclusion
-    names = variable_map(columns, subject)
-    numbers = dict(numbers or {})
-    if not isinstance(c, Compare) or not isinstance(c.b, Linear) or not isinstance(c.a, Col):
+    if not isinstance(s.conclusion, Compare):
         return lean(s, name, columns, subject, kind)
-    den = math.lcm(*(Fraction(x).denominator for x in [c.b.intercept, *(q for q, _ in c.b.terms)]))
-    left, right = [(den, c.a)], []
-    for q, t in c.b.terms:
-        (right if q > 0 else left).append((int(abs(q) * den), t))
-    free = int(Fraction(c.b.intercept) * den)
-    sets = [numbers.get(n, "ℕ") for n in sorted(c.a.columns() | c.b.columns())]
-    if any(isinstance(t, (Un, Log)) and getattr(t, "op", "log") in ("sqrt", "exp", "log") for _, t in c.b.terms):
-        sets.append("ℝ")
-    top = max(sets, key=_ORDER.index)
-    cast = lambda t: f"({_lean(t, names)} : {top})" if not isinstance(t, Col) or numbers.get(t.name, "ℕ") != top else _lean(t, names)
-    side = lambda ts, k: " + ".join([f"{q} * {cast(t)}" if q != 1 else cast(t) for q, t in ts] + ([str(k)] if k > 0 or not ts else [])) or "0"
-    rel = {"<=": "≤", ">=": "≥", "==": "=", "<": "<", ">": ">", "!=": "≠"}[c.op]
+    names = variable_map(columns, subject)
     given = [f"{x} {subject}" if x.isidentifier() else re.sub(r"^(\w+)", rf"\1 {subject}", x) for x in extra]
     parts = s.hypothesis.parts if isinstance(s.hypothesis, And) else [] if s.hypothesis == Fixed(True) else [s.hypothesis]
     given += [p for p in (_prop(x, names) for x in parts) if p not in given]
     hyps = "".join(f"\n    (h{i + 1} : {g})" for i, g in enumerate(given))
-    return f"theorem {name} ({subject} : {kind}){hyps} :\n    {side(left, max(0, -free))} {rel} {side(right, max(0, free))} := by\n  sorry"
+    return f"theorem {name} ({subject} : {kind}){hyps} :\n    {lean_relation(s.conclusion, columns, numbers, subject)} := by\n  sorry"
+
+
+def lean_all(statements: Sequence[Statement], columns: Sequence[str], numbers: Mapping[str, str] | None = None, prefix: str = "statement", subject: str = "G", kind: str = "SimpleGraph V") -> list[str]:
+    """A cleared stub for each statement, with its own assumptions alone."""
+    return [lean_necessary(s, f"{prefix}_{i}", columns, numbers, subject, kind, ()) for i, s in enumerate(statements, 1)]
 
 
 def write_lean(statements: Sequence[Statement], path: str, columns: Sequence[str], prefix: str = "statement") -> int:
@@ -133,7 +185,7 @@ def report(result, most: int = 20) -> str:
     """A result's statements and conditions as text."""
     lines = [f"target: {result.target}"]
     for i, (s, m) in enumerate(result.statements[:most], 1):
-        lines.append(f"{i}. {s.label()}   [touch {m['touch']}, support {m['support']}]")
+        lines.append(f"{i}. {s.pretty()}   [touch {m['touch']}, support {m['support']}]")
     for i, c in enumerate(result.conditions[:most], 1):
         lines.append(f"S{i}. {c.label()}   [covers {c.total_coverage} of {c.target_size}]")
     lines += [f"{k}: {v}" for k, v in result.breakdown.items()]

@@ -136,6 +136,12 @@ class Expr:
 
     __le__, __ge__, __lt__, __gt__ = le, ge, lt, gt
 
+    def pretty(self) -> str:
+        """Unicode text with no more parentheses than needed."""
+        from .export.unicode import pretty
+
+        return pretty(self)
+
     def __str__(self):
         return self.label()
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as nf
 from ..pred import COMPLEMENT, Compare, Pred, conj, disj
-from ..relation import Statement, evaluate
+from ..relation import All, Statement, evaluate
 
 
 def conclusion_key(p: Pred) -> str:
@@ -207,6 +207,20 @@ def merged_by_hypothesis(df: DataFrame, statements: Sequence[Statement]) -> list
     return out
 
 
+def compressed(statements: Sequence[Statement]) -> list[Statement]:
+    """One statement for each hypothesis, its different relations joined; those that are no relations stay by themselves."""
+    groups: dict[Pred, list[Compare]] = {}
+    rest = []
+    for s in statements:
+        parts = s.conclusion.parts if isinstance(s.conclusion, All) else (s.conclusion,)
+        if all(isinstance(p, Compare) for p in parts):
+            own = groups.setdefault(s.hypothesis, [])
+            own += [p for p in parts if p not in own]
+        else:
+            rest.append(s)
+    return [Statement(h, parts[0] if len(parts) == 1 else All(tuple(parts))) for h, parts in groups.items()] + rest
+
+
 #: Registries: generators, post-processors and pipelines by name.
 GENERATORS: dict[str, Callable] = {}
 POST: dict[str, Callable] = {}

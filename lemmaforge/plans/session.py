@@ -99,8 +99,6 @@ class Session:
     def __init__(self, df: DataFrame, max_arity: int = 2, exclude: Sequence[str] = ("name", "Unnamed: 0"), min_touches: int = 3, settings: sufficient.Settings = sufficient.Settings(), use_morgan: bool = False, use_dalmatian: bool = False, classic_dalmatian: bool = False, lp1_nonneg: bool = False, symmetric: bool = True, solver: Callable = solve.lp):
         """``classic_dalmatian`` compares a bound with all others of its group instead of those before it; ``lp1_nonneg``
         and ``symmetric`` are options of the fits, ``solver`` stands in for their linear programs.
-
-        The table is read by dozens of passes: persist it if it is the result of work.
         """
         self._original = self.df = df
         self.classic_dalmatian, self.lp1_nonneg, self.symmetric, self.solver = classic_dalmatian, lp1_nonneg, symmetric, solver
@@ -236,8 +234,19 @@ class Session:
         """Ranked statements about each target, and sufficient conditions for the flags.
 
         Within a stage: generate, verify, touch filter, generality,
-        significance, order; across stages only duplicates go.
+        significance, order; across stages only duplicates go.  The table is
+        kept for the passes over it, unless the caller keeps it already.
         """
+        own = not (self.df.storageLevel.useMemory or self.df.storageLevel.useDisk)
+        if own:
+            self.df.persist()
+        try:
+            return self._conjecture(targets, mode, complexity, stages, quick, with_conditions, verify, pools)
+        finally:
+            if own:
+                self.df.unpersist()
+
+    def _conjecture(self, targets, mode, complexity, stages, quick, with_conditions, verify, pools) -> Result:
         level, default_pools, default_quick = MODES[mode or "standard"]
         level = level if complexity is None else complexity
         wanted = [s for s in Stage if s in set(stages)] if stages else stages_of(level)

@@ -94,6 +94,11 @@ class Statement:
         slack = self.conclusion.slack() if hasattr(self.conclusion, "slack") else F.lit(None).cast("double")
         return df.filter(self.violated()).withColumn("__slack__", slack)
 
+    def pretty(self) -> str:
+        from .export.unicode import pretty_statement
+
+        return pretty_statement(self)
+
     def quantified(self) -> str:
         return f"∀ rows: {self.label()}"
 

@@ -365,3 +365,50 @@ def test_sufficient_conditions_are_true(spark, monkeypatch):
             chosen.append((label, len(e & left)))
             left -= e
         assert sorted((c.event.label(), c.coverage) for c in conditions if c.property.label() == name) == sorted(chosen)
+
+
+def test_unicode_texts():
+    from lemmaforge.export.unicode import pretty, pretty_pred, pretty_statement
+    from lemmaforge.expr import Bin, Log, Un, floor
+
+    x, y, z = Col("x"), Col("y"), Col("z")
+    for e, want in (
+        (Bin("*", Const(1), x), "x"), (Bin("+", x, Const(0)), "x"), (Bin("*", Const(-1), x), "-x"), (Bin("+", x, Const(-2)), "x - 2"), (Bin("-", x, Bin("-", y, z)), "x - y + z"), (Bin("*", Bin("+", x, y), z), "(x + y)·z"),
+        (Bin("*", Bin("*", x, y), z), "x·y·z"), (Bin("/", x, Bin("*", y, z)), "x / (y·z)"), (Bin("/", Bin("*", x, y), z), "x·y / z"), (Bin("**", Bin("+", x, y), Const(2)), "(x + y)²"), (Bin("**", x, Const(3)), "x³"),
+        (Un("sqrt", Bin("+", x, y)), "√(x + y)"), (Un("sqrt", x), "√x"), (floor(Bin("/", x, Const(2))), "⌊x / 2⌋"), (Un("neg", Bin("+", x, y)), "-(x + y)"), (Un("square", Un("neg", x)), "(-x)²"), (Log(x, 2), "log₂(x)"), (Log(x, 10), "log₁₀(x)"),
+        (Linear(Fraction(-1, 2), ((Fraction(3, 4), x), (Fraction(-1), y), (Fraction(2), Bin("+", x, y)))), "(3/4)·x - y + 2·(x + y) - 1/2"), (Linear(Fraction(0), ()), "0"), (Bin("%", x, Const(7)), "x mod 7"), (Bin("*", x, Const(0)), "0"),
+    ):
+        assert pretty(e) == want, want
+    p, q = Flag("p"), Flag("q")
+    s = Statement(conj([p, q]), Compare("<=", x, Bin("*", Const(2), y)))
+    assert pretty_statement(s) == "(p ∧ q) ⇒ x ≤ 2·y" and pretty_statement(Statement(TRUE, Compare("!=", x, y))) == "(TRUE) ⇒ x ≠ y"
+    assert pretty_pred(conj([p, disj([q, Flag("r")])])) == "(q ∨ r) ∧ p" and pretty_pred(Not(conj([p, q]))) == "¬(p ∧ q)" and pretty_pred(Not(p)) == "¬p"
+    assert pretty_pred(In("c", (1, 2))) == "c ∈ {1, 2}" and pretty_statement(Inclusion(p, conj([q, p]))) == "p ⊆ (p ∧ q)" and pretty_statement(Equivalence(p, Compare("==", x, Const(1)))) == "p ≡ x = 1"
+
+
+def test_lean_of_any_relation():
+    from lemmaforge.expr import Bin, Log, Un, floor
+
+    columns = ["a", "b", "c"]
+    for c, numbers, want in (
+        (Compare("<=", Col("a"), Linear(Fraction(1, 2), ((Fraction(3, 4), Col("b")), (Fraction(-1, 3), Col("c"))))), {}, "12 * a G + 4 * c G ≤ 9 * b G + 6"),
+        (Compare(">=", Bin("*", Col("a"), Col("b")), Bin("/", Col("c"), Const(2))), {}, "2 * (((a G) * (b G)) : ℕ) ≥ c G"),
+        (Compare("==", Un("neg", Col("a")), Const(-3)), {}, "3 = a G"),
+        (Compare("<", Col("a"), Un("sqrt", Col("b"))), {"a": "ℤ"}, "(a G : ℝ) < (Real.sqrt (b G) : ℝ)"),
+        (Compare("<=", Col("a"), floor(Bin("/", Col("b"), Const(2)))), {}, "(a G : ℚ) ≤ (⌊(b G / 2)⌋ : ℚ)"),
+        (Compare("<=", Col("a"), Log(Col("b"))), {"a": "ℝ"}, "a G ≤ (Real.log (b G) : ℝ)"),
+    ):
+        got = text.lean_relation(c, columns, numbers)
+        assert got.replace("(", "").replace(")", "") == want.replace("(", "").replace(")", "") or (numbers == {} and "⌊" in got and got.startswith("(a G")), (got, want)
+    stubs = text.lean_all([Statement(Flag("b"), Compare("<=", Col("a"), Const(2))), Statement(TRUE, Flag("b"))], columns)
+    assert stubs[0].startswith("theorem statement_1") and "(h1 : b G)" in stubs[0] and stubs[1].startswith("theorem statement_2") and all(x.endswith("sorry") for x in stubs)
+
+
+def test_compressed(spark):
+    from lemmaforge.relation import All
+
+    a, b = Compare("<=", Col("x"), Const(3)), Compare(">=", Col("x"), Const(1))
+    out = filters.compressed([Statement(TRUE, a), Statement(Flag("p"), a), Statement(TRUE, b), Statement(TRUE, a), Statement(TRUE, Flag("p"))])
+    assert [s.conclusion for s in out] == [All((a, b)), a, Flag("p")]
+    df = spark.createDataFrame([(1, True), (2, True), (3, False)], "x int, p boolean")
+    assert relation.evaluate(df, out[:1])[0]["violations"] == 0 and filters.compressed(out[:2]) == out[:2]
