@@ -62,10 +62,10 @@ def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     number grows with the logarithm of the component's size.  Every round is
     written to the shared folder, so the lineage stays short.
     """
-    edges = store.keep(forests(links.filter("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    edges = store.keep(forests(links.filter("a <> b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc", small=True)
     if edges.count() <= one_task:
         found = forests(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).coalesce(1)).select(F.col("a").alias("node"), F.col("b").alias("component"))
-        return store.keep(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "cc")
+        return store.keep(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()), "cc", small=True)
     seen = None
     while True:  # until nothing changes
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -77,7 +77,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        spent, edges = edges, store.keep(small.distinct(), "cc")
+        spent, edges = edges, store.keep(small.distinct(), "cc", small=True)
         store.drop(spent)
     # stars now: each node points to its component's least node
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

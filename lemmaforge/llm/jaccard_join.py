@@ -620,19 +620,19 @@ def _candidates(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFr
 
     found = store.keep(_near(_postings(docs, order, k, t), t), "jaccard-lists")
     shared = found.filter("kind = 2").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("shared"), F.max(F.shiftright("at", 32)).alias("n"))
-    alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive")
+    alive = store.keep(shared.filter(F.col("shared") >= least_shared(t)).select("key"), "jaccard-alive", small=True)
     # a pair that meets in short lists of unhinted elements only has all its common elements counted; long lists come again below
     pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.expr("sum(at & 2147483647)").alias("seen"), F.expr("max(at & 2147483648)").alias("long"), F.max(F.shiftright("at", 32)).alias("need"))
     pairs = pairs.filter("long > 0 OR seen >= need").select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(alive.withColumnRenamed("key", side), side, "left_semi")
-    near = store.keep(pairs.select("a", "b"), "jaccard-near")
+    near = store.keep(pairs.select("a", "b"), "jaccard-near", small=True)
     entries = found.filter("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("key"), "at", "before").join(alive, "key", "left_semi")
-    entries = store.keep(entries, "jaccard-entries")
+    entries = store.keep(entries, "jaccard-entries", small=True)
     keys = near.select(F.explode(F.array("a", "b")).alias("key")).unionByName(entries.select("key")).distinct()
     bits = seen.filter("kind = 0 AND bits IS NOT NULL").select(F.col("b").alias("key"), F.col("c").alias("n"), "bits")
-    bits = store.keep(bits.join(keys, "key", "left_semi").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-bits")
-    pairs = store.keep(_possible(near, bits, t), "jaccard-pairs")
+    bits = store.keep(bits.join(keys, "key", "left_semi").groupBy("key").agg(F.any_value("n").alias("n"), F.any_value("bits").alias("bits")), "jaccard-bits", small=True)
+    pairs = store.keep(_possible(near, bits, t), "jaccard-pairs", small=True)
     store.drop(found, alive, near)
     return members, pairs, entries, bits
 
@@ -656,7 +656,7 @@ def links(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> tuple
     members, pairs, entries, bits = _candidates(docs, k, t)
     # each class its own component: no pair of a longer list is left out
     cells = _apart(entries.select("token", "key", "at", F.col("key").alias("comp"), "before"), t)
-    cells = store.keep(_possible_cells(cells, bits, t).unionByName(_of_pairs(pairs)), "jaccard-cells")
+    cells = store.keep(_possible_cells(cells, bits, t).unionByName(_of_pairs(pairs)), "jaccard-cells", small=True)
     found = store.keep(_search(cells, _needed_sets(docs, cells, k), t, every=True).distinct(), "jaccard-every-link")
     store.drop(pairs, entries, bits, cells)
     return found, members
@@ -680,13 +680,13 @@ def join(docs: DataFrame, k: int = K, threshold: Fraction = THRESHOLD) -> DataFr
     t = Fraction(threshold)
     members, pairs, entries, bits = _candidates(docs, k, t)
     cells = _of_pairs(pairs)
-    links = store.keep(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b"), "jaccard-links")
+    links = store.keep(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b"), "jaccard-links", small=True)
     known = components(links)
     # of the longer lists' pairs only those between components are left
     placed = entries.join(known.withColumnRenamed("node", "key"), "key", "left").select("token", "key", "at", F.coalesce("component", "key").alias("comp"), "before")
-    cells = store.keep(_possible_cells(_apart(placed, t), bits, t), "jaccard-cells")
+    cells = store.keep(_possible_cells(_apart(placed, t), bits, t), "jaccard-cells", small=True)
     if not cells.isEmpty():
-        links = store.keep(links.unionByName(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b")), "jaccard-links")
+        links = store.keep(links.unionByName(_search(cells, _needed_sets(docs, cells, k), t).select("a", "b")), "jaccard-links", small=True)
         known = components(links)
     store.drop(pairs, entries, bits, cells)
 

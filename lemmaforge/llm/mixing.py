@@ -123,7 +123,7 @@ def _quotas(sized: DataFrame, weights: Sequence[float], budget: Fraction, repeat
     sources = spark.createDataFrame([(r["source"], n, t, c, int(g) * GROUP_CELLS) for r, n, t, c, g in zip(totals, sizes, target, shards, groups, strict=False)], "key string, source_size long, target double, shards long, first_cell long")
     if len(totals) <= MOST_BROADCAST:
         sources = F.broadcast(sources)
-    cells = store.keep(_in_cells(sized, sources, seed).groupBy("cell").agg(F.sum("size").alias("words")), "mix-cells")
+    cells = store.keep(_in_cells(sized, sources, seed).groupBy("cell").agg(F.sum("size").alias("words")), "mix-cells", small=True)
     group = F.expr(f"cell div {GROUP_CELLS}")
     words = {r["g"]: int(r["n"]) for r in cells.groupBy(group.alias("g")).agg(F.sum("words").alias("n")).collect()}
     seats: dict[int, int] = {}
@@ -152,7 +152,7 @@ def _quotas(sized: DataFrame, weights: Sequence[float], budget: Fraction, repeat
         return pd.DataFrame({"cell": one["cell"], "words": one["words"], "blocks": blocks, "q": q, "factor": factor, "shift": shift})
 
     cells = cells.withColumn("g", group).join(given, "g").groupBy("g").applyInPandas(deal, "cell long, words long, blocks long, q long, factor long, shift long")
-    return sources, store.keep(cells, "mix-quotas"), block
+    return sources, store.keep(cells, "mix-quotas", small=True), block
 
 
 def _in_cells(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
