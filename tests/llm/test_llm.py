@@ -738,5 +738,50 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near duplicates", "decontamination", "mixing", "token output"]
 
 
+def test_pipeline_stage_by_stage(spark, tmp_path):
+    """run() against the stages by hand: scores, shingle sets, windows, the mixture's rows and the plain tokenizer."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs, labels = labelled(spark)
+    rng = random.Random(14)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()][:200]
+    for i in range(60):  # near copies, some of them too far off
+        w = rows[rng.randrange(200)][1].split()
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"new{i}"
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000, None), (2001, ""), (2002, "short one")]
+    items = [(1, rows[7][1]), (2, "short one"), (3, " ".join(rows[8][1].split()[5:20]))]
+    frame = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    model = toxicity.fit(frame, labels)
+    left = {i: t for i, t in rows if model.score(t or "") < 0.5}
+    sets = {i: shingles(t) for i, t in left.items()}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    least = reach(sets, links)
+    left = {i: t for i, t in left.items() if least[i] == i}
+    windows = set()
+    for _, t in items:
+        w = ALNUM.findall(t.translate(AZ))
+        windows |= {tuple(w[j : j + 10]) for j in range(max(1, len(w) - 9))}
+
+    def clean(t):
+        w = ALNUM.findall((t or "").translate(AZ))
+        return not any(tuple(w[j : j + n]) in windows for n in {len(x) for x in windows} for j in range(len(w) - n + 1))
+
+    left = {i: t for i, t in left.items() if clean(t)}
+    assert 7 not in left and 2002 not in left and len(left) > 100
+    mixed = mixing.mixture(frame.filter(F.col("doc_id").isin(list(left)))).collect()
+    assert {r["doc_id"] for r in mixed} <= set(left)
+    plain = Tokenizer.from_file(queries.tokenizer_path())
+    plain.encode_special_tokens = True
+    want = sorted((r["doc_id"], len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for r in mixed for ids in [[*plain.encode(r["text"], add_special_tokens=False).ids, 0]])
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+
+
 def test_threshold_is_exact():
     assert jaccard_join.least_overlap(10, 10, Fraction(4, 5)) == 9 and jaccard_join.least_overlap(5, 4, Fraction(4, 5)) == 4
