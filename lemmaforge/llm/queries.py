@@ -46,6 +46,29 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def _op3_sql(k: int = licenses.K) -> str:
+    """The scan over grams as text: template positions as a table of values."""
+    rows = [f"({n}, '{label}', {base}, {len(w) - k + 1}, {q}, '{' '.join(w[q : q + k])}')" for n, (label, base, w) in enumerate(licenses.templates(k)) for q in range(len(w) - k + 1)]
+    gram = " || ' ' || ".join(f"w[p + {i + 1}]" for i in range(k))
+    return rf"""
+WITH t(n, label, base, size, q, g) AS (VALUES {", ".join(rows)}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+pos AS (SELECT r, w, unnest(range(len(w) - {k - 1})) AS p FROM d WHERE len(w) >= {k}),
+line AS (SELECT r, n, label, base, size, p - q AS diagonal, min(p) AS low, max(p) AS high, bit_or(1::BIGINT << q) AS voted FROM (SELECT r, p, {gram} AS g FROM pos) JOIN t USING (g) GROUP BY ALL),
+cut AS (SELECT *, base OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {licenses.NEAR_DIAGONALS} OR (lag(voted) OVER o & voted) <> 0 AS apart FROM line WINDOW o AS (PARTITION BY r, n ORDER BY diagonal)),
+named AS (SELECT *, sum(apart::INT) OVER (PARTITION BY r, n ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS span FROM cut),
+span AS (SELECT r, label, base, size, min(low) AS first, max(high) AS last, bit_count(bit_or(voted)) AS votes FROM named GROUP BY r, n, label, base, size, span),
+c AS (SELECT *, votes / greatest(size, last - first + 1) AS cover, base AND votes = size AS entire FROM span)
+SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (entire) AS n_base, min(first) FILTER (entire) AS first_word, max(first) FILTER (entire) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (entire), '') AS base_labels,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (entire OR (NOT base AND cover >= {licenses.LEAST_COVER})), '') AS labels, coalesce(max(cover), 0.0) AS score
+FROM d LEFT JOIN c USING (r) GROUP BY r, doc_id
+"""
+
+
+OP3_SQL = _op3_sql()
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(table(spark, sf_dir, "documents"))
 
@@ -203,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_license_scan": OP3_SQL,
     "op5_url_filters": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
