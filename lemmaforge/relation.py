@@ -103,26 +103,35 @@ class Statement:
         return f"∀ rows: {self.label()}"
 
 
-def metric_columns(s: Statement, tag: str = "") -> list[Column]:
-    """support, touch (applicable rows), touch_all (all rows, slack exactly 0), violations, least and mean slack."""
-    h, c = s.hypothesis.column(), s.conclusion
-    out = [F.count_if(h).alias(f"support{tag}"), F.count_if(h & c.column()).alias(f"holds{tag}"), F.count_if(s.violated()).alias(f"violations{tag}")]
-    if hasattr(c, "slack"):
-        slack = nf.only_finite(c.slack())
-        out += [F.count_if(h & c.applicable() & (F.abs(slack) <= TIGHT)).alias(f"touch{tag}"), F.count_if(slack == 0).alias(f"touch_all{tag}"), F.min(F.when(h, slack)).alias(f"min_slack{tag}"), F.avg(F.when(h, slack)).alias(f"avg_slack{tag}"), F.max(F.when(h, slack)).alias(f"max_slack{tag}")]
-    return out
+def _measured(df: DataFrame, statements: list[Statement]) -> DataFrame:
+    """One row of metrics of all statements: truth values and slacks are columns first, each hypothesis once, so the aggregates stay short.
+
+    Per statement i: support, touch (applicable rows), touch_all (all rows, slack exactly 0), holds, violations, least, mean and largest slack.
+    """
+    hyps = list(dict.fromkeys(s.hypothesis for s in statements))
+    values, out = [h.column().alias(f"h{j}") for j, h in enumerate(hyps)], []
+    for i, s in enumerate(statements):
+        h, ok, c = F.col(f"h{hyps.index(s.hypothesis)}"), F.col(f"c{i}"), s.conclusion
+        values.append(c.column().alias(f"c{i}"))
+        out += [F.count_if(h).alias(f"support_{i}"), F.count_if(h & ok).alias(f"holds_{i}"), F.count_if(h & ~ok).alias(f"violations_{i}")]
+        if hasattr(c, "slack"):
+            slack, on = F.col(f"s{i}"), F.col(f"a{i}")
+            values += [nf.only_finite(c.slack()).alias(f"s{i}"), c.applicable().alias(f"a{i}")]
+            out += [F.count_if(h & on & (F.abs(slack) <= TIGHT)).alias(f"touch_{i}"), F.count_if(slack == 0).alias(f"touch_all_{i}")]
+            out += [f(F.when(h, slack)).alias(f"{n}_slack_{i}") for n, f in (("min", F.min), ("avg", F.avg), ("max", F.max))]
+    return df.select(*values).agg(*out)
 
 
 METRICS = "conj_id int, support long, holds long, violations long, touch long, touch_all long, min_slack double, avg_slack double, max_slack double"
 
 
-def evaluate(df: DataFrame, statements: list[Statement], chunk: int = 60) -> dict[int, dict]:
+def evaluate(df: DataFrame, statements: list[Statement], chunk: int = 30) -> dict[int, dict]:
     """Metrics of each statement by position; one aggregate job per ``chunk`` statements, nothing else leaves the executors."""
     out: dict[int, dict] = {}
     names = [c.split()[0] for c in METRICS.split(", ")[1:]]
     for lo in range(0, len(statements), chunk):
         part = statements[lo : lo + chunk]
-        row = df.agg(*[c for i, s in enumerate(part) for c in metric_columns(s, f"_{i}")]).first().asDict()
+        row = _measured(df, part).first().asDict()
         for i, s in enumerate(part):
             m = {n: row.get(f"{n}_{i}") for n in names}
             m["accuracy"] = (m["holds"] / m["support"]) if m["support"] else 0.0
