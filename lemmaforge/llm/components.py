@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import store
-from .memory import tidied
+from .memory import gathered, tidied
 
 
 #: Links that a task holds before it passes their forest on.
@@ -38,7 +38,7 @@ def forests(links: DataFrame) -> DataFrame:
             parent.clear()
             return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["a", "b"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 a, b = root(a), root(b)
                 if a != b:

@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from . import store
 from . import words as wk
 from .components import components
-from .memory import tidied
+from .memory import gathered, tidied
 
 K, THRESHOLD = 5, Fraction(4, 5)
 #: Entries of the frequency hint (16 bytes each).
@@ -236,7 +236,7 @@ def _near(postings: DataFrame, t: Fraction) -> DataFrame:
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * 5
-        for batch in batches:
+        for batch in gathered(batches):
             c = len(held[0])
             tok = np.concatenate([held[0], batch.column(0).to_numpy()])
             key = np.concatenate([held[1], batch.column(1).to_numpy()])
@@ -357,7 +357,7 @@ def _apart(entries: DataFrame, t: Fraction) -> DataFrame:
             m = np.array([x[:6] for x in rows], np.int64)
             return pa.RecordBatch.from_arrays([*(pa.array(m[:, i]) for i in range(6)), pa.array([x[6] for x in rows], pa.list_(pa.int64()))], [*names, "asks"])
 
-        for batch in batches:
+        for batch in gathered(batches):
             cols = [batch.column(i).to_numpy() for i in range(5)]
             cut = np.flatnonzero(np.diff(cols[0])) + 1
             for lo, hi in zip([0, *cut], [*cut, batch.num_rows], strict=True):

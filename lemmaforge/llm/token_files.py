@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import store
 from . import words as wk
-from .memory import tidied, tidy
+from .memory import gathered, tidied, tidy
 
 #: Bytes of text that are cut at a time (a longer text comes alone), and parts whose ids a Python worker remembers.
 RUN_BYTES = 2 << 20
@@ -191,7 +191,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
         from pyspark import TaskContext
 
         part, start, enc = TaskContext.get().partitionId(), 0, encoder(tokenizer)
-        for batch in batches:
+        for batch in gathered(batches, size=RUN_BYTES):
             for lo, ids in enc.column(batch.column(1), end_id):
                 n = np.diff(ids.off)
                 tokens = pa.ListArray.from_arrays(pa.array(ids.off.astype(np.int32)), pa.array(ids.flat.view(np.int32)))
