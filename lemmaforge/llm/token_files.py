@@ -35,7 +35,7 @@ from . import store
 from . import words as wk
 from .memory import gathered, tidied, tidy
 
-#: Bytes of text that are cut at a time (a longer text comes alone), and parts whose ids a Python worker remembers.
+#: Bytes of text that are cut at a time, up to twice as many (a longer text comes alone), and parts whose ids a Python worker remembers.
 RUN_BYTES = 2 << 20
 KNOWN, KNOWN_BYTES = 300_000, 64
 ROW_GROUP_BYTES = 16 << 20
@@ -158,7 +158,7 @@ class Encoder:
     def column(self, column: pa.Array, end_id: int | None = None) -> Iterator[tuple[int, Ragged]]:
         """First row and ids of runs of rows of about ``RUN_BYTES``; null reads as empty."""
         column = column.cast(pa.large_string()).fill_null("")
-        for lo, hi, _, _ in wk.slices(column, RUN_BYTES):
+        for lo, hi, _, _ in wk.slices(column, 2 * RUN_BYTES):  # what was gathered up to a run and a batch more is one run
             yield lo, self.run(column.slice(lo, hi - lo), end_id)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
