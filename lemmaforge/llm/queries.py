@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, fingerprints, jaccard_join, licenses, memory, mixing, quality, token_files, toxicity, url_filter
+from . import byte_pairs, chat, decontamination, fingerprints, jaccard_join, licenses, memory, mixing, quality, spelling, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -210,6 +210,42 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_pairs.report(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: The 256 remainders of CRC-32 as a list in SQL.
+CRC_STEPS = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b))"
+
+
+def crc_sql(data: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes; CRC_STEPS has to be in scope as ``steps``."""
+    each = f"list_transform(range(0, length(hex(encode({data}))), 2), lambda i: CAST('0x' || substr(hex(encode({data})), i + 1, 2) AS BIGINT))"
+    return f"xor(list_reduce({each}, lambda c, b: xor(steps[xor(c, b) % 256 + 1], c // 256), 4294967295), 4294967295)"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {CRC_STEPS} AS steps),
+runs AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) GROUP BY ALL),
+h AS (SELECT w, c, {crc_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM runs, crc),
+word AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, CAST(sum(c) AS BIGINT) AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(c) >= 3),
+cut AS (SELECT word, n, i, substr(word, 1, i) AS a, substr(word, i + 2) AS b, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM word)),
+pair AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN word w ON w.word = c.less
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN word w ON w.word = c.less),
+best AS (SELECT word, count(*) AS n_near, arg_min(near, printf('%019d', 9000000000000000000 - near_n) || near) AS near, max(near_n) AS near_n FROM pair GROUP BY word),
+f AS (SELECT word, n, CASE WHEN near_n >= 2 * n THEN near END AS form, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM word LEFT JOIN best USING (word)),
+up(word, last, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT up.word, f.form, step + 1 FROM up JOIN f ON f.word = up.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN (SELECT word, arg_max(last, step) AS root FROM up GROUP BY word) r ON r.word = f.word
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixing": op2_source_mixing,
@@ -222,6 +258,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chat_tool_links": chat_tool_links,
     "op9_toxicity": op9_toxicity,
     "op10_token_output": op10_token_output,
+    "op11_byte_pairs": op11_byte_pairs,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 SQL: dict[str, str] = {
@@ -230,5 +268,6 @@ SQL: dict[str, str] = {
     "op5_url_filters": OP5_SQL,
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op12_spelling_variants": OP12_SQL,
     "chat_tool_links": CHAT_TOOL_LINKS_SQL,
 }
