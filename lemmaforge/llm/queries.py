@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, chat, decontamination, fingerprints, jaccard_join, licenses, memory, mixing, quality, spelling, token_files, toxicity, url_filter
+from . import byte_pairs, chat, decontamination, fingerprints, jaccard_join, licenses, memory, mixing, quality, repair, spelling, token_files, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -246,6 +246,53 @@ SELECT f.word, f.form, r.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
 """
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(rows), rows)
+
+
+def _op13_sql() -> str:
+    """The chart as a fold: an element of a list inserts or passes a row, and each item is cost, audit and repaired text in one string."""
+
+    def more(v: str, cost: str, edit: str, line: str) -> str:
+        """A value after one more edit; ``line`` is SQL or empty."""
+        split = f"strpos({v}, chr(1))"
+        return f"lpad(CAST(CAST(left({v}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || substr({v}, 10, {split} - 10) || '{edit}' || substr({v}, {split})" + (f" || chr(10) || {line}" if line else "")
+
+    insert = lambda v, role: more(v, "3", "I", f"'{role}:'")
+    t = "3 * CAST(x.late AS INTEGER)"
+    keep = lambda v, letter: f"CASE WHEN NOT x.must AND x.letter = '{letter}' THEN {more(v, t, 'K', 'x.line')} END"
+    rerole = lambda v, role: f"""CASE WHEN NOT x.must AND x.letter <> '{role[0]}' THEN {more(v, f"(3 + {t})", "R", f"'{role}:' || x.text")} END"""
+    delete = lambda v: more(v, "4", "D", "")
+    shape = lambda kind, s, u, a, e: f"{{'kind': {kind}, 'letter': x.letter, 'must': x.must, 'late': x.late, 'text': x.text, 'line': x.line, 's': {s}, 'u': {u}, 'a': {a}, 'e': {e}}}"
+    first = shape("x.kind", "acc.s", "acc.u", f"least(acc.a, {insert('acc.s', 'user')}, {insert('acc.u', 'user')}, {insert('acc.e', 'user')})", "acc.e")
+    second = shape("x.kind", "acc.s", "acc.u", "acc.a", f"least(acc.e, {insert('acc.a', 'assistant')})")
+    to_a = ", ".join(f"{keep(f'acc.{v}', 'u')}, {rerole(f'acc.{v}', 'user')}" for v in "sue")
+    passed = shape("x.kind", delete("acc.s"), f"least({delete('acc.u')}, {keep('acc.s', 's')})", f"least({delete('acc.a')}, {to_a})", f"least({delete('acc.e')}, {keep('acc.a', 'a')}, {rerole('acc.a', 'assistant')})")
+    empty = "CAST(NULL AS VARCHAR)"
+    element = lambda kind, row: f"{{'kind': {kind}, 'letter': {row}letter, 'must': {row}must, 'late': {row}late, 'text': {row}text, 'line': {row}line, 's': {empty}, 'u': {empty}, 'a': {empty}, 'e': {empty}}}"
+    constant = lambda kind, s: f"{{'kind': {kind}, 'letter': '', 'must': false, 'late': false, 'text': '', 'line': '', 's': {s}, 'u': {empty}, 'a': {empty}, 'e': {empty}}}"
+    opening = ", ".join(constant(*x) for x in ((0, "'000000000' || chr(1)"), (0, empty), (1, empty)))
+    return rf"""
+WITH crc AS (SELECT {CRC_STEPS} AS steps),
+m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM conversations, crc),
+r AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM m WHERE k <> 0),
+b AS (SELECT *, left(role, 1) AS letter, role || ':' || text AS line, trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place FROM r),
+f AS (SELECT *, bare = '' OR again AS must, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS late, lag(letter) OVER (PARTITION BY conv_id ORDER BY place) || letter AS pair FROM b),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (bare = '') AS blank, count(*) FILTER (bare <> '' AND again) AS duplicate, count(*) FILTER (late) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+  list({element(2, "")} ORDER BY place) AS rows FROM f GROUP BY conv_id),
+p AS (SELECT * EXCLUDE (rows), list_reduce(list_concat([{opening}],
+    flatten(list_transform(rows, lambda x: [x, {element(0, "x.")}, {element(1, "x.")}]))), lambda acc, x: CASE x.kind WHEN 0 THEN {first} WHEN 1 THEN {second} ELSE {passed} END) AS last FROM g),
+v AS (SELECT * EXCLUDE (last), least(last.s, last.e) AS v FROM p)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(left(v, 9), '0') AS BIGINT) AS cost,
+  coalesce(substr(v, 10, strpos(v, chr(1)) - 10), '') AS audit, sha256(coalesce(substr(v, strpos(v, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN v ON c.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_source_mixing": op2_source_mixing,
@@ -260,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_output": op10_token_output,
     "op11_byte_pairs": op11_byte_pairs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 SQL: dict[str, str] = {
@@ -269,5 +317,6 @@ SQL: dict[str, str] = {
     "op7_benchmark_decontamination": OP7_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op12_spelling_variants": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
     "chat_tool_links": CHAT_TOOL_LINKS_SQL,
 }
