@@ -32,6 +32,20 @@ def nations(spark: SparkSession, sf: str) -> DataFrame:
 NAT = """nat AS (SELECT * FROM (SELECT c_nationkey % 2 = 0 AS even, count(*) / 10.0 AS x1, max(c_acctbal) / 1000 AS x2, avg(abs(c_acctbal)) / 1000 AS x3,
   count(*) FILTER (c_mktsegment = 'BUILDING') / 4.0 + 1 AS x4, avg(c_acctbal) / 1000 + 7 AS y FROM customer GROUP BY c_nationkey) WHERE y > 0 AND x2 > 0)"""
 
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    """One object per order, in several partitions: few different values of the invariants, many of the target."""
+    day = F.col("o_orderdate")
+    return spark.read.parquet(f"{sf}/orders.parquet").repartition(4, "o_orderkey").select(
+        (F.col("o_custkey") % 2 == 0).alias("even"), F.quarter(day).cast("double").alias("x1"), F.when(F.dayofweek(day).isin(1, 7), 2.0).otherwise(1.0).alias("x2"), F.substring("o_orderpriority", 1, 1).cast("double").alias("x3"),
+        F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 2.0).otherwise(3.0).alias("x4"), (F.col("o_totalprice") / 100000 + 1).alias("y"),
+    )
+
+
+ORD = """nat AS (SELECT o_custkey % 2 = 0 AS even, CAST(quarter(o_orderdate) AS DOUBLE) AS x1, CASE WHEN dayofweek(o_orderdate) IN (0, 6) THEN 2.0 ELSE 1.0 END AS x2, CAST(left(o_orderpriority, 1) AS DOUBLE) AS x3,
+  CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 3.0 END AS x4, o_totalprice / 100000 + 1 AS y FROM orders)"""
+#: Stages over nations, as SQL would have to try too many choices of five orders.
+_OF_NATIONS = ("lp4",)
+
 _HYPS: list[tuple[Pred, str]] = [(TRUE, "TRUE"), (Flag("even"), "even")]
 #: A family's features as SQL, and the target's.
 _SQL = {
@@ -62,7 +76,8 @@ def _optimum(tag: str, hypothesis: str, form: str, cond: str, features: Sequence
     d, sign = len(features) + 1, "" if upper else "-"
     names = [f"a{j}" for j in range(d)]
     pts = f"p{tag} AS (SELECT {', '.join(f'{f} AS a{j}' for j, f in enumerate([*features, '1.0']))}, {target} AS r FROM nat WHERE {cond})"
-    data = f"SELECT {', '.join(f'{sign}{n} AS {n}' for n in names)}, {sign}r AS r FROM p{tag}"
+    # of rows with the same features the outermost alone binds
+    data = f"SELECT {', '.join(f'{sign}{n} AS {n}' for n in names)}, {sign}{'max' if upper else 'min'}(r) AS r FROM p{tag} GROUP BY {', '.join(f'p{tag}.{n}' for n in names)}"
     walls = [f"SELECT {', '.join(('1.0' if s > 0 else '-1.0') if i == j else '0.0' for i in range(d))}, {-box}" for j in range(d - 1) for s in (1, -1)]
     cons = f"c{tag} AS (SELECT row_number() OVER () AS id, * FROM ({' UNION ALL '.join([data, *walls])}))"
     some = [f"t{i}" for i in range(d)]
@@ -105,7 +120,7 @@ def _cases(name: str) -> list[tuple[str, list[str], str, float]]:
 
 def _sql(name: str) -> str:
     parts = [_optimum(f"{i}_{h}_{int(up)}", label, form, "TRUE" if label == "TRUE" else label, features, target, box, up) for i, (form, features, target, box) in enumerate(_cases(name)) for h, (_, label) in enumerate(_HYPS) for up in (True, False)]
-    return f"WITH {NAT}, " + ", ".join(x for x, _ in parts) + " " + " UNION ALL ".join(x for _, x in parts)
+    return f"WITH {NAT if name in _OF_NATIONS else ORD}, " + ", ".join(x for x, _ in parts) + " " + " UNION ALL ".join(x for _, x in parts)
 
 
 def report(df: DataFrame, forms: fits.Forms, target: Expr, hyps: Sequence[Pred], size: int = 0) -> DataFrame:
@@ -130,7 +145,7 @@ def report(df: DataFrame, forms: fits.Forms, target: Expr, hyps: Sequence[Pred],
 
 def _fit_query(name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        df = nations(spark, sf)
+        df = (nations if name in _OF_NATIONS else orders)(spark, sf)
         hyps = [h for h, _ in _HYPS]
         if name in fits.SUBSETS:
             return report(df, fits.subset_fits(df, name, Col("y"), {c: Col(c) for c in ("x1", "x2", "x3", "x4")}, hyps), Col("y"), hyps, fits.SUBSETS[name][0])

@@ -1,10 +1,9 @@
 """Fitted bounds: the least-slack linear form above (or below) the target, for many hypotheses and feature subsets.
 
 Minimising the total slack under one-sided fit needs k + 1 variables only: the
-objective is the features' sums.  Rows are never gathered.  Each task reduces
-what it reads to the rows of its own optimal basis (k + 1 of them), the bases
-of a candidate are reduced again in one group, and a further pass looks for
-rows that violate the result; passes go on until there is none.
+objective is the features' sums.  Rows are never gathered: a candidate holds a
+few, and every pass compares all rows with all forms in one matrix product and
+exchanges the outermost violated ones, until there is none.
 """
 
 from __future__ import annotations
@@ -61,98 +60,140 @@ def _points(y, f, h, c: Candidate) -> tuple[np.ndarray, np.ndarray]:
     return x[on], y[on]
 
 
+#: Part of a mean by which a slope's cost is raised, the more the later the feature: of equally good forms one is least whatever the order of the rows.
+TIE = 1e-9
+#: Rows compared with all candidates at once.
+CHUNK = 2_000
+
+
+def _outermost(points: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Places of the rows that a form is to be fitted to next: the most violated one, and the outermost ones in each feature."""
+    at = [gap.argmax()]
+    for x in points[:, :-1].T:
+        at += [x.argmin(), x.argmax()]
+    return np.unique(at)
+
+
 def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pred], candidates: Sequence[Candidate], box: float = FREE, least_rows: int = 1, nonneg: bool = False, solver: Callable = solve.lp) -> list[Fit]:
     """The optimal upper and lower form of each candidate with enough rows.
 
     ``nonneg`` restricts a single feature's slope, and its form's value at the
     feature's mean, to 0 and above.  ``solver`` takes what ``solve.lp`` takes and
-    may stand in for it.  A pass adds rows that the optimum before violates, so
-    the optimum's value grows until no row does: passes end by themselves.
+    may stand in for it.
+
+    Rows are exchanged: each candidate holds a few, its form is the optimum over
+    them, and a pass over all rows adds the outermost violated ones.  Held rows
+    are let go only when the optimum's value has grown, so either that grows or
+    more rows are held: no set comes back, and passes end when no row that is
+    not held is violated by more than rounding.  Where a form is not the only
+    best one, raised costs (TIE) choose, hence the same in any partitioning.
     """
     m = _matrix(df, target, features, hyps).persist()
-    nf_, nh, cands = len(features), len(hyps), list(candidates)
-    try:
+    n_features, n_hyps, cands = len(features), len(hyps), list(candidates)
+    used = np.zeros((len(cands), n_features))
+    for i, c in enumerate(cands):
+        used[i, list(c.features)] = 1.0
+    of_hyp = {h: [i for i, c in enumerate(cands) if c.hyp == h] for h in range(n_hyps)}
+
+    def parts(frames: Iterable[pd.DataFrame]) -> Iterable[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates of a hypothesis, its rows' targets and features (0 where there is none), and which candidates a row lacks a feature for."""
+        for frame in frames:
+            for lo in range(0, len(frame), CHUNK):
+                y, f, h = _of(frame.iloc[lo : lo + CHUNK], n_features, n_hyps)
+                there = np.isfinite(f)
+                for hyp, own in of_hyp.items():
+                    on = h[:, hyp] & np.isfinite(y)
+                    if own and on.any():
+                        absent = (~there[on]).astype(float) @ used[own].T > 0
+                        yield own, y[on], np.where(there[on], f[on], 0.0), absent
+
+    def sums(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        total, n = np.zeros((len(cands), n_features)), np.zeros(len(cands))
+        for own, _, x, absent in parts(frames):
+            total[own] += (~absent).T.astype(float) @ x
+            n[own] += (~absent).sum(axis=0)
+        rows = [(i, -1, float(n[i])) for i in range(len(cands))] + [(i, j, float(total[i, j])) for i, c in enumerate(cands) for j in c.features]
+        yield pd.DataFrame(rows, columns=["i", "j", "s"])
 
-        def sums(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-            total = [np.zeros(len(c.features) + 1) for c in cands]
-            for frame in frames:
-                y, f, h = _of(frame, nf_, nh)
-                for i, c in enumerate(cands):
-                    x, _ = _points(y, f, h, c)
-                    total[i] += np.append(x.sum(axis=0), len(x))
-            yield pd.DataFrame([(i, j, s) for i, t in enumerate(total) for j, s in enumerate(t)], columns=["i", "j", "s"])
-
-        cost = {}
-        for r in m.mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).orderBy("i", "j").collect():
-            cost.setdefault(r["i"], []).append(r["s"])
-        n_rows = {i: int(v[-1]) for i, v in cost.items()}
+    try:
+        found = {(r["i"], r["j"]): r["s"] for r in m.mapInPandas(sums, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()}
+        n_rows = [int(found.get((i, -1), 0)) for i in range(len(cands))]
+        costs = {i: np.array([*(found[i, j] / n_rows[i] for j in c.features), 1.0]) for i, c in enumerate(cands) if n_rows[i] >= max(1, least_rows)}
         current: dict[tuple[int, bool], np.ndarray] = {}
         held: dict[tuple[int, bool], np.ndarray] = {}
-        open_ = {(i, up) for i in cost for up in (True, False) if n_rows[i] >= least_rows}
+        open_ = {(i, up) for i in costs for up in (True, False)}
 
-        def optimum(key: tuple[int, bool], pts: np.ndarray):
+        def optimum(key: tuple[int, bool], pts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+            """The best form over some rows, and the places of those that it rests on."""
             i, up = key
-            c = np.array(cost[i]) / cost[i][-1]
+            c, sign = costs[i], 1.0 if up else -1.0
             limit = np.full(len(c), float(box))
             limit[-1] = max(limit[-1], 1e9)
-            rows, least = np.hstack([pts[:, :-1], np.ones((len(pts), 1))]), (1.0 if up else -1.0) * pts[:, -1]
+            rows, least = np.hstack([pts[:, :-1], np.ones((len(pts), 1))]), sign * pts[:, -1]
             if nonneg:
                 extra = np.vstack([np.eye(len(c))[:-1], c])
                 rows, least = np.vstack([rows, extra if up else -extra]), np.append(least, np.zeros(len(extra)))
-            got = solver(rows, least, c, limit)
-            return None if got is None else ((1.0 if up else -1.0) * got[0], got[1][got[1] < len(pts)])
+            raised = c + TIE * np.abs(c).max() * np.append(np.arange(1, len(c)), 0)
+            got = solver(rows, least, raised, limit)
+            return None if got is None else (sign * got[0], got[1][got[1] < len(pts)])
 
         while open_:
             todo, now, base = sorted(open_), dict(current), dict(held)
-
-            def local(frames: Iterable[pd.DataFrame], todo=todo, now=now, base=base) -> Iterable[pd.DataFrame]:
-                found: dict[tuple[int, bool], np.ndarray] = {}
-                for frame in frames:
-                    y, f, h = _of(frame, nf_, nh)
-                    for key in todo:
-                        x, t = _points(y, f, h, cands[key[0]])
-                        if not len(x):
-                            continue
+            keys_of = {h: [(i, up) for i, up in todo if cands[i].hyp == h] for h in range(n_hyps)}
+
+            def violated(frames: Iterable[pd.DataFrame], now=now, keys_of=keys_of) -> Iterable[pd.DataFrame]:
+                """The outermost violated rows of a task, by candidate and side."""
+                best: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+                for own, y, x, absent in parts(frames):
+                    keys = keys_of[cands[own[0]].hyp]
+                    if not keys:
+                        continue
+                    forms = np.zeros((len(keys), n_features + 1))
+                    for k, key in enumerate(keys):
                         if key in now:
-                            gap = (t - x @ now[key][:-1] - now[key][-1]) * (1 if key[1] else -1)
-                            bad = gap > 1e-9 * (1 + np.abs(t))
-                            x, t = x[bad], t[bad]
-                            if not len(x):
-                                continue
-                        pts = np.hstack([x, t[:, None]])
-                        pts = np.vstack([p for p in (pts, found.get(key), base.get(key)) if p is not None])
-                        got = optimum(key, pts)
-                        found[key] = pts[got[1]] if got is not None and len(got[1]) else pts[:1]
-                yield pd.DataFrame([(i, up, p.tolist()) for (i, up), ps in found.items() for p in ps], columns=["i", "up", "p"])
-
-            def narrow(group: pd.DataFrame) -> pd.DataFrame:
-                key = (int(group["i"].iloc[0]), bool(group["up"].iloc[0]))
-                pts = np.unique(np.array(group["p"].tolist()), axis=0)
-                got = optimum(key, pts)
-                pts = pts[got[1]] if got is not None and len(got[1]) else pts[:1]
-                return pd.DataFrame([(*key, p.tolist()) for p in pts], columns=["i", "up", "p"])
-
-            def merge(group: pd.DataFrame) -> pd.DataFrame:  # noqa: B023  runs within this pass
+                            forms[k, [*cands[key[0]].features, n_features]] = now[key]
+                    sign = np.array([1.0 if up else -1.0 for _, up in keys])
+                    gaps = (y[:, None] - x @ forms[:, :-1].T - forms[:, -1]) * sign
+                    at = {i: k for k, i in enumerate(own)}
+                    gaps[absent[:, [at[i] for i, _ in keys]]] = -np.inf
+                    least = np.where([key in now for key in keys], 1e-9, -np.inf) * (1 + np.abs(y))[:, None]
+                    bad = (gaps > least) & np.isfinite(gaps)
+                    for k in np.flatnonzero(bad.any(axis=0)):
+                        rows = bad[:, k]
+                        pts, gap = np.hstack([x[rows][:, list(cands[keys[k][0]].features)], y[rows, None]]), gaps[rows, k]
+                        if keys[k] in best:
+                            pts, gap = np.vstack([best[keys[k]][0], pts]), np.append(best[keys[k]][1], gap)
+                        some = _outermost(pts, gap)
+                        best[keys[k]] = (pts[some], gap[some])
+                yield pd.DataFrame([(*key, float(g), p.tolist()) for key, (pts, gap) in best.items() for p, g in zip(pts, gap, strict=True)], columns=["i", "up", "gap", "p"])
+
+            def narrowed(group: pd.DataFrame) -> pd.DataFrame:
+                return group.iloc[_outermost(np.array(group["p"].tolist()), group["gap"].to_numpy())][["i", "up", "gap", "p"]]
+
+            def exchanged(group: pd.DataFrame) -> pd.DataFrame:  # noqa: B023  runs within this pass
+                """A candidate's form over what it holds and the new rows, and what it holds now; no rows where nothing is new or the form stays."""
+                group = narrowed(group)
                 key = (int(group["i"].iloc[0]), bool(group["up"].iloc[0]))
-                pts = np.unique(np.vstack([np.array(group["p"].tolist()), *([base[key]] if key in base else [])]), axis=0)
+                before = base.get(key, np.empty((0, len(cands[key[0]].features) + 1)))
+                pts = np.unique(np.vstack([before, np.array(group["p"].tolist())]), axis=0)
                 got = optimum(key, pts)
                 if got is None:
-                    return pd.DataFrame([(*key, [], [])], columns=["i", "up", "x", "p"])
-                return pd.DataFrame([(*key, got[0].tolist(), pts[got[1]].ravel().tolist())], columns=["i", "up", "x", "p"])
-
-            # a candidate's bases come from every task: they are merged in FAN_IN groups first, each of which hands on one basis
-            bases = m.mapInPandas(local, "i int, up boolean, p array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
-            bases = bases.groupBy("i", "up", "part").applyInPandas(narrow, "i int, up boolean, p array<double>")
-            rows = bases.groupBy("i", "up").applyInPandas(merge, "i int, up boolean, x array<double>, p array<double>").collect()
+                    return pd.DataFrame([(*key, False, [], [])], columns=["i", "up", "ended", "x", "p"])
+                grown = key in now and (1 if key[1] else -1) * float(costs[key[0]] @ (got[0] - now[key])) > 1e-12 * (1 + abs(float(costs[key[0]] @ now[key])))
+                ended = key in now and len(pts) == len(before)
+                return pd.DataFrame([(*key, ended, got[0].tolist(), (pts[got[1]] if grown else pts).ravel().tolist())], columns=["i", "up", "ended", "x", "p"])
+
+            # violated rows come from every task: FAN_IN groups of a candidate each hand on the outermost ones
+            rows = m.mapInPandas(violated, "i int, up boolean, gap double, p array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
+            rows = rows.groupBy("i", "up", "part").applyInPandas(narrowed, "i int, up boolean, gap double, p array<double>")
+            rows = rows.groupBy("i", "up").applyInPandas(exchanged, "i int, up boolean, ended boolean, x array<double>, p array<double>").collect()
             open_ = set()
             for r in rows:
                 key = (r["i"], r["up"])
                 if len(r["x"]):
-                    d = len(cands[key[0]].features) + 1
-                    new = np.array(r["p"]).reshape(-1, d)
-                    held[key] = np.unique(np.vstack([p for p in (held.get(key), new) if p is not None]), axis=0)
-                    current[key] = np.array(r["x"])
-                    open_.add(key)
+                    current[key], held[key] = np.array(r["x"]), np.array(r["p"]).reshape(-1, len(cands[key[0]].features) + 1)
+                    if not r["ended"]:
+                        open_.add(key)
                 else:
                     current.pop(key, None)
         return [Fit(cands[i], up, tuple(float(x) for x in v[:-1]), float(v[-1]), n_rows[i]) for (i, up), v in sorted(current.items())]

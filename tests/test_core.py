@@ -412,3 +412,26 @@ def test_compressed(spark):
     assert [s.conclusion for s in out] == [All((a, b)), a, Flag("p")]
     df = spark.createDataFrame([(1, True), (2, True), (3, False)], "x int, p boolean")
     assert relation.evaluate(df, out[:1])[0]["violations"] == 0 and filters.compressed(out[:2]) == out[:2]
+
+
+@pytest.mark.parametrize("parts", [1, 2, 4, 16])
+def test_fit_ends_on_degenerate_tables(spark, parts):
+    """The mean lies under an edge's end, so the best forms are many: passes end, and one form comes out whatever the partitions."""
+    from lemmaforge.operators import fits
+
+    df = spark.createDataFrame([(float(x), float(2 * x + x % 3), float(x % 2)) for x in range(1, 40)], "x double, t double, z double").repartition(parts)
+    found = fits.fit(df, Col("t"), [Col("x"), Col("z")], [TRUE], [fits.Candidate(0, (0,)), fits.Candidate(0, (0, 1))])
+    assert [(f.upper, [round(w, 6) for w in f.weights], round(f.intercept, 6)) for f in found[:2]] == [(False, [2.0], 0.0), (True, [2.0], 2.0)]
+    for f in found:
+        at = [float(2 * x + x % 3) - f.weights[0] * x - (f.weights[1] * (x % 2) if len(f.weights) > 1 else 0) - f.intercept for x in range(1, 40)]
+        assert max(at) <= 1e-6 if f.upper else min(at) >= -1e-6
+
+
+def test_fit_of_equal_and_missing_rows(spark):
+    """Equal rows, rows without a value, and a candidate without rows."""
+    from lemmaforge.operators import fits
+
+    df = spark.createDataFrame([(1.0, 2.0, True)] * 50 + [(None, 5.0, True), (3.0, float("nan"), True), (2.0, 9.0, False), (4.0, 8.0, None)], "x double, t double, h boolean").repartition(3)
+    found = fits.fit(df, Col("t"), [Col("x")], [TRUE, Flag("h"), Not(Flag("h"))], [fits.Candidate(h, (0,)) for h in range(3)], least_rows=2)
+    assert {(f.candidate.hyp, f.rows) for f in found} == {(0, 52), (1, 50), (2, 2)}
+    assert all(abs(f.weights[0] + f.intercept - 2.0) < 1e-6 for f in found if f.candidate.hyp == 1)
