@@ -13,7 +13,8 @@ touches those pages alone.
 Tokenising is exact but pays for each distinct word about once per run of text:
 a text is cut before its spaces.  Under a byte-level pre-tokenizer no piece
 crosses such a cut, hence the ids of the parts, concatenated, are the ids of the
-text; a text with a space between two blanks is encoded whole.  Cutting, finding
+text; a text with a space between two blanks, or with the string of a special
+token (which the tokenizer takes for that token), is encoded whole.  Cutting, finding
 the distinct parts and putting their ids together are Arrow and NumPy passes
 over a run of about ``RUN_BYTES`` of text; the tokenizer sees only parts that are
 not among the last ``KNOWN`` ones.
@@ -40,6 +41,8 @@ RUN_BYTES = 2 << 20
 KNOWN, KNOWN_BYTES = 300_000, 64
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
+#: Characters of a text by which rows of one id are dealt to files.
+TIE_SIZE = 64
 
 #: A space between two blanks; the class holds every white space of Unicode.
 _BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -83,7 +86,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Their strings in a text are tokens of their own, so a text that holds one is encoded whole.
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         for token, i in vocabulary.items():
@@ -118,6 +122,8 @@ class Encoder:
     def run(self, texts: pa.Array, end_id: int | None = None) -> Ragged:
         """ids of each text of a large_string array without nulls, ``end_id`` behind each."""
         tight = pc.match_substring_regex(texts, _TIGHT)
+        for x in self.added:
+            tight = pc.or_(tight, pc.match_substring(texts, x))
         parts = pc.split_pattern(pc.if_else(tight, "", texts), " ")
         off = parts.offsets.to_numpy().astype(np.int64)
         words = parts.values.slice(off[0], off[-1] - off[0])
@@ -181,8 +187,9 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
     """Tokenise ``docs`` (doc_id, text) and write token files under ``path`` in ascending doc_id order.
 
     Null and empty texts have the end id only.  Rows of one id (ties) are
-    ordered by their text and stay separate rows; rows with a null id come
-    first.  ``tokenizer`` is a path that every executor can open.  An empty
+    ordered by their text and stay separate rows, dealt out by the text's
+    beginning; rows with a null id come first.  Other columns, whatever their
+    names, are not read.  ``tokenizer`` is a path that every executor can open.  An empty
     table gives an empty file set with the same schema.
     """
 
@@ -200,7 +207,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int | None = 0) ->
 
     (
         docs.select(F.col("doc_id").cast("long"), "text")
-        .repartitionByRange(F.asc_nulls_first("doc_id"))
+        .repartitionByRange(F.asc_nulls_first("doc_id"), F.substring("text", 1, TIE_SIZE))
         .sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
         .mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, tokens array<int>")
         .write.option("compression", "zstd")

@@ -676,8 +676,8 @@ def test_token_output(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    odd = ["a  b", "x \n y", "  ", "a\n\n b 's it's  don't 12 3.5 <|endoftext|>", "日本語 テスト\t\tz  ", "\n a", "trail ", "😀 😀x", "Émile, ça! va?"]
+    assert plain.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    odd = ["hello <|endoftext|> world", "a  <|endoftext|>  b", "<|endoftext|>", "a  b", "x \n y", "  ", "a\n\n b 's it's  don't 12 3.5 <|endoftext|>", "日本語 テスト\t\tz  ", "\n a", "trail ", "😀 😀x", "Émile, ça! va?"]
     enc = token_files.Encoder(path)
     assert enc.encode(odd) == [x.ids for x in plain.encode_batch(odd, add_special_tokens=False)]
     rng = random.Random(8)
