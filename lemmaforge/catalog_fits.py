@@ -184,8 +184,8 @@ GROUP BY ALL HAVING min(CASE WHEN n.side = '<=' THEN n.slope * l.x - l.y ELSE l.
 
 
 def hull3d_facets(spark: SparkSession, sf: str) -> DataFrame:
-    """Every facet of the hull over two features."""
-    found = fits.convex_hull(nations(spark, sf), Col("y"), [Col("x1"), Col("x3")], TRUE)
+    """Every facet of the hull of all orders over two features."""
+    found = fits.convex_hull(orders(spark, sf), Col("y"), [Col("x1"), Col("x3")], TRUE)
     rows = []
     for s in found:
         w = {t.label(): float(c) for c, t in s.conclusion.b.terms}
@@ -194,7 +194,7 @@ def hull3d_facets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _M = [["t0.x1", "t0.x3", "1"], ["t1.x1", "t1.x3", "1"], ["t2.x1", "t2.x3", "1"]]
-HULL3D_SQL = f"""WITH {NAT}, p AS (SELECT row_number() OVER () AS id, x1, x3, y FROM nat),
+HULL3D_SQL = f"""WITH {ORD}, p AS (SELECT row_number() OVER () AS id, x1, x3, y FROM (SELECT x1, x3, max(y) AS y FROM nat GROUP BY x1, x3 UNION SELECT x1, x3, min(y) FROM nat GROUP BY x1, x3)),
 b AS (SELECT {_det(_M)} AS det, {", ".join(f"{_det([[f't{i}.y' if c == j else x for c, x in enumerate(r)] for i, r in enumerate(_M)])} AS n{j}" for j in range(3))} FROM p t0 JOIN p t1 ON t0.id < t1.id JOIN p t2 ON t1.id < t2.id),
 s AS (SELECT n0 / det AS w1, n1 / det AS w2, n2 / det AS c FROM b WHERE abs(det) > 1e-9),
 k AS (SELECT w1, w2, max(y - w1 * x1 - w2 * x3 - c) AS above, min(y - w1 * x1 - w2 * x3 - c) AS below FROM s, p GROUP BY w1, w2, c)

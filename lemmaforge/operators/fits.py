@@ -23,7 +23,7 @@ from ..expr import Const, Expr, Linear, Log, Un, affine
 from ..functions import numeric as nf
 from ..pred import Compare, Pred
 from ..relation import Statement, evaluate
-from . import solve
+from . import hull, solve
 
 FREE = 1e7
 #: Groups in which the tasks' bases of one candidate are merged before the last merge.
@@ -74,6 +74,23 @@ def _outermost(points: np.ndarray, gap: np.ndarray) -> np.ndarray:
     return np.unique(at)
 
 
+def best_form(pts: np.ndarray, cost: np.ndarray, upper: bool, box: float = FREE, nonneg: bool = False, solver: Callable = solve.lp) -> tuple[np.ndarray, np.ndarray] | None:
+    """Slopes and intercept of the least-slack form over points (features, target), and the places of those that it rests on.
+
+    ``cost`` has the features' means and 1.
+    """
+    sign = 1.0 if upper else -1.0
+    limit = np.full(len(cost), float(box))
+    limit[-1] = max(limit[-1], 1e9)
+    rows, least = np.hstack([pts[:, :-1], np.ones((len(pts), 1))]), sign * pts[:, -1]
+    if nonneg:
+        extra = np.vstack([np.eye(len(cost))[:-1], cost])
+        rows, least = np.vstack([rows, extra if upper else -extra]), np.append(least, np.zeros(len(extra)))
+    raised = cost + TIE * np.abs(cost).max() * np.append(np.arange(1, len(cost)), 0)
+    got = solver(rows, least, raised, limit)
+    return None if got is None else (sign * got[0], got[1][got[1] < len(pts)])
+
+
 def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pred], candidates: Sequence[Candidate], box: float = FREE, least_rows: int = 1, nonneg: bool = False, solver: Callable = solve.lp) -> list[Fit]:
     """The optimal upper and lower form of each candidate with enough rows.
 
@@ -124,18 +141,7 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
         open_ = {(i, up) for i in costs for up in (True, False)}
 
         def optimum(key: tuple[int, bool], pts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-            """The best form over some rows, and the places of those that it rests on."""
-            i, up = key
-            c, sign = costs[i], 1.0 if up else -1.0
-            limit = np.full(len(c), float(box))
-            limit[-1] = max(limit[-1], 1e9)
-            rows, least = np.hstack([pts[:, :-1], np.ones((len(pts), 1))]), sign * pts[:, -1]
-            if nonneg:
-                extra = np.vstack([np.eye(len(c))[:-1], c])
-                rows, least = np.vstack([rows, extra if up else -extra]), np.append(least, np.zeros(len(extra)))
-            raised = c + TIE * np.abs(c).max() * np.append(np.arange(1, len(c)), 0)
-            got = solver(rows, least, raised, limit)
-            return None if got is None else (sign * got[0], got[1][got[1] < len(pts)])
+            return best_form(pts, costs[key[0]], key[1], box, nonneg, solver)
 
         while open_:
             todo, now, base = sorted(open_), dict(current), dict(held)
@@ -378,48 +384,36 @@ def rounded_ratios(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: P
     return verified(df, made)
 
 
-def convex_hull(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred, tol: float = 1e-8) -> list[Statement]:
-    """Bounds from the hull's facets.  Tasks hand on their own hull's points; needs k + 2 rows, drops side facets.
-
-    A degenerate set (fewer independent points) has no facets in the full
-    space and gives no statement.
-    """
-    k = len(features)
+def hull_points(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred) -> DataFrame:
+    """The rows of a hypothesis where all values are there: features f0, f1, .. and the target y."""
     m = _matrix(df, target, features, [hyp])
+    return m.filter("h0").select(*[f"f{i}" for i in range(len(features))], "y").dropna()
 
-    def corners(pts: np.ndarray) -> np.ndarray:
-        """Points that may be a vertex: all hull facets' points where the set spans space, else all."""
-        pts = np.unique(pts, axis=0)
-        if k == 1 and len(pts):
-            return np.unique(np.vstack([solve.hull(pts, True), solve.hull(pts, False)]), axis=0)
-        return solve.vertices(pts)
 
-    def local(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        kept, n = np.empty((0, k + 1)), 0
-        for frame in frames:
-            y, f, h = _of(frame, k, 1)
-            x, t = _points(y, f, h, Candidate(0, tuple(range(k))))
-            n += len(x)
-            kept = corners(np.vstack([kept, np.hstack([x, t[:, None]])]))
-        yield pd.DataFrame({"n": [n], "p": [kept.ravel().tolist()]})
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        kept = corners(np.vstack([np.array(p).reshape(-1, k + 1) for p in group["p"]]))
-        return pd.DataFrame({"n": [int(group["n"].sum())], "p": [kept.ravel().tolist()]})
-
-    # vertices only leave a task, and are reduced again in FAN_IN groups before the last step
-    parts = m.mapInPandas(local, "n long, p array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
-    parts = parts.groupBy("part").applyInPandas(merge, "n long, p array<double>").collect()
-    if sum(p["n"] for p in parts) < k + 2:
-        return []
-    pts = corners(np.vstack([np.array(p["p"]).reshape(-1, k + 1) for p in parts]))
+def hull_statements(corners: np.ndarray, target: Expr, features: Sequence[Expr], hyp: Pred, tol: float = 1e-8) -> list[Statement]:
+    """Bounds of the facets of the corners' hull, without side facets."""
     out = []
-    for w, b, upper in solve.facets(pts, tol):
+    for w, b, upper in solve.facets(corners, tol):
         form = affine(list(zip(w.tolist(), features, strict=True)), b, 10**6, math.inf, math.inf, exact=True)
         out.append(Statement(hyp, Compare("<=" if upper else ">=", target, form), stage="convex_hull"))
     return out
 
 
+def convex_hull(df: DataFrame, target: Expr, features: Sequence[Expr], hyp: Pred, tol: float = 1e-8) -> list[Statement]:
+    """Bounds from the hull's facets, found pass by pass (``hull.corners``); needs k + 2 rows, drops side facets.
+
+    A degenerate set (fewer independent points) has no facets in the full
+    space and gives no statement.
+    """
+    points = hull_points(df, target, features, hyp).persist()
+    try:
+        if points.count() < len(features) + 2:
+            return []
+        return hull_statements(hull.corners(points), target, features, hyp, tol)
+    finally:
+        points.unpersist()
+
+
 def mixed(df: DataFrame, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[Pred], squares: bool = False, weight: Fraction = Fraction(1, 2), den: int = 20, most: float = 4.0, least_rows: int = 8) -> list[Statement]:
     """w(c·x + d·√y), or with y² : of the plain form and its roundings the valid one nearest to the target."""
     from ..expr import ceil, floor

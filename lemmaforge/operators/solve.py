@@ -82,7 +82,7 @@ def _span(p: np.ndarray) -> np.ndarray:
     return v[size > _THIN]
 
 
-def _wrapped(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def wrapped(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Facets (outward normal, positions of all points on it) of full-dimensional points: gift wrapping over ridges."""
     n, d = p.shape
     if d == 1:
@@ -104,7 +104,7 @@ def _wrapped(p: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         span = _span(p[on])
         if len(span) != d - 1:
             continue
-        for outward, part in _wrapped((p[on] - p[on[0]]) @ span.T):
+        for outward, part in wrapped((p[on] - p[on[0]]) @ span.T):
             turned = _turned(p, normal, on[part], outward @ span)
             if turned is None:
                 continue
@@ -140,7 +140,7 @@ def facets(points: np.ndarray, tol: float = 1e-8) -> list[tuple[np.ndarray, floa
     low, wide = points.min(axis=0), np.ptp(points, axis=0)
     p, first = np.unique((points - low) / np.where(wide > 0, wide, 1.0), axis=0, return_index=True)
     if len(_span(p)) == d + 1:
-        sides = [(on, normal[-1]) for normal, on in _wrapped(p) if abs(normal[-1]) > _FLAT]
+        sides = [(on, normal[-1]) for normal, on in wrapped(p) if abs(normal[-1]) > _FLAT]
     else:  # all points on one plane
         sides = [(np.arange(len(p)), 1.0), (np.arange(len(p)), -1.0)]
     for on, side in sides:
@@ -152,14 +152,3 @@ def facets(points: np.ndarray, tol: float = 1e-8) -> list[tuple[np.ndarray, floa
         out.append((w, float(y[own[0]] - w @ x[own[0]]), bool(side > 0)))
     out.sort(key=lambda f: (not f[2], *f[0].tolist(), f[1]))
     return out
-
-
-def vertices(points: np.ndarray) -> np.ndarray:
-    """The points on facets of the hull of different points; all of them where they span less than the space."""
-    wide = np.ptp(points, axis=0) if len(points) else np.zeros(0)
-    if len(points) <= points.shape[1] + 1 or not (wide > 0).all():
-        return points
-    p = (points - points.min(axis=0)) / wide
-    if len(_span(p)) < p.shape[1]:
-        return points
-    return points[np.unique(np.concatenate([on for _, on in _wrapped(p)]))]

@@ -435,3 +435,26 @@ def test_fit_of_equal_and_missing_rows(spark):
     found = fits.fit(df, Col("t"), [Col("x")], [TRUE, Flag("h"), Not(Flag("h"))], [fits.Candidate(h, (0,)) for h in range(3)], least_rows=2)
     assert {(f.candidate.hyp, f.rows) for f in found} == {(0, 52), (1, 50), (2, 2)}
     assert all(abs(f.weights[0] + f.intercept - 2.0) < 1e-6 for f in found if f.candidate.hyp == 1)
+
+
+def test_hull_by_farthest_rows(spark):
+    """Spheres, grids with coplanar points, flat sets and few points, in any partitioning, against all points at once."""
+    from lemmaforge.operators import hull
+
+    rng = np.random.default_rng(11)
+    sphere = rng.normal(size=(300, 3))
+    sphere /= np.linalg.norm(sphere, axis=1)[:, None]
+    flat = np.array([[i, j, 2.0 * i - j] for i in range(6) for j in range(5)], float)
+    sets = {"sphere": sphere, "grid": rng.integers(0, 4, (200, 3)).astype(float), "flat": flat, "line": np.array([[i, 2 * i, 3 * i] for i in range(9)], float), "plane": rng.normal(size=(200, 2)), "one": np.ones((5, 3))}
+    for name, points in sets.items():
+        d = points.shape[1]
+        for parts in (1, 5):
+            df = spark.createDataFrame(points.tolist(), ", ".join(f"x{i} double" for i in range(d))).repartition(parts)
+            found = hull.corners(df)
+            rows = {tuple(p) for p in points.tolist()}
+            assert {tuple(p) for p in found.tolist()} <= rows, name
+            key = lambda f: (*[round(float(x), 5) for x in f[0]], round(f[1], 5), f[2])
+            assert {key(f) for f in solve.facets(found)} == {key(f) for f in solve.facets(np.unique(points, axis=0))}, name
+            again = hull.corners(df, found)
+            assert np.array_equal(again, found), name
+    assert len(hull.corners(spark.createDataFrame([], "x double, y double"))) == 0
