@@ -10,7 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_fits, catalog_more, relation
+from . import catalog_fits, catalog_live, catalog_more, relation
 from .export import text as export
 from .expr import Bin, Col, Const, Linear, Log, Un, max_, min_
 from .operators import bounds, filters, fits, lattice, statistics, sufficient
@@ -463,6 +463,6 @@ def ratio_lift(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(len(found),)], "lifted long")
 
 
-for _part in (catalog_fits, catalog_more):
+for _part in (catalog_fits, catalog_more, catalog_live):
     QUERIES |= _part.QUERIES
     SQL |= _part.SQL
