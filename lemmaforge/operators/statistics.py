@@ -46,60 +46,81 @@ def noncomparable(df: DataFrame, features: Mapping[str, Expr], base: Pred = TRUE
     return _unpivot(df.filter(base.column()).agg(*cols), pairs, ["below", "above"], ["a", "b"]).filter("below AND above").select("a", "b")
 
 
-def medians(df: DataFrame, columns: Mapping[int, Column], cells: int = 256) -> dict[int, float | None]:
-    """The exact median of each column: counts in ``cells`` equal ranges close in on the middle rows, all columns in one pass a round.
+def medians(df: DataFrame, columns: Mapping[int, Column], accuracy: int = 10_000, most: int = 50_000) -> dict[int, float | None]:
+    """The exact median of each column, by brackets from quantile sketches.
 
-    A round sends one row of counts to the driver; a range that still holds the
-    middle is cut again, until it holds a single value.
+    A sketch gives two values around a middle rank, and one pass counts the
+    rows before, at, between and behind them: either the rank's value is found,
+    or some thousandth of the rows is left, without the two values.  So it goes
+    on until no more than ``most`` rows are left in all; these are sorted.
     """
-    cols = {i: nf.only_finite(c) for i, c in columns.items()}
-    if not cols:
+    named = {i: f"x{i}" for i in columns}
+    if not named:
         return {}
-    first = df.agg(*[x for i, c in cols.items() for x in (F.count(c).alias(f"n{i}"), F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"))]).first()
-    out: dict[int, float | None] = {i: None for i in cols if not first[f"n{i}"]}
-    # the ranks (from 0) of the one or two middle values, each searched for by itself
-    open_ = {(i, r): (first[f"lo{i}"], first[f"hi{i}"], 0) for i in cols if first[f"n{i}"] for r in {(first[f"n{i}"] - 1) // 2, first[f"n{i}"] // 2}}
+    df = df.select(*[nf.only_finite(c.cast("double")).alias(named[i]) for i, c in columns.items()])
+    size = df.agg(*[F.count(n).alias(n) for n in named.values()]).first()
+    #: By column and rank (from 0): the rows of interest lie strictly between two values; rows up to the first of them, and rows between.
+    open_ = {(i, r): (-float("inf"), float("inf"), 0, size[n]) for i, n in named.items() if size[n] for r in {(size[n] - 1) // 2, size[n] // 2}}
     found: dict[tuple[int, int], float] = {}
-    while open_:
-        for key, (lo, hi, _) in list(open_.items()):
-            if lo == hi:
-                found[key] = lo
-                del open_[key]
-        if not open_:
-            break
+    while sum(x[3] for x in open_.values()) > most:
         keys = list(open_)
-        rows = df.select(F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.when((cols[i].cast("double") >= open_[i, r][0]) & (cols[i].cast("double") <= open_[i, r][1]), cols[i].cast("double")).alias("x"), F.lit(open_[i, r][0]).alias("lo"), F.lit(open_[i, r][1]).alias("hi")) for j, (i, r) in enumerate(keys)])).alias("v")).select("v.*").filter("x IS NOT NULL")
-        counted = rows.groupBy("j", F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells), F.lit(cells - 1)).alias("cell")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
-        for j, key in enumerate(keys):
-            before = open_[key][2]
-            for c in sorted((c for c in counted if c["j"] == j), key=lambda c: c["cell"]):
-                if before + c["n"] > key[1]:
-                    open_[key] = (c["lo"], c["hi"], before)
+        inner = [F.when((F.col(named[i]) > open_[i, r][0]) & (F.col(named[i]) < open_[i, r][1]), F.col(named[i])) for i, r in keys]
+        share = [(r - open_[i, r][2] + 0.5) / open_[i, r][3] for i, r in keys]
+        ends = df.agg(*[F.percentile_approx(x, [max(0.0, f - 2 / accuracy), min(1.0, f + 2 / accuracy)], accuracy).alias(f"q{j}") for j, (x, f) in enumerate(zip(inner, share, strict=True))]).first()
+        counts = [c.alias(f"{name}{j}") for j, x in enumerate(inner) for a, b in [ends[f"q{j}"]] for name, c in (("a", F.count_if(x < a)), ("b", F.count_if(x == a)), ("c", F.count_if((x > a) & (x < b))), ("d", F.count_if((x == b) & (x > a))))]
+        row = df.agg(*counts).first()
+        for j, (i, r) in enumerate(keys):
+            (a, b), (lo, hi, below, inside) = ends[f"q{j}"], open_.pop((i, r))
+            parts = [(lo, a, row[f"a{j}"]), (a, None, row[f"b{j}"]), (a, b, row[f"c{j}"]), (b, None, row[f"d{j}"])]
+            parts.append((b, hi, inside - sum(x[2] for x in parts)))
+            for low, high, n in parts:
+                if r < below + n:
+                    if high is None:
+                        found[i, r] = low
+                    else:
+                        open_[i, r] = (low, high, below, n)
                     break
-                before += c["n"]
-    for i in cols:
-        if i not in out:
-            n = first[f"n{i}"]
-            out[i] = (found[i, (n - 1) // 2] + found[i, n // 2]) / 2
-    return out
+                below += n
+    if open_:
+        keys = list(open_)
+        rows = df.select(F.explode(F.filter(F.array(*[F.when((F.col(named[i]) > open_[i, r][0]) & (F.col(named[i]) < open_[i, r][1]), F.struct(F.lit(j).alias("j"), F.col(named[i]).alias("x"))) for j, (i, r) in enumerate(keys)]), lambda v: v.isNotNull())).alias("v")).select("v.*")
+        for x in rows.groupBy("j", "x").agg(F.count("*").alias("n")).orderBy("j", "x").collect():
+            key = keys[x["j"]]
+            if key in open_:
+                lo, hi, below, n = open_[key]
+                if key[1] < below + x["n"]:
+                    found[key] = x["x"]
+                    del open_[key]
+                else:
+                    open_[key] = (lo, hi, below + x["n"], n)
+    return {i: (found[i, (size[n] - 1) // 2] + found[i, size[n] // 2]) / 2 if size[n] else None for i, n in named.items()}
 
 
 def incomparability(df: DataFrame, features: Mapping[str, Expr], base: Pred = TRUE, exact_median: bool = True) -> DataFrame:
     """Per pair: support, below, above, equal, their rates, balance, median and mean gap; most balanced first."""
     pairs = list(combinations(features, 2))
-    cols = [F.count("*").alias("n_base_0")] if not pairs else []
+    names = {n: f"v{i}" for i, n in enumerate(features)}
+    value = lambda n: F.col(names[n])
+    # the features alone, kept for the passes over them
+    rows = df.filter(base.column()).select(*[nf.only_finite(e.column()).alias(names[n]) for n, e in features.items()])
+    rows = rows.persist() if exact_median and pairs else rows
+    cols = []
     for i, (a, b) in enumerate(pairs):
-        x, y = nf.only_finite(features[a].column()), nf.only_finite(features[b].column())
+        x, y = value(a), value(b)
         gap = F.abs(x - y)
         mid = F.lit(None).cast("double") if exact_median else F.percentile_approx(gap, 0.5, 10_000)
         cols += [F.count(gap).alias(f"support_{i}"), F.count_if(x < y).alias(f"below_{i}"), F.count_if(x > y).alias(f"above_{i}"), F.count("*").alias(f"n_{i}"), mid.alias(f"median_gap_{i}"), F.avg(gap).alias(f"mean_gap_{i}")]
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, support long, below long, above long, n long, median_gap double, mean_gap double, rate_below double, rate_above double, balance double")
-    out = _unpivot(df.filter(base.column()).agg(*cols), pairs, ["support", "below", "above", "n", "median_gap", "mean_gap"], ["a", "b"])
+    counted = rows.agg(*cols)
+    if exact_median:  # one row, taken while the features are kept
+        counted = df.sparkSession.createDataFrame([counted.first()], counted.schema)
+    out = _unpivot(counted, pairs, ["support", "below", "above", "n", "median_gap", "mean_gap"], ["a", "b"])
     out = out.withColumns({"rate_below": F.coalesce(F.try_divide(F.col("below"), F.col("support")), F.lit(0.0)), "rate_above": F.coalesce(F.try_divide(F.col("above"), F.col("support")), F.lit(0.0))})
     out = out.withColumn("balance", F.least("rate_below", "rate_above"))
     if exact_median:
-        exact = medians(df.filter(base.column()), {i: F.abs(nf.only_finite(features[a].column()) - nf.only_finite(features[b].column())) for i, (a, b) in enumerate(pairs)})
+        exact = medians(rows, {i: F.abs(value(a) - value(b)) for i, (a, b) in enumerate(pairs)})
+        rows.unpersist()
         known = df.sparkSession.createDataFrame([(a, b, exact[i]) for i, (a, b) in enumerate(pairs)], "a string, b string, exact double")
         out = out.join(F.broadcast(known), ["a", "b"]).withColumn("median_gap", F.col("exact")).drop("exact")  # a row per pair of the caller's features
     return out.orderBy(F.desc("balance"), F.desc(F.least("below", "above")), F.desc("support"), "a", "b")

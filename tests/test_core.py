@@ -267,10 +267,11 @@ def test_medians(spark):
     rng = random.Random(3)
     rows = [(rng.choice([1.0, 2.5, -7.0, rng.random()]), float(rng.randrange(4)), None if i % 3 else float(i), None, 5.0) for i in range(501)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double")
-    found = statistics.medians(df, {i: F.col(c) for i, c in enumerate("abcde")}, cells=4)
-    for i in range(5):
-        own = sorted(r[i] for r in rows if r[i] is not None)
-        assert found[i] == (statistics_median(own) if own else None)
+    for accuracy, most in ((10_000, 50_000), (4, 0), (4, 30), (100, 5)):
+        found = statistics.medians(df, {i: F.col(c) for i, c in enumerate("abcde")}, accuracy, most)
+        for i in range(5):
+            own = sorted(r[i] for r in rows if r[i] is not None)
+            assert found[i] == (statistics_median(own) if own else None), (accuracy, most)
 
 
 def statistics_median(values):
@@ -458,3 +459,48 @@ def test_hull_by_farthest_rows(spark):
             again = hull.corners(df, found)
             assert np.array_equal(again, found), name
     assert len(hull.corners(spark.createDataFrame([], "x double, y double"))) == 0
+
+
+def test_lattice_by_closures(spark, monkeypatch):
+    """Selections by closures, signatures here or in Spark, against sets of rows for all combinations."""
+    rng = random.Random(12)
+    data = [[rng.random() < p for p in (0.9, 0.5, 0.5, 0.3, 0.2, 0.1)] for _ in range(60)]
+    data = [[True, *r, r[0] or r[1]] for r in data]
+    df = spark.createDataFrame(data, ", ".join(f"f{i} boolean" for i in range(8)))
+    flags = [Flag(f"f{i}") for i in range(8)]
+    for most in (50_000, 0):
+        monkeypatch.setattr(lattice, "MOST_SIGNATURES", most)
+        found = lattice.Lattice(df, flags)
+        assert found.n == 60 and found.base.bits == {0}
+        hyps = found.conjunctions(3)
+        rows = {h: frozenset(i for i, r in enumerate(data) if all(r[j] for j in h.bits)) for h in hyps}
+        assert [found.support(h) for h in hyps] == [len(rows[h]) for h in hyps]
+        some = rng.sample(hyps, 40)
+        for a in some:
+            for b in some:
+                assert (found.cover(a) == found.cover(b)) == (rows[a] == rows[b]) and (found.cover(a) < found.cover(b)) == (rows[a] < rows[b])
+        first = {}
+        for h in hyps:
+            if rows[h]:
+                first.setdefault(rows[h], h)
+        assert found.driver(3) == list(first.values())
+        assert {(a.seq, b.seq) for a, b in found.redundant(hyps)} == {(h.seq, next(g.seq for g in hyps if g.bits < h.bits and rows[g] == rows[h])) for h in hyps if any(g.bits < h.bits and rows[g] == rows[h] for g in hyps)}
+        order = sorted(hyps, key=lambda h: (-len(rows[h]), len(h.label()), h.label()))
+        rep, kept = {}, []
+        for h in order:
+            rep.setdefault(rows[h], h)
+        for r, h in rep.items():
+            if not any(r < rows[g] for g in kept):
+                kept.append(h)
+        assert found.register(hyps) == kept
+    assert lattice.Lattice(df.limit(0), flags).driver() == []
+
+
+def test_many_flags(spark):
+    """More flags than a word has bits."""
+    rng = random.Random(13)
+    data = [[rng.random() < 0.6 for _ in range(130)] for _ in range(30)]
+    found = lattice.Lattice(spark.createDataFrame(data, ", ".join(f"f{i:03} boolean" for i in range(130))), [Flag(f"f{i:03}") for i in range(130)])
+    h = found._conjunction((3, 70, 128), 1)
+    rows = [r for r in data if r[3] and r[70] and r[128]]
+    assert found.support(h) == len(rows) and found.cover(h).closure == {i for i in range(130) if all(r[i] for r in rows)}
