@@ -1,7 +1,7 @@
 """Filters over statements: generality, significance, duplicates, order, equalities.
 
-Generality (Morgan) compares the sets of rows that hypotheses select: for every
-pair that matters, one pass counts the rows of one outside the other.
+Generality (Morgan) compares the sets of rows that hypotheses select: one pass
+finds, for every hypothesis, all those that hold wherever it does.
 Significance (Dalmatian) asks whether a bound is somewhere sharper than all
 bounds before it; each row carries its running envelope along the candidates,
 so no row meets another and only one flag per candidate leaves a partition.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as nf
 from ..pred import COMPLEMENT, Compare, Pred, conj, disj
 from ..relation import All, Statement, evaluate
+from .lattice import WORD, words
 
 
 def conclusion_key(p: Pred) -> str:
@@ -38,24 +39,43 @@ def outside(df: DataFrame, pairs: Iterable[tuple[Pred, Pred]], chunk: int = 300)
     return out
 
 
-def _strictly_inside(found: dict[tuple[Pred, Pred], int], a: Pred, b: Pred) -> bool:
-    return a != b and found[a, b] == 0 < found[b, a]
+def containing(df: DataFrame, hyps: Sequence[Pred]) -> dict[Pred, set[Pred]]:
+    """For each hypothesis those that hold on every row where it does, itself among them; all of them where it never does.
+
+    A containment join without pairs: rows become signatures over the
+    hypotheses, of which the different ones are listed under every hypothesis
+    in them (an inverted index), and the bitwise and of a list is what all its
+    signatures share.  One job, whose result is a row for each hypothesis.
+    """
+    every = list(dict.fromkeys(hyps))
+    if not every:
+        return {}
+    names = [f"w{k}" for k in range(-(-len(every) // WORD))]
+    sigs = df.select(*[w.alias(n) for n, w in zip(names, words(every), strict=True)]).distinct()
+    # the bits that are set, by word
+    of_word = lambda k: F.filter(F.sequence(F.lit(k * WORD), F.lit(min(len(every), (k + 1) * WORD) - 1)), lambda i: F.getbit(F.col(names[k]), i - k * WORD) == 1)
+    listed = sigs.select(*names, F.explode(F.concat(*[of_word(k) for k in range(len(names))])).alias("i"))
+    out = {h: set(every) for h in every}
+    for r in listed.groupBy("i").agg(*[F.bit_and(n).alias(n) for n in names]).collect():
+        out[every[r["i"]]] = {every[k * WORD + j] for k, n in enumerate(names) for j in range(WORD) if r[n] >> j & 1}
+    return out
 
 
 def morgan(df: DataFrame, statements: Sequence[Statement]) -> list[Statement]:
     """Per conclusion the statements whose hypothesis is not strictly inside another's; equal ones all stay."""
-    same: dict[str, list[Pred]] = {}
+    same: dict[str, set[Pred]] = {}
     for s in statements:
-        same.setdefault(conclusion_key(s.conclusion), []).append(s.hypothesis)
-    found = outside(df, ((a, b) for hyps in same.values() for a in hyps for b in hyps if a != b))
-    return [s for s in statements if not any(_strictly_inside(found, s.hypothesis, h) for h in same[conclusion_key(s.conclusion)])]
+        same.setdefault(conclusion_key(s.conclusion), set()).add(s.hypothesis)
+    # hypotheses that are alone with their conclusion are compared with none
+    inside = containing(df, [h for hyps in same.values() if len(hyps) > 1 for h in hyps])
+    return [s for s in statements if not any(h in inside.get(s.hypothesis, ()) and s.hypothesis not in inside[h] for h in same[conclusion_key(s.conclusion)])]
 
 
 def morgan_accept(df: DataFrame, new: Statement, existing: Sequence[Statement]) -> bool:
     """Whether no existing statement of the same conclusion has a strictly larger hypothesis."""
     others = [s.hypothesis for s in existing if conclusion_key(s.conclusion) == conclusion_key(new.conclusion) and s.hypothesis != new.hypothesis]
-    found = outside(df, [p for h in others for p in ((new.hypothesis, h), (h, new.hypothesis))])
-    return not any(_strictly_inside(found, new.hypothesis, h) for h in others)
+    inside = containing(df, [new.hypothesis, *others]) if others else {}
+    return not any(h in inside[new.hypothesis] and new.hypothesis not in inside[h] for h in others)
 
 
 def _envelope(df: DataFrame, groups: Sequence[Sequence[Statement]], tol: float, against_all: bool) -> list[list[bool]]:
@@ -189,8 +209,10 @@ def contrapositives(statements: Sequence[Statement]) -> list[Statement]:
 def merged_by_hypothesis(df: DataFrame, statements: Sequence[Statement]) -> list[tuple[Pred, list[Statement]]]:
     """Statements of hypotheses that select the same rows together, of equal conclusions the first; of two bounds with equal form the sharper."""
     hyps = list(dict.fromkeys(s.hypothesis for s in statements))
-    found = outside(df, ((a, b) for a in hyps for b in hyps if a != b))
-    first = {h: next(g for g in hyps if g == h or found[g, h] == found[h, g] == 0) for h in hyps}
+    inside = containing(df, hyps)
+    alike: dict[frozenset, Pred] = {}
+    # hypotheses of the same rows have the same ones around them
+    first = {h: alike.setdefault(frozenset(inside[h]), h) for h in hyps}
     groups: dict[Pred, list[Statement]] = {}
     for s in statements:
         groups.setdefault(first[s.hypothesis], []).append(s)

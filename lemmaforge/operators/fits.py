@@ -454,24 +454,45 @@ def mixed(df: DataFrame, target: Expr, pool: Mapping[str, Expr], hyps: Sequence[
     return out
 
 
+#: Shifts of a ratio's parts.
+SHIFTS = (-2, -1, 1, 2)
+
+
 def ratio_lift(df: DataFrame, target: Expr, x: Expr, slope: float, special: Pred, parent: Pred, pool: Mapping[str, Expr], const_tol: float = 1e-3, coeff_tol: float = 1e-3) -> list[Statement]:
-    """Replace the slope of t <= c·x, found under ``special``, by a ratio of invariants that is about c there and bounds t under ``parent``."""
-    shifts = (-2, -1, 1, 2)
-    templates: list[Expr] = []
+    """Replace the slope of t <= c·x, found under ``special``, by a ratio of invariants that is about c there and bounds t under ``parent``.
+
+    A ratio that is about c on all special rows is so on two of them: all
+    ratios are looked at on two witness rows, as grids of numbers, and only
+    those that pass are measured on the table.
+    """
     items = list(pool.values())
-    for f in items:
-        templates += [Const(1) / f, *(Const(1) / (f + a) for a in shifts)]
-        for g in items:
-            if f != g:
-                templates += [f / g, Const(1) / (f + g), f / (f + g), (f + g) / g, *(f / (g + a) for a in shifts), *((f + a) / g for a in shifts), *((f + a) / (g + b) for a in shifts for b in shifts)]
-    templates = list(dict.fromkeys(templates))
-    keep = []
-    for lo in range(0, len(templates), 150):
-        part = templates[lo : lo + 150]
+    if not items:
+        return []
+    inner = df.filter(special.column()).select(*[nf.only_finite(e.column()).alias(f"v{i}") for i, e in enumerate(items)])
+    key = F.struct(*[f"v{i}" for i in range(len(items))])
+    ends = inner.agg(F.min(key).alias("a"), F.max(key).alias("b")).first()
+    witness = np.array([[np.nan if v is None else v for v in r] for r in (ends["a"], ends["b"]) if r is not None], float)
+    if not len(witness):
+        return []
+    n, keep = len(items), []
+    f, g = witness[:, :, None] + np.zeros((1, 1, n)), witness[:, None, :] + np.zeros((1, n, 1))
+    off, one = ~np.eye(n, dtype=bool), np.eye(n, dtype=bool)
+    with np.errstate(all="ignore"):
+        grids = [((lambda p, q, a=a, b=b: (p + a) / (q + b)), (f + a) / (g + b), off) for a in (0, *SHIFTS) for b in (0, *SHIFTS)]
+        grids += [((lambda p, q, a=a: Const(1) / (p + a)), 1 / (f + a), one) for a in (0, *SHIFTS)]
+        grids += [(lambda p, q: Const(1) / (p + q), 1 / (f + g), off), (lambda p, q: p / (p + q), f / (f + g), off), (lambda p, q: (p + q) / q, (f + g) / g, off)]
+    for make, grid, wanted in grids:
+        # a value that is missing on a witness says nothing
+        near = np.isnan(grid) | np.isinf(grid) | (np.abs(grid - slope) <= const_tol + coeff_tol)
+        keep += [make(items[i], items[j]) for i, j in np.argwhere(near.all(axis=0) & wanted)]
+    keep = list(dict.fromkeys(keep))
+    passed = []
+    for lo in range(0, len(keep), 150):
+        part = keep[lo : lo + 150]
         cols = [c for i, e in enumerate(part) for c in (F.min(nf.only_finite(e.column())).alias(f"lo{i}"), F.max(nf.only_finite(e.column())).alias(f"hi{i}"))]
         row = df.filter(special.column()).agg(*cols).first()
-        keep += [e for i, e in enumerate(part) if row[f"lo{i}"] is not None and row[f"hi{i}"] - row[f"lo{i}"] <= const_tol and abs((row[f"hi{i}"] + row[f"lo{i}"]) / 2 - slope) <= coeff_tol]
-    lifted = [Statement(parent, Compare("<=", target, e * x), stage="ratio_lift") for e in keep]
+        passed += [e for i, e in enumerate(part) if row[f"lo{i}"] is not None and row[f"hi{i}"] - row[f"lo{i}"] <= const_tol and abs((row[f"hi{i}"] + row[f"lo{i}"]) / 2 - slope) <= coeff_tol]
+    lifted = [Statement(parent, Compare("<=", target, e * x), stage="ratio_lift") for e in passed]
     found = evaluate(df, lifted)
     return [s for i, s in enumerate(lifted) if found[i]["min_slack"] is not None and found[i]["min_slack"] >= -1e-8]
 

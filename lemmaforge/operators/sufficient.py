@@ -5,11 +5,15 @@ above, at most, at least.  Properties are flags, their negations and pairs.  A
 row's part in all of this is its signature over events and properties, so the
 candidates' supports, violations and coverages come from one aggregation, and
 the greedy cover runs on signatures, not rows; many signatures stay in Spark.
+The cover is lazy: what an event newly covers only falls as others are chosen,
+so a gain counted before is an upper bound, and few events are asked about
+again before one stands at the head of the queue with its gain of now.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -110,6 +114,32 @@ class _Counts:
         return out
 
 
+#: Candidates at the queue's head that are asked about together.
+ASKED = 8
+
+
+def lazy_cover(candidates: Sequence[tuple[int, int]], gains: Callable[[list[int], list[int]], list[int]], least: int = 1) -> list[tuple[int, int]]:
+    """Greedy choices (candidate, gain): the largest gain first, then the larger size, then order, while it is ``least`` or more.
+
+    ``candidates`` have a first gain and a size; ``gains(some, chosen)`` counts
+    what some of them add to those chosen, which never grows.
+    """
+    queue = [(-gain, -size, k, 0) for k, (gain, size) in enumerate(candidates)]
+    heapq.heapify(queue)
+    out: list[tuple[int, int]] = []
+    while queue and -queue[0][0] >= least:
+        if queue[0][3] == len(out):
+            gain, _, k, _ = heapq.heappop(queue)
+            out.append((k, -gain))
+            continue
+        stale = [heapq.heappop(queue)]
+        while queue and len(stale) < ASKED and queue[0][3] < len(out) and -queue[0][0] >= least:
+            stale.append(heapq.heappop(queue))
+        for (_, size, k, _), gain in zip(stale, gains([x[2] for x in stale], [c for c, _ in out]), strict=True):
+            heapq.heappush(queue, (-gain, size, k, len(out)))
+    return out
+
+
 def discover(df: DataFrame, flags: Sequence[Flag], statements: Sequence[Statement], base: Pred = TRUE, settings: Settings = Settings()) -> list[Condition]:
     """Per property a greedy cover of its rows by events: most newly covered rows first, then support, then order."""
     event_of = [(e, s) for s in statements for e in events(s, settings.eq_tol)]
@@ -131,15 +161,9 @@ def discover(df: DataFrame, flags: Sequence[Flag], statements: Sequence[Statemen
         for i, target in enumerate(kept):
             covered = both[i * len(usable) : (i + 1) * len(usable)]
             left = [(e, s, n) for (e, s), n in zip(usable, covered, strict=True) if n and size[e] - n <= settings.max_violations]
-            chosen: list[int] = []
-            while left:
-                new = counts.sums([([at[target], at[e]], chosen) for e, _, _ in left])
-                best = max(range(len(left)), key=lambda k: (new[k], size[left[k][0]], -k))
-                if new[best] < max(1, settings.min_new_coverage):
-                    break
-                e, s, n = left.pop(best)
-                out.append(Condition(target, e, s.conclusion, size[e], new[best], n, size[target], size[e] - n))
-                chosen.append(at[e])
+            for k, new in lazy_cover([(n, size[e]) for e, _, n in left], lambda some, chosen: counts.sums([([at[target], at[left[k][0]]], [at[left[c][0]] for c in chosen]) for k in some]), max(1, settings.min_new_coverage)):  # noqa: B023
+                e, s, n = left[k]
+                out.append(Condition(target, e, s.conclusion, size[e], new, n, size[target], size[e] - n))
         return rank(out)
     finally:
         counts.table.unpersist()

@@ -39,7 +39,13 @@ class Stage(str, Enum):
     POLY = "poly_single"
     MIXED = "mixed"
 
+    @classmethod
+    def _missing_(cls, value):
+        return _OTHER_NAMES.get(value) and cls(_OTHER_NAMES[value])
 
+
+#: Names that a stage goes by as well.
+_OTHER_NAMES = {"exp_exponent": "exp"}
 #: Stages are run in the order of the enumeration, whatever order is asked for.
 _BY_COMPLEXITY = [
     {Stage.CONSTANT},
@@ -57,6 +63,17 @@ def stages_of(complexity: int) -> list[Stage]:
     return [s for s in Stage if s in wanted]
 
 
+def known_stages(asked: Sequence[Stage | str], what: str = "stages") -> list[Stage]:
+    """The stages of these names, each once, in the order in which they run; ValueError for a name that no stage has."""
+    found = set()
+    for x in asked:
+        try:
+            found.add(Stage(x))
+        except ValueError:
+            raise ValueError(f"no stage {x!r} in {what}; there are {', '.join(s.value for s in Stage)}") from None
+    return [s for s in Stage if s in found]
+
+
 @dataclass
 class Result:
     target: str
@@ -67,7 +84,14 @@ class Result:
     def frame(self, df: DataFrame) -> DataFrame:
         return metrics_frame(df, [s for s, _ in self.statements])
 
+    def text(self, most: int | None = 20) -> str:
+        """The first statements with their touches and supports, and the first conditions."""
+        lines = [f"{i}. {s.label()}  [touches {m['touch']}, support {m['support']}]" for i, (s, m) in enumerate(self.statements[:most], 1)]
+        return "\n".join([f"target: {self.target}", *lines, *(c.label() for c in self.conditions[:most])])
+
 
+#: A table and statements to those that are kept.
+Filter = Callable[[DataFrame, Sequence[Statement]], list[Statement]]
 #: What a generator or stage may stop with: its own input does not suit it.  Errors of Spark or of the program pass.
 OWN_ERRORS = (ValueError, ArithmeticError, KeyError, np.linalg.LinAlgError)
 
@@ -96,15 +120,19 @@ def generated(name: str, df: DataFrame, jobs: Sequence[fits.Job], errors: dict)
 class Session:
     """A table of objects with its flags, invariants, hypotheses and feature pools."""
 
-    def __init__(self, df: DataFrame, max_arity: int = 2, exclude: Sequence[str] = ("name", "Unnamed: 0"), min_touches: int = 3, settings: sufficient.Settings = sufficient.Settings(), use_morgan: bool = False, use_dalmatian: bool = False, classic_dalmatian: bool = False, lp1_nonneg: bool = False, symmetric: bool = True, solver: Callable = solve.lp):
-        """``classic_dalmatian`` compares a bound with all others of its group instead of those before it; ``lp1_nonneg``
+    def __init__(self, df: DataFrame, max_arity: int = 2, exclude: Sequence[str] = ("name", "Unnamed: 0"), min_touches: int = 3, settings: sufficient.Settings = sufficient.Settings(), use_morgan: bool = False, use_dalmatian: bool = False, classic_dalmatian: bool = False, lp1_nonneg: bool = False, symmetric: bool = True, solver: Callable = solve.lp, generality: Filter | None = None, significance: Filter | None = None):
+        """``generality`` and ``significance`` are callables (table, statements) -> statements that stand in for
+        ``filters.morgan`` and ``filters.dalmatian``, and switch that step on.
+        ``classic_dalmatian`` compares a bound with all others of its group instead of those before it; ``lp1_nonneg``
         and ``symmetric`` are options of the fits, ``solver`` stands in for their linear programs.
         """
         self._original = self.df = df
-        self.classic_dalmatian, self.lp1_nonneg, self.symmetric, self.solver = classic_dalmatian, lp1_nonneg, symmetric, solver
+        self.lp1_nonneg, self.symmetric, self.solver = lp1_nonneg, symmetric, solver
         self.errors: dict[str, dict] = {}
         self.max_arity, self.exclude, self.min_touches, self.settings = max_arity, exclude, min_touches, settings
-        self.use_morgan, self.use_dalmatian = use_morgan, use_dalmatian
+        sharpest = filters.dalmatian_batch if classic_dalmatian else filters.dalmatian
+        self.generality = generality or (filters.morgan if use_morgan else None)
+        self.significance = significance or (sharpest if use_dalmatian else None)
         self.refresh()
 
     def refresh(self) -> None:
@@ -230,26 +258,35 @@ class Session:
             out += fits.family_statements(self.df, f"quad_{stage.value}", target, pool, hyps, solver=self.solver)
         return out
 
-    def conjecture(self, targets: str | Sequence[str], mode: str | None = None, complexity: int | None = None, stages: Sequence[Stage] | None = None, quick: bool | None = None, with_conditions: bool = True, verify: bool = True, **pools) -> Result:
+    def conjecture(self, targets: str | Sequence[str], mode: str | None = None, complexity: int | None = None, stages: Sequence[Stage] | None = None, quick: bool | None = None, with_conditions: bool = True, verify: bool = True, condition_stages: Sequence[Stage | str] | None = None, show: int | None = None, **pools) -> Result:
         """Ranked statements about each target, and sufficient conditions for the flags.
 
         Within a stage: generate, verify, touch filter, generality,
-        significance, order; across stages only duplicates go.  The table is
-        kept for the passes over it, unless the caller keeps it already.
+        significance, order; across stages only duplicates go.  Conditions come
+        from the statements of ``condition_stages``, of all stages where that is
+        not given; ``show`` prints so many statements.  The table is kept for
+        the passes over it, unless the caller keeps it already.
         """
+        wanted = known_stages(stages) if stages is not None else None
+        of_conditions = set(Stage) if condition_stages is None else set(known_stages(condition_stages, "condition_stages"))
+        if mode is not None and mode not in MODES:
+            raise ValueError(f"no mode {mode!r}; there are {', '.join(MODES)}")
         own = not (self.df.storageLevel.useMemory or self.df.storageLevel.useDisk)
         if own:
             self.df.persist()
         try:
-            return self._conjecture(targets, mode, complexity, stages, quick, with_conditions, verify, pools)
+            out = self._conjecture(targets, mode, complexity, wanted, quick, of_conditions if with_conditions else set(), verify, pools)
         finally:
             if own:
                 self.df.unpersist()
+        if show is not None:
+            print(out.text(show))
+        return out
 
-    def _conjecture(self, targets, mode, complexity, stages, quick, with_conditions, verify, pools) -> Result:
+    def _conjecture(self, targets, mode, complexity, wanted, quick, of_conditions, verify, pools) -> Result:
         level, default_pools, default_quick = MODES[mode or "standard"]
         level = level if complexity is None else complexity
-        wanted = [s for s in Stage if s in set(stages)] if stages else stages_of(level)
+        wanted = wanted or stages_of(level)
         names = [targets] if isinstance(targets, str) else list(targets)
         every: list[Statement] = []
         conditions: list[sufficient.Condition] = []
@@ -268,12 +305,10 @@ class Session:
                     kept = [s for s in kept if fits.holds(known[s])]
                 if stage not in (Stage.POLY, Stage.MIXED):
                     kept = [s for s, _ in filters.ranked(self.df, kept, "touch", self.min_touches, known)]
-                if self.use_morgan:
-                    kept = filters.morgan(self.df, kept)
-                if self.use_dalmatian:
-                    kept = (filters.dalmatian_batch if self.classic_dalmatian else filters.dalmatian)(self.df, kept)
+                for step in filter(None, (self.generality, self.significance)):
+                    kept = step(self.df, kept)
                 breakdown.setdefault(f"{name}/{stage.value}", {}).update(made=len(made), kept=len(kept))
-                if with_conditions and kept:
+                if stage in of_conditions and kept:
                     conditions += sufficient.discover(self.df, self.flags, kept, self.lattice.base.pred, self.settings)
                 every += kept
         every = filters.unique(every)

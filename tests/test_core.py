@@ -504,3 +504,82 @@ def test_many_flags(spark):
     h = found._conjunction((3, 70, 128), 1)
     rows = [r for r in data if r[3] and r[70] and r[128]]
     assert found.support(h) == len(rows) and found.cover(h).closure == {i for i in range(130) if all(r[i] for r in rows)}
+
+
+def test_containing(spark):
+    """Which hypotheses hold wherever one does, for more of them than a word has bits, against sets of rows."""
+    rng = random.Random(14)
+    df = spark.createDataFrame([(rng.randrange(40), rng.randrange(40)) for _ in range(120)], "x int, y int").repartition(3)
+    rows = [(r["x"], r["y"]) for r in df.collect()]
+    preds = {Compare(op, Col(c), Const(k)): {i for i, r in enumerate(rows) if (r[c == "y"] <= k if op == "<=" else r[c == "y"] > k)} for c in "xy" for op in ("<=", ">") for k in range(0, 42, 2)}
+    found = filters.containing(df, list(preds))
+    assert len(preds) > 62
+    for a, own in preds.items():
+        assert found[a] == {b for b, other in preds.items() if own <= other}
+    statements = [Statement(h, Compare("<=", Col("x"), Const(50))) for h in preds]
+    kept = filters.morgan(df, statements)
+    assert kept == [s for s in statements if not any(preds[s.hypothesis] < other for other in preds.values())]
+    assert filters.containing(df, []) == {}
+
+
+def test_lazy_cover():
+    """The same choices as asking about every candidate in every round, with fewer questions."""
+    rng = random.Random(15)
+    for _ in range(60):
+        sets = [set(rng.sample(range(40), rng.randrange(1, 12))) for _ in range(30)]
+        asked = []
+
+        def gains(some, chosen, sets=sets, asked=asked):
+            asked.extend(some)
+            return [len(sets[k] - set().union(*(sets[c] for c in chosen))) for k in some]
+
+        got = sufficient.lazy_cover([(len(x), len(x)) for x in sets], gains)
+        left, want, covered = list(range(30)), [], set()
+        while left:
+            best = max(left, key=lambda k: (len(sets[k] - covered), len(sets[k]), -k))
+            if not sets[best] - covered:
+                break
+            want.append((best, len(sets[best] - covered)))
+            covered |= sets[best]
+            left.remove(best)
+        assert got == want and len(asked) < 30 * len(want)
+
+
+def test_ratio_lift_statements(spark):
+    """Lifted statements against every template measured on all rows."""
+    rng = random.Random(16)
+    rows = [(a := rng.randrange(1, 9), b := a * 2 if rng.random() < 0.6 else rng.randrange(a * 2, 30), float(a), b == 2 * a) for _ in range(150)]
+    df = spark.createDataFrame(rows, "a int, b int, t double, special boolean").repartition(3)
+    found = fits.ratio_lift(df, Col("t"), Col("b"), 0.5, Flag("special"), TRUE, {"a": Col("a"), "b": Col("b")})
+    want, tops = set(), {}
+    for f, g in (("a", "b"), ("b", "a")):
+        for x in (0, -2, -1, 1, 2):
+            for y in (0, -2, -1, 1, 2):
+                tops[((Col(f) + x) / (Col(g) + y)).label()] = lambda r, f=f, g=g, x=x, y=y: (r[f] + x) / (r[g] + y) if r[g] + y else None
+    data = [dict(zip("ab", r, strict=False)) | {"t": r[2], "special": r[3]} for r in rows]
+    for label, value in tops.items():
+        on = [v for r in data if r["special"] and (v := value(r)) is not None]
+        if on and max(on) - min(on) <= 1e-3 and abs((max(on) + min(on)) / 2 - 0.5) <= 1e-3 and all((v := value(r)) is None or r["t"] <= v * r["b"] + 1e-8 for r in data):
+            want.add(label)
+    assert {s.conclusion.b.a.label() if s.conclusion.b.a.label() in tops else s.conclusion.b.b.label() for s in found} == want and "(a / b)" in want
+
+
+def test_session_stages_and_filters(spark, capsys):
+    """Unknown names raise, a stage's other name is known, conditions come from the stages asked for, callables filter."""
+    df = tables.integer_table(spark, 40).select("n", "divisor_count", "totient", "is_prime", "is_even")
+    seen = []
+
+    def first_two(table, statements):
+        seen.append(len(statements))
+        return list(statements)[:2]
+
+    session = Session(df, min_touches=1, generality=first_two, significance=lambda table, statements: list(statements)[:1])
+    for bad in (dict(stages=["lp9"]), dict(condition_stages=["nothing"]), dict(mode="slow")):
+        with pytest.raises(ValueError, match="lp9|nothing|slow"):
+            session.conjecture("totient", **bad)
+    assert Stage("exp_exponent") is Stage.EXP
+    found = session.conjecture("totient", stages=["ratio", "constant"], condition_stages=["constant"], show=3)
+    assert seen and all(b["kept"] <= 1 for b in found.breakdown.values()) and set(found.breakdown) == {"totient/constant", "totient/ratio"}
+    own = [s.conclusion for s, _ in found.statements if s.stage == "constant"]
+    assert {c.core for c in found.conditions} <= set(own)
+    assert "target: totient" in capsys.readouterr().out
