@@ -292,7 +292,31 @@ def sophie_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "property string, event string, support_h long, coverage long, target_size long, violations long")
 
 
-@query()
+_COVER_EVENTS = [(f"n_lines {op} max_line", c) for op, c in _EVENTS.items()] + [(f"max_line {op} 1", c.replace("max_line", "m1").replace("n_lines", "max_line").replace("m1", "1")) for op, c in _EVENTS.items()] + [(f"n_lines {op} 1", c.replace("max_line", "1")) for op, c in _EVENTS.items()]
+_COVER_TARGETS = [("single_line", "single_line"), ("has_return", "has_return"), ("¬(single_line)", "NOT single_line"), ("¬(has_return)", "NOT has_return"), ("(has_return ∧ single_line)", "has_return AND single_line")]
+
+
+def _cover_sql(rounds: int = 8) -> str:
+    """The greedy cover round by round over signatures of events and properties; more rounds than it can take are empty."""
+    bits = ", ".join([*(f"({c}) AS e{k}" for k, (_, c) in enumerate(_COVER_EVENTS)), *(f"({c}) AS p{k}" for k, (_, c) in enumerate(_COVER_TARGETS))])
+    out = [
+        OBJ, f"sig AS (SELECT row_number() OVER () AS s, * FROM (SELECT {bits}, count(*) AS n FROM obj GROUP BY ALL))",
+        "ek AS (" + " UNION ALL ".join(f"SELECT {k} AS k, '{label}' AS event, s, n FROM sig WHERE e{k}" for k, (label, _) in enumerate(_COVER_EVENTS)) + ")",
+        "tp0 AS (" + " UNION ALL ".join(f"SELECT {k} AS p, '{label}' AS property, s, n FROM sig WHERE p{k}" for k, (label, _) in enumerate(_COVER_TARGETS)) + ")",
+        # of properties of the same rows the first
+        "st AS (SELECT p, any_value(property) AS property, sum(n) AS target_size, list(s ORDER BY s) AS rows FROM tp0 GROUP BY p), kept AS (SELECT * FROM st x WHERE target_size >= 5 AND NOT EXISTS (SELECT 1 FROM st y WHERE y.rows = x.rows AND y.p < x.p))",
+        "tp AS (SELECT p, s, n FROM tp0 WHERE p IN (SELECT p FROM kept)), se AS (SELECT k, any_value(event) AS event, sum(n) AS support_h FROM ek GROUP BY k)",
+        "both_ AS (SELECT p, k, sum(tp.n) AS total FROM tp JOIN ek USING (s) GROUP BY p, k), cand AS (SELECT p, k, total, support_h, event FROM both_ JOIN se USING (k) WHERE support_h >= 3 AND support_h = total)",
+        "cov0 AS (SELECT p, s FROM tp WHERE FALSE)",
+    ]
+    for j in range(1, rounds + 1):
+        out.append(f"pick{j} AS (SELECT * FROM (SELECT p, k, sum(tp.n) AS coverage, any_value(c.total) AS total, any_value(c.support_h) AS support_h, any_value(c.event) AS event FROM cand c JOIN ek USING (k) JOIN tp USING (p, s) WHERE NOT EXISTS (SELECT 1 FROM cov{j - 1} v WHERE v.p = tp.p AND v.s = tp.s) GROUP BY p, k) QUALIFY row_number() OVER (PARTITION BY p ORDER BY coverage DESC, support_h DESC, k) = 1)")
+        out.append(f"cov{j} AS (SELECT p, s FROM cov{j - 1} UNION SELECT p, s FROM pick{j} JOIN ek USING (k))")
+    every = " UNION ALL ".join(f"SELECT * FROM pick{j}" for j in range(1, rounds + 1))
+    return f"WITH {', '.join(out)} SELECT property, event, CAST(support_h AS BIGINT) AS support_h, CAST(coverage AS BIGINT) AS coverage, CAST(target_size AS BIGINT) AS target_size, CAST(support_h - total AS BIGINT) AS violations, total = target_size AND total = support_h AS both_ways FROM ({every}) JOIN kept USING (p)"
+
+
+@query(_cover_sql())
 def sophie_cover(spark: SparkSession, sf: str) -> DataFrame:
     df = order_objects(spark, sf)
     statements = [Statement(TRUE, Compare("<=", Col("n_lines"), Col("max_line"))), Statement(TRUE, Compare(">=", Col("max_line"), Const(1))), Statement(TRUE, Compare("<=", Col("n_lines"), Const(1)))]
@@ -377,10 +401,17 @@ def predicate_masks(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "part").select("p_partkey", *[p.column().alias(f"m_{n}") for n, (p, _) in _MASKS.items()])
 
 
-@query("""WITH n AS (SELECT CAST(range AS BIGINT) AS n FROM range(1, 501)), d AS (SELECT a.n AS n, b.n AS d FROM n a JOIN n b ON a.n % b.n = 0), s AS (SELECT n, count(*) AS divisor_count, CAST(sum(d) AS BIGINT) AS sum_divisors FROM d GROUP BY n)
-SELECT n, divisor_count, sum_divisors, divisor_count = 2 AS is_prime, n % 2 = 0 AS is_even, round(sqrt(n)) * round(sqrt(n)) = n AS is_square, sum_divisors = 2 * n AS is_perfect, CAST(n AS VARCHAR) = reverse(CAST(n AS VARCHAR)) AS is_palindrome, bit_count(n) = 1 AS is_power_of_two FROM s""")
+@query("""WITH RECURSIVE k AS (SELECT p_partkey AS n FROM part WHERE p_partkey >= 1), m AS (SELECT CAST(unnest(range(1, (SELECT max(n) FROM k) + 1)) AS BIGINT) AS n), d AS (SELECT a.n AS n, b.n AS d FROM m a JOIN m b ON b.n <= a.n AND a.n % b.n = 0),
+s AS (SELECT n, count(*) AS divisor_count, CAST(sum(d) AS BIGINT) AS sum_divisors FROM d GROUP BY n), o AS (SELECT d.n, count(*) AS distinct_primes, CAST(max(d.d) AS DOUBLE) AS largest FROM d JOIN s ON s.n = d.d AND s.divisor_count = 2 GROUP BY d.n),
+f AS (SELECT d.n, count(*) AS prime_factor_count FROM d JOIN o ON o.n = d.d AND o.distinct_primes = 1 GROUP BY d.n), fib(a, b) AS (SELECT CAST(1 AS BIGINT), CAST(2 AS BIGINT) UNION ALL SELECT b, a + b FROM fib WHERE b < 1000000000),
+walk(n, x, steps) AS (SELECT n, n, 0 FROM k UNION ALL SELECT n, CASE WHEN x % 2 = 0 THEN x // 2 ELSE 3 * x + 1 END, steps + 1 FROM walk WHERE x > 1)
+SELECT k.n, round(sqrt(k.n), 6) AS sqrt_n, round(ln(k.n), 6) AS log_n, coalesce(prime_factor_count, 0) AS prime_factor_count, largest AS largest_prime_factor, divisor_count, sum_divisors, CAST(w.steps AS BIGINT) AS collatz_steps, divisor_count = 2 AS is_prime, k.n % 2 = 0 AS is_even, round(sqrt(k.n)) * round(sqrt(k.n)) = k.n AS is_square,
+  k.n IN (SELECT a FROM fib) AS is_fibonacci, sum_divisors = 2 * k.n AS is_perfect, CAST(k.n AS VARCHAR) = reverse(CAST(k.n AS VARCHAR)) AS is_palindrome, bit_count(k.n) = 1 AS is_power_of_two
+FROM k JOIN s ON s.n = k.n LEFT JOIN o ON o.n = k.n LEFT JOIN f ON f.n = k.n JOIN (SELECT n, max(steps) AS steps FROM walk GROUP BY n) w ON w.n = k.n""")
 def integer_objects(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.integer_table(spark, 500).select("n", "divisor_count", "sum_divisors", "is_prime", "is_even", "is_square", "is_perfect", "is_palindrome", "is_power_of_two")
+    """Number theory of the parts' keys."""
+    found = tables.number_theory(read(spark, sf, "part").select(F.col("p_partkey").alias("n")))
+    return found.select("n", F.round("sqrt_n", 6).alias("sqrt_n"), F.round("log_n", 6).alias("log_n"), "prime_factor_count", "largest_prime_factor", "divisor_count", "sum_divisors", "collatz_steps", "is_prime", "is_even", "is_square", "is_fibonacci", "is_perfect", "is_palindrome", "is_power_of_two")
 
 
 @query(f"WITH {OBJ} SELECT o_orderkey, statement FROM (SELECT o_orderkey, 2 AS statement FROM obj WHERE has_return AND NOT (n_lines <= 4) UNION ALL SELECT o_orderkey, 3 FROM obj WHERE has_return AND is_urgent AND NOT (qty >= 0.5 + 1.5 * n_lines) UNION ALL SELECT o_orderkey, 0 FROM obj WHERE NOT (n_lines <= max_line) UNION ALL SELECT o_orderkey, 1 FROM obj WHERE is_final AND NOT (qty >= n_lines))")
@@ -453,14 +484,24 @@ def packaged_sufficient(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(s.hypothesis.label(), s.conclusion.label(), metrics[i]["support"], metrics[i]["violations"]) for i, s in enumerate(found)], "hypothesis string, conclusion string, support long, violations long")
 
 
-@query(f"""WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS a, least(CAST(l_quantity AS DOUBLE), 25.0) AS b FROM lineitem), e AS ({" UNION ALL ".join(f"SELECT {i} AS id, b AS t, a AS x, a <= 25 AS special, {e} AS e FROM l" for i, e in enumerate(
-    [f"CASE WHEN {g}{sb} <> 0 THEN ({f}{sa}) / ({g}{sb}) END" for f, g in (("a", "b"), ("b", "a")) for sa in ("", " - 2", " - 1", " + 1", " + 2") for sb in ("", " - 2", " - 1", " + 1", " + 2")]))})
-SELECT count(*) AS lifted FROM (SELECT id FROM e GROUP BY id HAVING max(e) FILTER (special) - min(e) FILTER (special) <= 1e-3 AND abs((max(e) FILTER (special) + min(e) FILTER (special)) / 2 - 1) <= 1e-3 AND min(e * x - t) >= -1e-8)""")
+def _lift_sql() -> str:
+    part = lambda f, k: f"({k} + {f})" if k else f
+    shifts = (0, -2, -1, 1, 2)
+    every = [(f"({part(f, x)} / {part(g, y)})", f"CASE WHEN {g} + {y} <> 0 THEN ({f} + {x}) / ({g} + {y}) END") for f, g in (("a", "b"), ("b", "a")) for x in shifts for y in shifts]
+    every += [(f"(1 / {part(f, x)})", f"CASE WHEN {f} + {x} <> 0 THEN 1 / ({f} + {x}) END") for f in "ab" for x in shifts]
+    every += [("(1 / (a + b))", "1 / (a + b)"), ("(a / (a + b))", "a / (a + b)"), ("(b / (a + b))", "b / (a + b)"), ("((a + b) / a)", "(a + b) / a"), ("((a + b) / b)", "(a + b) / b")]
+    rows = " UNION ALL ".join(f"SELECT '{label}' AS ratio, b AS t, a AS x, a <= 25 AS special, {value} AS e FROM l" for label, value in every)
+    return f"""WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS a, least(CAST(l_quantity AS DOUBLE), 25.0) AS b FROM lineitem), e AS ({rows})
+SELECT ratio, count(*) FILTER (e * x = t) AS met, round(avg(e * x - t), 6) AS slack FROM e GROUP BY ratio HAVING max(e) FILTER (special) - min(e) FILTER (special) <= 1e-3 AND abs((max(e) FILTER (special) + min(e) FILTER (special)) / 2 - 1) <= 1e-3 AND min(e * x - t) >= -1e-8"""
+
+
+@query(_lift_sql())
 def ratio_lift(spark: SparkSession, sf: str) -> DataFrame:
-    """Ratios of two invariants that are 1 on small lines and bound the smaller invariant on all."""
+    """Ratios of two invariants that are 1 on small lines and bound the smaller invariant on all: the ratios, rows where they meet it, and mean slack."""
     df = read(spark, sf, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), F.least(F.col("l_quantity").cast("double"), F.lit(25.0)).alias("b"))
     found = fits.ratio_lift(df, Col("b"), Col("a"), 1.0, Compare("<=", Col("a"), Const(25)), TRUE, {"a": Col("a"), "b": Col("b")})
-    return spark.createDataFrame([(len(found),)], "lifted long")
+    met = relation.evaluate(df, found)
+    return spark.createDataFrame([(s.conclusion.b.a.label(), met[i]["touch_all"], round(met[i]["avg_slack"], 6)) for i, s in enumerate(found)], "ratio string, met long, slack double")
 
 
 for _part in (catalog_fits, catalog_more, catalog_live):

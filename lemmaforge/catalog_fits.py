@@ -18,6 +18,7 @@ from .functions import numeric as nf
 from .operators import fits
 from .plans.session import Session, Stage
 from .pred import TRUE, Compare, Flag, Pred
+from .relation import evaluate
 
 
 def nations(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,28 +158,30 @@ def _fit_query(name: str):
 
 
 def stage_constant(spark: SparkSession, sf: str) -> DataFrame:
-    session = Session(nations(spark, sf), max_arity=1, exclude=("x1", "x2", "x3", "x4"))
+    session = Session(orders(spark, sf), max_arity=1, exclude=("x1", "x2", "x3", "x4"))
     rows = [(s.hypothesis.label(), s.conclusion.op, float(s.conclusion.b.value)) for s in session.run_stage(Stage.CONSTANT, Col("y"), {})]
     return spark.createDataFrame(rows, "hypothesis string, side string, value double")
 
 
-CONSTANT_SQL = f"WITH {NAT} " + " UNION ALL ".join(f"SELECT '{h}' AS hypothesis, '{op}' AS side, CAST({fn} AS DOUBLE) AS value FROM nat WHERE {'TRUE' if h == 'TRUE' else h}" for _, h in _HYPS for op, fn in (("<=", "ceil(max(y))"), (">=", "floor(min(y))")))
+CONSTANT_SQL = f"WITH {ORD} " + " UNION ALL ".join(f"SELECT '{h}' AS hypothesis, '{op}' AS side, CAST({fn} AS DOUBLE) AS value FROM nat WHERE {'TRUE' if h == 'TRUE' else h}" for _, h in _HYPS for op, fn in (("<=", "ceil(max(y))"), (">=", "floor(min(y))")))
 
 
 def stage_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    """The ratio bounds that hold after their slopes are rounded to small fractions."""
-    df = nations(spark, sf)
+    """The ratio bounds of orders with slopes that are small fractions, rounded outwards."""
+    df = orders(spark, sf)
     session = Session(df, max_arity=1)
     made = session.run_stage(Stage.RATIO, Col("y"), {c: Col(c) for c in ("x1", "x2", "x3", "x4")})
     rows = [(s.hypothesis.label(), s.conclusion.b.terms[0][1].label(), s.conclusion.op, round(float(s.conclusion.b.terms[0][0]), 6)) for s in fits.verified(df, made)]
     return spark.createDataFrame(rows, "hypothesis string, feature string, side string, slope double")
 
 
-RATIO_SQL = f"""WITH {NAT}, hyp AS (SELECT 'TRUE' AS hypothesis, * FROM nat UNION ALL SELECT 'even', * FROM nat WHERE even),
+RATIO_SQL = f"""WITH {ORD}, hyp AS (SELECT 'TRUE' AS hypothesis, * FROM nat UNION ALL SELECT 'even', * FROM nat WHERE even),
 lng AS ({" UNION ALL ".join(f"SELECT hypothesis, '{c}' AS feature, y, {c} AS x FROM hyp" for c in ("x1", "x2", "x3", "x4"))}),
 bnd AS (SELECT hypothesis, feature, min(y / x) AS lo, max(y / x) AS hi, count(*) AS n FROM lng WHERE x > 0 GROUP BY ALL HAVING count(*) >= 5),
 side AS (SELECT hypothesis, feature, '>=' AS side, lo AS c FROM bnd UNION ALL SELECT hypothesis, feature, '<=', hi FROM bnd),
-near AS (SELECT s.*, round(c * q) / q AS slope, row_number() OVER (PARTITION BY hypothesis, feature, side ORDER BY abs(round(c * q) / q - c), q) AS k FROM side s, (SELECT unnest(range(1, 21)) AS q))
+all_ AS (SELECT s.*, round(c * q) / q AS nearest, CASE WHEN side = '<=' THEN ceil(c * q) / q ELSE floor(c * q) / q END AS outer_, row_number() OVER (PARTITION BY hypothesis, feature, side ORDER BY abs(round(c * q) / q - c), q) AS k FROM side s, (SELECT unnest(range(1, 21)) AS q)),
+out_ AS (SELECT hypothesis, feature, side, CASE WHEN side = '<=' THEN min(outer_) ELSE max(outer_) END AS outmost FROM all_ GROUP BY hypothesis, feature, side),
+near AS (SELECT a.hypothesis, a.feature, a.side, c, k, CASE WHEN (a.side = '<=' AND nearest < c - 1e-9) OR (a.side = '>=' AND nearest > c + 1e-9) THEN outmost ELSE nearest END AS slope FROM all_ a JOIN out_ o USING (hypothesis, feature, side))
 SELECT n.hypothesis, n.feature, n.side, round(n.slope, 6) AS slope FROM near n JOIN lng l USING (hypothesis, feature) WHERE k = 1 AND abs(c) <= 4 AND slope <> 0
 GROUP BY ALL HAVING min(CASE WHEN n.side = '<=' THEN n.slope * l.x - l.y ELSE l.y - n.slope * l.x END) >= -1e-9"""
 
@@ -203,23 +206,26 @@ SELECT DISTINCT side, round(w1, 4) AS w1, round(w2, 4) AS w2 FROM (SELECT '<=' A
 
 def generator_ratios(spark: SparkSession, sf: str) -> DataFrame:
     """The classic ratio generator under each hypothesis, its slopes as close fractions."""
-    df = nations(spark, sf)
+    df = orders(spark, sf)
     rows = [(h.label(), s.conclusion.b.terms[0][1].label(), s.conclusion.op, round(float(s.conclusion.b.terms[0][0]), 4)) for h, _ in _HYPS for s in fits.ratios(df, Col("y"), [Col("x1"), Col("x2")], h)]
     return spark.createDataFrame(rows, "hypothesis string, feature string, side string, slope double")
 
 
-GENERATOR_RATIOS_SQL = f"WITH {NAT} " + " UNION ALL ".join(f"SELECT '{h}' AS hypothesis, '{c}' AS feature, '{op}' AS side, round({fn}(y / {c}), 4) AS slope FROM nat WHERE {'TRUE' if h == 'TRUE' else h}" for _, h in _HYPS for c in ("x1", "x2") for op, fn in ((">=", "min"), ("<=", "max")))
+GENERATOR_RATIOS_SQL = f"WITH {ORD} " + " UNION ALL ".join(f"SELECT '{h}' AS hypothesis, '{c}' AS feature, '{op}' AS side, round({fn}(y / {c}), 4) AS slope FROM nat WHERE {'TRUE' if h == 'TRUE' else h}" for _, h in _HYPS for c in ("x1", "x2") for op, fn in ((">=", "min"), ("<=", "max")))
 
 
 def generator_rounded_ratios(spark: SparkSession, sf: str) -> DataFrame:
-    """Floor and ceiling bounds of a whole target: lines of an order by its largest line number."""
-    df = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("t"), F.max("l_linenumber").cast("long").alias("x"))
-    rows = [(s.conclusion.op, type(s.conclusion.b).__name__ == "Un") for s in fits.rounded_ratios(df, Col("t"), [Col("x")], TRUE)]
-    return spark.createDataFrame(rows, "side string, rounded boolean")
+    """Floor and ceiling bounds of a whole target, a customer's orders by their largest priority: the statements' slopes, and rows that meet them exactly."""
+    df = spark.read.parquet(f"{sf}/orders.parquet").groupBy("o_custkey").agg(F.count("*").alias("t"), F.max(F.substring("o_orderpriority", 1, 1).cast("long")).alias("x"))
+    made = fits.rounded_ratios(df, Col("t"), [Col("x")], TRUE)
+    met = evaluate(df, made)
+    rows = [(s.conclusion.op, s.conclusion.b.op, round(float(s.conclusion.b.a.terms[0][0]), 6), met[i]["touch_all"]) for i, s in enumerate(made)]
+    return spark.createDataFrame(rows, "side string, rounding string, slope double, met long")
 
 
-GENERATOR_ROUNDED_SQL = """WITH o AS (SELECT count(*) AS t, CAST(max(l_linenumber) AS BIGINT) AS x FROM lineitem GROUP BY l_orderkey), c AS (SELECT min(t / x) AS lo, max(t / x) AS hi FROM o)
-SELECT '>=' AS side, TRUE AS rounded FROM o, c HAVING bool_and(t >= ceil(lo * x - 1e-9)) UNION ALL SELECT '<=', TRUE FROM o, c HAVING bool_and(t <= floor(hi * x + 1e-9))"""
+GENERATOR_ROUNDED_SQL = """WITH o AS (SELECT count(*) AS t, max(CAST(left(o_orderpriority, 1) AS BIGINT)) AS x FROM orders GROUP BY o_custkey), c AS (SELECT min(t / x) AS lo, max(t / x) AS hi FROM o)
+SELECT '>=' AS side, 'ceil' AS rounding, round(any_value(lo), 6) AS slope, count(*) FILTER (t = ceil(lo * x - 1e-9)) AS met FROM o, c HAVING bool_and(t >= ceil(lo * x - 1e-9))
+UNION ALL SELECT '<=', 'floor', round(any_value(hi), 6), count(*) FILTER (t = floor(hi * x + 1e-9)) FROM o, c HAVING bool_and(t <= floor(hi * x + 1e-9))"""
 
 
 def discovered_equalities(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,14 +287,14 @@ def _classes_sql() -> str:
 
 
 def meaningful_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of nation invariants whose two sides both count for something."""
+    """Pairs of order invariants whose two sides both count for something."""
     from .operators import statistics
 
-    report_ = statistics.meaningful(statistics.incomparability(nations(spark, sf), {c: Col(c) for c in ("x1", "x2", "x3", "x4", "y")}))
+    report_ = statistics.meaningful(statistics.incomparability(orders(spark, sf), {c: Col(c) for c in ("x1", "x2", "x3", "x4", "y")}))
     return report_.select("a", "b", "support", F.round("balance", 6).alias("balance"), F.round("median_gap", 6).alias("median_gap"))
 
 
-MEANINGFUL_SQL = f"WITH {NAT}, i AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS support, least(count(*) FILTER ({a} < {b}), count(*) FILTER ({a} > {b})) AS side, median(abs({a} - {b})) AS median_gap, avg(abs({a} - {b})) AS mean_gap FROM nat" for a, b in combinations(("x1", "x2", "x3", "x4", "y"), 2)) + ") SELECT a, b, support, round(side / support, 6) AS balance, round(median_gap, 6) AS median_gap FROM i WHERE side / support >= 0.1 AND side >= 5 AND (median_gap >= 0.5 OR mean_gap >= 0.5)"
+MEANINGFUL_SQL = f"WITH {ORD}, i AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS support, least(count(*) FILTER ({a} < {b}), count(*) FILTER ({a} > {b})) AS side, median(abs({a} - {b})) AS median_gap, avg(abs({a} - {b})) AS mean_gap FROM nat" for a, b in combinations(("x1", "x2", "x3", "x4", "y"), 2)) + ") SELECT a, b, support, round(side / support, 6) AS balance, round(median_gap, 6) AS median_gap FROM i WHERE side / support >= 0.1 AND side >= 5 AND (median_gap >= 0.5 OR mean_gap >= 0.5)"
 
 
 def equality_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -314,3 +320,30 @@ SQL = {f"stage_{n}": _sql(n) for n in [*_SQL, *fits.SUBSETS]} | {
     "stage_constant": CONSTANT_SQL, "stage_ratio": RATIO_SQL, "hull3d_facets": HULL3D_SQL, "generator_ratios": GENERATOR_RATIOS_SQL, "generator_rounded_ratios": GENERATOR_ROUNDED_SQL, "discovered_equalities": DISCOVERED_SQL,
     "registered_hypotheses": _registered_sql(), "constant_classes": _classes_sql(), "meaningful_pairs": MEANINGFUL_SQL, "equality_classes": EQUALITY_CLASSES_SQL,
 }
+
+
+#: Thirty flags of a line, as Spark and DuckDB both read them.
+_THIRTY = [
+    *(f"l_quantity >= {5 * k}" for k in range(1, 10)), *(f"l_discount >= 0.0{k} - 0.001" for k in range(1, 10)), *(f"l_linenumber >= {k}" for k in range(2, 8)),
+    "l_returnflag = 'A'", "l_returnflag = 'N'", "l_returnflag = 'R'", "l_linestatus = 'F'", "l_extendedprice >= 20000", "l_extendedprice >= 40000",
+]
+
+
+def closed_hypotheses(spark: SparkSession, sf: str) -> DataFrame:
+    """All different selections of lines by up to four of thirty flags: smallest arity, flags that all their lines have, lines."""
+    from .operators.lattice import Lattice
+
+    names = [f"f{i:02}" for i in range(len(_THIRTY))]
+    df = spark.read.parquet(f"{sf}/lineitem.parquet").select(*[F.expr(x).alias(n) for n, x in zip(names, _THIRTY, strict=True)])
+    found = Lattice(df, [Flag(n) for n in names], base=None)
+    rows = [(h.arity, sum(1 << i for i in found.cover(h).closure), found.support(h)) for h in found.driver(4)]
+    return spark.createDataFrame(rows, "arity int, closure long, support long")
+
+
+CLOSED_SQL = f"""WITH s AS (SELECT {" + ".join(f"CAST(({x}) AS BIGINT) * {1 << i}" for i, x in enumerate(_THIRTY))} AS bits, count(*) AS n FROM lineitem GROUP BY 1), b AS (SELECT CAST(1 AS BIGINT) << i AS f, i FROM (SELECT unnest(range({len(_THIRTY)})) AS i)),
+c AS (SELECT CAST(0 AS BIGINT) AS c, 0 AS k UNION ALL SELECT f, 1 FROM b UNION ALL SELECT x.f + y.f, 2 FROM b x JOIN b y ON x.i < y.i UNION ALL SELECT x.f + y.f + z.f, 3 FROM b x JOIN b y ON x.i < y.i JOIN b z ON y.i < z.i
+  UNION ALL SELECT x.f + y.f + z.f + w.f, 4 FROM b x JOIN b y ON x.i < y.i JOIN b z ON y.i < z.i JOIN b w ON z.i < w.i),
+m AS (SELECT c, k, bit_and(bits) AS closure, sum(n) AS support FROM c JOIN s ON (bits & c) = c GROUP BY c, k)
+SELECT CAST(min(k) AS INTEGER) AS arity, closure, CAST(any_value(support) AS BIGINT) AS support FROM m GROUP BY closure"""
+QUERIES["closed_hypotheses"] = closed_hypotheses
+SQL["closed_hypotheses"] = CLOSED_SQL

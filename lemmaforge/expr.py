@@ -338,6 +338,27 @@ class Extreme(Expr):
         return self.a.columns() | self.b.columns()
 
 
+@dataclass(frozen=True, eq=True)
+class SqlExpr(Expr):
+    """A number written as SQL, as it is read back from a catalog: its text, how it is named, and the columns that it refers to."""
+
+    text: str
+    name: str
+    of: frozenset[str] = frozenset()
+
+    def column(self):
+        return nf.number(F.expr(self.text))
+
+    def label(self, unicode=False):
+        return self.name
+
+    def sql(self):
+        return self.text
+
+    def columns(self):
+        return set(self.of)
+
+
 def extreme(op: str, a, b) -> Expr:
     a, b = sorted((expr(a), expr(b)), key=lambda e: e.label())
     if a == b:

@@ -72,7 +72,7 @@ def constant_statements(df: DataFrame, lattice: Lattice, hyps: Sequence[Hypothes
 
 
 def ratio_statements(df: DataFrame, lattice: Lattice, hyps: Sequence[Hypothesis], target: Expr, features: Mapping[str, Expr], den: int = 20, most: float = 4.0, least_support: int = 5) -> list[Statement]:
-    """target >= c·x and target <= C·x with rational c, C; denominators beyond ``den`` round outwards (to true bounds)."""
+    """target >= c·x and target <= C·x with rational c, C: the nearest fraction with a denominator up to ``den``, or where that cuts into the bound the nearest outward one."""
     by = {h.label(): h for h in hyps}
     order = {n: i for i, n in enumerate(features)}
     out = []
@@ -81,7 +81,7 @@ def ratio_statements(df: DataFrame, lattice: Lattice, hyps: Sequence[Hypothesis]
             continue
         x = features[r["feature"]]
         for op, c in ((">=", r["cmin"]), ("<=", r["cmax"])):
-            q = rational(c, den)
+            q = outward(c, op == "<=", den)
             if abs(c) <= most and q:
                 out.append(Statement(by[r["hypothesis"]].pred, Compare(op, target, Linear(Fraction(0), ((q, x),))), stage="ratio"))
     return out
@@ -90,3 +90,13 @@ def ratio_statements(df: DataFrame, lattice: Lattice, hyps: Sequence[Hypothesis]
 def rational(value: float, den: int = 20) -> Fraction:
     """The nearest fraction of a denominator up to ``den``."""
     return Fraction(value).limit_denominator(den) if math.isfinite(value) else Fraction(0)
+
+
+def outward(value: float, up: bool, den: int = 20) -> Fraction:
+    """The nearest fraction of a denominator up to ``den`` if it is not below (above) the value by more than rounding, else the least above (largest below)."""
+    near = rational(value, den)
+    if not math.isfinite(value) or (near >= Fraction(value) - Fraction(1, 10**9) if up else near <= Fraction(value) + Fraction(1, 10**9)):
+        return near
+    if up:
+        return min(Fraction(math.ceil(Fraction(value) * q), q) for q in range(1, den + 1))
+    return max(Fraction(math.floor(Fraction(value) * q), q) for q in range(1, den + 1))

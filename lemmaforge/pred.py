@@ -225,6 +225,23 @@ class Compare(Pred):
         return nf.finite(self.a.column()) & nf.finite(self.b.column())
 
 
+@dataclass(frozen=True)
+class SqlPred(Pred):
+    """A truth value written as SQL, as it is read back from a catalog; missing is false."""
+
+    text: str
+    name: str
+
+    def column(self):
+        return nf.true(F.expr(self.text))
+
+    def label(self):
+        return self.name
+
+    def sql(self):
+        return self.text
+
+
 @dataclass(frozen=True)
 class In(Pred):
     a: str

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..expr import SqlExpr
+from ..pred import TRUE, Compare, SqlPred
 from ..relation import Statement, metrics_frame
 
 
@@ -18,8 +22,6 @@ def csv_table(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 def memory_table(spark: SparkSession, data: Mapping[str, Sequence] | Iterable) -> DataFrame:
     """From a dict of columns, a pandas frame or rows."""
-    import pandas as pd
-
     return spark.createDataFrame(pd.DataFrame(data) if isinstance(data, Mapping) else data)
 
 
@@ -29,32 +31,55 @@ def edge_lists(spark: SparkSession, folder: str) -> DataFrame:
     return lines.filter(F.size("p") >= 2).select("graph", F.col("p")[0].try_cast("int").alias("src"), F.col("p")[1].try_cast("int").alias("dst"))
 
 
-def integer_table(spark: SparkSession, n: int) -> DataFrame:
-    """Number theory of 1..n, each number by itself: trial division up to its root gives its divisors in pairs."""
-    base = spark.range(1, n + 1).withColumnRenamed("id", "n")
+def _collatz_steps(numbers: pd.Series) -> pd.Series:
+    """Steps of n -> n / 2 or 3n + 1 down to 1, of numbers from 1."""
+    x = numbers.to_numpy(np.int64).copy()
+    steps, going = np.zeros(len(x), np.int64), x > 1
+    while going.any():
+        x = np.where(going, np.where(x % 2 == 0, x // 2, 3 * x + 1), x)
+        steps += going
+        going = x > 1
+    return pd.Series(steps)
+
+
+def number_theory(numbers: DataFrame) -> DataFrame:
+    """Number theory of a table's column ``n`` of whole numbers, each by itself, those below 1 left out: trial division up to its root gives its divisors in pairs."""
     low = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda d: F.col("n") % d == 0)
     divisors = F.array_sort(F.array_union(low, F.transform(low, lambda d: F.expr("n").cast("long") / d).cast("array<long>")))
-    df = base.withColumn("d", divisors)
+    df = numbers.select(F.col("n").cast("long")).filter("n >= 1").withColumn("d", divisors)
     prime = lambda d: F.size(F.filter(F.col("d"), lambda e: (d % e == 0) & (e > 1) & (e < d))) == 0
     df = df.withColumn("primes", F.filter("d", lambda d: (d > 1) & prime(d)))
     total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x)
-    text = F.col("n").cast("string")
+    text, n = F.col("n").cast("string"), F.col("n")
+    square = lambda x: F.round(F.sqrt(x)).cast("long") * F.round(F.sqrt(x)).cast("long") == x
+    # powers of one prime among the divisors: as many as prime factors with their multiplicity
+    powers = F.filter("d", lambda d: F.size(F.filter(F.col("primes"), lambda p: d % p == 0)) == 1)
     return df.select(
         "n",
+        F.sqrt("n").alias("sqrt_n"),
+        F.ln("n").alias("log_n"),
+        F.size(powers).cast("long").alias("prime_factor_count"),
         F.size("primes").cast("long").alias("distinct_primes"),
         F.array_max("primes").cast("double").alias("largest_prime_factor"),
         F.size("d").cast("long").alias("divisor_count"),
         total.alias("sum_divisors"),
         F.round(F.aggregate("primes", F.col("n").cast("double"), lambda a, p: a * (F.lit(1.0) - F.lit(1.0) / p))).cast("long").alias("totient"),
-        (F.col("n") % 2 == 0).alias("is_even"),
+        F.pandas_udf(_collatz_steps, "long")("n").alias("collatz_steps"),
+        (n % 2 == 0).alias("is_even"),
         (F.size("d") == 2).alias("is_prime"),
-        (F.pow(F.round(F.sqrt("n")), 2) == F.col("n")).alias("is_square"),
-        ((total - F.col("n") == F.col("n"))).alias("is_perfect"),
+        square(n).alias("is_square"),
+        (square(5 * n * n + 4) | square(5 * n * n - 4)).alias("is_fibonacci"),
+        ((total - n == n)).alias("is_perfect"),
         (text == F.reverse(text)).alias("is_palindrome"),
         (F.bit_count("n") == 1).alias("is_power_of_two"),
     )
 
 
+def integer_table(spark: SparkSession, n: int) -> DataFrame:
+    """``number_theory`` of 1..n."""
+    return number_theory(spark.range(1, n + 1).withColumnRenamed("id", "n"))
+
+
 def statement_rows(df: DataFrame, statements: Sequence[Statement]) -> DataFrame:
     return metrics_frame(df, statements).select("hypothesis", "conclusion", "accuracy")
 
@@ -65,3 +90,32 @@ def write_statements(df: DataFrame, statements: Sequence[Statement], path: str,
         raise ValueError(f"no such kind: {kind}")
     writer = statement_rows(df, statements).coalesce(1).write.mode("overwrite")
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
+
+
+CATALOG = "seq long, name string, stage string, hypothesis string, hypothesis_sql string, op string, tol double, rtol double, left string, left_sql string, left_columns array<string>, right string, right_sql string, right_columns array<string>, conclusion string, conclusion_sql string"
+
+
+def write_catalog(spark: SparkSession, statements: Sequence[Statement], path: str) -> None:
+    """Statements with their SQL as JSON lines, to be read by ``read_catalog``."""
+    rows = []
+    for i, s in enumerate(statements):
+        c = s.conclusion
+        sides = [x for e in (c.a, c.b) for x in (e.label(), e.sql(), sorted(e.columns()))] if isinstance(c, Compare) else [None] * 6
+        rows.append((i, s.name, s.stage, s.hypothesis.label(), s.hypothesis.sql(), *((c.op, c.tol, c.rtol) if isinstance(c, Compare) else (None,) * 3), *sides, c.label(), c.sql()))
+    spark.createDataFrame(rows, CATALOG).coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> list[Statement]:
+    """The statements of a catalog, in order: they can be evaluated, monitored, filtered and printed as those that were written.
+
+    Spark reads their SQL; a conclusion of two sides is a comparison again.
+    """
+    out = []
+    for r in spark.read.schema(CATALOG).json(path).orderBy("seq").collect():
+        if r["op"] is not None:
+            a, b = (SqlExpr(r[f"{x}_sql"], r[x], frozenset(r[f"{x}_columns"] or ())) for x in ("left", "right"))
+            c = Compare(r["op"], a, b, r["tol"], r["rtol"])
+        else:
+            c = SqlPred(r["conclusion_sql"], r["conclusion"])
+        out.append(Statement(TRUE if r["hypothesis"] == TRUE.label() else SqlPred(r["hypothesis_sql"], r["hypothesis"]), c, r["name"] or "", r["stage"] or ""))
+    return out

@@ -583,3 +583,38 @@ def test_session_stages_and_filters(spark, capsys):
     own = [s.conclusion for s, _ in found.statements if s.stage == "constant"]
     assert {c.core for c in found.conditions} <= set(own)
     assert "target: totient" in capsys.readouterr().out
+
+
+def test_catalog_read_back(spark, tmp_path):
+    """Written statements come back with their text, metrics, counterexamples and SQL."""
+    df = tables.integer_table(spark, 60)
+    forms = [Linear(Fraction(1, 2), ((Fraction(3, 2), Col("totient")), (Fraction(-1), ex.sqrt(Col("n"))))), ex.log(Col("n"), 2) + 1, ex.max_(Col("n"), Col("sum_divisors")) / Col("divisor_count"), ex.floor(Col("n") / 3) ** 2]
+    hyps = [TRUE, Flag("is_prime"), conj([Flag("is_even"), Compare(">", Col("n"), Const(7))]), Not(Flag("is_square"))]
+    made = [Statement(h, Compare(op, Col("sum_divisors"), f), f"s{i}", "some") for i, (h, f) in enumerate((h, f) for h in hyps for f in forms) for op in ("<=", ">=")]
+    made += [Statement(Flag("is_prime"), Compare("==", Col("divisor_count"), Const(2), 1e-9)), Statement(Flag("is_even"), Between(Col("n"), Const(2), Const(40))), Statement(TRUE, disj([Flag("is_even"), Flag("is_prime")]))]
+    tables.write_catalog(spark, made, str(tmp_path / "catalog"))
+    back = tables.read_catalog(spark, str(tmp_path / "catalog"))
+    assert [s.label() for s in back] == [s.label() for s in made] and [s.stage for s in back] == [s.stage for s in made]
+    keys = ("support", "holds", "violations", "touch", "min_slack", "max_slack")
+    for a, b in zip(relation.evaluate(df, made).values(), relation.evaluate(df, back).values(), strict=True):
+        for k in keys:
+            if b[k] is not None or a[k] is None:
+                assert b[k] == a[k] or abs(a[k] - b[k]) < 1e-9, k
+    assert [b.failures(df).count() for b in back] == [m.failures(df).count() for m in made]
+    assert len(filters.morgan(df, back)) == len(filters.morgan(df, made)) and {c for s in back[:8] for c in s.conclusion.b.columns()} == {"n", "totient", "sum_divisors", "divisor_count"}
+    tables.write_catalog(spark, back, str(tmp_path / "again"))
+    assert tables.read_catalog(spark, str(tmp_path / "again")) == back
+
+
+def test_number_theory(spark):
+    rows = {r["n"]: r for r in tables.integer_table(spark, 150).collect()}
+    assert [rows[n]["collatz_steps"] for n in (1, 2, 3, 27, 36)] == [0, 1, 7, 111, 21]
+    assert [rows[n]["prime_factor_count"] for n in (1, 12, 24, 32, 37)] == [0, 3, 4, 5, 1]
+    assert {n for n, r in rows.items() if r["is_fibonacci"]} == {1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144}
+    assert tables.number_theory(spark.createDataFrame([(0,), (-4,), (6,), (6,)], "n int")).count() == 2
+
+
+def test_outward_slopes():
+    for value in (0.3333, 1 / 3, 0.123456, -0.777, 2.0, 19 / 20 + 1e-7):
+        up, down = bounds.outward(value, True), bounds.outward(value, False)
+        assert float(down) - 1e-9 <= value <= float(up) + 1e-9 and max(up.denominator, down.denominator) <= 20 and up - down <= Fraction(1, 20)
