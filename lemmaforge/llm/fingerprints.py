@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing, in DataFrame operations only.
 
-A text is cut into tokens: runs of up to 12 code points that are not blank, and
-the single code points of longer runs, so that texts without blanks have tokens
-that do not depend on where a run begins.  Every run of k tokens has a hash; of every window of w consecutive
-hashes the least is chosen, of equal ones the rightmost.  The chosen hashes
-with their positions are the fingerprint.
+A text is cut into tokens: runs of code points that are not blank, and the
+single code points of scripts that are written without blanks (Han, kana, Thai,
+Lao, Myanmar, Khmer), whose tokens thus do not depend on where a run begins.
+Every run of k tokens has a hash; of every window of w consecutive hashes the
+least is chosen, of equal ones the rightmost.  The chosen hashes with their
+positions are the fingerprint.
 
 Guarantees: any run of w + k - 1 tokens that two texts share gives them a
-common hash, so any passage of as many code points inside two longer runs does; a shared run of fewer than k tokens never does.
+common hash; a shared run of fewer than k tokens never does.
 
 A hash (32 bits) and its position (31) are packed into one long, the hash above,
 the position's complement below, so the least of a window is the rightmost least.
@@ -15,7 +16,9 @@ the position's complement below, so the least of a window is the rightmost least
 A text of fewer than k tokens has one hash, that of all its tokens; one of
 fewer than w hashes one window.  Null reads as empty; empty and blank texts
 have the empty fingerprint, which is like another empty one (1) and unlike any
-other (0).  Rows of a doc_id that stands several times are edited with the row of
+other (0).  An empty table gives an empty one; texts of any length are taken
+whole; columns other than doc_id and text are not read, whatever their names.
+Rows of a doc_id that stands several times are edited with the row of
 least text hash of the next id; rows of a null id have no next document.
 """
 
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 from . import store
 
 K, W = 3, 4
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,12}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
+#: Code points of scripts without blanks.
+UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF"
+TOKEN = f"[^\\x20\\x09-\\x0D{UNSPACED}]+|[{UNSPACED}]"
 #: Bits of a packed value that hold the position (any that a text can have), and those of the hash above them.
 _POS, _HASH = 31, 32
 _MASK = (1 << _POS) - 1

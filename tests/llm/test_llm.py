@@ -531,7 +531,7 @@ def test_fingerprints_without_blanks(spark):
     """A passage without blanks has the same hashes wherever it begins."""
     rng = random.Random(6)
     passage = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(400))
-    texts = [passage, "一" + passage, "https://a.example/" + passage, "".join(chr(0x6E00 + rng.randrange(2000)) for _ in range(400)), "twelveletter", "twelveletter thirteenletter"]
+    texts = [passage, "一" + passage, "https://a.example/" + passage, "".join(chr(0x6E00 + rng.randrange(2000)) for _ in range(400)), "twelveletter", "twelveletter thirteenletterwords, \U00020001ab\u0e01", "x" * 30]
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
 
     def like(a, b):
@@ -540,7 +540,8 @@ def test_fingerprints_without_blanks(spark):
 
     assert like(0, 1) > 0.97 and like(0, 2) > 0.85 and like(0, 3) == 0
     tokens = [re.findall(fingerprints.TOKEN, t) for t in texts[4:]]
-    assert tokens == [["twelveletter"], ["twelveletter", *"thirteenletter"]]
+    assert tokens == [["twelveletter"], ["twelveletter", "thirteenletterwords,", "\U00020001", "ab", "\u0e01"], ["x" * 30]]  # of any length
+    assert got[5]["fingerprint"] == ",".join(f"{h:x}@{p}" for h, p in winnowed(texts[5]))
 
 
 def test_decontamination(spark, docs, empty, monkeypatch):
