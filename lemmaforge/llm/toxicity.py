@@ -21,7 +21,9 @@ terms; of a word's terms the heaviest counts.
 Fitting takes at most ``most`` labelled rows (a parameter); model counts and
 scores take every document and its whole text.  Null, empty and blank texts
 score the base rate.  Repeated rows are scored each.  Without labelled toxic
-rows there are no terms and every text scores the base rate.
+rows there are no terms and every text scores the base rate.  An empty table
+gives an empty one; columns other than doc_id and text are not read, whatever
+their names, and ``reject`` passes them on.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -48,6 +51,8 @@ FIT_ROWS = 40_000
 LEAST_SHARE, LEAST_ROWS, Z = 0.5, 4, 2.58
 #: A term of this share is sure: rows that have one lend nothing to less sure terms.
 SURE_SHARE = 0.95
+#: Least share (lower bound at Z) of a whole word that counts when it is written apart or masked.
+APART_SHARE = 0.9
 BEGINNINGS = (4, 5, 6)
 
 #: Letters that a sign may stand for.
@@ -60,7 +65,7 @@ _SINGLE = re.compile(r"[^\W_](?:[\W_]+[^\W_])*")
 _PARTED = re.compile("[^\\w" + re.escape("".join(LOOKALIKES)) + "]+|_+")
 _SIGNS = re.compile(r"[^\w@$]+")
 _DOUBLE = re.compile(r"([^\W\d_])\1")
-_RUNS = re.compile(r"(.)\1*")
+_REPEATS = re.compile(r"(.)\1+")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in nats of reading a sign as a letter, dropping a mark, a sign, or a repeated letter.
 COST_LOOKALIKE, COST_MARK, COST_SIGN, COST_REPEAT = 1.0, 0.5, 5.0, 0.7
@@ -68,12 +73,14 @@ COST_LOOKALIKE, COST_MARK, COST_SIGN, COST_REPEAT = 1.0, 0.5, 5.0, 0.7
 COST_EDGE = 2.0
 #: Readings that list decoding keeps, and nats that they may lie below the best.
 LISTED, MARGIN = 6, 6.0
-#: Letters of a reading that count: a longer word is known by so many of its first ones.
-MOST_LETTERS = 64
+#: Tokens up to so many letters are remembered.
+KNOWN_LETTERS = 64
 #: Characters of a run that are decoded at a time, and how many two such windows share.
 WINDOW, SHARED = 2048, 256
-#: Of a character that follows itself more often, further copies are dropped from every reading.
-COPIES = 6
+#: Letters of other scripts by the Latin ones that they look like.
+HOMOGLYPHS = str.maketrans("\u0430\u0432\u0435\u043a\u043c\u043d\u043e\u0440\u0441\u0442\u0443\u0445\u0455\u0456\u0458\u03b1\u03b2\u03b5\u03b9\u03ba\u03bd\u03bf\u03c1\u03c4\u03c5\u03c7\u0131\u0142\u00f8\u0111", "abekmhopctyxsijabeikvoptuxilod")
+#: A token of letters with masked ones between them.
+_MASKED = re.compile(r"[a-z]+(?:[*#]+[a-z]+)+")
 
 
 #: Of one character: (emitted text, next state, cost).
@@ -112,37 +119,43 @@ class CharModel:
             for part in {*parts, *(y for x in parts for y in _SIGNS.split(x) if y)}:
                 for x in _kept(part) if len(parts) > 1 else (part,):
                     out |= {x} | self._thinned(x) if x.isalpha() else self.readings(x, edges=False, at_edge=COST_SIGN)
-        if len(token) > MOST_LETTERS:
+        if len(token) > KNOWN_LETTERS:
             return tuple(out)
         self.memo[token] = tuple(out)
         return self.memo[token]
 
     def _thinned(self, word: str) -> set[str]:
         """``readings`` of plain letters: each run of one letter gets shorter, whatever the others do."""
-        lines = {"": 0.0}
-        for run in _RUNS.finditer(word):
-            c, n = run[0][0], min(len(run[0]), COPIES)
+        lines: list[tuple[float, tuple | None]] = [(0.0, None)]
+        at = 0
+        for run in _REPEATS.finditer(word):
+            c, n = run[1], len(run[0])
             again = self.rows[ord(c) - 96][ord(c) - 96] if c in _LETTERS else 0.0
-            ways = [(c * m, (m - 1) * again - (n - m) * COST_REPEAT) for m in range(1, n + 1)]
-            if n == 1:
-                lines = {x + c: score for x, score in lines.items()}
-                continue
-            most = max(score for _, score in ways)
-            step = {x + way: score + own - most for x, score in lines.items() for way, own in ways if score + own - most >= -MARGIN}
-            lines = dict(sorted(step.items(), key=lambda x: (-x[1], x[0]))[:LISTED])
-            if min(map(len, lines)) >= MOST_LETTERS:  # what follows is the same for all
-                break
-        return {x[:MOST_LETTERS] for x in lines}
+            # a copy that stays gains or loses the same each: the LISTED best are at one end
+            kept = range(1, min(n, LISTED) + 1) if again + COST_REPEAT <= 0 else range(n, max(0, n - LISTED), -1)
+            ways = [(c * m, (m - 1) * again - (n - m) * COST_REPEAT) for m in kept]
+            most = ways[0][1]
+            step = [(score + own - most, (link, word[at : run.start()] + way)) for score, link in lines for way, own in ways if score + own - most >= -MARGIN]
+            lines = sorted(step, key=lambda x: -x[0])[:LISTED]
+            at = run.end()
+        out = set()
+        for _, link in lines:
+            parts = [word[at:]]
+            while link is not None:
+                link, part = link
+                parts.append(part)
+            out.add("".join(reversed(parts)))
+        return out
 
     def readings(self, run: str, edges: bool = True, at_edge: float = COST_MARK) -> set[str]:
-        """Every word of a reading of ``run`` that lies within MARGIN nats of the likeliest one, its first MOST_LETTERS letters.
+        """Every word of a reading of ``run`` that lies within MARGIN nats of the likeliest one.
 
         Without ``edges``, all is one word; ``at_edge`` is the cost of dropping a sign at an end of a token.
         A long run is decoded in windows that share SHARED characters, so that a word of as many stands whole in one.
         """
         steps = _arcs(run, edges, at_edge)
         words = self._lattice(steps[:WINDOW])[0]
-        for lo in range(WINDOW - SHARED, len(steps) - SHARED, WINDOW - SHARED) if edges else ():
+        for lo in range(WINDOW - SHARED, len(steps) - SHARED, WINDOW - SHARED):
             words |= self._lattice(steps[lo : lo + WINDOW])[0]
         return words
 
@@ -198,9 +211,9 @@ class CharModel:
                             continue
                         key, x = (s, part), score - cost
                     elif k:
-                        key, x = (k, part + emit if len(part) < MOST_LETTERS else part), score + log[s][k] - cost
+                        key, x = (k, part + emit), score + log[s][k] - cost
                     else:
-                        key, x = (0, "" if emit == " " else part + emit if len(part) < MOST_LETTERS else part), score + ends[s] - cost
+                        key, x = (0, "" if emit == " " else part + emit), score + ends[s] - cost
                     if x + after[key[0]] < least:
                         continue
                     if emit == " " and part:
@@ -258,7 +271,7 @@ def _arcs(run: str, edges: bool, at_edge: float) -> list[Arcs]:
     """
     blank = (("", 0, COST_MARK), (" ", 0, COST_EDGE)) if edges else (("", 0, COST_MARK),)
     out: list[Arcs] = []
-    before, copies, parted = "", 0, False
+    before, parted = "", False
     for at, token in enumerate(run.split()):
         lead, trail = len(token) - len(token.lstrip(EDGE)), len(token.rstrip(EDGE))
         if at and not parted:
@@ -270,10 +283,8 @@ def _arcs(run: str, edges: bool, at_edge: float) -> list[Arcs]:
                     out.append(blank)
                     parted = True
                 continue
-            copies = copies + 1 if c == before else 1
+            out.append(_readings_of(c, c == before, i < lead or i >= trail, edges, at_edge))
             before, parted = c, False
-            if copies <= COPIES:
-                out.append(_readings_of(c, copies > 1, i < lead or i >= trail, edges, at_edge))
     return out
 
 
@@ -318,15 +329,22 @@ def _single(token: str) -> bool:
     return len(core) < 2 or (not core.isalnum() and _SINGLE.fullmatch(core) is not None)
 
 
-def restored(text: str, model: CharModel) -> set[str]:
-    """The distinct words of the restored text."""
-    tokens = text.lower().split()
+@functools.lru_cache(100_000)
+def folded(token: str) -> str:
+    """A token without accents, widths and letters that only look like Latin ones."""
+    return "".join(c for c in unicodedata.normalize("NFKD", token) if unicodedata.category(c) not in ("Mn", "Cf")).translate(HOMOGLYPHS).lower()
+
+
+def restored(text: str, model: CharModel, tokens: list[str] | None = None) -> set[str]:
+    """The distinct words of the restored text; ``tokens`` are its lower-cased ones where they are known."""
+    tokens = text.lower().split() if tokens is None else tokens
     out: set[str] = set()
     for token in {x.strip(MARKS) for x in set(tokens)}:
-        if token.isalpha() and not _DOUBLE.search(token):
-            out.add(token)
-        elif token:
-            out.update(model.words(token))
+        for x in (token,) if token.isascii() else {token, folded(token)}:
+            if x.isalpha() and not _DOUBLE.search(x):
+                out.add(x)
+            elif x:
+                out.update(model.words(x))
     for i, j in spaced(tokens):
         run = " ".join(tokens[i:j])
         for edges in (True, False):
@@ -384,16 +402,35 @@ class ToxicityModel:
     base: float
     weights: dict[str, float]
     heads: set[str] = field(default_factory=set)
+    #: Whole words that count when they are written apart or masked.
+    apart: frozenset[str] = frozenset()
 
     def __post_init__(self):
         self.heads = {t[:3] for t in self.weights}
+        self.apart_heads = {t[:3] for t in self.apart}
 
     def score(self, text: str) -> float:
         clean = 1.0 - self.base
-        for w in sorted(w for w in restored(text, self.chars) if w[:3] in self.heads):
+        tokens = text.lower().split()
+        found = {w for w in restored(text, self.chars, tokens) if w[:3] in self.heads}
+        for w in sorted(found):
             clean *= 1.0 - max((self.weights.get(t, 0.0) for t in terms_of([w])), default=0.0)
+        for w in sorted(self._written_apart(tokens) - found):
+            clean *= 1.0 - self.weights[w]
         return 1.0 - clean
 
+    def _written_apart(self, tokens: list[str]) -> set[str]:
+        """Words that two neighbouring tokens make, or a token with masked letters may stand for."""
+        if not self.apart:
+            return set()
+        heads = self.apart_heads
+        out = {w for a, b in zip(tokens, tokens[1:], strict=False) if (a + b).lstrip(EDGE)[:3] in heads and (w := (a + b).strip(EDGE)) in self.apart}
+        for token in {x for x in tokens if "*" in x or "#" in x}:
+            if _MASKED.fullmatch(token := token.strip(EDGE)):
+                shape = re.compile(re.sub("[*#]", ".", token))
+                out.update(w for w in self.apart if shape.fullmatch(w))
+        return out
+
 
 def apart(rows: DataFrame, k: int = 5, pairs: int = 4) -> list[int]:
     """The least id of each group of near copies among the fitting rows (bounded in number)."""
@@ -482,7 +519,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, modulus: int =
     for r in rows.filter("y = 1").select("text").mapInArrow(of_unexplained, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         if r["n"] >= LEAST_ROWS and lower_share(r["n"], neg.get(r["term"], 0)) >= LEAST_SHARE:
             weights[r["term"]] = share.get(r["term"], LEAST_SHARE)
-    return ToxicityModel(chars, base, weights)
+    known = frozenset(t for t in weights if not t.endswith("*") and lower_share(pos[t], neg.get(t, 0)) >= APART_SHARE)
+    return ToxicityModel(chars, base, weights, apart=known)
 
 
 def scores(docs: DataFrame, model: ToxicityModel, modulus: int = 5) -> DataFrame:
