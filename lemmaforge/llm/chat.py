@@ -21,7 +21,9 @@ Arguments are checked against the tools' schemas: required ones present, none
 unknown, types as declared.  ``problems`` lists what is wrong.
 
 The JSON of a message is canonical: keys in order, no blanks, null fields left
-out, nested values with sorted keys.
+out, nested values with sorted keys.  Further keys of a call or result message
+stay; ``role`` and ``turn`` are the row's.  Arguments that are a string with a
+JSON object, as some formats write them, are that object.
 
 Defined results: null and empty texts are messages without content; texts that
 are not such objects are content as they are; broken JSON is content.  Where an
@@ -29,7 +31,9 @@ id is called several times in a conversation, results link to its first call
 and the calls are marked; a result without call is marked.  Repeated rows are
 formatted each, equal ones alike.  A null conversation holds no calls to link
 with; a null turn stands at its call's place, or nowhere.  Without schemas
-arguments are not checked.
+arguments are not checked.  An empty table gives an empty one; texts of any
+length are read whole; columns other than the four are not read, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -55,13 +59,28 @@ def messages(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(own.alias("message"), "conv_id", F.col("turn").cast("long"), "role", "text", _parsed(F.col("text")).alias("v"))
     rows = rows.withColumns(
         {
-            "calls": F.try_variant_get("v", "$.tool_calls", "array<struct<id string, name string, arguments variant>>"),
+            "calls": F.transform(F.try_variant_get("v", "$.tool_calls", "array<struct<id string, name string, arguments variant>>"), _with_parsed_arguments),
             "result_of": F.try_variant_get("v", "$.tool_call_id", "string"),
             "inner": F.try_variant_get("v", "$.content", "string"),
         }
     )
     special = F.col("calls").isNotNull() | F.col("result_of").isNotNull()
-    return rows.select("message", "conv_id", "turn", "role", F.when(special, F.col("inner")).otherwise(F.col("text")).alias("content"), "calls", "result_of")
+    further = F.filter(F.map_entries(F.expr("try_cast(v AS map<string, variant>)")), lambda e: ~e["key"].isin("tool_calls", "tool_call_id", "content", "role", "turn"))
+    further = F.transform(further, lambda e: F.struct(e["key"].alias("key"), _inside(F.to_json(F.map_from_arrays(F.array(e["key"]), F.array(e["value"])))).alias("json")))
+    return rows.select("message", "conv_id", "turn", "role", F.when(special, F.col("inner")).otherwise(F.col("text")).alias("content"), "calls", "result_of", F.when(special & (F.size(further) > 0), further).alias("further"))
+
+
+def _with_parsed_arguments(call: Column) -> Column:
+    """A call whose arguments, if they are a string, are the object that it holds."""
+    given = call["arguments"]
+    read = F.try_parse_json(F.try_variant_get(given, "$", "string"))
+    is_object = F.coalesce(F.schema_of_variant(given) == "STRING", F.lit(False)) & F.coalesce(F.schema_of_variant(read).startswith("OBJECT"), F.lit(False))
+    return F.struct(call["id"].alias("id"), call["name"].alias("name"), F.when(is_object, read).otherwise(given).alias("arguments"))
+
+
+def _inside(json: Column) -> Column:
+    """The text between an object's braces."""
+    return F.substring(json, F.lit(2), F.length(json) - 2)
 
 
 def checked_calls(rows: DataFrame, schemas: DataFrame | None = None) -> DataFrame:
@@ -152,6 +171,11 @@ def format_messages(conversations: DataFrame, schemas: DataFrame | None = None)
         F.transform("calls", lambda c: F.struct(c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name"))).alias("tool_calls"),
         "turn",
     )
+    # with further keys the parts are put together by their names
+    own_parts = [F.struct(F.lit(n).alias("key"), _inside(F.to_json(F.struct(F.col(f"ready.{n}")))).alias("json")) for n in ("content", "role", "tool_call_id", "tool_calls", "turn")]
+    parts = F.array_sort(F.filter(F.concat(F.array(*own_parts), F.col("further")), lambda x: x["json"] != ""))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda x: x["json"]), ","), F.lit("}"))
+    every = every.withColumn("ready", ready)
     return every.select(
         "conv_id",
         "turn",
@@ -161,5 +185,5 @@ def format_messages(conversations: DataFrame, schemas: DataFrame | None = None)
         "linked_turn",
         F.coalesce(F.size("calls"), F.lit(0)).alias("n_calls"),
         F.concat_ws("; ", F.when(F.col("call_problems") != "", F.col("call_problems")), orphan, F.when(in_cycle, F.lit("cycle"))).alias("problems"),
-        F.to_json(ready).alias("json"),
+        F.when(F.col("further").isNotNull(), whole).otherwise(F.to_json("ready")).alias("json"),
     )

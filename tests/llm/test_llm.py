@@ -616,6 +616,20 @@ def test_chat_chains(spark):
     assert (late["linked_turn"], late["problems"], json.loads(late["json"])["content"]) == (1, "", "late")
 
 
+def test_chat_keeps_every_key(spark):
+    """Further keys stay in canonical order, arguments in a string are read, very long texts pass."""
+    told = {"tool_calls": [{"id": "a", "name": "search", "arguments": '{"query":"x","limit":3}'}, {"id": "b", "name": "search", "arguments": "no object"}], "name": "bob", "zeta": {"b": [1, None], "a": "é"}, "alpha": None, "role": "other", "turn": 99}
+    long = "y" * 1_000_000
+    rows = [(1, 0, "assistant", json.dumps(told)), (1, 1, "tool", json.dumps({"tool_call_id": "a", "content": long, "name": "search", "at": 1.5})), (1, 2, "user", long), (1, 3, "user", json.dumps({"name": "plain"}))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r["turn"]: r for r in chat.format_messages(df, spark.createDataFrame(queries.TOOLS, chat.SCHEMA_COLUMNS)).collect()}
+    assert out[0]["problems"] == "missing query"
+    calls = [{"arguments": {"limit": 3, "query": "x"}, "id": "a", "name": "search"}, {"arguments": "no object", "id": "b", "name": "search"}]
+    assert out[0]["json"] == json.dumps({"alpha": None, "name": "bob", "role": "assistant", "tool_calls": calls, "turn": 0, "zeta": {"a": "é", "b": [1, None]}}, separators=(",", ":"), ensure_ascii=False)
+    assert out[1]["json"] == json.dumps({"at": 1.5, "content": long, "name": "search", "role": "tool", "tool_call_id": "a", "turn": 1}, separators=(",", ":"))
+    assert json.loads(out[2]["json"]) == {"content": long, "role": "user", "turn": 2} and json.loads(json.loads(out[3]["json"])["content"]) == {"name": "plain"}
+
+
 def chat_places(rows):
     """after, step, linked turn and problems of every message, one conversation after another, by following links."""
     calls = {}
