@@ -407,6 +407,18 @@ def test_quality_by_hand(spark):
     assert [r["score"] for r in rows if r["doc_id"] == 2] == [pytest.approx(fitted.base)] and len({r["score"] for r in rows if r["doc_id"] == 1}) == 2
 
 
+def test_quality_of_equal_texts():
+    """A row has one score to the last bit, alone, in a full block, and anywhere in one."""
+    rng = np.random.default_rng(17)
+    vectors = rng.normal(size=(900, 48)).astype(np.float32)
+    model = quality.QualityModel(0.4, rng.random(quality.FEATURES).astype(np.float32), rng.normal(size=(quality.FEATURES, 48)).astype(np.float32), vectors / np.linalg.norm(vectors, axis=1, keepdims=True), rng.integers(0, 2, 900).astype(float))
+    x = rng.random((700, quality.FEATURES)).astype(np.float32)
+    whole = model.score(x)
+    for part in (range(1), range(1, 4), range(5, 260), range(250, 700), range(699, 700)):
+        assert np.array_equal(model.score(x[list(part)]), whole[list(part)])
+    assert np.array_equal(model.score(x[rng.permutation(700)[:300]][:0]), np.empty(0))
+
+
 def test_toxicity_by_hand(spark):
     """The score is the noisy-or of the heaviest term of each word; edge cases through Spark."""
     chars = toxicity.CharModel(np.ones(729))
