@@ -347,4 +347,7 @@ def variants(docs: DataFrame, most_group: int = MOST_GROUP) -> DataFrame:
         spent = [links]
         if links.filter("moved").isEmpty():
             break
-    return table.join(links.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    out = table.join(links.select("word", "root"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    out = store.keep(out, "spelling-variants", small=True)
+    store.drop(table, links)
+    return out

@@ -26,8 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return place
 
 
+#: Folders that this process has named and not deleted.
+_named: set[str] = set()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _named.add(path)
+    return path
 
 
 #: Shuffle partitions that make one file of a table of a few bytes for each document.
@@ -49,9 +55,25 @@ def keep(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    _named.discard(path)
+
+
 def drop(*kept: DataFrame) -> None:
     """Delete tables of ``keep`` from which nothing that is still to be computed reads."""
     for df in kept:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, df.kept_at)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete every folder that this process has named and not deleted yet, and say how many.
+
+    A result is read from such folders when it is computed: call this once all
+    results are written or collected.
+    """
+    left = list(_named)
+    for path in left:
+        _delete(spark, path)
+    return len(left)

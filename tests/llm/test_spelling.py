@@ -112,3 +112,13 @@ def test_wavelet_tree():
         for q in range(50):
             a, b, c, d = box[:, q]
             assert sorted(value[which == q]) == sorted(v for v in values[a:b] if c <= v < d)
+
+
+def test_folders_left(spark):
+    """A finished run leaves its result alone, and that goes when asked."""
+    from lemmaforge.llm import store
+
+    store.clear(spark)
+    docs = spark.createDataFrame([(1, "aaaaa aaaaa aaaaa bbbbb bbbbb bbbbb", "", 0)], SCHEMA)
+    assert spelling.variants(docs).count() == 2
+    assert len(store._named) == 1 and store.clear(spark) == 1 and store.clear(spark) == 0
