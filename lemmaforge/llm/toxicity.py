@@ -73,8 +73,8 @@ COST_LOOKALIKE, COST_MARK, COST_SIGN, COST_REPEAT = 1.0, 0.5, 5.0, 0.7
 COST_EDGE = 2.0
 #: Readings that list decoding keeps, and nats that they may lie below the best.
 LISTED, MARGIN = 6, 6.0
-#: Tokens up to so many letters are remembered.
-KNOWN_LETTERS = 64
+#: Tokens that are remembered, up to so many letters.
+KNOWN, KNOWN_LETTERS = 200_000, 64
 #: Characters of a run that are decoded at a time, and how many two such windows share.
 WINDOW, SHARED = 2048, 256
 #: Letters of other scripts by the Latin ones that they look like.
@@ -97,6 +97,16 @@ class CharModel:
         #: Of ending a word; after its start or a letter outside a-z it costs nothing.
         self.ends = [0.0, *self.log[1:, 0].tolist()]
         self.memo: dict[str, tuple[str, ...]] = {}
+        #: Words of one reading that were met.
+        self.plain: set[str] = set()
+
+    @staticmethod
+    def remember(known: set[str], word: str) -> None:
+        """Keep a word of bounded size among at most KNOWN ones."""
+        if len(word) <= KNOWN_LETTERS:
+            if len(known) >= KNOWN:
+                known.clear()
+            known.add(word)
 
     def decode(self, run: str) -> str:
         """The likeliest reading of ``run``, its words parted by blanks; a long run is decoded in windows."""
@@ -107,7 +117,7 @@ class CharModel:
         """The words that may stand behind one blank-free token: as it is, as disguised, and those of its parts."""
         if token in self.memo:
             return self.memo[token]
-        if len(self.memo) > 100_000:
+        if len(self.memo) > KNOWN:
             self.memo.clear()
         if token.isalpha():
             out = {token} | self._thinned(token)
@@ -310,10 +320,11 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel(counts)
 
 
-def spaced(tokens: list[str]) -> Iterator[tuple[int, int]]:
+def spaced(tokens: list[str], distinct: Iterable[str] | None = None) -> Iterator[tuple[int, int]]:
     """Bounds of the runs of two tokens or more that are single characters, three at least, a letter among them."""
+    single = {x for x in (tokens if distinct is None else distinct) if (len(x) == 1 or not x.isalnum()) and _single(x)}
     start, last = -1, -2
-    for i in [*(i for i, x in enumerate(tokens) if (len(x) == 1 or not x.isalnum()) and _single(x)), len(tokens) + 1]:
+    for i in [*(i for i, x in enumerate(tokens) if x in single), len(tokens) + 1] if single else ():
         if i != last + 1:
             if last > start >= 0:
                 run = "".join(tokens[start : last + 1])
@@ -338,14 +349,18 @@ def folded(token: str) -> str:
 def restored(text: str, model: CharModel, tokens: list[str] | None = None) -> set[str]:
     """The distinct words of the restored text; ``tokens`` are its lower-cased ones where they are known."""
     tokens = text.lower().split() if tokens is None else tokens
-    out: set[str] = set()
-    for token in {x.strip(MARKS) for x in set(tokens)}:
-        for x in (token,) if token.isascii() else {token, folded(token)}:
-            if x.isalpha() and not _DOUBLE.search(x):
-                out.add(x)
-            elif x:
-                out.update(model.words(x))
-    for i, j in spaced(tokens):
+    distinct = set(tokens)
+    bare = {x.strip(MARKS) for x in distinct}
+    if not text.isascii():
+        bare |= {folded(x) for x in bare if not x.isascii()}
+    out = bare & model.plain
+    for token in bare - out:
+        if token.isalpha() and not _DOUBLE.search(token):
+            out.add(token)
+            model.remember(model.plain, token)
+        elif token:
+            out.update(model.words(token))
+    for i, j in spaced(tokens, distinct):
         run = " ".join(tokens[i:j])
         for edges in (True, False):
             out |= model.readings(run, edges) | model.readings(run, edges, COST_SIGN)
@@ -407,25 +422,32 @@ class ToxicityModel:
 
     def __post_init__(self):
         self.heads = {t[:3] for t in self.weights}
-        self.apart_heads = {t[:3] for t in self.apart}
+        #: Beginnings of the words that count when they are written apart.
+        self.starts = {t[:n] for t in self.apart for n in range(1, len(t))}
+        #: Words without a term that were met.
+        self.bare: set[str] = set()
 
     def score(self, text: str) -> float:
         clean = 1.0 - self.base
         tokens = text.lower().split()
-        found = {w for w in restored(text, self.chars, tokens) if w[:3] in self.heads}
-        for w in sorted(found):
-            clean *= 1.0 - max((self.weights.get(t, 0.0) for t in terms_of([w])), default=0.0)
-        for w in sorted(self._written_apart(tokens) - found):
-            clean *= 1.0 - self.weights[w]
+        found = restored(text, self.chars, tokens)
+        for w in sorted(found - self.bare):
+            weight = max((self.weights.get(t, 0.0) for t in terms_of([w])), default=0.0) if w[:3] in self.heads else 0.0
+            clean *= 1.0 - weight
+            if not weight:
+                CharModel.remember(self.bare, w)
+        if self.apart:
+            for w in sorted(self._written_apart(text, tokens) - found):
+                clean *= 1.0 - self.weights[w]
         return 1.0 - clean
 
-    def _written_apart(self, tokens: list[str]) -> set[str]:
+    def _written_apart(self, text: str, tokens: list[str]) -> set[str]:
         """Words that two neighbouring tokens make, or a token with masked letters may stand for."""
-        if not self.apart:
-            return set()
-        heads = self.apart_heads
-        out = {w for a, b in zip(tokens, tokens[1:], strict=False) if (a + b).lstrip(EDGE)[:3] in heads and (w := (a + b).strip(EDGE)) in self.apart}
-        for token in {x for x in tokens if "*" in x or "#" in x}:
+        starts, out = self.starts, set()
+        for i in [i for i, x in enumerate(tokens) if x in starts or (x[0] in EDGE and x.lstrip(EDGE) in starts)]:
+            if i + 1 < len(tokens) and (w := (tokens[i] + tokens[i + 1]).strip(EDGE)) in self.apart:
+                out.add(w)
+        for token in {x for x in tokens if "*" in x or "#" in x} if "*" in text or "#" in text else ():
             if _MASKED.fullmatch(token := token.strip(EDGE)):
                 shape = re.compile(re.sub("[*#]", ".", token))
                 out.update(w for w in self.apart if shape.fullmatch(w))
