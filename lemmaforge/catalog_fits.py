@@ -347,3 +347,51 @@ m AS (SELECT c, k, bit_and(bits) AS closure, sum(n) AS support FROM c JOIN s ON
 SELECT CAST(min(k) AS INTEGER) AS arity, closure, CAST(any_value(support) AS BIGINT) AS support FROM m GROUP BY closure"""
 QUERIES["closed_hypotheses"] = closed_hypotheses
 SQL["closed_hypotheses"] = CLOSED_SQL
+
+
+def _mixed_objects(spark: SparkSession, sf: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("l_quantity").cast("double")).alias("t"), F.max(F.col("l_quantity").cast("double")).alias("high"), F.min(F.col("l_quantity").cast("double")).alias("low"), (F.count_if(F.col("l_returnflag") == "R") > 0).alias("returned"))
+    return lines.repartition(4, "l_orderkey")
+
+
+def mixed_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixed forms of orders' lines, plain and squared: side, columns, mean slack and rows met of the chosen variant of each."""
+    df = _mixed_objects(spark, sf)
+    pool = {c: Col(c) for c in ("high", "n")}
+    made = [(sq, s) for sq in (False, True) for s in fits.mixed(df, Col("t"), pool, [TRUE, Flag("returned")], squares=sq)]
+    met = evaluate(df, [s for _, s in made])
+    rows = [(sq, s.hypothesis.label(), s.conclusion.op, ",".join(sorted(s.conclusion.b.columns())), round(met[i]["avg_slack"], 4), met[i]["support"], met[i]["violations"]) for i, (sq, s) in enumerate(made)]
+    return spark.createDataFrame(rows, "squared boolean, hypothesis string, side string, columns string, slack double, support long, violations long")
+
+
+def _mixed_sql() -> str:
+    """Every choice of two columns: slopes from the ends of the ratios as near fractions, three variants measured, the nearest true one kept."""
+    base = "o AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(l_quantity) AS DOUBLE) AS t, CAST(max(l_quantity) AS DOUBLE) AS high, CAST(min(l_quantity) AS DOUBLE) AS low, count(*) FILTER (l_returnflag = 'R') > 0 AS returned FROM lineitem GROUP BY l_orderkey)"
+    hyps = (("TRUE", "TRUE"), ("returned", "returned"))
+    plain, ends, forms = ("high", "n"), [], []
+    second = {False: {c: (f"sqrt({c})", f"sqrt({c})") for c in plain}, True: {c: (f"{c} * {c}", f"({c} ** 2)") for c in plain}}
+    values = [(c, c) for c in plain] + [(f"r_{c}", second[False][c][0]) for c in plain] + [(f"q_{c}", second[True][c][0]) for c in plain]
+    for h, cond in hyps:
+        for name, x in values:
+            ends.append(f"SELECT '{h}' AS h, '{name}' AS v, min(t / ({x})) FILTER (({x}) > 0) AS lo, max(t / ({x})) FILTER (({x}) > 0) AS hi, count(*) FILTER (({x}) > 0) AS rows, count(*) FILTER (({x}) <= 0) AS bad FROM o WHERE {cond}")
+    sides = "sides AS (SELECT h, v, '>=' AS side, lo AS c FROM ends WHERE rows >= 8 AND bad = 0 UNION ALL SELECT h, v, '<=', hi FROM ends WHERE rows >= 8 AND bad = 0)"
+    near = "near AS (SELECT h, v, side, round(c * q) / q AS c FROM sides, (SELECT unnest(range(1, 21)) AS q) QUALIFY row_number() OVER (PARTITION BY h, v, side ORDER BY abs(round(c * q) / q - c), q) = 1)"
+    for sq in (False, True):
+        for h, cond in hyps:
+            for x in plain:
+                for y in plain:
+                    for side in (">=", "<="):
+                        sql, label = second[sq][y]
+                        name = ("q_" if sq else "r_") + y
+                        # terms stand in order of their labels
+                        terms = [p for _, p in sorted([(x, f"(c.c / 2) * {x}"), (label, f"(d.c / 2) * ({sql})")])]
+                        whole = f"0.0::DOUBLE + {terms[0]} + {terms[1]}"
+                        fn, parts = ("ceil", f"ceil((c.c / 2) * {x}) + ceil((d.c / 2) * ({sql})) - 1") if side == ">=" else ("floor", f"floor((c.c / 2) * {x}) + floor((d.c / 2) * ({sql}))")
+                        gap = lambda v, side=side: f"t - ({v})" if side == ">=" else f"({v}) - t"
+                        for k, v in enumerate((whole, f"{fn}({whole})", parts)):
+                            forms.append(f"SELECT {len(forms) // 3} AS g, {k} AS k, {str(sq).upper()} AS squared, '{h}' AS hypothesis, '{side}' AS side, CASE WHEN any_value(c.c) = 0 THEN '{y}' WHEN any_value(d.c) = 0 THEN '{x}' ELSE '{','.join(sorted({x, y}))}' END AS columns, avg({gap(v)}) AS slack, count(*) AS support, count(*) FILTER ({gap(v)} < 0) AS violations FROM o, near c, near d WHERE {cond} AND c.h = '{h}' AND d.h = '{h}' AND c.v = '{x}' AND d.v = '{name}' AND c.side = '{side}' AND d.side = '{side}' AND abs(c.c) <= 4 AND abs(d.c) <= 4 AND (c.c <> 0 OR d.c <> 0) HAVING count(*) > 0")
+    return f"WITH {base}, ends AS ({' UNION ALL '.join(ends)}), {sides}, {near}, f AS ({' UNION ALL '.join(forms)}) SELECT squared, hypothesis, side, columns, round(slack, 4) AS slack, support, violations FROM f WHERE violations = 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY slack, k) = 1"
+
+
+QUERIES["mixed_forms"] = mixed_forms
+SQL["mixed_forms"] = _mixed_sql()
