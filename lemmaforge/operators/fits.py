@@ -66,11 +66,17 @@ TIE = 1e-9
 CHUNK = 2_000
 
 
+#: Rows that a candidate holds before those that its form does not rest on are let go.
+HELD = 600
+
+
 def _outermost(points: np.ndarray, gap: np.ndarray) -> np.ndarray:
-    """Places of the rows that a form is to be fitted to next: the most violated one, and the outermost ones in each feature."""
+    """Places of the rows that a form is to be fitted to next: the most violated one, the outermost ones in each feature, and of these directions' halves the most violated."""
     at = [gap.argmax()]
     for x in points[:, :-1].T:
         at += [x.argmin(), x.argmax()]
+        middle = (x.min() + x.max()) / 2
+        at += [np.where(x <= middle, gap, -np.inf).argmax(), np.where(x >= middle, gap, -np.inf).argmax()]
     return np.unique(at)
 
 
@@ -100,7 +106,7 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
 
     Rows are exchanged: each candidate holds a few, its form is the optimum over
     them, and a pass over all rows adds the outermost violated ones.  Held rows
-    are let go only when the optimum's value has grown, so either that grows or
+    are let go (beyond HELD) only when the optimum's value has grown, so either that grows or
     more rows are held: no set comes back, and passes end when no row that is
     not held is violated by more than rounding.  Where a form is not the only
     best one, raised costs (TIE) choose, hence the same in any partitioning.
@@ -178,7 +184,6 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
 
             def exchanged(group: pd.DataFrame) -> pd.DataFrame:  # noqa: B023  runs within this pass
                 """A candidate's form over what it holds and the new rows, and what it holds now; no rows where nothing is new or the form stays."""
-                group = narrowed(group)
                 key = (int(group["i"].iloc[0]), bool(group["up"].iloc[0]))
                 before = base.get(key, np.empty((0, len(cands[key[0]].features) + 1)))
                 pts = np.unique(np.vstack([before, np.array(group["p"].tolist())]), axis=0)
@@ -187,7 +192,7 @@ def fit(df: DataFrame, target: Expr, features: Sequence[Expr], hyps: Sequence[Pr
                     return pd.DataFrame([(*key, False, [], [])], columns=["i", "up", "ended", "x", "p"])
                 grown = key in now and (1 if key[1] else -1) * float(costs[key[0]] @ (got[0] - now[key])) > 1e-12 * (1 + abs(float(costs[key[0]] @ now[key])))
                 ended = key in now and len(pts) == len(before)
-                return pd.DataFrame([(*key, ended, got[0].tolist(), (pts[got[1]] if grown else pts).ravel().tolist())], columns=["i", "up", "ended", "x", "p"])
+                return pd.DataFrame([(*key, ended, got[0].tolist(), (pts[got[1]] if grown and len(pts) > HELD else pts).ravel().tolist())], columns=["i", "up", "ended", "x", "p"])
 
             # violated rows come from every task: FAN_IN groups of a candidate each hand on the outermost ones
             rows = m.mapInPandas(violated, "i int, up boolean, gap double, p array<double>").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(FAN_IN)))
