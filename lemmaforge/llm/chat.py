@@ -10,8 +10,11 @@ Order: a result belongs behind its call whatever its turn says.  Each message
 gets a place (``after``, ``step``, ``turn``): a message that links to nothing
 has its own turn and step 0, a result its own turn and step 1 if that is later
 than ``after`` of its call, or else its call's ``after`` and the next step.  A
-result that makes calls hands its place on to their results; places go along
-such chains in rounds, one for each link, over the chained calls alone.  Sorting
+result that makes calls hands its place on to their results; what a run of such
+links does to a place is three numbers, so chains are followed by pointer
+doubling, a round for each doubling of the longest, over the chained calls
+alone (and a round more for each call along a chain that several messages make
+at one turn).  Sorting
 a conversation by place is a topological order of calls and results that keeps
 the turns' order otherwise; no task needs to hold a conversation for it.
 Messages that are results of each other's calls have no such order: they are
@@ -38,7 +41,7 @@ names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import store
@@ -103,6 +106,36 @@ def checked_calls(rows: DataFrame, schemas: DataFrame | None = None) -> DataFram
     return calls.withColumn("problem", problem).drop("params")
 
 
+#: Below every turn.
+_LOW = -(1 << 63)
+
+
+def _contracted(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls with one parent, each moved up to where its chain ends, and those whose chain does not.
+
+    From place (after, step) of what a call hangs on, its links lead to
+    (top, last) if top is later than after, else to (after, step + links).
+    """
+    lone = links.withColumn("parents", F.count("*").over(Window.partitionBy("conv_id", "id"))).filter("parents = 1")
+    chains = store.keep(lone.select("conv_id", "id", F.col("parent").alias("up"), F.coalesce("turn", F.lit(_LOW)).alias("top"), F.lit(1).alias("last"), F.lit(1).alias("links"), "place"), "chat-chains")
+    rounds = max(1, chains.count()).bit_length() + 1
+    for _ in range(rounds):
+        above = chains.select("conv_id", F.col("id").alias("up"), *[F.col(c).alias(f"{c}_above") for c in ("up", "top", "last", "links", "place")])
+        open_ = chains.filter("place IS NULL").join(above, ["conv_id", "up"], "left")
+        moved = F.col("links_above").isNotNull()
+        later = F.col("top") > F.col("top_above")
+        step = open_.select(
+            "conv_id", "id", F.coalesce("up_above", "up").alias("up"), F.greatest("top", "top_above").alias("top"), F.when(moved & ~later, F.col("last_above") + F.col("links")).otherwise(F.col("last")).alias("last"),
+            (F.col("links") + F.coalesce("links_above", F.lit(0))).alias("links"), F.col("place_above").alias("place"), moved.alias("moved"),
+        )
+        spent = chains
+        chains = store.keep(chains.filter("place IS NOT NULL").withColumn("moved", F.lit(False)).unionByName(step), "chat-chains")
+        store.drop(spent)
+        if chains.filter("moved").isEmpty():
+            break
+    return chains.drop("moved"), chains.filter("moved")
+
+
 def chained_places(rows: DataFrame, by_id: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """Places (conv_id, result_of, call_after, call_step) of the calls that results make, and messages in a cycle.
 
@@ -120,11 +153,19 @@ def chained_places(rows: DataFrame, by_id: DataFrame) -> tuple[DataFrame, DataFr
     links = store.keep(links.join(inner, ["conv_id", "parent"], "left").withColumn("place", first).drop("inner"), "chat-open")
     settled, cycles = [], []
     while not links.isEmpty():
+        chains, ended = _contracted(links)
+        own = F.when(F.col("top") > F.coalesce("place.after", F.lit(_LOW)), F.struct(F.col("top").alias("after"), F.col("last").alias("step"))).otherwise(F.struct(F.col("place.after").alias("after"), (F.col("place.step") + F.col("links")).alias("step")))
+        ready = chains.filter("place IS NOT NULL").select("conv_id", "id", own.alias("own"))
+        # calls that several messages make at one turn wait for all of them
+        many = links.join(chains.select("conv_id", "id"), ["conv_id", "id"], "left_anti")
         after, step = F.col("place.after"), F.col("place.step")
-        own = F.struct(F.greatest("turn", after).alias("after"), F.when(F.col("turn") > after, 1).otherwise(step + 1).alias("step"))
-        ready = store.keep(links.withColumn("own", own).groupBy("conv_id", "id").agg(F.max("own").alias("own"), F.count_if(F.col("place").isNull()).alias("waiting")).filter("waiting = 0").select("conv_id", "id", "own"), "chat-places")
+        each = F.struct(F.greatest("turn", after).alias("after"), F.when(F.col("turn") > after, 1).otherwise(step + 1).alias("step"))
+        ready = ready.unionByName(many.withColumn("own", each).groupBy("conv_id", "id").agg(F.max("own").alias("own"), F.count_if(F.col("place").isNull()).alias("waiting")).filter("waiting = 0").select("conv_id", "id", "own"))
+        ready = store.keep(ready, "chat-places")
         if ready.isEmpty():
             ring, n, before = store.keep(links.filter("place IS NULL"), "chat-cycle"), -1, -2
+            if many.isEmpty():  # then pointers that never ended have come to the ring itself
+                ring = store.keep(ring.join(ended.select("conv_id", F.col("up").alias("id")).distinct(), ["conv_id", "id"], "left_semi"), "chat-cycle")
             while n != before:
                 ring = store.keep(ring.join(ring.select("conv_id", F.col("parent").alias("id")).distinct(), ["conv_id", "id"], "left_semi"), "chat-cycle")
                 before, n = n, ring.count()

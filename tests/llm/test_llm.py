@@ -628,6 +628,27 @@ def test_chat_chains(spark):
     assert (late["linked_turn"], late["problems"], json.loads(late["json"])["content"]) == (1, "", "late")
 
 
+def test_chat_long_chains(spark):
+    """A chain of 150 links with turns up and down, a call made twice at one turn, and a tail behind a cycle, in few rounds."""
+    rng = random.Random(18)
+    text = lambda of, *ids: json.dumps(({"tool_call_id": of} if of else {}) | {"tool_calls": [{"id": i, "name": "search", "arguments": {}} for i in ids]})
+    turns = [rng.randrange(100) for _ in range(150)]
+    rows = [(1, t, "tool", text(f"c{k - 1}" if k else None, f"c{k}")) for k, t in enumerate(turns)]
+    rows += [(2, 5, "a", text(None, "x")), (2, 3, "b", text(None, "y")), (2, 9, "c", text("x", "z")), (2, 9, "d", text("y", "z")), (2, 4, "e", text("z", "w"))]
+    rows += [(3, 1, "t", text("q", "p")), (3, 2, "t", text("p", "q")), *((3, 3 + k, "t", text(f"t{k - 1}" if k else "q", f"t{k}")) for k in range(20))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = chat.format_messages(df).collect()
+    place, want = {(r["conv_id"], r["turn"], r["role"], r["linked_turn"]): (r["after"], r["step"]) for r in out}, []
+    at = (turns[0], 0)
+    for k, t in enumerate(turns[1:], 1):
+        at = (t, 1) if t > at[0] else (at[0], at[1] + 1)
+        want.append((1, t, "tool", turns[k - 1], *at))
+    assert sorted(want) == sorted((*key, r["after"], r["step"]) for r in out if r["conv_id"] == 1 and r["linked_turn"] is not None for key in [(1, r["turn"], "tool", r["linked_turn"])])
+    assert place[2, 4, "e", 9] == (9, 2) and {r["turn"] for r in out if r["conv_id"] == 3 and "cycle" in r["problems"]} == {1, 2}
+    tail = sorted((r["turn"], r["after"], r["step"]) for r in out if r["conv_id"] == 3 and r["turn"] > 2)
+    assert tail == [(3 + k, 3 + k, 1) for k in range(20)]
+
+
 def test_chat_keeps_every_key(spark):
     """Further keys stay in canonical order, arguments in a string are read, very long texts pass."""
     told = {"tool_calls": [{"id": "a", "name": "search", "arguments": '{"query":"x","limit":3}'}, {"id": "b", "name": "search", "arguments": "no object"}], "name": "bob", "zeta": {"b": [1, None], "a": "é"}, "alpha": None, "role": "other", "turn": 99}
