@@ -191,13 +191,13 @@ PRUNED_SQL = "SELECT h AS hypothesis, CAST(count(DISTINCT c) + max(extra) AS INT
 
 
 def sources_and_sinks(spark: SparkSession, sf: str) -> DataFrame:
-    """The same parts by CSV with and without a schema, from memory, and through a session that got a row more and was reset."""
+    """All parts by CSV with and without a schema, their prices by size from memory, and all through a session that got a row more and was reset."""
     df = read(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
     path = scratch(spark)
     df.write.option("header", True).csv(path)
-    small = df.orderBy("p_partkey").limit(20)
-    memory = tables.memory_table(spark, {c: [r[c] for r in small.collect()] for c in small.columns})
-    session = Session(small)
+    sizes = df.groupBy("p_size").agg(F.sum("p_retailprice").alias("p_retailprice")).toPandas()  # fifty sizes
+    memory = tables.memory_table(spark, {c: sizes[c].tolist() for c in sizes})
+    session = Session(df)
     session.append_row({"p_partkey": -1, "p_size": 1, "p_retailprice": 2.0})
     rows = [("csv", tables.csv_table(spark, path)), ("csv with schema", tables.csv_table(spark, path, "p_partkey long, p_size int, p_retailprice double")), ("memory", memory), ("appended", session.df)]
     session.reset()
@@ -209,8 +209,8 @@ def sources_and_sinks(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-_TWENTY = "(SELECT * FROM part ORDER BY p_partkey LIMIT 20)"
-SOURCES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) + {k} AS rows, CAST(sum(p_size) + {k} AS BIGINT) AS sizes, round(sum(p_retailprice) + {2 * k}, 4) AS prices FROM {t}" for n, t, k in (("csv", "part", 0), ("csv with schema", "part", 0), ("memory", _TWENTY, 0), ("appended", _TWENTY, 1), ("reset", _TWENTY, 0)))
+_SIZES = "(SELECT p_size, sum(p_retailprice) AS p_retailprice FROM part GROUP BY p_size)"
+SOURCES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) + {k} AS rows, CAST(sum(p_size) + {k} AS BIGINT) AS sizes, round(sum(p_retailprice) + {2 * k}, 4) AS prices FROM {t}" for n, t, k in (("csv", "part", 0), ("csv with schema", "part", 0), ("memory", _SIZES, 0), ("appended", "part", 1), ("reset", "part", 0)))
 
 
 def edge_lists(spark: SparkSession, sf: str) -> DataFrame:
