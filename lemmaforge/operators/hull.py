@@ -10,7 +10,7 @@ are in the hull of the corners, and that is theirs.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Hashable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import solve
 
+Key = Hashable
 #: Of points scaled to the corners' extents: distance beyond a facet that counts.
 BEYOND = 1e-9
 #: Rows compared with all facets at once.
@@ -110,3 +111,46 @@ def corners(points: DataFrame, start: np.ndarray | None = None) -> np.ndarray:
         if spanned:  # rows inside stay inside
             rest = outside.persist()
             kept.append(rest)
+
+
+def corners_many(rows: DataFrame, points_of: Callable[[pd.DataFrame, Key], np.ndarray], sizes: Mapping[Key, int], start: Mapping[Key, np.ndarray]) -> dict[Key, np.ndarray]:
+    """``corners`` of many sets of points at once: a pass for all of them, until none has a row beyond a facet.
+
+    ``points_of(frame, key)`` are a set's points in some rows, of as many
+    columns as ``sizes`` says; ``start`` has corners known before.  A task hands
+    on the farthest row beyond each facet, so its result has no more rows than
+    there are facets.
+    """
+    held = {k: start.get(k, np.empty((0, d))) for k, d in sizes.items()}
+    open_ = list(sizes)
+    while open_:
+        now = []
+        for k in open_:
+            d = sizes[k]
+            # without corners: the farthest along every axis
+            now.append((np.vstack([np.eye(d), -np.eye(d)]), np.full(2 * d, -np.inf)) if not len(held[k]) else planes(held[k])[:2])
+
+        def farthest(frames: Iterable[pd.DataFrame], now=now, keys=tuple(open_)) -> Iterable[pd.DataFrame]:
+            best: dict[tuple[int, int], tuple[float, list[float]]] = {}
+            for frame in frames:
+                for i, k in enumerate(keys):
+                    points = points_of(frame, k)
+                    for lo in range(0, len(points), CHUNK):
+                        gaps = points[lo : lo + CHUNK] @ now[i][0].T - np.maximum(now[i][1], -1e300)
+                        at = gaps.argmax(axis=0)
+                        for f in np.flatnonzero(gaps.max(axis=0) > 0):
+                            found = (float(gaps[at[f], f]), points[lo + at[f]].tolist())
+                            best[i, int(f)] = max(found, best.get((i, int(f)), found))
+            yield pd.DataFrame([(i, f, g, p) for (i, f), (g, p) in best.items()], columns=["i", "f", "gap", "p"])
+
+        found = rows.mapInPandas(farthest, "i int, f int, gap double, p array<double>").groupBy("i", "f").agg(F.max_by("p", F.struct("gap", "p")).alias("p")).collect()
+        new: dict[Key, list] = {}
+        for r in found:
+            new.setdefault(open_[r["i"]], []).append(r["p"])
+        open_ = []
+        for k, points in new.items():
+            more = np.unique(np.vstack([held[k], np.array(points, float).reshape(-1, sizes[k])]), axis=0)
+            if len(more) > len(held[k]):
+                held[k] = more
+                open_.append(k)
+    return held

@@ -55,11 +55,9 @@ class Watched:
             if before is not None:
                 sums = self._merged(spark.read.parquet(f"{self._place(before)}/sums").unionByName(sums))
                 corners = self._corners(spark, before)
-            for h, c in self._broken(m, corners):
-                subset = self.subsets[c]
-                points = m.filter(F.substring("sig", h + 1, 1) == "1").select(*[f"f{j}" for j in subset], "y").dropna()
-                start = corners[h, c][0] if (h, c) in corners else None
-                corners[h, c] = (hull.corners(points, start), batch)
+            broken = self._broken(m, corners)
+            solved = hull.corners_many(m, self._points_of(), {k: len(self.subsets[k[1]]) + 1 for k in broken}, {k: corners[k][0] for k in broken if k in corners})
+            corners |= {k: (points, batch) for k, points in solved.items() if len(points)}
             place = self._place(batch)
             sums.coalesce(1).write.mode("overwrite").parquet(f"{place}/sums")
             found = [(h, c, solved, p.tolist()) for (h, c), (ps, solved) in sorted(corners.items()) for p in ps]
@@ -89,24 +87,32 @@ class Watched:
         how = {"n": F.sum, "s": F.sum, "lo": F.min, "hi": F.max}
         return parts.groupBy("sig").agg(*[how[c.split("_")[0]](c).alias(c) for c in parts.columns if c != "sig"])
 
+    def _points_of(self):
+        """Rows of the matrix as points (features, target) of a hypothesis and subset."""
+        subsets = self.subsets
+
+        def points(frame: pd.DataFrame, key: tuple[int, int]) -> np.ndarray:
+            h, c = key
+            x = frame.loc[frame["sig"].str[h] == "1", [*(f"f{j}" for j in subsets[c]), "y"]].to_numpy(dtype=float)
+            return x[np.isfinite(x).all(axis=1)]
+
+        return points
+
     def _broken(self, m: DataFrame, corners: dict) -> list[tuple[int, int]]:
         """Hypotheses and subsets with a row beyond their hull, or with rows and no hull yet: one pass for all."""
         known = {key: hull.planes(ps)[:2] for key, (ps, _) in corners.items()}
         keys = [(h, c) for h in range(len(self.hyps)) for c in range(len(self.subsets))]
-        subsets = self.subsets
+        points_of = self._points_of()
 
         def beyond(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
             found: set[int] = set()
             for frame in frames:
-                sig, x = frame["sig"], frame.iloc[:, 1:].to_numpy(dtype=float)
-                for i, (h, c) in enumerate(keys):
+                for i, key in enumerate(keys):
                     if i in found:
                         continue
-                    pts = x[(sig.str[h] == "1").to_numpy(dtype=bool)][:, [*(1 + j for j in subsets[c]), 0]]
-                    pts = pts[np.isfinite(pts).all(axis=1)]
-                    for lo in range(0, len(pts), hull.CHUNK):
-                        part = pts[lo : lo + hull.CHUNK]
-                        if (h, c) not in known or (part @ known[h, c][0].T > known[h, c][1]).any():
+                    points = points_of(frame, key)
+                    for lo in range(0, len(points), hull.CHUNK):
+                        if key not in known or (points[lo : lo + hull.CHUNK] @ known[key][0].T > known[key][1]).any():
                             found.add(i)
                             break
             yield pd.DataFrame({"i": sorted(found)})

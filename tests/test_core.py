@@ -459,6 +459,23 @@ def test_hull_by_farthest_rows(spark):
             again = hull.corners(df, found)
             assert np.array_equal(again, found), name
     assert len(hull.corners(spark.createDataFrame([], "x double, y double"))) == 0
+    # many sets of one table in passes of their own number, some with corners known before
+    points = rng.normal(size=(400, 3))
+    df = spark.createDataFrame(points.tolist(), "a double, b double, c double").repartition(4)
+    sets = {"all": ["a", "b", "c"], "two": ["c", "a"], "one": ["b"], "half": ["a", "b"]}
+
+    def points_of(frame, key):
+        return frame[frame["a"] > 0 if key == "half" else frame["a"] == frame["a"]][sets[key]].to_numpy(dtype=float)
+
+    many = hull.corners_many(df, points_of, {k: len(v) for k, v in sets.items()}, {"two": points[:4][:, [2, 0]]})
+    for k, v in sets.items():
+        own = points[points[:, 0] > 0] if k == "half" else points
+        want = own[:, ["abc".index(c) for c in v]]
+        if len(v) > 1:
+            key = lambda f: (*[round(float(x), 5) for x in f[0]], round(f[1], 5), f[2])
+            assert {key(f) for f in solve.facets(many[k])} == {key(f) for f in solve.facets(want)}, k
+        else:
+            assert many[k].min() == want.min() and many[k].max() == want.max()
 
 
 def test_lattice_by_closures(spark, monkeypatch):
