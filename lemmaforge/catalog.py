@@ -469,10 +469,44 @@ def mine_fast(spark: SparkSession, sf: str) -> DataFrame:
         return _mined(spark, df, [s for s, _ in Session(df, max_arity=1, min_touches=1, use_morgan=True, use_dalmatian=True).conjecture("qty", mode="fast", quick=False).statements])
 
 
-@query()
+def _packaged_sql() -> str:
+    """Ratio and least-slack bounds of each feature under each flag, the true ones that are somewhere sharper than the rest of their side, without those of a smaller hypothesis."""
+    hyps, features = ("is_final", "has_return"), ("n_lines", "max_line")
+    made = [f"{OBJ}, s AS (SELECT CAST(n_lines AS DOUBLE) AS n_lines, CAST(max_line AS DOUBLE) AS max_line, CAST(qty AS DOUBLE) AS t, is_final, has_return, row_number() OVER () AS id FROM obj)"]
+    rows = []
+    for h in hyps:
+        for x in features:
+            tag = f"{h}_{x}"
+            rows.append(f"SELECT '{h}' AS h, '{x}' AS x, '>=' AS side, 'ratio' AS kind, min(t / {x}) AS w, CAST(0 AS DOUBLE) AS b FROM s WHERE {h} AND {x} <> 0 UNION ALL SELECT '{h}', '{x}', '<=', 'ratio', max(t / {x}), 0 FROM s WHERE {h} AND {x} <> 0")
+            made.append(f"m_{tag} AS (SELECT avg({x}) AS c FROM s WHERE {h})")
+            for side, end, keep, sign in (("<=", "max", "min", 1), (">=", "min", "max", -1)):
+                one = f"{tag}_{end}"
+                made.append(f"r_{one} AS (SELECT {x} AS x, {end}(t) AS y FROM s WHERE {h} GROUP BY 1)")
+                made.append(f"e_{one} AS (SELECT (q.y - p.y) / (q.x - p.x) AS w, p.x AS x1, p.y AS y1 FROM r_{one} p JOIN r_{one} q ON p.x < q.x, m_{tag} WHERE p.x <= c AND q.x >= c)")
+                made.append(f"f_{one} AS (SELECT w, y1 - w * x1 AS b FROM e_{one} WHERE NOT EXISTS (SELECT 1 FROM r_{one} r WHERE {sign} * (r.y - w * r.x - y1 + w * x1) > 1e-9))")
+                # slopes and intercepts are whole numbers over differences of up to six lines
+                rows.append(f"SELECT '{h}', '{x}', '{side}', 'lp', round(arg_{keep}(w, w * c + b) * 60) / 60, round(arg_{keep}(b, w * c + b) * 60) / 60 FROM f_{one}, m_{tag}")
+    held = " OR ".join(f"(c.h = '{h}' AND s.{h})" for h in hyps)
+    value = "b + w * CASE x " + " ".join(f"WHEN '{x}' THEN {x}" for x in features) + " END"
+    made += [
+        f"cand AS ({' UNION ALL '.join(rows)})", f"v AS (SELECT c.*, id, t, {value} AS v FROM cand c JOIN s ON {held})",
+        "met AS (SELECT h, x, side, kind, any_value(w) AS w, any_value(b) AS b, count(*) AS support, count(*) FILTER (abs(v - t) <= 1e-12) AS touch, count(*) FILTER (CASE side WHEN '<=' THEN t > v ELSE t < v END) AS violations FROM v GROUP BY h, x, side, kind)",
+        "true_ AS (SELECT m.* FROM met m WHERE violations = 0)", "w_ AS (SELECT v.h, v.x, v.side, v.kind, v.id, CASE v.side WHEN '<=' THEN v.v ELSE -v.v END AS u FROM v JOIN true_ USING (h, x, side, kind))",
+        "low AS (SELECT h, side, id, min(u) AS u, count(*) FILTER (u = least_) AS n FROM (SELECT *, min(u) OVER (PARTITION BY h, side, id) AS least_ FROM w_) GROUP BY h, side, id)",
+        "sharp AS (SELECT DISTINCT w_.h, w_.x, w_.side, w_.kind FROM w_ JOIN low ON low.h = w_.h AND low.side = w_.side AND low.id = w_.id AND low.u = w_.u AND low.n = 1)",
+        "kept AS (SELECT t.* FROM true_ t JOIN sharp USING (h, x, side, kind))",
+        "inside AS (" + " UNION ALL ".join(f"SELECT '{g}' AS small, '{h}' AS large FROM s HAVING count(*) FILTER ({g} AND NOT {h}) = 0 AND count(*) FILTER ({h} AND NOT {g}) > 0" for g in hyps for h in hyps if g != h) + ")",
+    ]
+    return f"WITH {', '.join(made)} SELECT h AS hypothesis, side, x AS feature, round(w, 4) AS slope, round(b, 4) AS intercept, support, touch, violations FROM kept k WHERE NOT EXISTS (SELECT 1 FROM kept o JOIN inside i ON i.small = k.h AND i.large = o.h WHERE o.x = k.x AND o.side = k.side AND o.w = k.w AND o.b = k.b)"
+
+
+@query(_packaged_sql())
 def packaged_necessary(spark: SparkSession, sf: str) -> DataFrame:
     with held(_small(spark, sf)) as df:
-        return _mined(spark, df, necessary_bounds(df, "qty"))
+        found = necessary_bounds(df, "qty")
+        met = relation.evaluate(df, found)
+        rows = [(s.hypothesis.label(), s.conclusion.op, s.conclusion.b.terms[0][1].label(), round(float(s.conclusion.b.terms[0][0]), 4), round(float(s.conclusion.b.intercept), 4), met[i]["support"], met[i]["touch"], met[i]["violations"]) for i, s in enumerate(found)]
+    return spark.createDataFrame(rows, "hypothesis string, side string, feature string, slope double, intercept double, support long, touch long, violations long")
 
 
 @query()
