@@ -509,13 +509,35 @@ def packaged_necessary(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "hypothesis string, side string, feature string, slope double, intercept double, support long, touch long, violations long")
 
 
-@query()
+def _sufficient_sql() -> str:
+    """Ratio bounds outside each flag, the true ones that are somewhere sharper than the rest of their side; turned round, each covers a row that none before it does."""
+    flags, features = {"few": "n_lines <= 2", "many": "qty > 150"}, ("n_lines", "max_line")
+    base = f"{OBJ}, s AS (SELECT CAST(n_lines AS DOUBLE) AS n_lines, CAST(max_line AS DOUBLE) AS max_line, CAST(qty AS DOUBLE) AS t, {', '.join(f'({c}) AS {f}' for f, c in flags.items())}, row_number() OVER () AS id FROM obj)"
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS h, '{x}' AS x, '{side}' AS side, {fn}(t / {x}) AS w, {n} AS n FROM s WHERE NOT {f} AND {x} <> 0" for n, (x, f, side, fn) in enumerate((x, f, side, fn) for x in features for f in flags for side, fn in ((">=", "min"), ("<=", "max"))))
+    outside = " OR ".join(f"(c.h = '{f}' AND NOT s.{f})" for f in flags)
+    value = "w * CASE x " + " ".join(f"WHEN '{x}' THEN {x}" for x in features) + " END"
+    inside = " UNION ALL ".join(f"SELECT '{g}' AS small, '{h}' AS large FROM s HAVING count(*) FILTER (NOT {g} AND {h}) = 0 AND count(*) FILTER (NOT {h} AND {g}) > 0" for g in flags for h in flags if g != h)
+    parts = [
+        base, f"cand AS ({rows})", f"every AS (SELECT c.*, id, t, {value} AS v, {outside} AS given FROM cand c, s)",
+        "met AS (SELECT n, any_value(h) AS h, any_value(x) AS x, any_value(side) AS side, any_value(w) AS w, count(*) FILTER (given) AS support, count(*) FILTER (v = t) AS touch_all, count(*) FILTER (given AND CASE side WHEN '<=' THEN t > v ELSE t < v END) AS violations FROM every GROUP BY n)",
+        "w_ AS (SELECT e.h, e.side, e.n, e.id, CASE e.side WHEN '<=' THEN e.v ELSE -e.v END AS u FROM every e JOIN met m ON m.n = e.n AND m.violations = 0 WHERE given)",
+        "low AS (SELECT h, side, id, min(u) AS u, count(*) FILTER (u = least_) AS k FROM (SELECT *, min(u) OVER (PARTITION BY h, side, id) AS least_ FROM w_) GROUP BY h, side, id)",
+        "kept0 AS (SELECT * FROM met WHERE n IN (SELECT w_.n FROM w_ JOIN low USING (h, side, id) WHERE low.u = w_.u AND low.k = 1))", f"inside AS ({inside})",
+        "kept AS (SELECT *, row_number() OVER (ORDER BY touch_all DESC, support DESC, n) AS place FROM kept0 k WHERE NOT EXISTS (SELECT 1 FROM kept0 o JOIN inside i ON i.small = k.h AND i.large = o.h WHERE o.x = k.x AND o.side = k.side AND o.w = k.w))",
+        "turned AS (SELECT k.n, k.h, k.place, e.id FROM kept k JOIN every e ON e.n = k.n WHERE CASE e.side WHEN '<=' THEN e.t > e.v ELSE e.t < e.v END)",
+        "first_ AS (SELECT n FROM turned QUALIFY row_number() OVER (PARTITION BY h, id ORDER BY place) = 1)",
+    ]
+    return f"WITH {', '.join(parts)} SELECT h AS property, CASE side WHEN '<=' THEN '>' ELSE '<' END AS side, x AS feature, round(w, 4) AS slope, (SELECT count(*) FROM turned t WHERE t.n = k.n) AS support, CAST(0 AS BIGINT) AS violations FROM kept k WHERE n IN (SELECT n FROM first_)"
+
+
+@query(_sufficient_sql())
 def packaged_sufficient(spark: SparkSession, sf: str) -> DataFrame:
-    """Bounds of orders that are not urgent, or not short, turned round."""
+    """Bounds of orders that are not short, or not large, turned round."""
     df = order_objects(spark, sf).select("n_lines", "qty", "max_line", (F.col("n_lines") <= 2).alias("few"), (F.col("qty") > 150).alias("many"))
     found = sufficient_conditions(df, "qty")
     metrics = relation.evaluate(df, found)
-    return spark.createDataFrame([(s.hypothesis.label(), s.conclusion.label(), metrics[i]["support"], metrics[i]["violations"]) for i, s in enumerate(found)], "hypothesis string, conclusion string, support long, violations long")
+    rows = [(s.conclusion.label(), s.hypothesis.op, s.hypothesis.b.terms[0][1].label(), round(float(s.hypothesis.b.terms[0][0]), 4), metrics[i]["support"], metrics[i]["violations"]) for i, s in enumerate(found)]
+    return spark.createDataFrame(rows, "property string, side string, feature string, slope double, support long, violations long")
 
 
 def _lift_sql() -> str:
