@@ -463,10 +463,64 @@ def mine_subsets(spark: SparkSession, sf: str) -> DataFrame:
         return _mined(spark, df, [s for s, _ in found.statements])
 
 
-@query()
+def _mine_fast_sql() -> str:
+    """Constant, ratio and one-feature bounds of each hypothesis, rounded; per stage the true ones that are met, of the largest hypotheses, each sharper somewhere than those before it."""
+    hyps, features = (("TRUE", "TRUE"), ("has_return", "has_return"), ("is_final", "is_final")), ("n_lines", "max_line")
+    ctes = [f"{OBJ}, s AS (SELECT CAST(n_lines AS DOUBLE) AS n_lines, CAST(max_line AS DOUBLE) AS max_line, CAST(qty AS DOUBLE) AS t, is_final, has_return, row_number() OVER () AS id FROM obj), q20 AS (SELECT unnest(range(1, 21)) AS q)"]
+    constant, ratio, lp, n = [], [], [], 0
+    for h, cond in hyps:
+        for side, value in ((">=", "floor(min(t))"), ("<=", "ceil(max(t))")):
+            constant.append(f"SELECT {n} AS n, 0 AS stage, '{h}' AS h, '{side}' AS side, '' AS x, CAST(0 AS DOUBLE) AS w, CAST({value} AS DOUBLE) AS b FROM s WHERE {cond}")
+            n += 1
+    for h, cond in hyps:
+        for x in features:
+            for side, fn in ((">=", "min"), ("<=", "max")):
+                ratio.append(f"SELECT {n} AS n, '{h}' AS h, '{side}' AS side, '{x}' AS x, {fn}(t / {x}) AS c FROM s WHERE {cond} AND {x} > 0 HAVING count(*) >= 5")
+                n += 1
+    for h, cond in hyps:
+        for x in features:
+            tag = f"{h}_{x}"
+            ctes.append(f"m_{tag} AS (SELECT avg({x}) AS c, count(*) AS rows FROM s WHERE {cond})")
+            for side, end, keep, sign in ((">=", "min", "max", -1), ("<=", "max", "min", 1)):
+                one = f"{tag}_{end}"
+                ctes.append(f"r_{one} AS (SELECT {x} AS x, {end}(t) AS y FROM s WHERE {cond} GROUP BY 1), e_{one} AS (SELECT (q.y - p.y) / (q.x - p.x) AS w, p.x AS x1, p.y AS y1 FROM r_{one} p JOIN r_{one} q ON p.x < q.x, m_{tag} WHERE p.x <= c AND q.x >= c)")
+                ctes.append(f"f_{one} AS (SELECT w, y1 - w * x1 AS b FROM e_{one} WHERE NOT EXISTS (SELECT 1 FROM r_{one} r WHERE {sign} * (r.y - w * r.x - y1 + w * x1) > 1e-9))")
+                lp.append(f"SELECT {n} AS n, '{h}' AS h, '{side}' AS side, '{x}' AS x, arg_{keep}(w, w * c + b) AS w, arg_{keep}(b, w * c + b) AS b FROM f_{one}, m_{tag} WHERE rows >= 8")
+                n += 1
+    value = "b + w * CASE x " + " ".join(f"WHEN '{x}' THEN {x}" for x in features) + " ELSE 0 END"
+    rest = "t - w * CASE x " + " ".join(f"WHEN '{x}' THEN {x}" for x in features) + " END"
+    given = " OR ".join(f"(c.h = '{h}' AND {cond if cond == 'TRUE' else 's.' + cond})" for h, cond in hyps)
+    inside = " UNION ALL ".join(f"SELECT '{g}' AS small, '{h}' AS large FROM s HAVING count(*) FILTER ({gc} AND NOT {hc}) = 0 AND count(*) FILTER ({hc} AND NOT {gc}) > 0" for g, gc in hyps for h, hc in hyps if g != h)
+    ctes += [
+        f"ratio0 AS ({' UNION ALL '.join(ratio)})", "ratio1 AS (SELECT r.*, round(c * q) / q AS near, CASE WHEN side = '<=' THEN ceil(c * q) / q ELSE floor(c * q) / q END AS outer_, row_number() OVER (PARTITION BY n ORDER BY abs(round(c * q) / q - c), q) AS k FROM ratio0 r, q20 WHERE abs(c) <= 4)",
+        "ratio2 AS (SELECT n, any_value(h) AS h, any_value(side) AS side, any_value(x) AS x, any_value(c) AS c, max(near) FILTER (k = 1) AS near, min(outer_) AS least_, max(outer_) AS most FROM ratio1 GROUP BY n)",
+        "ratio_ AS (SELECT n, 1 AS stage, h, side, x, CASE WHEN side = '<=' AND near < c - 1e-9 THEN least_ WHEN side = '>=' AND near > c + 1e-9 THEN most ELSE near END AS w, CAST(0 AS DOUBLE) AS b FROM ratio2)",
+        f"lp0 AS ({' UNION ALL '.join(lp)})", "lp1_ AS (SELECT n, h, side, x, round(w * q) / q AS w, q FROM lp0, q20 WHERE abs(w) <= 4 AND abs(b) <= 8 AND abs(w) >= 1e-8 QUALIFY row_number() OVER (PARTITION BY n ORDER BY abs(round(w * q) / q - w), q) = 1)",
+        f"lp2_ AS (SELECT c.n, any_value(c.h) AS h, any_value(c.side) AS side, any_value(c.x) AS x, any_value(w) AS w, max({rest}) AS hi, min({rest}) AS lo FROM lp1_ c JOIN s ON {given} WHERE q < 20 AND w <> 0 GROUP BY c.n)",
+        "lp3_ AS (SELECT *, CASE WHEN side = '<=' THEN hi ELSE lo END AS r FROM lp2_)",
+        "lp_ AS (SELECT n, 2 AS stage, h, side, x, w, CASE WHEN abs(round(r * q) / q - r) <= 1e-9 THEN round(r * q) / q WHEN side = '<=' THEN ceil(r * 20) / 20 ELSE floor(r * 20) / 20 END AS b FROM lp3_, q20 QUALIFY row_number() OVER (PARTITION BY n ORDER BY abs(round(r * q) / q - r), q) = 1)",
+        f"cand AS ({' UNION ALL '.join(constant)} UNION ALL SELECT * FROM ratio_ WHERE w <> 0 UNION ALL SELECT * FROM lp_)",
+        f"v AS (SELECT c.*, id, t, {value} AS v FROM cand c JOIN s ON {given})",
+        "met AS (SELECT n, count(*) AS support, count(*) FILTER (abs(v - t) <= 1e-12) AS touch, count(*) FILTER (CASE side WHEN '<=' THEN t > v ELSE t < v END) AS violations, min(CASE side WHEN '<=' THEN v - t ELSE t - v END) AS least_ FROM v GROUP BY n)",
+        f"ok AS (SELECT c.*, support, touch, violations FROM cand c JOIN met USING (n) WHERE least_ >= -1e-9 AND touch >= 1), inside AS ({inside})",
+        "general AS (SELECT k.*, row_number() OVER (PARTITION BY stage ORDER BY touch DESC, support DESC, n) AS place FROM ok k WHERE NOT EXISTS (SELECT 1 FROM ok o JOIN inside i ON i.small = k.h AND i.large = o.h WHERE o.stage = k.stage AND o.side = k.side AND o.x = k.x AND o.w = k.w AND o.b = k.b))",
+        "u AS (SELECT g.n, g.stage, g.side, g.h, g.place, v.id, CASE g.side WHEN '<=' THEN v.v ELSE -v.v END AS u FROM general g JOIN v USING (n))",
+        "sharp AS (SELECT DISTINCT n FROM (SELECT n, u, min(u) OVER (PARTITION BY stage, side, h, id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM u) WHERE before IS NULL OR u < before - 1e-9)",
+    ]
+    return f"WITH {', '.join(ctes)} SELECT h AS hypothesis, side, x AS feature, round(w, 4) AS slope, round(b, 4) AS intercept, any_value(support) AS support, any_value(touch) AS touch, any_value(violations) AS violations FROM general WHERE n IN (SELECT n FROM sharp) GROUP BY h, side, x, w, b"
+
+
+@query(_mine_fast_sql())
 def mine_fast(spark: SparkSession, sf: str) -> DataFrame:
     with held(_small(spark, sf)) as df:
-        return _mined(spark, df, [s for s, _ in Session(df, max_arity=1, min_touches=1, use_morgan=True, use_dalmatian=True).conjecture("qty", mode="fast", quick=False).statements])
+        found = [s for s, _ in Session(df, max_arity=1, min_touches=1, use_morgan=True, use_dalmatian=True).conjecture("qty", mode="fast", quick=False).statements]
+        met = relation.evaluate(df, found)
+        rows = []
+        for i, s in enumerate(found):
+            b = s.conclusion.b
+            terms, intercept = (b.terms, float(b.intercept)) if isinstance(b, Linear) else ((), float(b.value))
+            rows.append((s.hypothesis.label(), s.conclusion.op, terms[0][1].label() if terms else "", round(float(terms[0][0]), 4) if terms else 0.0, round(intercept, 4), met[i]["support"], met[i]["touch"], met[i]["violations"]))
+    return spark.createDataFrame(rows, "hypothesis string, side string, feature string, slope double, intercept double, support long, touch long, violations long")
 
 
 def _packaged_sql() -> str:
