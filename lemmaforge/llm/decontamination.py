@@ -1,7 +1,7 @@
 """Benchmark decontamination: test suffixes searched in suffix arrays of the training text.
 
-Each run of training rows (a shard of the corpus, about 2 MB of text) gets a
-suffix array over its word positions.  Only positions that begin a word pair
+Each run of training rows (a shard of the corpus, about half a megabyte of text)
+gets a suffix array over its word positions.  Only positions that begin a word pair
 of some test item can begin a match, so the array is sparse: the others are
 left out before sorting.  Suffixes are sorted as deep as the longest window.
 Every test suffix is then searched by bisection; its range in the array is
@@ -12,12 +12,14 @@ The test set is written once, cut into shards of bounded size by a hash of the
 items' words.  A shard is collected, indexed and broadcast on its own, and a task
 goes through them one after another; where there are more than LIVE_SHARDS, it
 lets go of each before the next, so neither the driver nor a task holds more
-tables beside its rows, whatever the size of the test set.  Items of equal words
+tables beside its rows, whatever the size of the test set, and takes runs of
+MANY_BYTES of text, so that shards are read again less often.  Items of equal words
 are one sequence with several ids.  The training texts are never shuffled.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z, compared
 by 64-bit hashes.  Null, empty and wordless texts have no words and are never
-hit.  An item of fewer than ``window`` words, but at least one, is one window.
+hit; texts of any length are read whole, and columns other than doc_id, item_id
+and text are not read, whatever their names.  An item of fewer than ``window`` words, but at least one, is one window.
 Repeated rows are judged each; repeated items count once per item id.  Empty
 tables give empty results or clean documents.
 """
@@ -37,13 +39,15 @@ from pyspark.sql import types as T
 
 from . import store
 from . import words as wk
-from .memory import tidied
+from .memory import gathered, tidied
 
 WINDOW = 10
 #: Bytes of test text in one broadcast shard.
 SHARD_BYTES = 4 << 20
 #: Shards that a worker keeps in memory from one run of rows to the next.
 LIVE_SHARDS = 4
+#: Bytes of text in a run where there are more.
+MANY_BYTES = 8 << 20
 
 _PAIR_BITS = 20
 
@@ -179,7 +183,7 @@ def shards(benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_
 
 def _hits(column: pa.Array, tests: list[Broadcast]) -> Iterator[tuple[int, np.ndarray, np.ndarray, Iterator[tuple[TestSuffixes, np.ndarray, np.ndarray]]]]:
     """For each run of rows: its first row, word hashes, rows' first words, and one shard after another with its hits."""
-    for lo, _, off, data in wk.slices(column):
+    for lo, _, off, data in wk.slices(column, wk.CHUNK if len(tests) <= LIVE_SHARDS else MANY_BYTES):
         starts, ends, first = wk.spans(off, data, wk.ALNUM)
         h = wk.hashes(starts, ends, data)
 
@@ -194,6 +198,11 @@ def _hits(column: pa.Array, tests: list[Broadcast]) -> Iterator[tuple[int, np.nd
         yield lo, h, first, found()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], tests: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    """The batches, put together where many shards are gone through for each."""
+    return batches if len(tests) <= LIVE_SHARDS else gathered(batches, size=MANY_BYTES)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words in any occurrence of a window), n_items, items_sha256, contaminated, and of its
     longest verbatim match the words (longest_match), where it begins (longest_at) and the least id, as text, of its items (longest_item)."""
@@ -201,7 +210,7 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _runs(batches, tests):
             total = np.zeros(batch.num_rows, np.int64)
             hit, count, longest = total.copy(), total.copy(), total.copy()
             sha = np.full(batch.num_rows, hashlib.sha256(b"").hexdigest(), object)
@@ -239,7 +248,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _runs(batches, tests):
             ids = batch.column(0).to_pylist()
             out: list[tuple] = []
             for lo, _, first, found in _hits(batch.column(1), tests):
@@ -264,7 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _runs(batches, tests):
             keep = np.ones(batch.num_rows, bool)
             for lo, _, first, found in _hits(batch.column(text), tests):
                 for _, at, _ in found:
