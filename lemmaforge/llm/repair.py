@@ -204,8 +204,7 @@ def _segments(rows: DataFrame, grammar: Grammar) -> DataFrame:
     at = F.struct(F.col("turn").isNotNull(), F.col("turn"), F.col("row_id"))
     firsts = base.groupBy("conv_id", "digest").agg(F.min(at).alias("first"), F.count("*").alias("rows")).filter("rows > 1").select(F.col("conv_id").alias("of"), F.col("digest").alias("same"), F.col("first.row_id").alias("first_id"))
     seen = base.join(firsts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("digest") == F.col("same")), "left")
-    seen = store.keep(seen.select("conv_id", "turn", "role", "text", "digest", "row_id", F.coalesce(F.col("row_id") != F.col("first_id"), F.lit(False)).alias("again")), "repair-seen")
-    store.drop(base)
+    seen = seen.select("conv_id", "turn", "role", "text", "digest", "row_id", F.coalesce(F.col("row_id") != F.col("first_id"), F.lit(False)).alias("again"))
     order = [F.asc_nulls_first("conv_id"), F.asc_nulls_first("turn"), "role", "digest", "row_id"]
     kind = dict(seen.dtypes)["conv_id"]
 
@@ -251,7 +250,7 @@ def _segments(rows: DataFrame, grammar: Grammar) -> DataFrame:
 
     table = seen.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "turn", "role", "text", "again").mapInArrow(run, f"conv_id {kind}, {_SEGMENT}")
     table = store.keep(table, "repair-segments")
-    store.drop(seen)
+    store.drop(base)
     return table
 
 
