@@ -37,6 +37,9 @@ length as long as they hold copies of one another.
 Defined results: a text of fewer than k words, but at least one, is its whole
 sequence as one shingle; null, empty and wordless texts have no shingles and
 link with nothing.  Repeated rows are in one class.  Rows of a null id are kept.
+Texts of any length are read whole, an empty table gives an empty one, and
+columns other than doc_id and text are not read, whatever their names
+(``deduplicate`` passes them on).
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ once, in the task that reads it; only hits and one row per document are shuffled
 
 Null, empty and wordless texts have no words, spans or labels and score 0.  Of
 several labels all are given.  Repeated rows are told apart by a row number.
-Other columns are ignored.
+Texts of any length are read whole, an empty table gives an empty one, and other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

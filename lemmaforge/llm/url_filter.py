@@ -12,6 +12,10 @@ S has the rules' first positions (they are anchored: set before the first byte
 only), B[c] the positions that read byte c, L[c] those that loop on c, that
 is, that stand before a wildcard.  The cost of a URL is its length times the
 words of the vector, whatever the rules are.
+
+Null and empty URLs, and those without ``://``, have an empty host and path.  URLs
+of any length are read whole, repeated rows are judged each, an empty table gives
+an empty one, and other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
