@@ -363,8 +363,9 @@ SELECT slope, intercept, '<=' AS op FROM k WHERE up UNION ALL SELECT slope, inte
 def hull2d_facets(spark: SparkSession, sf: str) -> DataFrame:
     df = read(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("x")).agg(F.count("*").alias("y"))
     found = fits.convex_hull(df, Col("y"), [Col("x")], TRUE)
-    rows = [(round(float(s.conclusion.b.terms[0][0]) if s.conclusion.b.terms else 0.0, 6), round(float(s.conclusion.b.intercept), 6), s.conclusion.op) for s in found]
-    return spark.createDataFrame(rows, "slope double, intercept double, op string")
+    # facets that round to the same are one row; no -0.0
+    rows = {(round(float(s.conclusion.b.terms[0][0]) if s.conclusion.b.terms else 0.0, 6) + 0.0, round(float(s.conclusion.b.intercept), 6) + 0.0, s.conclusion.op) for s in found}
+    return spark.createDataFrame(sorted(rows), "slope double, intercept double, op string")
 
 
 _P = {n: Col(n) for n in ("p_size", "p_retailprice")}

@@ -635,3 +635,14 @@ def test_outward_slopes():
     for value in (0.3333, 1 / 3, 0.123456, -0.777, 2.0, 19 / 20 + 1e-7):
         up, down = bounds.outward(value, True), bounds.outward(value, False)
         assert float(down) - 1e-9 <= value <= float(up) + 1e-9 and max(up.denominator, down.denominator) <= 20 and up - down <= Fraction(1, 20)
+
+
+def test_facets_that_round_to_the_same(spark, tmp_path):
+    """Several facets of tiny slopes are one row of the query, as in its SQL, and -0.0 is 0.0."""
+    from lemmaforge.catalog_fits import hull3d_facets
+
+    rows = [(i, i, "F", 1000.0 + side * (9 - (q - 2.2) ** 2 - (p - 2.7) ** 2) / 10, f"1997-{3 * q - 1:02d}-10", f"{p}-X") for i, (q, p, side) in enumerate((q, p, side) for q in range(1, 5) for p in range(1, 6) for side in (1, -1))]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate string, o_orderpriority string")
+    df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
+    found = sorted(map(str, map(tuple, hull3d_facets(spark, str(tmp_path)).collect())))
+    assert found == ["('<=', 0.0, 0.0)", "('>=', 0.0, 0.0)"]
