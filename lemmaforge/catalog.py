@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from . import catalog_fits, catalog_live, catalog_more, relation
 from .export import text as export
 from .expr import Bin, Col, Const, Linear, Log, Un, max_, min_
+from .functions import numeric as nf
 from .operators import bounds, filters, fits, lattice, statistics, sufficient
 from .plans.session import Session, Stage, necessary_bounds, sufficient_conditions
 from .pred import TRUE, Between, Compare, Flag, In, Not, conj, disj, is_int
@@ -40,9 +41,9 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def order_objects(spark: SparkSession, sf: str) -> DataFrame:
-    """One row per order with lines: invariants and properties."""
+    """One row per order with lines: invariants and properties.  Sums do not depend on the order of lines, so every pass has the same ones."""
     lines = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.count("*").alias("n_lines"), F.sum("l_quantity").alias("qty"), F.sum("l_extendedprice").alias("gross"), F.max("l_linenumber").cast("long").alias("max_line"), F.max((F.col("l_returnflag") == "R")).alias("has_return")
+        F.count("*").alias("n_lines"), nf.steady_sum(F.col("l_quantity")).alias("qty"), nf.steady_sum(F.col("l_extendedprice")).alias("gross"), F.max("l_linenumber").cast("long").alias("max_line"), F.max((F.col("l_returnflag") == "R")).alias("has_return")
     )
     orders = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("t"), (F.col("o_orderstatus") == "F").alias("is_final"), (F.col("o_orderpriority") == "1-URGENT").alias("is_urgent"))
     return orders.join(lines, "o_orderkey").withColumns({"single_line": F.col("n_lines") == 1, "always": F.lit(True)})

@@ -43,7 +43,9 @@ def ratio_touches(df: DataFrame, lattice: Lattice, hyps: Sequence[Hypothesis], t
 
     The reaching rows are counted per (sig, feature, ratio) only where the
     ratio is an end of some hypothesis: the ends go to the rows by a join with
-    the catalog of bounds, which has hypotheses x features rows.
+    the catalog of bounds, which has hypotheses x features rows.  ``df`` is
+    computed for both, so its values have to be the same each time: sums of
+    doubles by ``numeric.steady_sum``.
     """
     bounds = ratio_bounds(df, lattice, hyps, target, features, positive)
     ends = bounds.select("feature", F.explode(F.array("cmin", "cmax")).alias("r")).distinct()

@@ -646,3 +646,21 @@ def test_facets_that_round_to_the_same(spark, tmp_path):
     df.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp")).write.parquet(f"{tmp_path}/orders.parquet")
     found = sorted(map(str, map(tuple, hull3d_facets(spark, str(tmp_path)).collect())))
     assert found == ["('<=', 0.0, 0.0)", "('>=', 0.0, 0.0)"]
+
+
+def test_sums_of_lines_in_any_order(spark, tmp_path):
+    """Orders of the same lines in other orders have the same sums, so all of them touch a bound."""
+    from lemmaforge.catalog import order_objects, ratio_bounds_slice
+    from lemmaforge.functions import numeric as nf
+
+    prices = [0.1, 0.2, 0.3, 1e7 + 0.07, 33.33]
+    kind = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string"
+    orders = [random.Random(k).sample(prices, len(prices)) for k in range(12)]
+    spark.createDataFrame([(k, i, 1.0, p, "R") for k, own in enumerate(orders) for i, p in enumerate(own)], kind).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, 7.0, "F", "5-LOW") for k in range(12)], "o_orderkey long, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    assert {r["gross"] for r in order_objects(spark, str(tmp_path)).collect()} == {10000034.0}
+    assert {(r["touch_lower"], r["touch_upper"]) for r in ratio_bounds_slice(spark, str(tmp_path)).collect()} == {(12, 12)}
+    # values that are no prices are added as they are; null and empty groups as by sum
+    odd = spark.createDataFrame([(0, 1e300), (0, 1e300), (1, 1e-7), (1, 2.0), (2, None), (3, float("nan")), (3, 1.0), (4, float("inf")), (4, 1.0), (5, None), (5, -2.25)], "k int, x double")
+    found = {r["k"]: (r["a"], r["b"]) for r in odd.groupBy("k").agg(nf.steady_sum(F.col("x")).alias("a"), F.sum("x").alias("b")).collect()}
+    assert all(str(a) == str(b) for a, b in found.values()) and found[2] == (None, None) and found[5][0] == -2.25
