@@ -214,11 +214,11 @@ SOURCES_SQL = " UNION ALL ".join(f"SELECT '{n}' AS source, count(*) + {k} AS row
 
 
 def edge_lists(spark: SparkSession, sf: str) -> DataFrame:
-    """Edges of orders to suppliers in text files, a graph for each return flag, read back."""
+    """Edges of orders to suppliers in text files, a graph for each return flag in as many as there are tasks, read back."""
     path = scratch(spark)
     lines = read(spark, sf, "lineitem").select("l_returnflag", F.concat_ws("  ", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("value"))
     for flag in ("A", "N", "R"):
-        lines.filter(F.col("l_returnflag") == flag).select("value").unionByName(spark.createDataFrame([("",)], "value string")).coalesce(1).write.mode("append").text(path)
+        lines.filter(F.col("l_returnflag") == flag).select("value").unionByName(spark.createDataFrame([("",)], "value string")).write.text(f"{path}/{flag}.txt")
     found = tables.edge_lists(spark, path)
     return found.agg(F.count_distinct("graph").alias("graphs"), F.count("*").alias("edges"), F.sum("src").alias("sources"), F.sum("dst").alias("targets"))
 

@@ -26,8 +26,15 @@ def memory_table(spark: SparkSession, data: Mapping[str, Sequence] | Iterable) -
 
 
 def edge_lists(spark: SparkSession, folder: str) -> DataFrame:
-    """graph (file name without ending), src, dst of every ``src dst`` line in the folder's text files; blank lines are left out."""
-    lines = spark.read.text(f"{folder}/*.txt").select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.txt$", 1).alias("graph"), F.split(F.trim("value"), r"\s+").alias("p"))
+    """graph, src, dst of every ``src dst`` line in the folder's graphs; blank lines are left out.
+
+    A graph is a text file ``<graph>.txt``, or a folder of that name with the
+    part files that Spark writes, so that a large one has many writers.
+    """
+    path = F.input_file_name()
+    file, above = F.substring_index(path, "/", -1), F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    name = F.when(file.startswith("part-") & above.endswith(".txt"), above).otherwise(file)
+    lines = spark.read.text(f"{folder}/*.txt").select(F.regexp_replace(name, r"\.txt$", "").alias("graph"), F.split(F.trim("value"), r"\s+").alias("p"))
     return lines.filter(F.size("p") >= 2).select("graph", F.col("p")[0].try_cast("int").alias("src"), F.col("p")[1].try_cast("int").alias("dst"))
 
 

@@ -664,3 +664,19 @@ def test_sums_of_lines_in_any_order(spark, tmp_path):
     odd = spark.createDataFrame([(0, 1e300), (0, 1e300), (1, 1e-7), (1, 2.0), (2, None), (3, float("nan")), (3, 1.0), (4, float("inf")), (4, 1.0), (5, None), (5, -2.25)], "k int, x double")
     found = {r["k"]: (r["a"], r["b"]) for r in odd.groupBy("k").agg(nf.steady_sum(F.col("x")).alias("a"), F.sum("x").alias("b")).collect()}
     assert all(str(a) == str(b) for a, b in found.values()) and found[2] == (None, None) and found[5][0] == -2.25
+
+
+def test_edge_lists_of_many_files(spark, tmp_path, monkeypatch):
+    """A graph in part files is one graph, beside those of one file; the query writes more than one file of a flag."""
+    from lemmaforge import catalog_more
+
+    place = tmp_path / "g.txt"
+    place.mkdir()
+    (place / "a.b.txt").write_text("1 2\n\n2 3\n")
+    spark.createDataFrame([(f"{i} 7",) for i in range(9)], "value string").repartition(3).write.text(f"{place}/big.txt")
+    found = tables.edge_lists(spark, str(place)).groupBy("graph").agg(F.count("*").alias("n"), F.sum("src").alias("s")).collect()
+    assert sorted(map(tuple, found)) == [("a.b", 2, 3), ("big", 9, 36)]
+    monkeypatch.setattr(catalog_more, "scratch", lambda _: str(tmp_path / "out"))
+    spark.range(60).selectExpr("id AS l_orderkey", "id % 7 AS l_suppkey", "substring('ANR', CAST(id % 3 + 1 AS INT), 1) AS l_returnflag").repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert tuple(catalog_more.edge_lists(spark, str(tmp_path)).first()) == (3, 60, 1770, sum(i % 7 for i in range(60)))
+    assert all(len(list((tmp_path / "out").glob(f"{flag}*/part-*.txt"))) > 1 for flag in "ANR")
