@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import lru_cache
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -40,40 +42,93 @@ def edge_lists(spark: SparkSession, folder: str) -> DataFrame:
 
 def _collatz_steps(numbers: pd.Series) -> pd.Series:
     """Steps of n -> n / 2 or 3n + 1 down to 1, of numbers from 1."""
-    x = numbers.to_numpy(np.int64).copy()
-    steps, going = np.zeros(len(x), np.int64), x > 1
-    while going.any():
-        x = np.where(going, np.where(x % 2 == 0, x // 2, 3 * x + 1), x)
-        steps += going
+    x = numbers.to_numpy(np.int64)
+    steps, at, done = np.zeros(len(x), np.int64), np.flatnonzero(x > 1), 0
+    x = x[at]
+    while len(at):
+        x, done = np.where(x & 1, 3 * x + 1, x >> 1), done + 1
         going = x > 1
+        if not going.all():
+            steps[at[~going]] = done
+            x, at = x[going], at[going]
     return pd.Series(steps)
 
 
+@lru_cache(maxsize=4)
+def _primes(most: int) -> list[int]:
+    prime = np.ones(most + 1, bool)
+    prime[:2] = False
+    for i in range(2, isqrt(most) + 1):
+        if prime[i]:
+            prime[i * i :: i] = False
+    return np.flatnonzero(prime).tolist()
+
+
+FACTORS = "prime_factor_count long, distinct_primes long, largest long, divisor_count long, sum_divisors long, totient long"
+
+
+def _factors(numbers: pd.Series) -> pd.DataFrame:
+    """What the prime factors of numbers from 1 tell.  Of close numbers a prime meets its multiples only, as in a sieve; of others it tries each."""
+    own, place = np.unique(numbers.to_numpy(np.int64), return_inverse=True)
+    rest, totient, low = own.copy(), own.copy(), int(own[0]) if len(own) else 0
+    powers, distinct, largest = (np.zeros(len(own), np.int64) for _ in range(3))
+    count, total = np.ones(len(own), np.int64), np.ones(len(own), np.int64)
+
+    def take(at: np.ndarray, p: int | np.ndarray, k: int | np.ndarray, sums: np.ndarray) -> None:
+        powers[at] += k
+        distinct[at] += 1
+        largest[at] = p
+        count[at] *= k + 1
+        total[at] *= sums
+        totient[at] -= totient[at] // p
+
+    most = int(own[-1]) if len(own) else 0
+    where = None
+    if most - low < 8 * len(own):
+        where = np.full(most - low + 1, -1)
+        where[own - low] = np.arange(len(own))
+    # the bound is a power of two, so that one list of primes serves many calls
+    for p in _primes(1 << isqrt(most).bit_length()) if most > 1 else ():
+        if p * p > most:
+            break
+        if where is not None:
+            at = where[-low % p :: p]
+            at = at[at >= 0]
+        else:
+            at = np.flatnonzero(rest % p == 0)
+        if not len(at):
+            continue
+        left, sums, k = rest[at], np.ones(len(at), np.int64), np.zeros(len(at), np.int64)
+        while (hit := left % p == 0).any():
+            left, sums, k = np.where(hit, left // p, left), np.where(hit, sums * p + 1, sums), k + hit
+        rest[at] = left
+        take(at, p, k, sums)
+    at = np.flatnonzero(rest > 1)
+    take(at, rest[at], 1, rest[at] + 1)
+    return pd.DataFrame(np.stack([powers, distinct, largest, count, total, totient], 1)[place.ravel()], columns=[x.split()[0] for x in FACTORS.split(", ")])
+
+
 def number_theory(numbers: DataFrame) -> DataFrame:
-    """Number theory of a table's column ``n`` of whole numbers, each by itself, those below 1 left out: trial division up to its root gives its divisors in pairs."""
-    low = F.filter(F.sequence(F.lit(1).cast("long"), F.floor(F.sqrt("n"))), lambda d: F.col("n") % d == 0)
-    divisors = F.array_sort(F.array_union(low, F.transform(low, lambda d: F.expr("n").cast("long") / d).cast("array<long>")))
-    df = numbers.select(F.col("n").cast("long")).filter("n >= 1").withColumn("d", divisors)
-    prime = lambda d: F.size(F.filter(F.col("d"), lambda e: (d % e == 0) & (e > 1) & (e < d))) == 0
-    df = df.withColumn("primes", F.filter("d", lambda d: (d > 1) & prime(d)))
-    total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x)
-    text, n = F.col("n").cast("string"), F.col("n")
+    """Number theory of a table's column ``n`` of whole numbers, those below 1 left out: ranges of them are factored together, by primes up to their root."""
+    n = F.col("n")
+    tasks = int(numbers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = numbers.select(n.cast("long")).filter("n >= 1").repartitionByRange(tasks, "n").sortWithinPartitions("n")
+    df = df.withColumn("f", F.pandas_udf(_factors, FACTORS)("n")).withColumn("collatz_steps", F.pandas_udf(_collatz_steps, "long")("n")).select("n", "f.*", "collatz_steps")
+    text, total = n.cast("string"), F.col("sum_divisors")
     square = lambda x: F.round(F.sqrt(x)).cast("long") * F.round(F.sqrt(x)).cast("long") == x
-    # powers of one prime among the divisors: as many as prime factors with their multiplicity
-    powers = F.filter("d", lambda d: F.size(F.filter(F.col("primes"), lambda p: d % p == 0)) == 1)
     return df.select(
         "n",
         F.sqrt("n").alias("sqrt_n"),
         F.ln("n").alias("log_n"),
-        F.size(powers).cast("long").alias("prime_factor_count"),
-        F.size("primes").cast("long").alias("distinct_primes"),
-        F.array_max("primes").cast("double").alias("largest_prime_factor"),
-        F.size("d").cast("long").alias("divisor_count"),
-        total.alias("sum_divisors"),
-        F.round(F.aggregate("primes", F.col("n").cast("double"), lambda a, p: a * (F.lit(1.0) - F.lit(1.0) / p))).cast("long").alias("totient"),
-        F.pandas_udf(_collatz_steps, "long")("n").alias("collatz_steps"),
+        "prime_factor_count",
+        "distinct_primes",
+        F.when(n > 1, F.col("largest").cast("double")).alias("largest_prime_factor"),
+        "divisor_count",
+        "sum_divisors",
+        "totient",
+        "collatz_steps",
         (n % 2 == 0).alias("is_even"),
-        (F.size("d") == 2).alias("is_prime"),
+        (F.col("divisor_count") == 2).alias("is_prime"),
         square(n).alias("is_square"),
         (square(5 * n * n + 4) | square(5 * n * n - 4)).alias("is_fibonacci"),
         ((total - n == n)).alias("is_perfect"),

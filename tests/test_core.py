@@ -680,3 +680,30 @@ def test_edge_lists_of_many_files(spark, tmp_path, monkeypatch):
     spark.range(60).selectExpr("id AS l_orderkey", "id % 7 AS l_suppkey", "substring('ANR', CAST(id % 3 + 1 AS INT), 1) AS l_returnflag").repartition(4).write.parquet(f"{tmp_path}/lineitem.parquet")
     assert tuple(catalog_more.edge_lists(spark, str(tmp_path)).first()) == (3, 60, 1770, sum(i % 7 for i in range(60)))
     assert all(len(list((tmp_path / "out").glob(f"{flag}*/part-*.txt"))) > 1 for flag in "ANR")
+
+
+def test_number_theory_in_ranges(spark):
+    """One partition of numbers is dealt to several tasks; close, far, equal and large ones have the same facts as by trial of every number."""
+    rng = random.Random(8)
+    close, far = list(range(1, 700)), [1, 2, 2, 720720, 999983, 999983**2, 2**40, 3**20 * 7, *(rng.randrange(1, 10**9) for _ in range(30))]
+    df = spark.createDataFrame([(n,) for n in close + far], "n long").coalesce(1)
+    found = tables.number_theory(df)
+    assert found.rdd.getNumPartitions() > 1
+    got = sorted(tuple(r) for r in found.select("n", "prime_factor_count", "distinct_primes", "largest_prime_factor", "divisor_count", "sum_divisors", "totient", "is_prime", "collatz_steps").collect())
+    want = []
+    for n in close + far:
+        primes, rest, p = [], n, 2
+        while p * p <= rest:
+            while rest % p == 0:
+                primes.append(p)
+                rest //= p
+            p += 1
+        primes += [rest] if rest > 1 else []
+        count, total, totient = 1, 1, n
+        for q in set(primes):
+            count, total, totient = count * (primes.count(q) + 1), total * (q ** (primes.count(q) + 1) - 1) // (q - 1), totient // q * (q - 1)
+        x, steps = n, 0
+        while x > 1:
+            x, steps = (x // 2 if x % 2 == 0 else 3 * x + 1), steps + 1
+        want.append((n, len(primes), len(set(primes)), float(max(primes)) if primes else None, count, total, totient, primes == [n], steps))
+    assert got == sorted(want)
