@@ -48,6 +48,7 @@ class Watched:
         """Take one batch into account and write its version."""
         spark = rows.sparkSession
         m = self.matrix(rows).filter(F.col("y").isNotNull()).persist()
+        ends = self._ends(m).persist()
         try:
             before = max((v for v in self.versions(spark) if v < batch), default=None)
             sums = self._sums(m)
@@ -55,8 +56,8 @@ class Watched:
             if before is not None:
                 sums = self._merged(spark.read.parquet(f"{self._place(before)}/sums").unionByName(sums))
                 corners = self._corners(spark, before)
-            broken = self._broken(m, corners)
-            solved = hull.corners_many(m, self._points_of(), {k: len(self.subsets[k[1]]) + 1 for k in broken}, {k: corners[k][0] for k in broken if k in corners})
+            broken = self._broken(ends, corners)
+            solved = hull.corners_many(ends, self._points_of(), {k: len(self.subsets[k[1]]) + 1 for k in broken}, {k: corners[k][0] for k in broken if k in corners})
             corners |= {k: (points, batch) for k, points in solved.items() if len(points)}
             place = self._place(batch)
             sums.coalesce(1).write.mode("overwrite").parquet(f"{place}/sums")
@@ -66,8 +67,15 @@ class Watched:
                 if before is not None and v < before:
                     self._files(spark)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(self._place(v)), True)
         finally:
+            ends.unpersist()
             m.unpersist()
 
+    def _ends(self, m: DataFrame) -> DataFrame:
+        """Of rows with the same features those with the least and largest target: the others are no corners.  In as many tasks as a shuffle has, however few files a batch comes in."""
+        features = [f"f{j}" for j in range(len(self.features))]
+        found = m.groupBy("sig", *features).agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+        return found.select("sig", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("y"), *features)
+
     def _sums(self, m: DataFrame) -> DataFrame:
         """A row for each signature: rows, sums and extrema of the target, and per subset of the rows that have all its features."""
         cols = [F.count("y").alias("n"), F.min("y").alias("lo_y"), F.max("y").alias("hi_y")]

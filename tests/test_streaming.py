@@ -60,3 +60,25 @@ def test_hulls_are_solved_again_only_when_broken(spark, tmp_path):
     (e,) = [r for r in w.extrema(spark).collect() if r["hypothesis"] == TRUE.label()]
     assert e["n"] == 203 and e["hi_y"] == 90.0 and e["hi_0"] == 30.0
     assert {k: (p.tolist(), s) for k, (p, s) in w._corners(spark, 3).items()} == {k: (p.tolist(), s) for k, (p, s) in w._corners(spark, 2).items()}
+
+
+def test_hulls_see_few_rows_of_equal_features(spark, tmp_path, monkeypatch):
+    """Of many rows with the same features only the ends reach the passes over hulls, and the corners are those of all rows."""
+    from lemmaforge.operators import hull
+
+    rng = np.random.default_rng(6)
+    rows = [(float(a), float(b), float(t), bool(p)) for a, b, p, t in zip(rng.integers(1, 4, 900), rng.integers(1, 3, 900), rng.integers(0, 2, 900), rng.uniform(1, 5, 900), strict=True)]
+    df = spark.createDataFrame([*rows, (None, 2.0, 9.0, True), (2.0, None, 0.5, False)], KIND).coalesce(1)
+    seen, real = [], hull.corners_many
+    monkeypatch.setattr(hull, "corners_many", lambda points, *rest: seen.append(points.count()) or real(points, *rest))
+    w = watched(tmp_path / "state")
+    w.update(df, 0)
+    assert seen and max(seen) <= 2 * (3 * 2 * 2 + 2)
+    m = w.matrix(df)
+    whole = real(m, w._points_of(), {(h, c): len(s) + 1 for h in range(2) for c, s in enumerate(w.subsets)}, {})
+    held = w._corners(spark, 0)
+    assert set(held) == set(whole)
+    for k, (own, _) in held.items():
+        for p, q in ((own, whole[k]), (whole[k], own)):
+            normals, offsets, spanned = hull.planes(p)
+            assert spanned and (q @ normals.T <= offsets + 1e-6).all()
